@@ -20,7 +20,7 @@ from .common import ascii_words, durable, let, table
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
 SKETCH_K, LEAST_GROUP, REACH = 1024, 200, 3.0
 #: Feature, the side on which it is bad, and the least distance of a fence from its quartile.
-ROOM = {"word_length": ("both", 1.5), "symbol_ratio": ("high", 0.10), "dup_line_ratio": ("high", 0.10), "repeat_ratio": ("high", 0.15)}
+ROOM = {"word_length": ("both", 2.5), "symbol_ratio": ("high", 0.10), "dup_line_ratio": ("high", 0.50), "repeat_ratio": ("high", 0.30)}
 
 
 def _repeated(words: Column) -> Column:
