@@ -6,15 +6,19 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .contamination import op5_contained_items
 from .near_dup import op7_near_duplicates
 from .packing import op3_best_fit_packing
+from .quality_model import op8_quality_classifier
 from .quality_rules import op6_quality_rules
 from .sharding import op9_minimax_shards
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_best_fit_packing": op3_best_fit_packing,
+    "op5_contained_items": op5_contained_items,
     "op6_quality_rules": op6_quality_rules,
     "op7_near_duplicates": op7_near_duplicates,
+    "op8_quality_classifier": op8_quality_classifier,
     "op9_minimax_shards": op9_minimax_shards,
 }
 
