@@ -9,11 +9,13 @@ from pyspark.sql import DataFrame, SparkSession
 from .contamination import op5_contained_items
 from .near_dup import op7_near_duplicates
 from .packing import op3_best_fit_packing
+from .passages import op1_repeated_passages
 from .quality_model import op8_quality_classifier
 from .quality_rules import op6_quality_rules
 from .sharding import op9_minimax_shards
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_repeated_passages": op1_repeated_passages,
     "op3_best_fit_packing": op3_best_fit_packing,
     "op5_contained_items": op5_contained_items,
     "op6_quality_rules": op6_quality_rules,
