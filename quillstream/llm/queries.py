@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .contamination import op5_contained_items
+from .line_dedup import op2_repeated_lines
 from .near_dup import op7_near_duplicates
 from .packing import op3_best_fit_packing
 from .passages import op1_repeated_passages
@@ -16,6 +17,7 @@ from .sharding import op9_minimax_shards
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_repeated_passages": op1_repeated_passages,
+    "op2_repeated_lines": op2_repeated_lines,
     "op3_best_fit_packing": op3_best_fit_packing,
     "op5_contained_items": op5_contained_items,
     "op6_quality_rules": op6_quality_rules,
