@@ -11,6 +11,7 @@ from .line_dedup import op2_repeated_lines
 from .near_dup import op7_near_duplicates
 from .packing import op3_best_fit_packing
 from .passages import op1_repeated_passages
+from .private_data import op4_private_spans
 from .quality_model import op8_quality_classifier
 from .quality_rules import op6_quality_rules
 from .sharding import op9_minimax_shards
@@ -19,6 +20,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_repeated_passages": op1_repeated_passages,
     "op2_repeated_lines": op2_repeated_lines,
     "op3_best_fit_packing": op3_best_fit_packing,
+    "op4_private_spans": op4_private_spans,
     "op5_contained_items": op5_contained_items,
     "op6_quality_rules": op6_quality_rules,
     "op7_near_duplicates": op7_near_duplicates,
