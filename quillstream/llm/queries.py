@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .contamination import op5_contained_items
+from .html_text import op10_main_text
 from .line_dedup import op2_repeated_lines
 from .near_dup import op7_near_duplicates
 from .packing import op3_best_fit_packing
@@ -26,6 +27,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_near_duplicates": op7_near_duplicates,
     "op8_quality_classifier": op8_quality_classifier,
     "op9_minimax_shards": op9_minimax_shards,
+    "op10_main_text": op10_main_text,
 }
 
 ORACLE: dict[str, str] = {}
