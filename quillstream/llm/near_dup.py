@@ -7,11 +7,13 @@ if the place lies below the shingle's weight there; a register keeps the earlies
 in the order of time and only up to a bound that suffices to fill all registers, so the work per shingle does
 not grow with its weight, and two registers agree with a probability equal to the weighted Jaccard similarity.
 
-Equal bags are one class from the start. Classes that agree in a band of registers are candidates. In each
-band bucket the members are held against one pivot only, never all against all; those that fail, and are not
-joined to the pivot otherwise, become the bucket's next pivots, and what is still apart after ``PIVOTS``
-rounds is compared member by member. A candidate is a link if the exact bags overlap by 0.8 or more. The class
-of a document is the smallest doc_id of its connected component.
+Equal bags are one class from the start. Classes that agree in a band
+of registers are candidates. Members of a bucket of at most ``SMALL`` are all compared. In a larger bucket they are
+first held against one pivot only, the member whose bands are the most common, which is the middle of a family
+of near copies. Buckets with common members make a family; those of its members that the pivots did not bring
+into its largest class are then searched for links to all others, in blocks of ``BLOCK`` of them that each meet
+the family as a stream: a task holds one block, and what leaves it is a forest of links. A candidate is a link if
+the exact bags overlap by 0.8 or more. The class of a document is the smallest doc_id of its connected component.
 
 Defined cases: words are runs of ASCII letters, digits and non-ASCII characters in lower case; a text of fewer
 than five words is one shingle; texts without a word (null, empty) form one class; repeated rows of a doc_id
@@ -35,7 +37,9 @@ from .wordhash import U64, Words, bitmap_of, mix, pieces, seeded, signed
 SHINGLE, THRESHOLD = 5, 0.8
 BANDS, ROWS = 25, 4
 REGISTERS = BANDS * ROWS
-PIVOTS = 3
+SMALL, BLOCK = 32, 256
+#: Registers that must agree before bags of a large family are compared: five standard deviations below 0.8.
+LEAST_AGREE = 60
 MEMBERS_PER_SALT = 256
 _LOW = U64((1 << 44) - 1)
 
@@ -153,19 +157,70 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(found, pa.bool_())], names=["a", "b", "same"])
 
 
-def verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """``a, b, same`` for distinct ``pairs`` (pivot a, member b). ``docs``: doc_id and lower-case text, of unique doc_ids."""
-    spark = docs.sparkSession
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    hashed = ids.mapInArrow(_mixed, "h long")
-    wanted = spark.sparkContext.broadcast(bitmap_of(hashed, "h"))
-    packed = durable(docs.mapInArrow(_bag_rows(wanted), "doc_id long, bag binary"), "bags")
+def packed_bags(ids: DataFrame, docs: DataFrame) -> DataFrame:
+    """``doc_id, bag`` of the documents listed in ``ids`` and of few others. ``docs``: doc_id and lower-case text."""
+    wanted = docs.sparkSession.sparkContext.broadcast(bitmap_of(ids.mapInArrow(_mixed, "h long"), "h"))
+    return durable(docs.mapInArrow(_bag_rows(wanted), "doc_id long, bag binary").dropDuplicates(["doc_id"]), "bags")
+
+
+def verified(pairs: DataFrame, packed: DataFrame) -> DataFrame:
+    """``a, b, same`` for distinct ``pairs`` (pivot a, member b)."""
     salts = pairs.groupBy("a").agg(F.count("*").alias("members")).select("a", (F.floor(F.col("members") / MEMBERS_PER_SALT) + 1).alias("salts"))
     pivots = packed.join(salts, packed.doc_id == salts.a).select("a", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(None).cast("long").alias("b"), "bag")
     members = pairs.join(salts, "a").join(packed, pairs.b == packed.doc_id).select("a", F.pmod(F.xxhash64("b"), F.col("salts")).alias("salt"), "b", "bag")
     return pivots.unionByName(members).repartition("a", "salt").sortWithinPartitions("a", "salt", F.col("b").asc_nulls_first()).mapInArrow(_verify, "a long, b long, same boolean")
 
 
+def _sketch(bag_list: list[np.ndarray]) -> np.ndarray:
+    doc = np.repeat(np.arange(len(bag_list)), [len(b) for b in bag_list])
+    both = np.concatenate(bag_list) if bag_list else np.zeros((0, 2), U64)
+    return signatures(doc, both[:, 0], both[:, 1].astype(np.int64), len(bag_list))
+
+
+def _search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows come sorted by family and block, the block's own members first; emits links that join labels not yet joined here."""
+    place, own, sketch, parent = None, [], None, {}
+
+    def root(x: int) -> int:
+        while (up := parent.setdefault(x, x)) != x:
+            parent[x] = x = parent.setdefault(up, up)
+        return x
+
+    for batch in batches:
+        found: list[tuple[int, int]] = []
+        columns = [batch.column(c).to_pylist() for c in ("family", "block", "asks", "rep", "label")]
+        bags_here = [np.frombuffer(x.as_buffer(), U64).reshape(-1, 2) for x in batch.column("bag")]
+        meets = _sketch(bags_here) if bags_here else None
+        for i, (family, block, asks, rep, label) in enumerate(zip(*columns)):
+            if place != (family, block):
+                place, own, sketch, parent = (family, block), [], None, {}
+            if asks:
+                own.append((rep, label, bags_here[i].copy(), meets[i].copy()))
+                continue
+            if sketch is None:
+                sketch = np.array([o[3] for o in own]).reshape(-1, REGISTERS)
+            for j in np.flatnonzero((sketch == meets[i]).sum(axis=1) >= LEAST_AGREE):
+                other, its, bag, _ = own[j]
+                if root(its) != root(label) and overlap(bag, bags_here[i]) >= THRESHOLD:
+                    parent[root(its)] = root(label)
+                    found.append((other, rep))
+        a, b = zip(*found) if found else ((), ())
+        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+
+def _leftovers(stars: DataFrame, linked: DataFrame, packed: DataFrame) -> DataFrame:
+    """Links (a, b) between members of a family whom pivots left apart."""
+    family = components(stars).select(F.col("node").alias("rep"), F.col("label").alias("family"))
+    named = durable(family.join(linked, family.rep == linked.node, "left").select("family", "rep", F.coalesce("label", "rep").alias("label")), "families")
+    size = named.groupBy("family", "label").count()
+    main = size.groupBy("family").agg(F.max_by("label", F.struct("count", "label")).alias("main"), F.sum("count").alias("all"), F.max("count").alias("most")).where("all > most")
+    split = main.select("family", "main", F.ceil((F.col("all") - F.col("most")) / BLOCK).alias("blocks"))
+    met = named.join(split, "family").join(packed, named.rep == packed.doc_id).select("family", "rep", "label", "bag", "main", "blocks")
+    ask = met.where("label <> main").select("family", F.pmod(F.xxhash64("rep"), F.col("blocks")).alias("block"), F.lit(True).alias("asks"), "rep", "label", "bag")
+    hear = met.select("family", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(False).alias("asks"), "rep", "label", "bag")
+    return ask.unionByName(hear).repartition("family", "block").sortWithinPartitions("family", "block", F.desc("asks")).mapInArrow(_search, "a long, b long")
+
+
 def _mixed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         yield pa.RecordBatch.from_arrays([pa.array(signed(mix(batch.column(0).to_numpy().view(U64))))], names=["h"])
@@ -177,55 +232,29 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id")
     signed_docs = durable(slim.mapInArrow(_sign, "doc_id long, bag1 long, bag2 long, n long, bands array<long>"), "bag-signatures")
     reps = durable(signed_docs.groupBy("bag1", "bag2", "n").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands")), "bag-classes")
     banded = reps.where("n > 0 and rep is not null").select("rep", F.explode("bands").alias("band"))
-    shared = banded.groupBy("band").agg(F.count("*").alias("size"), F.min("rep").alias("pivot")).where("size > 1")
-    # (band, rep) of buckets with two members or more; these are few beside the bands of all documents
-    buckets = durable(banded.join(shared, "band").select("band", "rep", "pivot"), "buckets")
-    texts = slim.where("doc_id is not null")
-    tried = durable(verified(buckets.where("rep <> pivot").select(F.col("pivot").alias("a"), F.col("rep").alias("b")).distinct(), texts), "verified")
-    links = tried.where("same").select("a", "b")
+    shared = banded.groupBy("band").agg(F.count("*").alias("size")).where("size > 1")
+    buckets = durable(banded.join(shared, "band").select("band", "rep", "size"), "buckets")  # few beside the bands of all documents
+    small, large = buckets.where(F.col("size") <= SMALL), buckets.where(F.col("size") > SMALL)
+    alike = small.alias("x").join(small.alias("y"), (F.col("x.band") == F.col("y.band")) & (F.col("x.rep") < F.col("y.rep"))).select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b"))
+    common = large.groupBy("rep").agg(F.sum("size").alias("common"))
+    middle = large.join(common, "rep").groupBy("band").agg(F.max_by("rep", F.struct("common", -F.col("rep"))).alias("a"))
+    stars = durable(large.join(middle, "band").where("rep <> a").select("a", F.col("rep").alias("b")).distinct(), "stars")
+    pairs = durable(alike.unionByName(stars).distinct(), "pairs")
+    packed = packed_bags(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), slim.where("doc_id is not null"))
+    links = durable(verified(pairs, packed).where("same").select("a", "b"), "links")
     linked = components(links)
-    for turn in range(PIVOTS):
-        apart = _apart(buckets, linked)
-        pairs = apart.select("a", "b") if turn < PIVOTS - 1 else _all_apart(buckets, linked)
-        pairs = durable(pairs.distinct().join(tried.select("a", "b"), ["a", "b"], "left_anti"), "pairs")
-        if pairs.isEmpty():
-            if turn < PIVOTS - 1:
-                continue
-            break
-        again = durable(verified(pairs, texts), "verified")
-        tried = tried.unionByName(again)
-        links = tried.where("same").select("a", "b")
-        linked = components(links)
+    if not stars.isEmpty():
+        linked = components(linked.select(F.col("node").alias("a"), F.col("label").alias("b")).unionByName(_leftovers(stars, linked, packed)))
     classes = reps.join(linked, reps.rep == linked.node, "left").select("bag1", "bag2", "n", F.coalesce("label", "rep").alias("class_id"))
     return signed_docs.join(classes, ["bag1", "bag2", "n"]).select("doc_id", "class_id")
 
 
-def _labelled(buckets: DataFrame, linked: DataFrame) -> DataFrame:
-    """Buckets whose members are not all in one component."""
-    named = buckets.join(linked, buckets.rep == linked.node, "left").select("band", "rep", F.coalesce("label", "rep").alias("label"))
-    split = named.groupBy("band").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("size")).where("low < high and size > 2")
-    return named.join(split.select("band", "low"), "band")
-
-
-def _apart(buckets: DataFrame, linked: DataFrame) -> DataFrame:
-    """A new pivot for each split bucket, the first member outside the leading component, with all members outside the pivot's own."""
-    named = _labelled(buckets, linked)
-    pivot = named.where("label > low").groupBy("band").agg(F.min(F.struct("rep", "label")).alias("p")).select("band", F.col("p.rep").alias("a"), F.col("p.label").alias("own"))
-    return named.join(pivot, "band").where("label <> own").select("a", F.col("rep").alias("b"))
-
-
-def _all_apart(buckets: DataFrame, linked: DataFrame) -> DataFrame:
-    """What pivots left: members outside the largest known component of their bucket, with all members of other components."""
-    named = _labelled(buckets, linked)
-    x, y = named.where("label > low").alias("x"), named.alias("y")
-    return x.join(y, (F.col("x.band") == F.col("y.band")) & (F.col("x.label") > F.col("y.label"))).select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b"))
-
-
 def keep_first(docs: DataFrame) -> DataFrame:
-    """The documents of which no smaller doc_id is a near copy, all columns kept; a repeated doc_id stays once."""
+    """The documents of which no smaller doc_id is a near copy, all columns kept; a repeated doc_id stays once, a null one always."""
     firsts = near_duplicates(docs).where("doc_id = class_id").select("doc_id").distinct()
     one = F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))
-    return docs.join(firsts, "doc_id", "left_semi").withColumn("_turn", one).where("_turn = 1").drop("_turn")
+    kept = docs.join(firsts, "doc_id", "left_semi").withColumn("_turn", one).where("_turn = 1").drop("_turn")
+    return kept.select(*docs.columns).unionByName(docs.where("doc_id is null"))
 
 
 def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
