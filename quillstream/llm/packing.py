@@ -31,7 +31,8 @@ from .common import durable, table
 
 CAPACITY, END_ID = 2048, 0
 PHASES, ETA = 48, 4.0
-CACHED_WORDS = 400_000
+#: Words whose ids a worker remembers, twice over at a turnover: some 250 MB.
+CACHED_WORDS = 600_000
 
 
 def default_tokenizer() -> str:
@@ -50,6 +51,7 @@ class WordIds(dict):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
+        self.old: dict[bytes, bytes] = {}  # what was known before the last turnover; a word in use comes back from there
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
         plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -61,8 +63,11 @@ class WordIds(dict):
 
     def __missing__(self, word: bytes) -> bytes:
         if len(self) >= CACHED_WORDS:
+            self.old = dict(self)
             self.clear()
-        if m := self.PLAIN.fullmatch(text := word.decode()):
+        if (ids := self.old.get(word)) is not None:
+            pass
+        elif m := self.PLAIN.fullmatch(text := word.decode()):
             core, tail = m[1].lower(), m[2]
             if core == text:
                 ids = np.array([t.id for t in self.model.tokenize(word.decode("latin1").translate(self.symbols))], "<u4").tobytes()
