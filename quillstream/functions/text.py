@@ -61,7 +61,7 @@ def decode_text(content: Column) -> Column:
 def tidy_space(text: Column) -> Column:
     """Line ends, trailing blanks and runs of empty lines (O-SRC-3)."""
     lines = F.regexp_replace(F.regexp_replace(text, r"\r\n?", "\n"), r"(?m)[ \t]+$", "")
-    return F.trim(F.regexp_replace(lines, r"\n{3,}", "\n\n"))
+    return F.regexp_replace(F.regexp_replace(lines, r"\n{3,}", "\n\n"), r"^\s+|\s+\z", "")
 
 
 def normalize(text: Column) -> Column:
