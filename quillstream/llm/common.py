@@ -16,12 +16,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_own_dir: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; one of our own only where the session names none."""
+    """The folder in ``spark.checkpoint.dir``; one of our own, the same for a whole application, only where the session names none."""
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not path:
-        path = tempfile.mkdtemp(prefix="quillstream-")
-        spark.conf.set("spark.checkpoint.dir", path)
+        app = spark.sparkContext.applicationId
+        path = _own_dir.get(app) or _own_dir.setdefault(app, tempfile.mkdtemp(prefix="quillstream-"))
     return path
 
 
