@@ -30,4 +30,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_main_text": op10_main_text,
 }
 
-ORACLE: dict[str, str] = {}
+#: Words of a text in SQL: runs of ASCII letters, digits and longer characters.
+_WORDS = "list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[\\x00-\\x2f\\x3a-\\x40\\x5b-\\x60\\x7b-\\x7f]+'), lambda x: x <> '')"
+
+ORACLE: dict[str, str] = {
+    "op5_contained_items": f"""with d as (select doc_id, {_WORDS} as w from documents), i as (select item_id, {_WORDS} as w from benchmark),
+ dk as (select doc_id, w, unnest(range(1, len(w) - 3)) as k from d where len(w) >= 5), ik as (select item_id, w, unnest(range(1, len(w) - 3)) as k from i where len(w) >= 5),
+ ds as (select distinct doc_id, array_to_string(w[k:k + 4], ' ') as s from dk), items as (select distinct item_id, array_to_string(w[k:k + 4], ' ') as s from ik),
+ sizes as (select item_id, count(*) as n_item from items group by item_id)
+ select doc_id, item_id, count(*) as n_shared, any_value(n_item) as n_item, count(*) / any_value(n_item) as containment
+ from ds join items using (s) join sizes using (item_id) group by doc_id, item_id having count(*) >= 0.8 * any_value(n_item)""",
+}
