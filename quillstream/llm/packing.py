@@ -6,7 +6,8 @@ every length with as few sequences as possible, a configuration being a multiset
 solved by multiplicative weights: in each phase the price of a length falls with its excess coverage, a
 knapsack dynamic program finds for all capacities the dearest content, and every length that lags behind is
 covered by the dearest configuration that holds it. The fractions are rounded down, then up while the counts
-allow, and what is left is packed best-fit by decreasing length, all in bulk on counts. The resulting plan says
+allow, and what is left is packed best-fit by decreasing length, all in bulk on counts; where best-fit alone needs
+fewer sequences, which happens at small counts, it is taken. The resulting plan says
 for each length which ranks go to which slot; Spark ranks the pieces of each length and looks the slots up.
 
 Defined cases: a null or empty text is a document of the end id alone; repeated rows are packed each; an empty
@@ -207,6 +208,8 @@ def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[dict
                 for i, k in inside:
                     left[i] -= n * k
     done = [(dict(x), n) for x, n in whole.items()] + [(dict(x), n) for x, n in best_fit(as_list, left, capacity)]
+    plain = [(dict(x), n) for x, n in best_fit(as_list, [histogram[x] for x in as_list], capacity)]
+    done = min(done, plain, key=lambda packed: sum(n for _, n in packed))  # rounding can cost a sequence where counts are small
     return [({as_list[i]: k for i, k in inside.items()}, n) for inside, n in done]
 
 
