@@ -4,7 +4,8 @@ Base spans are e-mail and IP addresses, payment cards and phone numbers found by
 value is a protected entity. Words near its mentions may reveal it too: over the whole corpus the share
 p(e | t) of the documents with word t that mention entity e near t estimates what t discloses. A word is
 disclosing if it stands near one entity in ``LEAST_CONTEXTS`` different contexts or more, p(e | t) is at least
-``LEAST_SHARE`` and the information log2(p(e | t) / p(e)) at least ``LEAST_BITS``; all its occurrences in all
+``LEAST_SHARE`` and the information log2(p(e | t) / p(e)) above zero and at least ``LEAST_PART`` of the entity's own
+information -log2 p(e), so that neither a frequent entity nor a small table is out of reach; all its occurrences in all
 texts become spans of the kind ``term``. Values are generalised to their kind, disclosing words removed.
 
 Counts are by document and exact; bitmaps of fixed size, which never miss a word in question, keep all other
@@ -27,7 +28,7 @@ from pyspark.sql import functions as F
 from .common import durable, table
 from .wordhash import U64, Words, bitmap_of, pieces, signed
 
-REACH, LEAST_CONTEXTS, LEAST_SHARE, LEAST_BITS = 6, 3, 0.5, 6.0
+REACH, LEAST_CONTEXTS, LEAST_SHARE, LEAST_PART = 6, 3, 0.5, 0.5
 KINDS = ("email", "ip", "card", "phone")
 PATTERNS = {
     "email": re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"),
@@ -159,8 +160,9 @@ def disclosing(found: DataFrame, docs: DataFrame) -> DataFrame:
     wanted = docs.sparkSession.sparkContext.broadcast(bitmap_of(together.select("term").distinct(), "term"))
     spread = docs.mapInArrow(_count(wanted), "term long, documents long").groupBy("term").agg(F.sum("documents").alias("documents"))
     share = F.col("both") / F.col("documents")
-    bits = F.log2(share / (F.col("mentions") / F.lit(max(1, found.count()))))
-    return together.join(entities, "entity").join(spread, "term").where((share >= LEAST_SHARE) & (bits >= LEAST_BITS)).select("term").distinct()
+    own = -F.log2(F.col("mentions") / F.lit(max(1, found.count())))
+    bits = F.log2(share) + own
+    return together.join(entities, "entity").join(spread, "term").where((share >= LEAST_SHARE) & (bits > 1e-9) & (bits >= LEAST_PART * own)).select("term").distinct()
 
 
 def private_spans(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
