@@ -1,13 +1,8 @@
-"""Benchmark decontamination by size-partitioned MinHash containment search (operator 5).
+"""Benchmark decontamination by exact containment of shingles (operator 5).
 
-Test items are dealt to size classes by their number of five-word shingles. For each class a document is read
-as overlapping windows of twice the class's greatest size, so that a short item keeps a fair Jaccard similarity
-with the window that holds it, however long the document. An item and a window that agree in one of
-``HASHES`` minima are a candidate; at containment 0.8 a candidate is missed with a probability under 2e-6.
-Candidates are verified by the exact containment of the item's shingles in the whole document.
-
-Documents without a single shingle of any item cannot be candidates; a bitmap of fixed size, which never
-misses one, spares them the signatures. What leaves a task is only what matches bitmaps of the items.
+Test items and documents are sets of five-word shingles. A bitmap of fixed size, which never misses a shingle of
+an item, lets only these leave the tasks; the shingles that a document shares with each item are then counted
+exactly. No signature stands between, as any sampled candidate would lose some of the pairs that the count has verified.
 
 Defined cases: words are runs of ASCII letters, digits and non-ASCII characters in lower case; items of fewer
 than five words have no shingle and match nothing; null and empty texts match nothing; repeated items and
@@ -24,97 +19,57 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import durable, table
-from .wordhash import U64, Words, bitmap_of, mix, pieces, seeded, signed
-
-SHINGLE, THRESHOLD, HASHES = 5, 0.8, 64
-#: Greatest numbers of shingles of the size classes; the last takes all longer items.
-CLASSES = (8, 16, 32, 64, 128, 256, 512, 1024, 4096, 16384, 65536)
-_A = seeded(np.arange(HASHES, dtype=U64), 21) | U64(1)
-_B = seeded(np.arange(HASHES, dtype=U64), 22)
-
-
-def _keys(minima: np.ndarray, size_class: int) -> np.ndarray:
-    """One key for each (class, hash, minimum); ``minima`` has a row per hash."""
-    return mix(minima ^ seeded(np.arange(HASHES, dtype=U64) + U64(size_class * HASHES), 23)[:, None])
+from .wordhash import Words, bitmap_of, pieces, signed
 
-
-def _class_of(n: int) -> int:
-    return min(int(np.searchsorted(CLASSES, n)), len(CLASSES) - 1)
+SHINGLE, THRESHOLD = 5, 0.8
 
 
 def _items(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(item_id, row, n, size_class, shingles, keys) of each test item; ``row`` tells repeated ids apart by their shingles."""
+    """(item_id, n_item, shingles) of each test item."""
     for batch in batches:
         for part, data, offsets in pieces(batch):
             words = Words(data, offsets)
             hashes, at = words.shingles(SHINGLE)
             ends = np.searchsorted(words.doc[at], np.arange(part.num_rows + 1))
-            shingles, keys, sizes, classes = [], [], [], []
-            for a, b in zip(ends, ends[1:]):
-                own = np.unique(hashes[a:b])
-                size_class = _class_of(len(own))
-                shingles.append(signed(own))
-                keys.append(signed(_keys((own[None, :] * _A[:, None] + _B[:, None]).min(axis=1, keepdims=True), size_class).reshape(-1)) if len(own) else [])
-                sizes.append(len(own))
-                classes.append(size_class)
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sizes, pa.int64()), pa.array(classes, pa.int32()), pa.array(shingles, pa.list_(pa.int64())), pa.array(keys, pa.list_(pa.int64()))], names=["item_id", "n_item", "size_class", "shingles", "keys"])
+            shingles = [np.unique(hashes[a:b]) for a, b in zip(ends, ends[1:])]
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(x) for x in shingles], pa.int64()), pa.array([signed(x) for x in shingles], pa.list_(pa.int64()))], names=["item_id", "n_item", "shingles"])
 
 
-def _scan(shingle_map, key_map, used: list[int]):
-    """(doc_id, kind, key): the item shingles in a document (kind 1) and the item minima of its windows (kind 0)."""
+def _scan(shingle_map):
+    """(doc_id, key): the item shingles in a document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, kinds, keys = [], [], []
+            ids, keys = [], []
             for part, data, offsets in pieces(batch):
                 words = Words(data, offsets)
                 hashes, at = words.shingles(SHINGLE)
-                doc = words.doc[at]
                 hit = np.flatnonzero(shingle_map.value.has(hashes))
-                for d in np.unique(doc[hit]):
-                    a, b = np.searchsorted(doc, (d, d + 1))
-                    own = np.unique(hashes[hit[(hit >= a) & (hit < b)]])
-                    found = np.unique(_window_keys(hashes[a:b], used, key_map.value))
-                    doc_id = part.column(0)[int(d)].as_py()
-                    ids += [doc_id] * (len(own) + len(found))
-                    kinds += [1] * len(own) + [0] * len(found)
-                    keys += [signed(own), signed(found)]
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(kinds, pa.int32()), pa.array(np.concatenate(keys) if keys else np.zeros(0, np.int64))], names=["doc_id", "kind", "key"])
+                doc = words.doc[at[hit]]
+                for d in np.unique(doc):
+                    own = np.unique(hashes[hit[doc == d]])
+                    ids += [part.column(0)[int(d)].as_py()] * len(own)
+                    keys.append(signed(own))
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(np.concatenate(keys) if keys else np.zeros(0, np.int64))], names=["doc_id", "key"])
 
     return run
 
 
-def _window_keys(hashes: np.ndarray, used: list[int], wanted) -> np.ndarray:
-    out = []
-    for size_class in used:
-        step = CLASSES[size_class]
-        starts = np.arange(0, len(hashes), step)
-        blocks = np.stack([np.minimum.reduceat(hashes * a + b, starts) for a, b in zip(_A, _B)])
-        windows = np.minimum(blocks[:, :-1], blocks[:, 1:]) if blocks.shape[1] > 1 else blocks
-        keys = _keys(windows, size_class).reshape(-1)
-        out.append(keys[wanted.has(keys)])
-    return np.concatenate(out) if out else np.zeros(0, U64)
-
-
 def contained_items(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, text: str = "text", doc_id: str = "doc_id", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
     """``doc_id, item_id, n_shared, n_item, containment`` for every item that a document holds."""
     spark = docs.sparkSession
-    known = durable(items.select(F.col(item_id).cast("long").alias("item_id"), F.lower(F.col(item_text)).alias("text")).mapInArrow(_items, "item_id long, n_item long, size_class int, shingles array<long>, keys array<long>"), "items")
+    known = durable(items.select(F.col(item_id).cast("long").alias("item_id"), F.lower(F.col(item_text)).alias("text")).mapInArrow(_items, "item_id long, n_item long, shingles array<long>"), "items")
     known = known.where("n_item > 0")
     shingle_map = spark.sparkContext.broadcast(bitmap_of(known.select(F.explode("shingles").alias("h")), "h"))
-    key_map = spark.sparkContext.broadcast(bitmap_of(known.select(F.explode("keys").alias("h")), "h"))
-    used = sorted(r[0] for r in known.select("size_class").distinct().collect())  # one of CLASSES each
     slim = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.lower(F.col(text)).alias("text"))
-    found = durable(slim.mapInArrow(_scan(shingle_map, key_map, used), "doc_id long, kind int, key long"), "item-hits")
+    found = durable(slim.mapInArrow(_scan(shingle_map), "doc_id long, key long"), "item-hits")
     named = known.withColumn("item", F.xxhash64("item_id", "shingles"))
-    candidates = found.where("kind = 0").join(named.select("item", F.explode("keys").alias("key")), "key").select("doc_id", "item").distinct()
     shared = (
-        found.where("kind = 1")
-        .join(named.select("item", "item_id", "n_item", F.explode("shingles").alias("key")).distinct(), "key")
+        found.join(named.select("item", "item_id", "n_item", F.explode("shingles").alias("key")).distinct(), "key")
         .groupBy("doc_id", "item").agg(F.countDistinct("key").alias("n_shared"), F.first("item_id").alias("item_id"), F.first("n_item").alias("n_item"))
     )
     ratio = F.col("n_shared") / F.col("n_item")
-    return shared.where(ratio >= threshold).join(candidates, (shared.doc_id.eqNullSafe(candidates.doc_id)) & (shared.item == candidates.item), "left_semi").select("doc_id", "item_id", "n_shared", "n_item", ratio.alias("containment"))
+    return shared.where(ratio >= threshold).select("doc_id", "item_id", "n_shared", "n_item", ratio.alias("containment"))
 
 
 def clean_of(docs: DataFrame, items: DataFrame) -> DataFrame:
