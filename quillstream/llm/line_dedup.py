@@ -12,7 +12,7 @@ Equal sets are one class with its first occurrence, so copies of a line never me
 the corpus yet stand in prefixes come from families of near copies: there each class is first held against
 the earliest of its word alone, and only classes that this leaves unmatched are joined with all others.
 
-Defined cases: lines of fewer than ``LEAST`` distinct words stay; a null text has no line; repeated rows of a
+Defined cases: blank lines stay; a null text has no line; repeated rows of a
 doc_id are told apart by their texts only, so equal ones count once; rows with a null doc_id stay whole; an
 empty table gives an empty result; other columns are ignored.
 """
@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from .common import SPACE, durable, let, table
 
-LEAST = 3
+LEAST = 1  # distinct words: every line that is not blank takes part
 COUNT_BITS, LOOKUP_BITS = 18, 22
 HOT = 512
 
@@ -74,7 +74,7 @@ def _described(lines: DataFrame, levels: DataFrame, hot_level: int) -> DataFrame
         return F.struct(F.xxhash64(t).alias("h1"), F.xxhash64(F.lit(1), t).alias("h2"), size.alias("n"), parity.alias("parity"), prefix.alias("prefix"))
 
     # The table of levels is a scalar subquery that becomes a constant of the expression, not a column of each row.
-    # An array of one struct is exploded, and short lines go after that: a filter before it would read each line twice.
+    # An array of one struct is exploded, and the filter goes after that: before it, it would read each line twice.
     told = F.array(let(_tokens(F.col("levels"), F.col("line")), numbers))
     return lines.withColumn("levels", levels.scalar()).select("doc_id", "line_no", F.xxhash64("line").alias("text_hash"), F.explode(told).alias("s")).select("doc_id", "line_no", "text_hash", "s.*").where(F.col("n") >= LEAST)
 
