@@ -20,19 +20,30 @@ _own_dir: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; one of our own, the same for a whole application, only where the session names none."""
+    """The folder in ``spark.checkpoint.dir``. Where the session names none: a temporary one in local mode, one in the warehouse on a cluster."""
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not path:
-        app = spark.sparkContext.applicationId
-        path = _own_dir.get(app) or _own_dir.setdefault(app, tempfile.mkdtemp(prefix="quillstream-"))
-    return path
+    if path:
+        return path
+    app = spark.sparkContext.applicationId
+    if app not in _own_dir:
+        alone = spark.sparkContext.master.split("[")[0] == "local"
+        _own_dir[app] = tempfile.mkdtemp(prefix="quillstream-") if alone else f"{spark.conf.get('spark.sql.warehouse.dir')}/_quillstream-{app}"
+    return _own_dir[app]
 
 
 def durable(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: lineage ends there and lost executors cost nothing."""
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._written_to = path  # for ``release``
+    return out
+
+
+def release(*tables: DataFrame) -> None:
+    """Empty tables that ``durable`` wrote and that no plan will read again. Whatever is left goes with the shared folder."""
+    for df in tables:
+        df.sparkSession.createDataFrame([], df.schema).coalesce(1).write.mode("overwrite").parquet(df._written_to)
 
 
 def let(value: Column, body) -> Column:

@@ -1,20 +1,24 @@
 """Line deduplication by an exact set-similarity join (operator 2, DataFrame functions only).
 
-A line is the set of its lower-case words. Words are ordered by rarity, rarest first: by the logarithm of a count
-over the corpus kept in a table of fixed size, then by hash. Any two sets of Jaccard similarity 0.8 or more share
-one of the first ``n - ceil(0.8 n) + 1`` words of both, so lines are joined on the words of these prefixes. Pairs
-pass the length filter, the positional filter (the words from the shared one on must suffice for the overlap) and
-a parity filter (64 parity bits of both sets differ in no more places than the sets do) before their words are
-compared. A line goes if an earlier line (by doc_id and line number) is equal as a set or similar; all lines,
-gone ones too, count as earlier lines.
-
-Equal sets are one class with its first occurrence, so copies of a line never meet. Words that are frequent in
-the corpus yet stand in prefixes come from families of near copies: there each class is first held against
-the earliest of its word alone, and only classes that this leaves unmatched are joined with all others.
-
-Defined cases: blank lines stay; a null text has no line; repeated rows of a
-doc_id are told apart by their texts only, so equal ones count once; rows with a null doc_id stay whole; an
-empty table gives an empty result; other columns are ignored.
+A line is the set of its lower-case words, told apart by 64-bit hashes. An exact vocabulary counts every word of
+the corpus; a table of at most ``2**MOST_BITS`` bytes, sized by the vocabulary, tells the rarity of a word, and words
+are ordered by it, rarest first, then by hash. Two sets of Jaccard similarity 0.8 or more share one of the first
+``n - ceil(0.8 n) + 1`` words of both, so lines are joined on the words of these prefixes. If the shared word is
+the first that both have, the words from it on must suffice for the overlap in either line: that one comparison is
+the positional and the length filter. A parity filter follows (of 128 parity bits no more may differ than
+words may), then the words of the pairs that are left are compared. A line goes if an earlier line (by doc_id
+and line number) is equal as a set or similar; all lines, gone ones too, count as earlier lines.
+
+Equal sets are one class with its first occurrence, so copies of a line never meet. A word that the corpus has
+at most ``HOT`` times joins at most so many lines. Words of prefixes that are more frequent come from families of near copies
+or from lines of common words only: there each line is first held against the earliest of its word alone, and
+the lines that this leaves unmatched meet the others of their word in blocks of ``BLOCK`` lines. The line
+that is named as kept is an earlier similar one, and the earliest such line unless hot words brought the two together.
+
+Defined cases: blank lines and null texts have no words and stay; rows with a null doc_id come after all
+others (2^63-1 stands for it inside); rows that share a doc_id are told apart by their texts, so equal ones count once; lines of any
+length take part whole; among repeats the least doc_id, text hash and line number comes first; an empty table
+gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -22,40 +26,56 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SPACE, durable, let, table
-
-LEAST = 1  # distinct words: every line that is not blank takes part
-COUNT_BITS, LOOKUP_BITS = 18, 22
-HOT = 512
-
-
-def _lines(docs: DataFrame, text: str, doc_id: str) -> DataFrame:
-    """``doc_id, line_no, line``: lower case, without the blank ones."""
-    split = docs.where(F.col(doc_id).isNotNull()).select(F.col(doc_id).cast("long").alias("doc_id"), F.posexplode(F.split(F.lower(F.col(text)), "\n")).alias("line_no", "line"))
-    blanks = F.lit(" \t\x0b\x0c\r")
-    return split.withColumn("line", F.btrim("line", blanks)).where("line <> ''")
-
-
-def _words(line: Column) -> Column:
-    return F.split(line, SPACE + "+")
-
-
-def _classes_of_counts(lines: DataFrame) -> tuple[DataFrame, int]:
-    """One row: an array with the logarithm of the count in each of ``2**COUNT_BITS`` slots; and the mean count."""
-    slots = 1 << COUNT_BITS
-    counts = durable(lines.select(F.explode(_words(F.col("line"))).alias("w")).groupBy(F.xxhash64("w").bitwiseAND(slots - 1).cast("int").alias("slot")).count(), "word-counts")
-    mean = (counts.agg(F.sum("count")).first()[0] or 0) // slots
-    dense = lines.sparkSession.range(slots).select(F.col("id").cast("int").alias("slot")).join(counts, "slot", "left")
-    level = F.coalesce(F.floor(F.log2("count")), F.lit(0)).cast("byte")
-    whole = dense.groupBy().agg(F.array_sort(F.collect_list(F.struct("slot", level.alias("level")))).alias("a"))
-    return durable(whole.select(F.transform("a", lambda x: x["level"]).alias("levels")), "word-levels"), mean
-
-
-def _tokens(levels: Column, line: Column) -> Column:
-    """Distinct words as numbers, rarest first: six bits of rarity, then 57 of the hash."""
-    rarity = lambda h: F.get(levels, h.bitwiseAND((1 << COUNT_BITS) - 1).cast("int")).cast("long")
-    hashes = F.array_distinct(F.transform(_words(line), lambda w: F.xxhash64(w)))
-    return F.sort_array(F.transform(hashes, lambda h: F.shiftleft(rarity(h), 57).bitwiseOR(h.bitwiseAND((1 << 57) - 1))))
+from .common import durable, release, table
+
+MOST_BITS = 24
+HOT, BLOCK = 512, 4096
+#: Rarity is a quarter of a doubling; a word with at least so much is hot.
+_STEPS, _NO_ID = 4, (1 << 63) - 1
+#: What names a line: the earlier of two lines has the smaller name.
+NAME = ("row", "twin", "line_no")
+
+
+def _rows(docs: DataFrame, text: str, doc_id: str) -> tuple[DataFrame, bool]:
+    """``row, twin, text``: texts in lower case, with no white space but blanks and line ends. ``twin`` tells rows of one doc_id
+    apart; it is 0 where no doc_id is repeated, which the second value says."""
+    low = F.lower(F.col(text))
+    other = "\t\x0b\x0c\r"
+    odd = F.contains(low, F.lit(other[0]))
+    for c in other[1:]:
+        odd = odd | F.contains(low, F.lit(c))
+    row = F.coalesce(F.col(doc_id).cast("long"), F.lit(_NO_ID))
+    alone = docs.groupBy(row.alias("row")).count().where("count > 1").isEmpty()
+    twin = F.lit(0).cast("long") if alone else F.xxhash64(F.coalesce(F.col(text), F.lit("")))
+    return docs.select(row.alias("row"), twin.alias("twin"), F.when(odd, F.translate(low, other, "    ")).otherwise(low).alias("text")), alone
+
+
+def _hashes(line: Column) -> Column:
+    """Hashes of the distinct words. Blanks side by side give empty words, which are none."""
+    hashes = F.array_distinct(F.transform(F.split(line, " "), lambda w: F.xxhash64(w)))
+    return F.array_remove(hashes, F.xxhash64(F.lit("")))
+
+
+def _lines(rows: DataFrame) -> DataFrame:
+    return rows.select("row", "twin", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
+
+
+def _rarity(rows: DataFrame) -> tuple[DataFrame, int]:
+    """One row: the rarity of each slot of word hashes as an array of bytes, 0 where every word occurs once; and the bits of a slot."""
+    words = rows.select(F.explode(F.split(F.replace("text", F.lit("\n"), F.lit(" ")), " ")).alias("w"))
+    counts = durable(words.groupBy(F.xxhash64("w").alias("h")).agg(F.count("*").alias("n")).where("n > 1"), "vocabulary")
+    bits = min(MOST_BITS, max(12, counts.count().bit_length() + 2))
+    level = F.least(F.floor(_STEPS * F.log2("n")), F.lit(127)).cast("byte")
+    slot, page = F.col("h").bitwiseAND((1 << bits) - 1).cast("int"), bits - 10
+    slots = counts.groupBy(slot.alias("slot")).agg(F.max(level).alias("level"))
+    pages = slots.groupBy(F.shiftright("slot", 10).alias("page")).agg(F.map_from_entries(F.collect_list(F.struct(F.col("slot").bitwiseAND(1023).alias("k"), "level"))).alias("m"))  # at most 1,024
+    dense = F.transform(F.sequence(F.lit(0), F.lit(1023)), lambda i: F.coalesce(F.element_at("m", i), F.lit(0).cast("byte")))
+    every = rows.sparkSession.range(1 << page).select(F.col("id").cast("int").alias("page")).join(pages.select("page", dense.alias("levels")), "page", "left")
+    none = F.array_repeat(F.lit(0).cast("byte"), 1024)
+    whole = every.groupBy().agg(F.array_sort(F.collect_list(F.struct("page", F.coalesce("levels", none).alias("levels")))).alias("a"))
+    out = durable(whole.select(F.flatten(F.transform("a", lambda x: x["levels"])).alias("levels")), "rarity")
+    release(counts)
+    return out, bits
 
 
 def _need(n: Column) -> Column:
@@ -63,116 +83,108 @@ def _need(n: Column) -> Column:
     return F.floor((4 * n + 4) / 5).cast("int")
 
 
-def _described(lines: DataFrame, levels: DataFrame, hot_level: int) -> DataFrame:
-    """``doc_id, line_no, text_hash, h1, h2, n, parity, prefix`` of each line of ``LEAST`` words or more."""
+def _described(lines: DataFrame, levels: DataFrame, bits: int) -> DataFrame:
+    """``row, twin, line_no, h1, h2, n, even, odd, prefix``: the set's hashes, its size, two parities, and its rarest words.
 
-    def numbers(t: Column) -> Column:
-        size = F.size(t)
-        short = lambda x: F.shiftleft(x.bitwiseAND((1 << 30) - 1), 1).bitwiseOR((F.shiftright(x, 57) >= hot_level).cast("long")).cast("int")
-        prefix = F.transform(F.slice(t, F.lit(1), size - _need(size) + 1), short)
-        parity = F.aggregate(t, F.lit(0).cast("long"), lambda acc, x: acc.bitwiseXOR(_bit(x)))
-        return F.struct(F.xxhash64(t).alias("h1"), F.xxhash64(F.lit(1), t).alias("h2"), size.alias("n"), parity.alias("parity"), prefix.alias("prefix"))
+    A word of the prefix is a number of 30 bits, with the lowest bit set if it is hot; -1 stands for words that occur once.
+    """
+    hot = _STEPS * (HOT.bit_length() - 1)
+    slot = lambda h: h.bitwiseAND((1 << bits) - 1).cast("int")
+    ranked = F.sort_array(F.transform("h", lambda h: F.shiftleft(F.get("levels", slot(h)).cast("long"), 56).bitwiseOR(h.bitwiseAND((1 << 56) - 1))))
+    tokens = lines.select(*NAME, _hashes(F.col("line")).alias("h")).withColumn("levels", levels.scalar()).select(*NAME, ranked.alias("t"))
+    short = lambda x: F.when(x < 1 << 56, F.lit(-1)).otherwise(F.shiftleft(x.bitwiseAND((1 << 30) - 1), 1).bitwiseOR((F.shiftright(x, 56) >= hot).cast("long")).cast("int"))
+    half = lambda x: F.shiftright(x, 47).bitwiseAND(1)  # noqa: E731  which of the two parities a word enters
+    parity = lambda chosen: F.aggregate("t", F.lit(0).cast("long"), lambda acc, x: acc.bitwiseXOR(F.call_function("shiftleft", chosen(x), F.shiftright(x, 40).bitwiseAND(63).cast("int"))))
+    n = F.size("t")
+    return tokens.select(
+        *NAME, F.xxhash64("t").alias("h1"), F.xxhash64(F.lit(1), "t").alias("h2"), n.alias("n"), parity(half).alias("odd"), parity(lambda x: half(x).bitwiseXOR(1)).alias("even"),
+        F.transform(F.slice("t", F.lit(1), n - _need(n) + 1), short).alias("prefix"),
+    )
 
-    # The table of levels is a scalar subquery that becomes a constant of the expression, not a column of each row.
-    # An array of one struct is exploded, and the filter goes after that: before it, it would read each line twice.
-    told = F.array(let(_tokens(F.col("levels"), F.col("line")), numbers))
-    return lines.withColumn("levels", levels.scalar()).select("doc_id", "line_no", F.xxhash64("line").alias("text_hash"), F.explode(told).alias("s")).select("doc_id", "line_no", "text_hash", "s.*").where(F.col("n") >= LEAST)
 
-
-def _bit(x: Column) -> Column:
-    """The bit of a BIGINT that the lowest six bits of ``x`` name."""
-    return F.call_function("shiftleft", F.lit(1).cast("long"), x.bitwiseAND(63).cast("int"))
+def _name(side: str) -> Column:
+    return F.struct(*[F.col(f"{side}.{c}") for c in NAME])
 
 
 def _may_match(a: str, b: str) -> Column:
-    """Length, positional and parity filters for two rows (n, p, parity) that share a prefix word."""
-    n, m = F.col(f"{a}.n"), F.col(f"{b}.n")
-    overlap = F.ceil(4 * (n + m) / F.lit(9))  # 0.8 / 1.8 of both sizes
-    left = 1 + F.least(n - F.col(f"{a}.p"), m - F.col(f"{b}.p")) + F.least(F.col(f"{a}.p"), F.col(f"{b}.p"))
-    differ = F.bit_count(F.col(f"{a}.parity").bitwiseXOR(F.col(f"{b}.parity")))
-    return (5 * F.least(n, m) >= 4 * F.greatest(n, m)) & (left >= overlap) & (differ <= n + m - 2 * overlap)
+    """For two prefix rows (n, left, even, odd) of one word: its place leaves enough words in both, and the parities agree enough."""
+    both = F.col(f"{a}.n") + F.col(f"{b}.n")
+    differ = lambda c: F.bit_count(F.col(f"{a}.{c}").bitwiseXOR(F.col(f"{b}.{c}")))
+    return (9 * F.least(f"{a}.left", f"{b}.left") >= 4 * both) & (9 * (differ("even") + differ("odd")) <= both)
 
 
-def _lookup(rows: DataFrame) -> DataFrame:
-    """One row: a bitmap of fixed size of the BIGINT column ``h``."""
-    words = 1 << (LOOKUP_BITS - 6)
-    bits = rows.groupBy(F.shiftright(F.col("h").bitwiseAND((1 << LOOKUP_BITS) - 1), 6).cast("int").alias("slot")).agg(F.bit_or(_bit(F.col("h"))).alias("v"))
-    dense = rows.sparkSession.range(words).select(F.col("id").cast("int").alias("slot")).join(bits, "slot", "left")
-    whole = dense.groupBy().agg(F.array_sort(F.collect_list(F.struct("slot", F.coalesce("v", F.lit(0).cast("long")).alias("v")))).alias("a"))
-    return durable(whole.select(F.transform("a", lambda x: x["v"]).alias("bitmap")), "lookup")
-
-
-def _listed(bitmap: Column, h: Column) -> Column:
-    word = F.get(bitmap, F.shiftright(h.bitwiseAND((1 << LOOKUP_BITS) - 1), 6).cast("int"))
-    return F.call_function("shiftright", word, h.bitwiseAND(63).cast("int")).bitwiseAND(1) == 1
-
-
-#: What names a line: the earlier of two lines has the smaller name. The hash tells apart repeated rows of a doc_id.
-NAME = ("doc_id", "line_no", "text_hash")
-
-
-def _name(side: str) -> Column:
-    return F.struct(*[F.col(f"{side}.{c}") for c in NAME])
+def _similar(pairs: DataFrame, rows: DataFrame) -> DataFrame:
+    """The ``pairs`` (a, b) of names whose lines have a Jaccard similarity of 0.8 or more."""
+    ends = durable(pairs.select(F.explode(F.array("a", "b")).alias("name")).distinct().select("name.*"), "pair-ends")
+    texts = rows.join(ends.select("row", "twin").distinct(), ["row", "twin"], "left_semi")
+    sets = durable(_lines(texts).join(ends, list(NAME), "left_semi").dropDuplicates(list(NAME)).select(F.struct(*NAME).alias("name"), _hashes(F.col("line")).alias("t")), "pair-lines")
+    x, y = sets.select(F.col("name").alias("a"), F.col("t").alias("x")), sets.select(F.col("name").alias("b"), F.col("t").alias("y"))
+    both = F.size(F.array_intersect("x", "y"))
+    out = durable(pairs.join(x, "a").join(y, "b").where(9 * both >= 4 * (F.size("x") + F.size("y"))).select("a", "b"), "similar")
+    release(ends, sets)
+    return out
 
 
-def _similar(pairs: DataFrame, lines: DataFrame) -> DataFrame:
-    """The ``pairs`` (a, b) of names whose lines have a Jaccard similarity of 0.8 or more."""
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("name")).distinct().select("name.*")
-    ends = durable(ends, "pair-ends")
-    bitmap = _lookup(ends.select(F.xxhash64("doc_id", "line_no").alias("h")))
-    listed = lines.where(_listed(bitmap.scalar(), F.xxhash64("doc_id", "line_no"))).withColumn("text_hash", F.xxhash64("line"))
-    texts = durable(listed.join(ends, list(NAME), "left_semi").select(F.struct(*NAME).alias("name"), "line").dropDuplicates(["name"]), "pair-lines")
-    x, y = texts.select(F.col("name").alias("a"), F.col("line").alias("line_a")), texts.select(F.col("name").alias("b"), F.col("line").alias("line_b"))
-    sizes = lambda u, v: F.struct(F.size(F.array_intersect(u, v)).alias("both"), F.size(F.array_distinct(u)).alias("n"), F.size(F.array_distinct(v)).alias("m"))
-    met = pairs.join(x, "a").join(y, "b").select("a", "b", F.explode(F.array(let(F.struct(_words(F.col("line_a")).alias("u"), _words(F.col("line_b")).alias("v")), lambda s: sizes(s["u"], s["v"])))).alias("s"))
-    return met.where("5 * s.both >= 4 * (s.n + s.m - s.both)").select("a", "b")
-
-
-def _verified(pairs: DataFrame, lines: DataFrame) -> DataFrame:
+def _verified(pairs: DataFrame, rows: DataFrame) -> DataFrame:
     """For each later line ``b`` of the pairs the earliest ``a`` that is similar. The filters leave few false pairs, so
     nearly every ``b`` is done with its earliest candidate; only those whose one fails meet all their others."""
     earliest = durable(pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), "earliest")
-    sure = durable(_similar(earliest, lines), "matched")
+    sure = _similar(earliest, rows)
     others = durable(pairs.join(sure, "b", "left_anti").join(earliest, ["a", "b"], "left_anti"), "other-pairs")
-    if others.isEmpty():
-        return sure
-    return sure.unionByName(_similar(others, lines).groupBy("b").agg(F.min("a").alias("a")).select("a", "b"))
+    found = sure if others.isEmpty() else sure.unionByName(_similar(others, rows).groupBy("b").agg(F.min("a").alias("a")).select("a", "b"))
+    release(pairs, earliest, others)
+    return found
+
+
+def _hot_rest(hot: DataFrame, done: DataFrame, on: Column, named: list[Column]) -> DataFrame:
+    """Pairs of the hot lines that have no match yet with all earlier lines of their words, in blocks of about ``BLOCK`` lines."""
+    blocks = hot.groupBy("token").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
+    left = hot.join(done, list(NAME), "left_anti").join(blocks, "token").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    all_ = hot.join(blocks, "token").withColumn("block", F.pmod(F.xxhash64(*NAME), "blocks"))
+    return all_.alias("a").join(left.alias("b"), on & (F.col("a.block") == F.col("b.block"))).select(*named).distinct()
 
 
 def repeated_lines(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """``doc_id, line_no, kept_doc_id, kept_line_no`` of every line that an earlier one makes redundant."""
-    lines = _lines(docs, text, doc_id)
-    levels, mean = _classes_of_counts(lines)
-    hot_level = max(HOT, 4 * mean).bit_length() - 1
-    described = durable(_described(lines, levels, hot_level), "lines")
-    first = F.min(F.struct(*NAME)).alias("first")
-    classes = durable(described.groupBy("h1", "h2").agg(first, F.first("n").alias("n"), F.first("parity").alias("parity"), F.first("prefix").alias("prefix")), "line-classes")
-    rows = classes.select("first.*", "n", "parity", F.posexplode("prefix").alias("p", "token"))
-
-    cold = rows.where("token & 1 = 0")
-    earlier = (F.col("a.doc_id") < F.col("b.doc_id")) | ((F.col("a.doc_id") == F.col("b.doc_id")) & (_name("a") < _name("b")))
-    on = (F.col("a.token") == F.col("b.token")) & earlier & _may_match("a", "b")
+    """``doc_id, line_no, kept_doc_id, kept_line_no, twin`` of every line that an earlier one makes redundant."""
+    rows, alone = _rows(docs, text, doc_id)
+    levels, bits = _rarity(rows)
+    described = durable(_described(_lines(rows), levels, bits), "lines")
+    here = described.where("n > 0")
+    # The earliest of each class, with all that the join needs of it; copies of a line end here.
+    first = F.min(F.struct(*NAME, "n", "even", "odd", "prefix")).alias("first")
+    classes = durable(here.groupBy("h1", "h2").agg(first).select("first.*"), "line-classes")
+    slim = here.select(F.struct(*NAME).alias("name"), "h1", "h2")
+    slim = durable(slim if alone else slim.distinct(), "line-names")
+    release(levels, described)
+    places = classes.select(*NAME, "n", "even", "odd", F.posexplode("prefix").alias("p", "token")).where("token >= 0")
+    entries = places.select(*NAME, "n", (F.col("n") - F.col("p")).alias("left"), "even", "odd", "token")
+
+    on = (F.col("a.token") == F.col("b.token")) & (_name("a") < _name("b")) & _may_match("a", "b")
     named = [_name("a").alias("a"), _name("b").alias("b")]
-    pairs = cold.alias("a").join(cold.alias("b"), on).select(*named).distinct()
-    hot = durable(rows.where("token & 1 = 1"), "hot-words")
-    leaders = durable(hot.groupBy("token").agg(F.min(F.struct(*NAME, "n", "p", "parity")).alias("l")).select("token", "l.*"), "leaders")
-    star = leaders.alias("a").join(hot.alias("b"), on).select(*named).distinct()
-    matched = durable(_verified(durable(pairs.unionByName(star), "pairs"), lines), "matched")
-    done = matched.select("b.*")
-    open_ = hot.join(done, list(NAME), "left_anti")
-    rest = hot.alias("a").join(open_.alias("b"), on).select(*named).distinct()
-    matched = matched.unionByName(_verified(durable(rest, "pairs"), lines)).groupBy("b").agg(F.min("a").alias("kept"))
-    verdict = classes.select("h1", "h2", "first").join(matched, F.col("first") == F.col("b"), "left").drop("b")
-    here = F.struct(*NAME)
-    gone = described.select(*NAME, "h1", "h2").join(verdict, ["h1", "h2"]).where(F.col("kept").isNotNull() | (here != F.col("first")))
-    kept = F.coalesce("kept", "first")
-    return gone.select("doc_id", "line_no", kept["doc_id"].alias("kept_doc_id"), kept["line_no"].alias("kept_line_no"))
+    cold, hot = entries.where("token & 1 = 0"), durable(entries.where("token & 1 = 1"), "hot-words")
+    pairs = durable(cold.alias("a").join(cold.alias("b"), on).select(*named).distinct(), "pairs")
+    leaders = hot.groupBy("token").agg(F.min(F.struct(*NAME, "n", "left", "even", "odd")).alias("l")).select("token", "l.*")
+    star = durable(leaders.alias("a").join(hot.alias("b"), on).select(*named).distinct(), "pairs")
+    matched = _verified(durable(pairs.unionByName(star).distinct(), "pairs"), rows)
+    release(pairs, star)
+    rest = durable(_hot_rest(hot, matched.select("b.*"), on, named), "pairs")
+    if not rest.isEmpty():
+        matched = matched.unionByName(_verified(rest, rows))
+    matched = durable(matched.groupBy("b").agg(F.min("a").alias("kept")), "matched")
+    release(classes, hot)
+
+    firsts = slim.groupBy("h1", "h2").agg(F.min("name").alias("first"), F.count("*").alias("lines"))
+    verdict = firsts.join(matched, F.col("first") == F.col("b"), "left").where("lines > 1 or kept is not null")
+    gone = slim.join(verdict, ["h1", "h2"]).where("kept is not null or name <> first").withColumn("kept", F.coalesce("kept", "first"))
+    known = lambda x: F.nullif(x, F.lit(_NO_ID))
+    return gone.select(known(F.col("name.row")).alias("doc_id"), "name.line_no", known(F.col("kept.row")).alias("kept_doc_id"), F.col("kept.line_no").alias("kept_line_no"), "name.twin")
 
 
 def cut_lines(docs: DataFrame, gone: DataFrame) -> DataFrame:
-    """``docs`` without the lines listed in ``gone``, all columns kept."""
-    numbers = gone.groupBy("doc_id").agg(F.collect_set("line_no").alias("_gone"))  # line numbers of one text
-    met = docs.join(numbers, "doc_id", "left")
+    """``docs`` without the lines listed in ``gone``, all columns kept. A ``twin`` of 0 holds for all rows of its doc_id."""
+    numbers = gone.groupBy(F.col("doc_id").alias("_d"), F.col("twin").alias("_t")).agg(F.collect_set("line_no").alias("_gone"))  # line numbers of one text
+    mine = F.col("_t").isin(0) | (F.col("_t") == F.xxhash64(F.coalesce("text", F.lit(""))))
+    met = docs.join(numbers, F.col("doc_id").cast("long").eqNullSafe(F.col("_d")) & mine, "left")
     kept = F.array_join(F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains("_gone", i)), "\n")
     cut = met.withColumn("text", F.when(F.col("_gone").isNull(), F.col("text")).otherwise(kept))
     if "n_chars" in docs.columns:
@@ -181,4 +193,4 @@ def cut_lines(docs: DataFrame, gone: DataFrame) -> DataFrame:
 
 
 def op2_repeated_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return repeated_lines(table(spark, sf_dir, "documents"))
+    return repeated_lines(table(spark, sf_dir, "documents")).drop("twin")
