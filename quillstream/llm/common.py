@@ -43,7 +43,8 @@ def durable(df: DataFrame, name: str) -> DataFrame:
 def release(*tables: DataFrame) -> None:
     """Empty tables that ``durable`` wrote and that no plan will read again. Whatever is left goes with the shared folder."""
     for df in tables:
-        df.sparkSession.createDataFrame([], df.schema).coalesce(1).write.mode("overwrite").parquet(df._written_to)
+        none = df.sparkSession.range(0, 0, 1, 1).select(*[F.lit(None).cast(f.dataType).alias(f.name) for f in df.schema])
+        none.write.mode("overwrite").parquet(df._written_to)
 
 
 def let(value: Column, body) -> Column:

@@ -2,18 +2,19 @@
 
 A line is the set of its lower-case words, told apart by 64-bit hashes. An exact vocabulary counts every word of
 the corpus; a table of at most ``2**MOST_BITS`` bytes, sized by the vocabulary, tells the rarity of a word, and words
-are ordered by it, rarest first, then by hash. Two sets of Jaccard similarity 0.8 or more share one of the first
-``n - ceil(0.8 n) + 1`` words of both, so lines are joined on the words of these prefixes. If the shared word is
-the first that both have, the words from it on must suffice for the overlap in either line: that one comparison is
-the positional and the length filter. A parity filter follows (of 128 parity bits no more may differ than
-words may), then the words of the pairs that are left are compared. A line goes if an earlier line (by doc_id
-and line number) is equal as a set or similar; all lines, gone ones too, count as earlier lines.
+are ordered by it, rarest first, then by hash. Two sets of Jaccard similarity 0.8 or more share at least two of the
+first ``n - ceil(0.8 n) + 2`` words of both, or they are equal, so lines are joined on the words of these prefixes. The
+words from a shared one on must suffice, but for one, for the overlap in either line: that comparison is the
+positional and the length filter. Pairs that meet on two words are verified by all their words. A line goes if an
+earlier line (by doc_id and line number) is equal as a set or similar; all lines, gone ones too, count as earlier.
 
 Equal sets are one class with its first occurrence, so copies of a line never meet. A word that the corpus has
-at most ``HOT`` times joins at most so many lines. Words of prefixes that are more frequent come from families of near copies
-or from lines of common words only: there each line is first held against the earliest of its word alone, and
-the lines that this leaves unmatched meet the others of their word in blocks of ``BLOCK`` lines. The line
-that is named as kept is an earlier similar one, and the earliest such line unless hot words brought the two together.
+less than ``HOT`` times joins fewer lines than that. Words of prefixes that are more frequent come from families of near
+copies or from lines of common words only: there each line is first held against the earliest of its word alone,
+and the lines that this leaves unmatched meet the others of their word in blocks of ``BLOCK`` lines. As a pair may share one
+such word and one other, two lines that both have such words are verified if they meet on one, unless a parity
+filter forbids it (of 128 parity bits no more may differ than words may). The line that is named as kept is an
+earlier similar one, and the earliest such line unless hot words brought the two together.
 
 Defined cases: blank lines and null texts have no words and stay; rows with a null doc_id come after all
 others (2^63-1 stands for it inside); rows that share a doc_id are told apart by their texts, so equal ones count once; lines of any
@@ -68,11 +69,13 @@ def _rarity(rows: DataFrame) -> tuple[DataFrame, int]:
     level = F.least(F.floor(_STEPS * F.log2("n")), F.lit(127)).cast("byte")
     slot, page = F.col("h").bitwiseAND((1 << bits) - 1).cast("int"), bits - 10
     slots = counts.groupBy(slot.alias("slot")).agg(F.max(level).alias("level"))
-    pages = slots.groupBy(F.shiftright("slot", 10).alias("page")).agg(F.map_from_entries(F.collect_list(F.struct(F.col("slot").bitwiseAND(1023).alias("k"), "level"))).alias("m"))  # at most 1,024
-    dense = F.transform(F.sequence(F.lit(0), F.lit(1023)), lambda i: F.coalesce(F.element_at("m", i), F.lit(0).cast("byte")))
+    here = F.array_sort(F.collect_list(F.struct(F.col("slot").bitwiseAND(1023).alias("k"), "level")))  # at most 1,024
+    pages = slots.groupBy(F.shiftright("slot", 10).alias("page")).agg(here.alias("a"))
+    gap = lambda n: F.array_repeat(F.lit(0).cast("byte"), n)
+    filled = F.flatten(F.transform("a", lambda x, i: F.concat(gap(x["k"] - F.coalesce(F.get("a", i - 1)["k"], F.lit(-1)) - 1), F.array(x["level"]))))
+    dense = F.concat(filled, gap(F.lit(1023) - F.element_at("a", -1)["k"]))
     every = rows.sparkSession.range(1 << page).select(F.col("id").cast("int").alias("page")).join(pages.select("page", dense.alias("levels")), "page", "left")
-    none = F.array_repeat(F.lit(0).cast("byte"), 1024)
-    whole = every.groupBy().agg(F.array_sort(F.collect_list(F.struct("page", F.coalesce("levels", none).alias("levels")))).alias("a"))
+    whole = every.groupBy().agg(F.array_sort(F.collect_list(F.struct("page", F.coalesce("levels", gap(F.lit(1024))).alias("levels")))).alias("a"))
     out = durable(whole.select(F.flatten(F.transform("a", lambda x: x["levels"])).alias("levels")), "rarity")
     release(counts)
     return out, bits
@@ -84,22 +87,26 @@ def _need(n: Column) -> Column:
 
 
 def _described(lines: DataFrame, levels: DataFrame, bits: int) -> DataFrame:
-    """``row, twin, line_no, h1, h2, n, even, odd, prefix``: the set's hashes, its size, two parities, and its rarest words.
+    """``row, twin, line_no, h1, h2, n, prefix, hot, odd, even``: the set's hashes, its size, its rarest words, whether one of them is hot, and then two parities.
 
     A word of the prefix is a number of 30 bits, with the lowest bit set if it is hot; -1 stands for words that occur once.
     """
-    hot = _STEPS * (HOT.bit_length() - 1)
+    rare = _STEPS * (HOT.bit_length() - 1)
     slot = lambda h: h.bitwiseAND((1 << bits) - 1).cast("int")
     ranked = F.sort_array(F.transform("h", lambda h: F.shiftleft(F.get("levels", slot(h)).cast("long"), 56).bitwiseOR(h.bitwiseAND((1 << 56) - 1))))
     tokens = lines.select(*NAME, _hashes(F.col("line")).alias("h")).withColumn("levels", levels.scalar()).select(*NAME, ranked.alias("t"))
-    short = lambda x: F.when(x < 1 << 56, F.lit(-1)).otherwise(F.shiftleft(x.bitwiseAND((1 << 30) - 1), 1).bitwiseOR((F.shiftright(x, 56) >= hot).cast("long")).cast("int"))
+    short = lambda x: F.when(x < 1 << 56, F.lit(-1)).otherwise(F.shiftleft(x.bitwiseAND((1 << 30) - 1), 1).bitwiseOR((F.shiftright(x, 56) >= rare).cast("long")).cast("int"))
     half = lambda x: F.shiftright(x, 47).bitwiseAND(1)  # noqa: E731  which of the two parities a word enters
     parity = lambda chosen: F.aggregate("t", F.lit(0).cast("long"), lambda acc, x: acc.bitwiseXOR(F.call_function("shiftleft", chosen(x), F.shiftright(x, 40).bitwiseAND(63).cast("int"))))
     n = F.size("t")
-    return tokens.select(
-        *NAME, F.xxhash64("t").alias("h1"), F.xxhash64(F.lit(1), "t").alias("h2"), n.alias("n"), parity(half).alias("odd"), parity(lambda x: half(x).bitwiseXOR(1)).alias("even"),
-        F.transform(F.slice("t", F.lit(1), n - _need(n) + 1), short).alias("prefix"),
-    )
+    last = F.get("t", F.least(n, n - _need(n) + 2) - 1)  # the most frequent word of the prefix
+    hot = F.coalesce(F.shiftright(last, 56) >= rare, F.lit(False))
+    told = tokens.select(*NAME, "t", F.xxhash64("t").alias("h1"), F.xxhash64(F.lit(1), "t").alias("h2"), n.alias("n"), F.transform(F.slice("t", F.lit(1), n - _need(n) + 2), short).alias("prefix"), hot.alias("hot"))
+    return told.select(*[c for c in told.columns if c != "t"], *[F.when(F.col("hot"), parity(x)).otherwise(0).alias(c) for c, x in (("odd", half), ("even", lambda x: half(x).bitwiseXOR(1)))])
+
+
+#: What an entry of a prefix word holds beside the word: enough to filter pairs.
+_ENTRY = (*NAME, "n", "left", "hot", "odd", "even")
 
 
 def _name(side: str) -> Column:
@@ -107,10 +114,12 @@ def _name(side: str) -> Column:
 
 
 def _may_match(a: str, b: str) -> Column:
-    """For two prefix rows (n, left, even, odd) of one word: its place leaves enough words in both, and the parities agree enough."""
-    both = F.col(f"{a}.n") + F.col(f"{b}.n")
-    differ = lambda c: F.bit_count(F.col(f"{a}.{c}").bitwiseXOR(F.col(f"{b}.{c}")))
-    return (9 * F.least(f"{a}.left", f"{b}.left") >= 4 * both) & (9 * (differ("even") + differ("odd")) <= both)
+    """Whether the entry ``a`` of a word comes before ``b``, its places leave enough words in both, and the parities of hot lines agree enough."""
+    x, y = (lambda c: F.col(f"{a}.{c}")), (lambda c: F.col(f"{b}.{c}"))
+    both = x("n") + y("n")
+    before = (x("row") < y("row")) | ((x("row") == y("row")) & ((x("twin") < y("twin")) | ((x("twin") == y("twin")) & (x("line_no") < y("line_no")))))
+    differ = lambda c: F.bit_count(x(c).bitwiseXOR(y(c)))
+    return (9 * F.least(x("left"), y("left")) + 9 >= 4 * both) & before & (~(x("hot") & y("hot")) | (9 * (differ("even") + differ("odd")) <= both))
 
 
 def _similar(pairs: DataFrame, rows: DataFrame) -> DataFrame:
@@ -151,20 +160,22 @@ def repeated_lines(docs: DataFrame, text: str = "text", doc_id: str = "doc_id")
     described = durable(_described(_lines(rows), levels, bits), "lines")
     here = described.where("n > 0")
     # The earliest of each class, with all that the join needs of it; copies of a line end here.
-    first = F.min(F.struct(*NAME, "n", "even", "odd", "prefix")).alias("first")
+    first = F.min(F.struct(*NAME, "n", "prefix", "hot", "odd", "even")).alias("first")
     classes = durable(here.groupBy("h1", "h2").agg(first).select("first.*"), "line-classes")
     slim = here.select(F.struct(*NAME).alias("name"), "h1", "h2")
     slim = durable(slim if alone else slim.distinct(), "line-names")
     release(levels, described)
-    places = classes.select(*NAME, "n", "even", "odd", F.posexplode("prefix").alias("p", "token")).where("token >= 0")
-    entries = places.select(*NAME, "n", (F.col("n") - F.col("p")).alias("left"), "even", "odd", "token")
+    places = classes.select(*NAME, "n", "hot", "odd", "even", F.posexplode("prefix").alias("p", "token")).where("token >= 0")
+    entries = places.withColumn("left", F.col("n") - F.col("p")).select("token", *_ENTRY)
 
-    on = (F.col("a.token") == F.col("b.token")) & (_name("a") < _name("b")) & _may_match("a", "b")
+    on = (F.col("a.token") == F.col("b.token")) & _may_match("a", "b")
     named = [_name("a").alias("a"), _name("b").alias("b")]
     cold, hot = entries.where("token & 1 = 0"), durable(entries.where("token & 1 = 1"), "hot-words")
-    pairs = durable(cold.alias("a").join(cold.alias("b"), on).select(*named).distinct(), "pairs")
-    leaders = hot.groupBy("token").agg(F.min(F.struct(*NAME, "n", "left", "even", "odd")).alias("l")).select("token", "l.*")
-    star = durable(leaders.alias("a").join(hot.alias("b"), on).select(*named).distinct(), "pairs")
+    met = cold.alias("a").join(cold.alias("b"), on).groupBy(*named).agg(F.count("*").alias("words"), F.min(F.col("a.hot") & F.col("b.hot")).alias("both_hot"))
+    leaders = hot.groupBy("token").agg(F.min(F.struct(*_ENTRY)).alias("l")).select("token", "l.*")
+    star = leaders.alias("a").join(hot.alias("b"), on).select(*named)
+    pairs = durable(met.where("words > 1 or both_hot").select("a", "b"), "pairs")
+    star = durable(star.distinct(), "pairs")
     matched = _verified(durable(pairs.unionByName(star).distinct(), "pairs"), rows)
     release(pairs, star)
     rest = durable(_hot_rest(hot, matched.select("b.*"), on, named), "pairs")
