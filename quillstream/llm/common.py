@@ -47,6 +47,21 @@ def release(*tables: DataFrame) -> None:
         none.write.mode("overwrite").parquet(df._written_to)
 
 
+def numbered(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> tuple[DataFrame, DataFrame | None]:
+    """``node, text`` of all rows, and ``node, doc_id, text_hash`` of them. Nodes are in the order of doc_id (null last) and text.
+
+    Where no doc_id is null or repeated, a node is the doc_id and there is no second table. Rows equal in both share a node.
+    """
+    own = F.col(doc_id).cast("long")
+    if docs.groupBy(own.alias("i")).count().where("count > 1 or i is null").isEmpty():
+        return docs.select(own.alias("node"), F.col(text).alias("text")), None
+    told = docs.select(own.alias("doc_id"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("text_hash"), F.col(text).alias("text"))
+    names = told.select("doc_id", "text_hash").distinct().orderBy(F.asc_nulls_last("doc_id"), "text_hash").withColumn("node", F.monotonically_increasing_id())
+    names = durable(names, "names")
+    other = names.select(F.col("doc_id").alias("d"), F.col("text_hash").alias("h"), "node")
+    return told.join(other, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("text_hash") == F.col("h"))).select("node", "text"), names
+
+
 def let(value: Column, body) -> Column:
     """``body(value)`` with ``value`` evaluated once per row, however often the body refers to it."""
     return F.transform(F.array(value), body)[0]

@@ -8,13 +8,11 @@ words from a shared one on must suffice, but for one, for the overlap in either
 positional and the length filter. Pairs that meet on two words are verified by all their words. A line goes if an
 earlier line (by doc_id and line number) is equal as a set or similar; all lines, gone ones too, count as earlier.
 
-Equal sets are one class with its first occurrence, so copies of a line never meet. A word that the corpus has
-less than ``HOT`` times joins fewer lines than that. Words of prefixes that are more frequent come from families of near
-copies or from lines of common words only: there each line is first held against the earliest of its word alone,
-and the lines that this leaves unmatched meet the others of their word in blocks of ``BLOCK`` lines. As a pair may share one
-such word and one other, two lines that both have such words are verified if they meet on one, unless a parity
-filter forbids it (of 128 parity bits no more may differ than words may). The line that is named as kept is an
-earlier similar one, and the earliest such line unless hot words brought the two together.
+Equal sets are one class with its first occurrence, so copies of a line never meet. A word that joins more than
+``HOT`` lines stands for families of near copies or for lines of common words only: there each line is first held
+against the earliest of the word's lines alone, and the lines that this leaves unmatched meet the others of the word in
+blocks of ``BLOCK`` lines. The line that is named as kept is an earlier similar one, and the earliest such line unless hot
+words brought the two together.
 
 Defined cases: blank lines and null texts have no words and stay; rows with a null doc_id come after all
 others (2^63-1 stands for it inside); rows that share a doc_id are told apart by their texts, so equal ones count once; lines of any
@@ -31,15 +29,15 @@ from .common import durable, release, table
 
 MOST_BITS = 24
 HOT, BLOCK = 512, 4096
-#: Rarity is a quarter of a doubling; a word with at least so much is hot.
+#: Rarity is counted in quarters of a doubling.
 _STEPS, _NO_ID = 4, (1 << 63) - 1
-#: What names a line: the earlier of two lines has the smaller name.
-NAME = ("row", "twin", "line_no")
 
 
-def _rows(docs: DataFrame, text: str, doc_id: str) -> tuple[DataFrame, bool]:
-    """``row, twin, text``: texts in lower case, with no white space but blanks and line ends. ``twin`` tells rows of one doc_id
-    apart; it is 0 where no doc_id is repeated, which the second value says."""
+def _rows(docs: DataFrame, text: str, doc_id: str) -> tuple[DataFrame, list[str]]:
+    """The rows with texts in lower case and no white space but blanks and line ends, and what names a line of theirs.
+
+    The earlier of two lines has the smaller name. ``twin`` tells rows of one doc_id apart where there are any.
+    """
     low = F.lower(F.col(text))
     other = "\t\x0b\x0c\r"
     odd = F.contains(low, F.lit(other[0]))
@@ -47,8 +45,9 @@ def _rows(docs: DataFrame, text: str, doc_id: str) -> tuple[DataFrame, bool]:
         odd = odd | F.contains(low, F.lit(c))
     row = F.coalesce(F.col(doc_id).cast("long"), F.lit(_NO_ID))
     alone = docs.groupBy(row.alias("row")).count().where("count > 1").isEmpty()
-    twin = F.lit(0).cast("long") if alone else F.xxhash64(F.coalesce(F.col(text), F.lit("")))
-    return docs.select(row.alias("row"), twin.alias("twin"), F.when(odd, F.translate(low, other, "    ")).otherwise(low).alias("text")), alone
+    twin = [] if alone else [F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("twin")]
+    named = docs.select(row.alias("row"), *twin, F.when(odd, F.translate(low, other, "    ")).otherwise(low).alias("text"))
+    return named, ["row", "line_no"] if alone else ["row", "twin", "line_no"]
 
 
 def _hashes(line: Column) -> Column:
@@ -58,14 +57,14 @@ def _hashes(line: Column) -> Column:
 
 
 def _lines(rows: DataFrame) -> DataFrame:
-    return rows.select("row", "twin", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
+    return rows.select(*[c for c in rows.columns if c != "text"], F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
 
 
 def _rarity(rows: DataFrame) -> tuple[DataFrame, int]:
     """One row: the rarity of each slot of word hashes as an array of bytes, 0 where every word occurs once; and the bits of a slot."""
     words = rows.select(F.explode(F.split(F.replace("text", F.lit("\n"), F.lit(" ")), " ")).alias("w"))
     counts = durable(words.groupBy(F.xxhash64("w").alias("h")).agg(F.count("*").alias("n")).where("n > 1"), "vocabulary")
-    bits = min(MOST_BITS, max(12, counts.count().bit_length() + 2))
+    bits = min(MOST_BITS, max(12, counts.count().bit_length() + 1))
     level = F.least(F.floor(_STEPS * F.log2("n")), F.lit(127)).cast("byte")
     slot, page = F.col("h").bitwiseAND((1 << bits) - 1).cast("int"), bits - 10
     slots = counts.groupBy(slot.alias("slot")).agg(F.max(level).alias("level"))
@@ -86,109 +85,130 @@ def _need(n: Column) -> Column:
     return F.floor((4 * n + 4) / 5).cast("int")
 
 
-def _described(lines: DataFrame, levels: DataFrame, bits: int) -> DataFrame:
-    """``row, twin, line_no, h1, h2, n, prefix, hot, odd, even``: the set's hashes, its size, its rarest words, whether one of them is hot, and then two parities.
+def _described(lines: DataFrame, name: list[str], levels: DataFrame, bits: int) -> DataFrame:
+    """The names of lines with ``h1, h2, n, prefix``: two hashes of the set, its size and its rarest words.
 
-    A word of the prefix is a number of 30 bits, with the lowest bit set if it is hot; -1 stands for words that occur once.
+    A word of the prefix is a number of 30 bits, with the lowest bit set if the corpus has it ``HOT`` times; -1 stands for words that occur once.
     """
-    rare = _STEPS * (HOT.bit_length() - 1)
+    often = _STEPS * (HOT.bit_length() - 1)
     slot = lambda h: h.bitwiseAND((1 << bits) - 1).cast("int")
     ranked = F.sort_array(F.transform("h", lambda h: F.shiftleft(F.get("levels", slot(h)).cast("long"), 56).bitwiseOR(h.bitwiseAND((1 << 56) - 1))))
-    tokens = lines.select(*NAME, _hashes(F.col("line")).alias("h")).withColumn("levels", levels.scalar()).select(*NAME, ranked.alias("t"))
-    short = lambda x: F.when(x < 1 << 56, F.lit(-1)).otherwise(F.shiftleft(x.bitwiseAND((1 << 30) - 1), 1).bitwiseOR((F.shiftright(x, 56) >= rare).cast("long")).cast("int"))
-    half = lambda x: F.shiftright(x, 47).bitwiseAND(1)  # noqa: E731  which of the two parities a word enters
-    parity = lambda chosen: F.aggregate("t", F.lit(0).cast("long"), lambda acc, x: acc.bitwiseXOR(F.call_function("shiftleft", chosen(x), F.shiftright(x, 40).bitwiseAND(63).cast("int"))))
+    tokens = lines.select(*name, _hashes(F.col("line")).alias("h")).withColumn("levels", levels.scalar()).select(*name, ranked.alias("t"))
+    short = lambda x: F.when(x < 1 << 56, F.lit(-1)).otherwise(F.shiftleft(x.bitwiseAND((1 << 30) - 1), 1).bitwiseOR((F.shiftright(x, 56) >= often).cast("long")).cast("int"))
     n = F.size("t")
-    last = F.get("t", F.least(n, n - _need(n) + 2) - 1)  # the most frequent word of the prefix
-    hot = F.coalesce(F.shiftright(last, 56) >= rare, F.lit(False))
-    told = tokens.select(*NAME, "t", F.xxhash64("t").alias("h1"), F.xxhash64(F.lit(1), "t").alias("h2"), n.alias("n"), F.transform(F.slice("t", F.lit(1), n - _need(n) + 2), short).alias("prefix"), hot.alias("hot"))
-    return told.select(*[c for c in told.columns if c != "t"], *[F.when(F.col("hot"), parity(x)).otherwise(0).alias(c) for c, x in (("odd", half), ("even", lambda x: half(x).bitwiseXOR(1)))])
+    return tokens.select(*name, F.xxhash64("t").alias("h1"), F.xxhash64(F.lit(1), "t").alias("h2"), n.alias("n"), F.transform(F.slice("t", F.lit(1), n - _need(n) + 2), short).alias("prefix"))
 
 
-#: What an entry of a prefix word holds beside the word: enough to filter pairs.
-_ENTRY = (*NAME, "n", "left", "hot", "odd", "even")
+def _name(name: list[str], side: str) -> Column:
+    return F.struct(*[F.col(f"{side}.{c}") for c in name])
 
 
-def _name(side: str) -> Column:
-    return F.struct(*[F.col(f"{side}.{c}") for c in NAME])
+def _may_match(name: list[str], a: str, b: str) -> Column:
+    """Whether entries ``a`` and ``b`` are of one word, their places leave enough words in both, and ``a`` is the earlier line."""
+    x, y = (lambda c: F.col(f"{a}.{c}")), (lambda c: F.col(f"{b}.{c}"))
+    before = F.lit(False)
+    for c in reversed(name):
+        before = (x(c) < y(c)) | ((x(c) == y(c)) & before)
+    return (x("token") == y("token")) & (9 * F.least(x("left"), y("left")) + 9 >= 4 * (x("n") + y("n"))) & before
 
 
-def _may_match(a: str, b: str) -> Column:
-    """Whether the entry ``a`` of a word comes before ``b``, its places leave enough words in both, and the parities of hot lines agree enough."""
-    x, y = (lambda c: F.col(f"{a}.{c}")), (lambda c: F.col(f"{b}.{c}"))
-    both = x("n") + y("n")
-    before = (x("row") < y("row")) | ((x("row") == y("row")) & ((x("twin") < y("twin")) | ((x("twin") == y("twin")) & (x("line_no") < y("line_no")))))
-    differ = lambda c: F.bit_count(x(c).bitwiseXOR(y(c)))
-    return (9 * F.least(x("left"), y("left")) + 9 >= 4 * both) & before & (~(x("hot") & y("hot")) | (9 * (differ("even") + differ("odd")) <= both))
+def _sets(pairs: DataFrame, rows: DataFrame, name: list[str]) -> DataFrame:
+    """``name, t``: the words of all lines in the pairs (a, b), as hashes.
 
+    A bitmap of fixed size keeps the texts of all other rows, but for a few, from being split and shuffled.
+    """
+    ends = durable(pairs.select(F.explode(F.array("a", "b")).alias("name")).distinct().select("name.*"), "pair-ends")
+    place = F.xxhash64(*[c for c in name if c != "line_no"])
+    slots = 1 << 18
+    words = ends.select(place.bitwiseAND((slots << 6) - 1).alias("h")).distinct().groupBy(F.shiftright("h", 6).cast("int").alias("w"))
+    words = words.agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("h").bitwiseAND(63).cast("int"))).alias("v"))
+    every = rows.sparkSession.range(slots).select(F.col("id").cast("int").alias("w")).join(words, "w", "left")
+    whole = every.groupBy().agg(F.array_sort(F.collect_list(F.struct("w", F.coalesce("v", F.lit(0).cast("long")).alias("v")))).alias("a"))
+    bitmap = durable(whole.select(F.transform("a", lambda x: x["v"]).alias("bitmap")), "pair-rows").scalar()
+    word = F.get(bitmap, F.shiftright(place.bitwiseAND((slots << 6) - 1), 6).cast("int"))
+    some = rows.where(F.call_function("shiftright", word, place.bitwiseAND(63).cast("int")).bitwiseAND(1) == 1)
+    lines = _lines(some).join(ends, name, "left_semi").dropDuplicates(name)
+    out = durable(lines.select(F.struct(*name).alias("name"), _hashes(F.col("line")).alias("t")), "pair-lines")
+    release(ends)
+    return out
 
-def _similar(pairs: DataFrame, rows: DataFrame) -> DataFrame:
+
+def _similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The ``pairs`` (a, b) of names whose lines have a Jaccard similarity of 0.8 or more."""
-    ends = durable(pairs.select(F.explode(F.array("a", "b")).alias("name")).distinct().select("name.*"), "pair-ends")
-    texts = rows.join(ends.select("row", "twin").distinct(), ["row", "twin"], "left_semi")
-    sets = durable(_lines(texts).join(ends, list(NAME), "left_semi").dropDuplicates(list(NAME)).select(F.struct(*NAME).alias("name"), _hashes(F.col("line")).alias("t")), "pair-lines")
     x, y = sets.select(F.col("name").alias("a"), F.col("t").alias("x")), sets.select(F.col("name").alias("b"), F.col("t").alias("y"))
     both = F.size(F.array_intersect("x", "y"))
-    out = durable(pairs.join(x, "a").join(y, "b").where(9 * both >= 4 * (F.size("x") + F.size("y"))).select("a", "b"), "similar")
-    release(ends, sets)
-    return out
+    return durable(pairs.join(x, "a").join(y, "b").where(9 * both >= 4 * (F.size("x") + F.size("y"))).select("a", "b"), "similar")
 
 
-def _verified(pairs: DataFrame, rows: DataFrame) -> DataFrame:
+def _verified(pairs: DataFrame, rows: DataFrame, name: list[str]) -> DataFrame:
     """For each later line ``b`` of the pairs the earliest ``a`` that is similar. The filters leave few false pairs, so
     nearly every ``b`` is done with its earliest candidate; only those whose one fails meet all their others."""
+    sets = _sets(pairs, rows, name)
     earliest = durable(pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), "earliest")
-    sure = _similar(earliest, rows)
+    sure = _similar(earliest, sets)
     others = durable(pairs.join(sure, "b", "left_anti").join(earliest, ["a", "b"], "left_anti"), "other-pairs")
-    found = sure if others.isEmpty() else sure.unionByName(_similar(others, rows).groupBy("b").agg(F.min("a").alias("a")).select("a", "b"))
-    release(pairs, earliest, others)
+    found = sure if others.isEmpty() else sure.unionByName(_similar(others, sets).groupBy("b").agg(F.min("a").alias("a")).select("a", "b"))
+    release(pairs, earliest, others, sets)
     return found
 
 
-def _hot_rest(hot: DataFrame, done: DataFrame, on: Column, named: list[Column]) -> DataFrame:
-    """Pairs of the hot lines that have no match yet with all earlier lines of their words, in blocks of about ``BLOCK`` lines."""
+def _met(name: list[str], a: DataFrame, b: DataFrame, on: Column | None = None) -> DataFrame:
+    """``a, b, words``: pairs of names and on how many words their lines meet."""
+    both = _may_match(name, "a", "b") if on is None else on & _may_match(name, "a", "b")
+    return a.alias("a").join(b.alias("b"), both).groupBy(_name(name, "a").alias("a"), _name(name, "b").alias("b")).agg(F.count("*").alias("words"))
+
+
+def _hot_matches(hot: DataFrame, cold: DataFrame, rows: DataFrame, name: list[str]) -> DataFrame:
+    """Matches (a, b) that need a hot word. ``hot``: its entries; ``cold``: pairs that meet on one word that is not hot."""
+    leaders = hot.groupBy("token").agg(F.min(F.struct(*name, "n", "left")).alias("l")).select("token", "l.*")
+    star = durable(_met(name, leaders, hot).select("a", "b"), "star")
+    matched = _verified(star, rows, name)
+    left = hot.join(matched.select("b.*"), name, "left_anti")
     blocks = hot.groupBy("token").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
-    left = hot.join(done, list(NAME), "left_anti").join(blocks, "token").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    all_ = hot.join(blocks, "token").withColumn("block", F.pmod(F.xxhash64(*NAME), "blocks"))
-    return all_.alias("a").join(left.alias("b"), on & (F.col("a.block") == F.col("b.block"))).select(*named).distinct()
+    left = left.join(blocks, "token").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    all_ = hot.join(blocks, "token").withColumn("block", F.pmod(F.xxhash64(*name), "blocks"))
+    rest = _met(name, all_, left, F.col("a.block") == F.col("b.block"))
+    open_ = left.select(F.struct(*name).alias("b")).distinct()
+    rest = rest.unionByName(cold.join(open_, "b", "left_semi")).groupBy("a", "b").agg(F.sum("words").alias("words"))
+    rest = durable(rest.where("words > 1").select("a", "b"), "rest")
+    return matched if rest.isEmpty() else matched.unionByName(_verified(rest, rows, name))
 
 
 def repeated_lines(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """``doc_id, line_no, kept_doc_id, kept_line_no, twin`` of every line that an earlier one makes redundant."""
-    rows, alone = _rows(docs, text, doc_id)
+    rows, name = _rows(docs, text, doc_id)
     levels, bits = _rarity(rows)
-    described = durable(_described(_lines(rows), levels, bits), "lines")
+    described = durable(_described(_lines(rows), name, levels, bits), "lines")
     here = described.where("n > 0")
     # The earliest of each class, with all that the join needs of it; copies of a line end here.
-    first = F.min(F.struct(*NAME, "n", "prefix", "hot", "odd", "even")).alias("first")
-    classes = durable(here.groupBy("h1", "h2").agg(first).select("first.*"), "line-classes")
-    slim = here.select(F.struct(*NAME).alias("name"), "h1", "h2")
-    slim = durable(slim if alone else slim.distinct(), "line-names")
+    first = F.min(F.struct(*name, "n", "prefix")).alias("first")
+    classes = durable(here.groupBy("h1", "h2").agg(first, F.count("*").alias("lines")).select("h1", "h2", "lines", "first.*"), "line-classes")
+    slim = here.select(F.struct(*name).alias("name"), "h1", "h2")
+    slim = durable(slim if "twin" not in name else slim.distinct(), "line-names")
     release(levels, described)
-    places = classes.select(*NAME, "n", "hot", "odd", "even", F.posexplode("prefix").alias("p", "token")).where("token >= 0")
-    entries = places.withColumn("left", F.col("n") - F.col("p")).select("token", *_ENTRY)
-
-    on = (F.col("a.token") == F.col("b.token")) & _may_match("a", "b")
-    named = [_name("a").alias("a"), _name("b").alias("b")]
-    cold, hot = entries.where("token & 1 = 0"), durable(entries.where("token & 1 = 1"), "hot-words")
-    met = cold.alias("a").join(cold.alias("b"), on).groupBy(*named).agg(F.count("*").alias("words"), F.min(F.col("a.hot") & F.col("b.hot")).alias("both_hot"))
-    leaders = hot.groupBy("token").agg(F.min(F.struct(*_ENTRY)).alias("l")).select("token", "l.*")
-    star = leaders.alias("a").join(hot.alias("b"), on).select(*named)
-    pairs = durable(met.where("words > 1 or both_hot").select("a", "b"), "pairs")
-    star = durable(star.distinct(), "pairs")
-    matched = _verified(durable(pairs.unionByName(star).distinct(), "pairs"), rows)
-    release(pairs, star)
-    rest = durable(_hot_rest(hot, matched.select("b.*"), on, named), "pairs")
-    if not rest.isEmpty():
-        matched = matched.unionByName(_verified(rest, rows))
+
+    places = classes.select(*name, "n", F.posexplode("prefix").alias("p", "token")).where("token >= 0")
+    entries = places.select("token", *name, "n", (F.col("n") - F.col("p")).alias("left"))
+    frequent = classes.select(F.explode("prefix").alias("token")).where("token & 1 = 1 and token >= 0")
+    hot_words = durable(frequent.groupBy("token").count().where(F.col("count") > HOT), "hot-words")
+    if hot_words.isEmpty():
+        pairs = durable(_met(name, entries, entries).where("words > 1").select("a", "b"), "pairs")
+        matched = _verified(pairs, rows, name)
+    else:
+        cold = entries.join(hot_words, "token", "left_anti")
+        met = durable(_met(name, cold, cold), "met")
+        hot = durable(entries.where("token & 1 = 1").join(hot_words, "token", "left_semi"), "hot-entries")
+        matched = _verified(durable(met.where("words > 1").select("a", "b"), "pairs"), rows, name).unionByName(_hot_matches(hot, met.where("words = 1"), rows, name))
+        release(met, hot)
     matched = durable(matched.groupBy("b").agg(F.min("a").alias("kept")), "matched")
-    release(classes, hot)
 
-    firsts = slim.groupBy("h1", "h2").agg(F.min("name").alias("first"), F.count("*").alias("lines"))
-    verdict = firsts.join(matched, F.col("first") == F.col("b"), "left").where("lines > 1 or kept is not null")
-    gone = slim.join(verdict, ["h1", "h2"]).where("kept is not null or name <> first").withColumn("kept", F.coalesce("kept", "first"))
+    copied = classes.where("lines > 1").select("h1", "h2", F.struct(*name).alias("first"))
+    firsts = copied.join(matched, F.col("first") == F.col("b"), "left").select("h1", "h2", "first", F.coalesce("kept", "first").alias("kept"))
+    copies = slim.join(firsts, ["h1", "h2"]).where("name <> first").select("name", "kept")
+    gone = copies.unionByName(matched.select(F.col("b").alias("name"), "kept"))
     known = lambda x: F.nullif(x, F.lit(_NO_ID))
-    return gone.select(known(F.col("name.row")).alias("doc_id"), "name.line_no", known(F.col("kept.row")).alias("kept_doc_id"), F.col("kept.line_no").alias("kept_line_no"), "name.twin")
+    twin = F.col("name.twin") if "twin" in name else F.lit(0).cast("long")
+    return gone.select(known(F.col("name.row")).alias("doc_id"), "name.line_no", known(F.col("kept.row")).alias("kept_doc_id"), F.col("kept.line_no").alias("kept_line_no"), twin.alias("twin"))
 
 
 def cut_lines(docs: DataFrame, gone: DataFrame) -> DataFrame:
