@@ -2,11 +2,12 @@
 
 A line is the set of its lower-case words, told apart by 64-bit hashes. An exact vocabulary counts every word of
 the corpus; a table of at most ``2**MOST_BITS`` bytes, sized by the vocabulary, tells the rarity of a word, and words
-are ordered by it, rarest first, then by hash. Two sets of Jaccard similarity 0.8 or more share at least two of the
-first ``n - ceil(0.8 n) + 2`` words of both, or they are equal, so lines are joined on the words of these prefixes. The
-words from a shared one on must suffice, but for one, for the overlap in either line: that comparison is the
-positional and the length filter. Pairs that meet on two words are verified by all their words. A line goes if an
-earlier line (by doc_id and line number) is equal as a set or similar; all lines, gone ones too, count as earlier.
+are ordered by it, rarest first, then by hash. The rarest word that two sets of Jaccard similarity 0.8 or more share is one of
+the first ``n - ceil(0.8 n) + 1`` of both, so lines are joined on the words of these prefixes. The words from the shared
+one on must suffice for the overlap in either line: that comparison is the positional and the length filter. Sets
+that are not equal share a second word, which is in the prefix or the first word behind it: what follows the join word there must overlap
+as well. Pairs that pass are verified by all their words. A line goes if an earlier line (by doc_id and line
+number) is equal as a set or similar; all lines, gone ones too, count as earlier lines.
 
 Equal sets are one class with its first occurrence, so copies of a line never meet. A word that joins more than
 ``HOT`` lines stands for families of near copies or for lines of common words only: there each line is first held
@@ -86,15 +87,16 @@ def _need(n: Column) -> Column:
 
 
 def _described(lines: DataFrame, name: list[str], levels: DataFrame, bits: int) -> DataFrame:
-    """The names of lines with ``h1, h2, n, prefix``: two hashes of the set, its size and its rarest words.
+    """The names of lines with ``h1, h2, n, prefix``: two hashes of the set, its size, its rarest words and the one behind them.
 
-    A word of the prefix is a number of 30 bits, with the lowest bit set if the corpus has it ``HOT`` times; -1 stands for words that occur once.
+    A word is a number of 30 bits, with the lowest bit set if the corpus has it ``HOT`` times, and negative if it has it once.
     """
     often = _STEPS * (HOT.bit_length() - 1)
     slot = lambda h: h.bitwiseAND((1 << bits) - 1).cast("int")
     ranked = F.sort_array(F.transform("h", lambda h: F.shiftleft(F.get("levels", slot(h)).cast("long"), 56).bitwiseOR(h.bitwiseAND((1 << 56) - 1))))
     tokens = lines.select(*name, _hashes(F.col("line")).alias("h")).withColumn("levels", levels.scalar()).select(*name, ranked.alias("t"))
-    short = lambda x: F.when(x < 1 << 56, F.lit(-1)).otherwise(F.shiftleft(x.bitwiseAND((1 << 30) - 1), 1).bitwiseOR((F.shiftright(x, 56) >= often).cast("long")).cast("int"))
+    word = lambda x: F.shiftleft(x.bitwiseAND((1 << 30) - 1), 1)
+    short = lambda x: F.when(x < 1 << 56, -1 - word(x)).otherwise(word(x).bitwiseOR((F.shiftright(x, 56) >= often).cast("long"))).cast("int")
     n = F.size("t")
     return tokens.select(*name, F.xxhash64("t").alias("h1"), F.xxhash64(F.lit(1), "t").alias("h2"), n.alias("n"), F.transform(F.slice("t", F.lit(1), n - _need(n) + 2), short).alias("prefix"))
 
@@ -104,12 +106,12 @@ def _name(name: list[str], side: str) -> Column:
 
 
 def _may_match(name: list[str], a: str, b: str) -> Column:
-    """Whether entries ``a`` and ``b`` are of one word, their places leave enough words in both, and ``a`` is the earlier line."""
+    """Whether entries ``a`` and ``b`` are of one word, their places leave enough words in both, ``a`` is the earlier line, and a second word is shared."""
     x, y = (lambda c: F.col(f"{a}.{c}")), (lambda c: F.col(f"{b}.{c}"))
     before = F.lit(False)
     for c in reversed(name):
         before = (x(c) < y(c)) | ((x(c) == y(c)) & before)
-    return (x("token") == y("token")) & (9 * F.least(x("left"), y("left")) + 9 >= 4 * (x("n") + y("n"))) & before
+    return (x("token") == y("token")) & (9 * F.least(x("left"), y("left")) >= 4 * (x("n") + y("n"))) & before & F.arrays_overlap(x("more"), y("more"))
 
 
 def _sets(pairs: DataFrame, rows: DataFrame, name: list[str]) -> DataFrame:
@@ -152,25 +154,21 @@ def _verified(pairs: DataFrame, rows: DataFrame, name: list[str]) -> DataFrame:
     return found
 
 
-def _met(name: list[str], a: DataFrame, b: DataFrame, on: Column | None = None) -> DataFrame:
-    """``a, b, words``: pairs of names and on how many words their lines meet."""
-    both = _may_match(name, "a", "b") if on is None else on & _may_match(name, "a", "b")
-    return a.alias("a").join(b.alias("b"), both).groupBy(_name(name, "a").alias("a"), _name(name, "b").alias("b")).agg(F.count("*").alias("words"))
+def _met(name: list[str], a: DataFrame, b: DataFrame, also: Column | None = None) -> DataFrame:
+    """``a, b``: names of the lines of entries that may match."""
+    on = _may_match(name, "a", "b") if also is None else also & _may_match(name, "a", "b")
+    return a.alias("a").join(b.alias("b"), on).select(_name(name, "a").alias("a"), _name(name, "b").alias("b")).distinct()
 
 
-def _hot_matches(hot: DataFrame, cold: DataFrame, rows: DataFrame, name: list[str]) -> DataFrame:
-    """Matches (a, b) that need a hot word. ``hot``: its entries; ``cold``: pairs that meet on one word that is not hot."""
-    leaders = hot.groupBy("token").agg(F.min(F.struct(*name, "n", "left")).alias("l")).select("token", "l.*")
-    star = durable(_met(name, leaders, hot).select("a", "b"), "star")
-    matched = _verified(star, rows, name)
+def _hot_matches(hot: DataFrame, rows: DataFrame, name: list[str]) -> DataFrame:
+    """Matches (a, b) among the entries of hot words."""
+    leaders = hot.groupBy("token").agg(F.min(F.struct(*name, "n", "left", "more")).alias("l")).select("token", "l.*")
+    matched = _verified(durable(_met(name, leaders, hot), "star"), rows, name)
     left = hot.join(matched.select("b.*"), name, "left_anti")
     blocks = hot.groupBy("token").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
     left = left.join(blocks, "token").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     all_ = hot.join(blocks, "token").withColumn("block", F.pmod(F.xxhash64(*name), "blocks"))
-    rest = _met(name, all_, left, F.col("a.block") == F.col("b.block"))
-    open_ = left.select(F.struct(*name).alias("b")).distinct()
-    rest = rest.unionByName(cold.join(open_, "b", "left_semi")).groupBy("a", "b").agg(F.sum("words").alias("words"))
-    rest = durable(rest.where("words > 1").select("a", "b"), "rest")
+    rest = durable(_met(name, all_, left, F.col("a.block") == F.col("b.block")), "rest")
     return matched if rest.isEmpty() else matched.unionByName(_verified(rest, rows, name))
 
 
@@ -187,19 +185,19 @@ def repeated_lines(docs: DataFrame, text: str = "text", doc_id: str = "doc_id")
     slim = durable(slim if "twin" not in name else slim.distinct(), "line-names")
     release(levels, described)
 
-    places = classes.select(*name, "n", F.posexplode("prefix").alias("p", "token")).where("token >= 0")
-    entries = places.select("token", *name, "n", (F.col("n") - F.col("p")).alias("left"))
+    brief = F.transform("prefix", lambda x: F.shiftright(x, 9).bitwiseAND((1 << 15) - 1).cast("smallint"))  # enough to tell words apart, mostly
+    told = classes.select(*name, "n", "prefix", brief.alias("tail"))  # before the words are rows
+    places = told.select(*name, "n", "tail", F.posexplode("prefix").alias("p", "token")).where((F.col("token") >= 0) & (F.col("p") <= F.col("n") - _need(F.col("n"))))
+    entries = places.select("token", *name, "n", (F.col("n") - F.col("p")).alias("left"), F.slice("tail", F.col("p") + 2, F.lit(1 << 30)).alias("more"))
     frequent = classes.select(F.explode("prefix").alias("token")).where("token & 1 = 1 and token >= 0")
     hot_words = durable(frequent.groupBy("token").count().where(F.col("count") > HOT), "hot-words")
     if hot_words.isEmpty():
-        pairs = durable(_met(name, entries, entries).where("words > 1").select("a", "b"), "pairs")
-        matched = _verified(pairs, rows, name)
+        matched = _verified(durable(_met(name, entries, entries), "pairs"), rows, name)
     else:
         cold = entries.join(hot_words, "token", "left_anti")
-        met = durable(_met(name, cold, cold), "met")
         hot = durable(entries.where("token & 1 = 1").join(hot_words, "token", "left_semi"), "hot-entries")
-        matched = _verified(durable(met.where("words > 1").select("a", "b"), "pairs"), rows, name).unionByName(_hot_matches(hot, met.where("words = 1"), rows, name))
-        release(met, hot)
+        matched = _verified(durable(_met(name, cold, cold), "pairs"), rows, name).unionByName(_hot_matches(hot, rows, name))
+        release(hot)
     matched = durable(matched.groupBy("b").agg(F.min("a").alias("kept")), "matched")
 
     copied = classes.where("lines > 1").select("h1", "h2", F.struct(*name).alias("first"))
