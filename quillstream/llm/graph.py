@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable
+from .common import durable, release
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
@@ -23,7 +23,8 @@ def components(links: DataFrame) -> DataFrame:
     """``node, label`` for every node of the links (a, b): the label is the smallest node it is connected to."""
     edges = durable(links.select(F.col("a").alias("u"), F.col("b").alias("v")).where("u <> v").distinct(), "edges")
     while True:
-        edges = durable(_star(_star(edges, True), False), "edges")
+        before, edges = edges, durable(_star(_star(edges, True), False), "edges")
+        release(before)
         # done when no centre of a star is a ray of another
         if edges.join(edges.select(F.col("v").alias("u")).distinct(), "u", "left_semi").isEmpty():
             break

@@ -6,10 +6,16 @@ lies in links. The best container is kept with those of its siblings that score
 text. Navigation, headers, footers, sidebars, notices, adverts, forms, scripts, styles and reader comments, known
 by element or by the words in class, id and role, are left out before and inside.
 
-Defined cases: a null or empty page has no text; unclosed elements end where HTML ends them; text outside of any
+Names are judged as wholes: ``comment-list`` and ``site-header`` name parts outside the article, ``share-price`` and
+``no-sidebar`` do not, and nothing that holds the title and most of the plain text of a page is left out by its name.
+Lists of links stay inside the article; where no element marks the article, a list of links before its first or
+after its last block is a menu, unless a heading stands right before it.
+
+Defined cases: a null or empty page has no text; unclosed elements end where HTML ends them; a quoted value without
+a closing quote ends with its tag, and a tag without an end runs to the end of the page; text outside of any
 paragraph is a block of its container; a page without a paragraph gives the text of its body; repeated rows are
-each read; an empty table gives an empty result; other columns are ignored. The page is read whole, whatever
-its length; nesting beyond ``DEEPEST`` elements is read as if it were closed.
+each read; an empty table gives an empty result; other columns are ignored. Pages of any length and depth are read
+whole, in time that grows with their length.
 """
 
 from __future__ import annotations
@@ -24,17 +30,18 @@ from pyspark.sql import functions as F
 
 from .common import table
 
-DEEPEST = 400
-_TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>|<[!?][^>]*>""", re.S)
+_MARK = re.compile(r"<(?:(!--)|[!?]|(/?)([a-zA-Z][^\s/>]*)|/)")
+_STOP = re.compile("[>\"']")
 _NAMES = re.compile(r"""(?:^|\s)(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _HIDDEN = re.compile(r"""(?:^|\s)hidden(?:\s|=|$)|display\s*:\s*none|aria-hidden\s*=\s*["']?true""", re.I)
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style textarea title noscript template iframe xmp noembed noframes svg math".split())
+RAW = frozenset("script style textarea title noscript template iframe xmp noembed noframes svg".split())
 DROPPED = frozenset("nav footer aside form button select dialog menu object canvas audio video label fieldset".split()) | RAW
 BLOCKS = frozenset("address article aside blockquote body center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
 #: Elements that the start of another closes: by the start, those it closes, up to a border.
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 BORDERS = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table", "tbody", "thead", "tfoot"}, "td": {"tr", "table"}, "th": {"tr", "table"}, "option": {"select"}}
+_BUT_P = BLOCKS - {"p"}
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: Words in class, id and role that tell what is not the article.
 OUTSIDE = frozenset(
@@ -42,89 +49,141 @@ OUTSIDE = frozenset(
     "newsletter notice notices outbrain pagination pager popup promo promoted promotion recommended related replies reply respond search share sharing sidebar side signup social sponsor sponsored subscribe subscription taboola "
     "teaser toolbar widget widgets alert paywall skip complementary contentinfo".split()
 )
+#: Words that may stand beside those in the name of such a part.
+FURNITURE = frozenset(
+    "area bar block body bottom box button buttons card center column container content global group header holder icons inner item items label left link links list main menu message nav outer page panel posts primary "
+    "right row secondary section site slot top unit wrap wrapper zone form signup thread title first last mobile desktop sticky fixed".split()
+)
 INSIDE = frozenset("article main content post entry story body text page hentry".split())
 _PART = re.compile("[a-z]+")
 
 
+def _names_outside(names: list[str]) -> bool:
+    """Whether a name is made of words for parts outside the article, and of nothing else but furniture."""
+    for name in names:
+        words = set(_PART.findall(name))
+        if words & OUTSIDE and words <= OUTSIDE | FURNITURE:
+            return True
+    return False
+
+
 class Element:
-    __slots__ = ("tag", "parent", "inside", "words", "points", "letters", "linked")
+    __slots__ = ("tag", "parent", "inside", "words", "named", "points", "letters", "linked", "titled")
 
-    def __init__(self, tag: str, parent: Element | None, words: frozenset[str]):
-        self.tag, self.parent, self.words = tag, parent, words
+    def __init__(self, tag: str, parent: Element | None, names: list[str]):
+        self.tag, self.parent = tag, parent
+        self.words = frozenset(w for x in names for w in _PART.findall(x))
+        self.named = bool(names) and tag not in ("html", "body", "article", "main") and _names_outside(names)
         self.inside: list = []
-        self.points, self.letters, self.linked = 0.0, 0, 0
+        self.points, self.letters, self.linked, self.titled = 0.0, 0, 0, tag in ("h1", "article", "main")
 
     def outside(self) -> bool:
         """Whether this is a part that no article has."""
-        if self.tag in DROPPED:
+        if self.tag in DROPPED or self.named:
             return True
         if self.tag == "header":
             return not any(isinstance(x, Element) and x.tag in HEADINGS for x in self.inside) or "page" in self.words or "site" in self.words
-        return self.tag not in ("html", "body", "article", "main") and bool(self.words & OUTSIDE)
-
-
-def read(page: str) -> Element:
-    """The tree of a page, without comments and the insides of scripts and the like."""
-    top = here = Element("html", None, frozenset())
-    at, depth = 0, 0
-    for m in _TOKEN.finditer(page):
-        if m.start() < at:
-            continue  # inside of a raw element
-        if m.start() > at:
-            here.inside.append(page[at : m.start()])
-        at = m.end()
-        if m[2] is None:
+        return False
+
+
+def read(page: str) -> list[Element]:
+    """The tree of a page, its root first and parents before their children, without comments and the insides of scripts and the like."""
+    top = here = Element("html", None, [])
+    every = [top]
+    opened: dict[str, list[int]] = {}  # depths of the open elements of each tag
+    path, shut = [top], []  # the open elements; the depths of the open blocks
+    no_more: set[str] = set()  # quotes that the rest of the page does not have
+    at = text = 0
+
+    def close_to(d: int) -> None:
+        nonlocal here
+        while len(path) > d:
+            x = path.pop()
+            opened[x.tag].pop()
+            if shut and shut[-1] == len(path):
+                shut.pop()
+        here = path[-1]
+
+    def close_first(tags: set[str] | frozenset[str], borders: set[str] | frozenset[str]) -> None:
+        """Close the innermost open element of ``tags`` if no border stands inside it."""
+        d = max((opened[t][-1] for t in tags if opened.get(t)), default=0)
+        if d and d > max((opened[t][-1] for t in borders if opened.get(t)), default=0):
+            close_to(d)
+
+    while (start := page.find("<", at)) >= 0:
+        m = _MARK.match(page, start)
+        if m is None:
+            at = start + 1
+            continue
+        end = m.end()
+        if m[3] is None:
+            k = page.find("-->" if m[1] else ">", start + 2)
+            end = len(page) if k < 0 else k + (3 if m[1] else 1)
+        else:
+            while (k := _STOP.search(page, end)) is not None and k[0] != ">":
+                before = k.start() - 1
+                while before >= end and page[before].isspace():
+                    before -= 1
+                valued, end = before >= end and page[before] == "=", k.end()
+                if valued:
+                    shut_at = -1 if k[0] in no_more else page.find(k[0], end)
+                    if shut_at < 0:
+                        no_more.add(k[0])
+                        after = page.find(">", end)
+                        end = len(page) if after < 0 else after
+                        k = None if after < 0 else _STOP.match(page, after)
+                        break
+                    end = shut_at + 1
+            end = len(page) if k is None else k.end()
+        if start > text:
+            here.inside.append(page[text:start])
+        at = text = end
+        if m[3] is None:
             continue
-        tag = m[2].lower()
-        if m[1]:
-            up = here
-            while up.parent is not None and up.tag != tag:
-                up = up.parent
-            if up.parent is not None and not (tag not in BLOCKS and _between(here, up)):
-                while here is not up:
-                    here, depth = here.parent, depth - 1
-                here, depth = here.parent, depth - 1
+        tag = m[3].lower()
+        if m[2]:
+            d = opened[tag][-1] if opened.get(tag) else 0
+            if d and (tag in BLOCKS or not shut or shut[-1] < d):  # an inline end tag does not close a block
+                close_to(d)
             continue
         if tag in ("html", "body", "head") and here is top:
             continue
         if tag in BLOCKS:
-            here, depth = _close(here, {"p"}, BLOCKS - {"p"}, depth)
+            close_first({"p"}, _BUT_P)
         if tag in CLOSES:
-            here, depth = _close(here, CLOSES[tag], BORDERS[tag], depth)
-        marks = m[3]
-        words = frozenset(_PART.findall(" ".join(a or b or c for a, b, c in _NAMES.findall(marks)).lower())) if "=" in marks else frozenset()
-        new = Element("template" if _HIDDEN.search(marks) and tag not in VOID else tag, here, words)
+            close_first(CLOSES[tag], BORDERS[tag])
+        marks = page[m.end() : end].removesuffix(">")
+        names = " ".join(a or b or c for a, b, c in _NAMES.findall(marks)).lower().split() if "=" in marks else []
+        new = Element("template" if _HIDDEN.search(marks) and tag not in VOID else tag, here, names)
         here.inside.append(new)
+        every.append(new)
         if tag in RAW:
-            end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
-            at = end.end() if end else len(page)
-        elif tag not in VOID and depth < DEEPEST and not marks.endswith("/"):
-            here, depth = new, depth + 1
-    if at < len(page):
-        here.inside.append(page[at:])
-    return top
-
-
-def _between(here: Element, up: Element) -> bool:
-    """Whether a block is open inside ``up``: an inline end tag does not close it."""
-    while here is not up:
-        if here.tag in BLOCKS:
-            return True
-        here = here.parent
-    return False
+            over = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>", re.I).search(page, at)
+            at = text = over.end() if over else len(page)
+        elif tag not in VOID and not marks.endswith("/"):
+            depth = len(path)
+            opened.setdefault(new.tag, []).append(depth)
+            if new.tag in BLOCKS:
+                shut.append(depth)
+            path.append(new)
+            here = new
+    if text < len(page):
+        here.inside.append(page[text:])
+    return every
+
 
+_LONG_ZERO, _LONG = re.compile("&#0+(?=[0-9])"), re.compile("&#[0-9]{8,};?")
 
-def _close(here: Element, tags: set[str] | frozenset[str], borders: set[str] | frozenset[str], depth: int) -> tuple[Element, int]:
-    up, n = here, 0
-    while up.parent is not None and up.tag not in borders:
-        if up.tag in tags:
-            return up.parent, depth - n - 1
-        up, n = up.parent, n + 1
-    return here, depth
+
+def decoded(text: str) -> str:
+    """Character references decoded; numbers beyond all characters become the replacement character."""
+    if "&#" in text:
+        text = _LONG.sub("\ufffd", _LONG_ZERO.sub("&#", text))
+    return html.unescape(text)
 
 
 def _plain(pieces: list[str]) -> str:
-    return " ".join(html.unescape("".join(pieces)).split())
+    return " ".join(decoded("".join(pieces)).split())
 
 
 def blocks(root: Element) -> Iterator[tuple[Element, str, int]]:
@@ -163,13 +222,42 @@ def blocks(root: Element) -> Iterator[tuple[Element, str, int]]:
         yield holder, text, len(_plain(linked))
 
 
+def _weigh(every: list[Element], found: list[tuple[Element, str, int]]) -> None:
+    """Letters, letters in links and titles of all elements, those of their descendants included."""
+    for e in every:
+        e.letters = e.linked = 0
+    for holder, text, linked in found:
+        holder.letters += len(text)
+        holder.linked += linked
+    for e in reversed(every):
+        if e.parent is not None:
+            e.parent.letters += e.letters
+            e.parent.linked += e.linked
+            e.parent.titled |= e.titled
+
+
+def _keeps_names(every: list[Element]) -> bool:
+    """Take back names that would leave out the title and most of the plain text. Whether any name is left."""
+    named = [e for e in every if e.named]
+    if named:
+        for e in named:
+            e.named = False
+        _weigh(every, list(blocks(every[0])))
+        most = 0.5 * (every[0].letters - every[0].linked)
+        for e in named:
+            e.named = not (e.titled and e.letters - e.linked > most)
+    return any(e.named for e in named)
+
+
 def main_text(page: str) -> str:
     """Blocks of the article, joined by two line ends."""
-    top = read(page)
-    found = list(blocks(top))
+    every = read(page)
+    _keeps_names(every)
+    found = list(blocks(every[0]))
+    _weigh(every, found)
     scored: dict[int, Element] = {}
     for holder, text, linked in found:
-        points = 1 + text.count(",") + text.count("，") + min(len(text) / 100, 3.0)
+        points = 1 + text.count(",") + text.count("\uff0c") + min(len(text) / 100, 3.0)
         node = holder.parent if holder.tag in ("p", "pre") and holder.parent else holder
         share = 1.0
         for level in range(4):
@@ -178,11 +266,6 @@ def main_text(page: str) -> str:
             node.points += points * share
             scored[id(node)] = node
             node, share = node.parent, (0.5 if level == 0 else share * 0.5)
-        up: Element | None = holder
-        while up is not None:
-            up.letters += len(text)
-            up.linked += linked
-            up = up.parent
 
     def worth(e: Element) -> float:
         bonus = 25.0 if e.tag in ("article", "main") or "main" in e.words and e.tag != "body" else 5.0 if e.words & INSIDE and e.tag != "body" else 0.0
@@ -193,21 +276,22 @@ def main_text(page: str) -> str:
     best = max(scored.values(), key=worth)
     keep = {id(best)}
     if best.parent is not None and best.tag not in ("article", "main"):
-        least = max(10.0, 0.2 * worth(best))
         for x in best.parent.inside:
-            if isinstance(x, Element) and not x.outside():
-                plain = x.linked / max(1, x.letters)
-                if id(x) in scored and worth(x) >= least or x.tag in ("p", *HEADINGS) and plain < 0.25 and x.letters > (80 if x.tag == "p" else 0):
+            if isinstance(x, Element) and x.letters and not x.outside() and x.linked < 0.25 * x.letters:
+                holds_p = x.tag == best.tag and any(isinstance(y, Element) and y.tag == "p" for y in x.inside)
+                if holds_p or x.tag in ("p", "blockquote", "pre", *HEADINGS) or id(x) in scored and worth(x) >= 0.2 * worth(best):
                     keep.add(id(x))
-
-    def kept(e: Element | None) -> bool:
-        while e is not None:
-            if id(e) in keep:
-                return True
-            e = e.parent
-        return False
-
-    return "\n\n".join(text for holder, text, linked in found if kept(holder) and not (linked > 0.8 * len(text) and holder.tag in ("li", "ul", "ol", "div", "td")))
+    # Parents come before their children, so one walk tells for each element whether it is kept and marked as the article.
+    kept: dict[int, tuple[bool, bool]] = {}
+    for e in every:
+        up = kept[id(e.parent)] if e.parent is not None else (False, False)
+        kept[id(e)] = (up[0] or id(e) in keep, up[1] or e.tag in ("article", "main"))
+    out = [(holder, text, linked > 0.8 * len(text) and holder.tag in ("li", "ul", "ol", "div", "td", "dd", "dt") and not kept[id(holder)][1]) for holder, text, linked in found if kept[id(holder)][0]]
+    plain = [i for i, (_, _, menu) in enumerate(out) if not menu]
+    if plain:
+        last = plain[-1]
+        out = out[plain[0] :] if out[last][0].tag in HEADINGS else out[plain[0] : last + 1]
+    return "\n\n".join(text for _, text, _ in out)
 
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

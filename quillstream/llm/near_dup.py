@@ -16,9 +16,10 @@ the family as a stream: a task holds one block, and what leaves it is a forest o
 the exact bags overlap by 0.8 or more. The class of a document is the smallest doc_id of its connected component.
 
 Defined cases: words are runs of ASCII letters, digits and non-ASCII characters in lower case; a text of fewer
-than five words is one shingle; texts without a word (null, empty) form one class; repeated rows of a doc_id
-get the same class; rows with a null doc_id keep their class of equal bags; an empty table gives an empty
-result; other columns are ignored.
+than five words is one shingle; texts without a word (null, empty) form one class; rows are told apart by doc_id and
+text, so rows of one doc_id get the class of their own text; rows with a null doc_id take part, come after all others
+and give a null class where they are alone in it; texts of any length are read whole; an empty table gives an
+empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -30,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import durable, table
+from .common import durable, release, table
 from .graph import components
 from .wordhash import U64, Words, bitmap_of, mix, pieces, seeded, signed
 
@@ -114,7 +115,7 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             keys = seeded(keys, 5) ^ seeded(np.arange(BANDS, dtype=U64), 6)
             size = np.bincount(doc, weight, n).astype(np.int64)
             bands = pa.ListArray.from_arrays(pa.array(np.arange(0, n * BANDS + 1, BANDS, dtype=np.int32)), pa.array(signed(keys).reshape(-1)))
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(signed(one)), pa.array(signed(two)), pa.array(size), bands], names=["doc_id", "bag1", "bag2", "n", "bands"])
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(signed(one)), pa.array(signed(two)), pa.array(size), bands], names=["node", "bag1", "bag2", "n", "bands"])
 
 
 def _bag_rows(wanted) -> object:
@@ -126,7 +127,7 @@ def _bag_rows(wanted) -> object:
                 doc, shingle, weight = bags(Words(data, offsets), part.num_rows)
                 packed = np.stack([shingle, weight.astype(U64)], axis=1)
                 ends = np.searchsorted(doc, np.arange(part.num_rows + 1))
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([packed[a:b].tobytes() for a, b in zip(ends, ends[1:])], pa.binary())], names=["doc_id", "bag"])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([packed[a:b].tobytes() for a, b in zip(ends, ends[1:])], pa.binary())], names=["node", "bag"])
 
     return run
 
@@ -158,16 +159,16 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def packed_bags(ids: DataFrame, docs: DataFrame) -> DataFrame:
-    """``doc_id, bag`` of the documents listed in ``ids`` and of few others. ``docs``: doc_id and lower-case text."""
+    """``node, bag`` of the documents listed in ``ids`` and of few others. ``docs``: node and lower-case text."""
     wanted = docs.sparkSession.sparkContext.broadcast(bitmap_of(ids.mapInArrow(_mixed, "h long"), "h"))
-    return durable(docs.mapInArrow(_bag_rows(wanted), "doc_id long, bag binary").dropDuplicates(["doc_id"]), "bags")
+    return durable(docs.mapInArrow(_bag_rows(wanted), "node long, bag binary").dropDuplicates(["node"]), "bags")
 
 
 def verified(pairs: DataFrame, packed: DataFrame) -> DataFrame:
     """``a, b, same`` for distinct ``pairs`` (pivot a, member b)."""
     salts = pairs.groupBy("a").agg(F.count("*").alias("members")).select("a", (F.floor(F.col("members") / MEMBERS_PER_SALT) + 1).alias("salts"))
-    pivots = packed.join(salts, packed.doc_id == salts.a).select("a", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(None).cast("long").alias("b"), "bag")
-    members = pairs.join(salts, "a").join(packed, pairs.b == packed.doc_id).select("a", F.pmod(F.xxhash64("b"), F.col("salts")).alias("salt"), "b", "bag")
+    pivots = packed.join(salts, packed.node == salts.a).select("a", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(None).cast("long").alias("b"), "bag")
+    members = pairs.join(salts, "a").join(packed, pairs.b == packed.node).select("a", F.pmod(F.xxhash64("b"), F.col("salts")).alias("salt"), "b", "bag")
     return pivots.unionByName(members).repartition("a", "salt").sortWithinPartitions("a", "salt", F.col("b").asc_nulls_first()).mapInArrow(_verify, "a long, b long, same boolean")
 
 
@@ -215,7 +216,7 @@ def _leftovers(stars: DataFrame, linked: DataFrame, packed: DataFrame) -> DataFr
     size = named.groupBy("family", "label").count()
     main = size.groupBy("family").agg(F.max_by("label", F.struct("count", "label")).alias("main"), F.sum("count").alias("all"), F.max("count").alias("most")).where("all > most")
     split = main.select("family", "main", F.ceil((F.col("all") - F.col("most")) / BLOCK).alias("blocks"))
-    met = named.join(split, "family").join(packed, named.rep == packed.doc_id).select("family", "rep", "label", "bag", "main", "blocks")
+    met = named.join(split, "family").join(packed, named.rep == packed.node).select("family", "rep", "label", "bag", "main", "blocks")
     ask = met.where("label <> main").select("family", F.pmod(F.xxhash64("rep"), F.col("blocks")).alias("block"), F.lit(True).alias("asks"), "rep", "label", "bag")
     hear = met.select("family", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(False).alias("asks"), "rep", "label", "bag")
     return ask.unionByName(hear).repartition("family", "block").sortWithinPartitions("family", "block", F.desc("asks")).mapInArrow(_search, "a long, b long")
@@ -226,12 +227,22 @@ def _mixed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(signed(mix(batch.column(0).to_numpy().view(U64))))], names=["h"])
 
 
-def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """``doc_id, class_id`` for every row of ``docs``."""
-    slim = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.lower(F.col(text)).alias("text"))
-    signed_docs = durable(slim.mapInArrow(_sign, "doc_id long, bag1 long, bag2 long, n long, bands array<long>"), "bag-signatures")
-    reps = durable(signed_docs.groupBy("bag1", "bag2", "n").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands")), "bag-classes")
-    banded = reps.where("n > 0 and rep is not null").select("rep", F.explode("bands").alias("band"))
+def _named(docs: DataFrame, text: str, doc_id: str) -> tuple[DataFrame, bool]:
+    """``node, doc_id, text_hash, text`` of all rows; a node is the doc_id, or a hash of it and the text where doc_ids are null or repeated."""
+    own = F.col(doc_id).cast("long")
+    alone = docs.groupBy(own.alias("i")).count().where("count > 1 or i is null").isEmpty()
+    text_hash = F.xxhash64(F.coalesce(F.col(text), F.lit("")))
+    node = own if alone else F.xxhash64(own, text_hash)
+    return docs.select(node.alias("node"), own.alias("doc_id"), text_hash.alias("text_hash"), F.lower(F.col(text)).alias("text")), alone
+
+
+def _classes(docs: DataFrame, text: str, doc_id: str) -> DataFrame:
+    """``node, doc_id, text_hash, label``: rows of one class have one label, the smallest node of theirs."""
+    named, alone = _named(docs, text, doc_id)
+    slim = named.select("node", "text")
+    signed_docs = durable(slim.mapInArrow(_sign, "node long, bag1 long, bag2 long, n long, bands array<long>"), "bag-signatures")
+    reps = durable(signed_docs.groupBy("bag1", "bag2", "n").agg(F.min("node").alias("rep"), F.first("bands").alias("bands")), "bag-classes")
+    banded = reps.where("n > 0").select("rep", F.explode("bands").alias("band"))
     shared = banded.groupBy("band").agg(F.count("*").alias("size")).where("size > 1")
     buckets = durable(banded.join(shared, "band").select("band", "rep", "size"), "buckets")  # few beside the bands of all documents
     small, large = buckets.where(F.col("size") <= SMALL), buckets.where(F.col("size") > SMALL)
@@ -240,21 +251,44 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id")
     middle = large.join(common, "rep").groupBy("band").agg(F.max_by("rep", F.struct("common", -F.col("rep"))).alias("a"))
     stars = durable(large.join(middle, "band").where("rep <> a").select("a", F.col("rep").alias("b")).distinct(), "stars")
     pairs = durable(alike.unionByName(stars).distinct(), "pairs")
-    packed = packed_bags(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), slim.where("doc_id is not null"))
+    packed = packed_bags(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), slim)
     links = durable(verified(pairs, packed).where("same").select("a", "b"), "links")
     linked = components(links)
     if not stars.isEmpty():
         linked = components(linked.select(F.col("node").alias("a"), F.col("label").alias("b")).unionByName(_leftovers(stars, linked, packed)))
-    classes = reps.join(linked, reps.rep == linked.node, "left").select("bag1", "bag2", "n", F.coalesce("label", "rep").alias("class_id"))
-    return signed_docs.join(classes, ["bag1", "bag2", "n"]).select("doc_id", "class_id")
+    release(buckets, pairs, links)
+    joined = linked.withColumnRenamed("node", "rep")
+    labels = reps.join(joined, "rep", "left").select("bag1", "bag2", "n", F.coalesce("label", "rep").alias("label"))
+    found = signed_docs.select("node", "bag1", "bag2", "n").join(labels, ["bag1", "bag2", "n"]).select("node", "label")
+    if alone:
+        return found.select("node", F.col("node").alias("doc_id"), F.lit(0).cast("long").alias("text_hash"), "label")
+    names = named.select("node", "doc_id", "text_hash").distinct()
+    return durable(found.distinct(), "row-classes").join(names, "node")
+
+
+def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+    """``doc_id, class_id`` for every row of ``docs``."""
+    named, alone = _named(docs, text, doc_id)
+    classes = _classes(docs, text, doc_id)
+    if alone:
+        return classes.select("doc_id", F.col("label").alias("class_id"))
+    least = classes.groupBy("label").agg(F.min("doc_id").alias("class_id"))
+    return named.select("node", "doc_id").join(classes.select("node", "label"), "node").join(least, "label").select("doc_id", "class_id")
 
 
 def keep_first(docs: DataFrame) -> DataFrame:
-    """The documents of which no smaller doc_id is a near copy, all columns kept; a repeated doc_id stays once, a null one always."""
-    firsts = near_duplicates(docs).where("doc_id = class_id").select("doc_id").distinct()
-    one = F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))
-    kept = docs.join(firsts, "doc_id", "left_semi").withColumn("_turn", one).where("_turn = 1").drop("_turn")
-    return kept.select(*docs.columns).unionByName(docs.where("doc_id is null"))
+    """The first row of each class of near copies, by doc_id and then text; all columns kept."""
+    classes = _classes(docs, "text", "doc_id")
+    name = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")
+    firsts = classes.groupBy("label").agg(F.min(name).alias("f")).select(F.col("f.doc_id").alias("_d"), F.col("f.text_hash").alias("_h"))
+    own = F.xxhash64(F.coalesce("text", F.lit("")))
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col("_d")) & ((F.col("_h") == 0) | (F.col("_h") == own))
+    kept = docs.join(firsts, same, "left_semi")
+    _, alone = _named(docs, "text", "doc_id")
+    if not alone:  # rows that are equal in doc_id and text
+        turn = F.row_number().over(Window.partitionBy("doc_id", own).orderBy(F.lit(0)))
+        kept = kept.withColumn("_turn", turn).where("_turn = 1")
+    return kept.select(*docs.columns)
 
 
 def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:

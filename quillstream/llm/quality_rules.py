@@ -2,9 +2,12 @@
 
 Every document gets counts of words, symbols, repeated lines and repeated word windows. The fixed base
 rules reject some documents; the others are held against fences that come from mergeable KLL quantile
-sketches of each (lang, source) group. Sketches of small groups give way to the merged sketch of their
-language, and that to the merged sketch of the corpus. A fence lies ``REACH`` interquartile ranges
-beyond the quartile, and never nearer to it than ``ROOM``, so that a uniform group keeps all it has.
+sketches of each (lang, source) group. A fence lies beyond a high (or low) quantile by ``TAIL`` times the distance
+of that quantile from the median, so it follows the spread of the group. Symbols and word lengths are measured at the
+first or last tenth, which junk of less than a tenth of a group does not move; repeats, which most groups have
+a few of, at the last hundredth. Rates count what goes beyond ``FREE`` occurrences, so that no single event rejects a short text. Small
+groups borrow: the fence of a group of n documents is its own by n / (n + ``BORROW``), and for the rest that of
+its language, which borrows from the corpus in the same way; all come from the same sketches, merged.
 
 Defined cases: a null text is empty; a null lang or source is a group of its own; an empty table gives an
 empty result; repeated rows are each judged; other columns of the input are ignored.
@@ -18,9 +21,14 @@ from pyspark.sql import functions as F
 from .common import ascii_words, durable, let, table
 
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
-SKETCH_K, LEAST_GROUP, REACH = 1024, 200, 3.0
-#: Feature, the side on which it is bad, and the least distance of a fence from its quartile.
-ROOM = {"word_length": ("both", 2.5), "symbol_ratio": ("high", 0.10), "dup_line_ratio": ("high", 0.50), "repeat_ratio": ("high", 0.30)}
+SKETCH_K, TAIL, BORROW = 1024, 3.0, 200
+#: Feature: its count, what it is counted per, the occurrences that are free, and the quantiles of its low and high fence.
+FEATURES = {
+    "word_length": ("word_chars", "n_words", 0, (0.1, 0.9)),
+    "symbol_ratio": ("n_symbols", "n_words", 2, (None, 0.9)),
+    "dup_line_ratio": ("n_dup_lines", "n_lines", 2, (None, 0.99)),
+    "repeat_ratio": ("n_repeat_words", "n_words", 6, (None, 0.99)),
+}
 
 
 def _repeated(words: Column) -> Column:
@@ -61,32 +69,38 @@ def features(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> Dat
 
 
 def _rates(df: DataFrame) -> DataFrame:
-    per = lambda a, b: F.when(F.col(b) > 0, F.col(a) / F.col(b)).otherwise(0.0)
-    return df.withColumns({"word_length": per("word_chars", "n_words"), "symbol_ratio": per("n_symbols", "n_words"), "dup_line_ratio": per("n_dup_lines", "n_lines"), "repeat_ratio": per("n_repeat_words", "n_words")})
+    rate = lambda count, per, free: F.when(F.col(per) > 0, F.greatest(F.col(count) - free, F.lit(0)) / F.col(per)).otherwise(0.0)
+    return df.withColumns({name: rate(count, per, free) for name, (count, per, free, _) in FEATURES.items()})
+
+
+def _fence(sketches: str, feature: str, q: float) -> Column:
+    at, middle = (F.kll_sketch_get_quantile_double(F.col(f"{sketches}.{feature}"), F.lit(x)) for x in (q, 0.5))
+    return at + TAIL * (at - middle)
 
 
 def fences(rated: DataFrame) -> DataFrame:
     """``lang, source`` and a low and a high fence for each feature. ``rated`` holds the documents that passed the base rules."""
-    sketched = durable(rated.groupBy("lang", "source").agg(F.count("*").alias("n"), *[F.kll_sketch_agg_double(c, SKETCH_K).alias(c) for c in ROOM]), "rule-sketches")
+    sketched = durable(rated.groupBy("lang", "source").agg(F.count("*").alias("n"), *[F.kll_sketch_agg_double(c, SKETCH_K).alias(c) for c in FEATURES]), "rule-sketches")
 
     def merged(*keys: str) -> DataFrame:
-        return sketched.groupBy(*keys).agg(F.sum("n").alias("n"), *[F.kll_merge_agg_double(c, SKETCH_K).alias(c) for c in ROOM])
+        return sketched.groupBy(*keys).agg(F.sum("n").alias("n"), *[F.kll_merge_agg_double(c, SKETCH_K).alias(c) for c in FEATURES])
 
-    level = lambda df, tag: df.select(*[c for c in ("lang", "source") if c in df.columns], F.struct("n", *ROOM).alias(tag))
+    level = lambda df, tag: df.select(*[c for c in ("lang", "source") if c in df.columns], F.struct("n", *FEATURES).alias(tag))
     joined = (
         level(sketched, "own")
         .join(level(merged("lang"), "of_lang").withColumnRenamed("lang", "l"), F.col("lang").eqNullSafe(F.col("l")), "left")
         .join(F.broadcast(level(merged(), "of_all")), F.lit(True), "left")  # one row
     )
-    best = F.when(F.col("own.n") >= LEAST_GROUP, F.col("own")).when(F.col("of_lang.n") >= LEAST_GROUP, F.col("of_lang")).otherwise(F.col("of_all"))
-    picked = joined.select("lang", "source", best.alias("s"))
+    part = lambda tag: F.col(f"{tag}.n") / (F.col(f"{tag}.n") + BORROW)
     out = []
-    for c, (side, room) in ROOM.items():
-        q1, q3 = (F.kll_sketch_get_quantile_double(F.col(f"s.{c}"), F.lit(q)) for q in (0.25, 0.75))
-        reach = F.greatest(REACH * (q3 - q1), F.lit(room))
-        out.append((q1 - reach if side == "both" else F.lit(float("-inf"))).alias(f"{c}_low"))
-        out.append((q3 + reach).alias(f"{c}_high"))
-    return picked.select("lang", "source", *out)
+    for c, (_, _, _, (low, high)) in FEATURES.items():
+        for side, q in (("low", low), ("high", high)):
+            if q is None:
+                out.append(F.lit(float("-inf")).alias(f"{c}_{side}"))
+                continue
+            wider = part("of_lang") * _fence("of_lang", c, q) + (1 - part("of_lang")) * _fence("of_all", c, q)
+            out.append((part("own") * _fence("own", c, q) + (1 - part("own")) * wider).alias(f"{c}_{side}"))
+    return joined.select("lang", "source", *out)
 
 
 def judge(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
@@ -96,11 +110,11 @@ def judge(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFr
     rated = _rates(counted).withColumn("base_failed", failed)
     limits = fences(rated.where(~F.col("base_failed"))).withColumnsRenamed({"lang": "l", "source": "s"})
     within = F.lit(True)
-    for c in ROOM:
+    for c in FEATURES:
         within = within & F.col(c).between(F.col(f"{c}_low"), F.col(f"{c}_high"))
     met = rated.join(limits, F.col("lang").eqNullSafe(F.col("l")) & F.col("source").eqNullSafe(F.col("s")), "left")
     kept = ~F.col("base_failed") & F.coalesce(within, F.lit(False))
-    return met.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", kept.alias("kept"), "lang", "source", *ROOM)
+    return met.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", kept.alias("kept"), "lang", "source", *FEATURES)
 
 
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

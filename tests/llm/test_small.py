@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -306,6 +307,39 @@ def test_op6_adapts(spark):
     assert not kept[5000] and kept[5001] and sum(kept.values()) == len(rows) - 1
 
 
+def test_op6_against_plain_quantiles(spark):
+    """Every verdict follows from quantiles of plain sorted lists; groups of one, a few and some hundred documents, a null lang."""
+    rng = random.Random(16)
+    rows = []
+    for lang, source, n in (("en", "a", 180), ("en", "b", 40), ("de", "a", 1), (None, "c", 25), ("de", None, 120)):
+        for _ in range(n):
+            text = prose(rng, rng.randrange(50, 90)) + " #" * rng.choice([0, 0, 0, 0, 0, 1, 4, 30]) + "".join(f"\nsame line {rng.randrange(4)}" for _ in range(rng.choice([0, 0, 0, 9])))
+            rows.append((len(rows), text, lang, source))
+    got = {r.doc_id: r for r in quality_rules.judge(frame(spark, rows)).collect()}
+    rates = {c: {i: getattr(got[i], c) for i in got if not got[i].base_failed} for c in quality_rules.FEATURES}
+
+    def fence(values, q):
+        at, middle = (sorted(values)[max(0, math.ceil(x * len(values) - 1e-9) - 1)] for x in (q, 0.5))
+        return at + quality_rules.TAIL * (at - middle)
+
+    rejected = 0
+    for i, _, lang, source in rows:
+        good = not got[i].base_failed
+        for c, (_, _, _, sides) in quality_rules.FEATURES.items():
+            if not good:
+                break
+            own = [v for j, v in rates[c].items() if rows[j][2:4] == (lang, source)]
+            wide = [v for j, v in rates[c].items() if rows[j][2] == lang]
+            for side, q in zip(("low", "high"), sides):
+                if q is not None:
+                    p, w = len(own) / (len(own) + quality_rules.BORROW), len(wide) / (len(wide) + quality_rules.BORROW)
+                    edge = p * fence(own, q) + (1 - p) * (w * fence(wide, q) + (1 - w) * fence(list(rates[c].values()), q))
+                    good = good and (rates[c][i] >= edge - 1e-12 if side == "low" else rates[c][i] <= edge + 1e-12)
+        assert got[i].kept == good, i
+        rejected += not good and not got[i].base_failed
+    assert rejected > 5
+
+
 def test_op8_learns(spark, none):
     rng = random.Random(7)
     rows = [(i, prose(rng, 60) if i % 2 else " ".join(f"{w.upper()}!!" for w in prose(rng, 60).split()), "en", "s") for i in range(400)] + [(900, None, None, None), (901, "", "en", "s"), (None, "text", "en", "s")]
