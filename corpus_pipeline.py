@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from quillstream.llm import contamination, line_dedup, near_dup, packing, quality_model
-from quillstream.llm.common import durable, table
+from quillstream.llm.common import durable, release, table
 
 
 def classify_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -50,7 +50,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, written = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
         docs = durable(stage(spark, docs, sf_dir), name)
+        if written is not None:
+            release(written)
+        written = docs
     return docs
