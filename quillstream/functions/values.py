@@ -52,9 +52,10 @@ def indian_grouping(whole: Column) -> Column:
 
 
 def byte_size(n: Column) -> Column:
-    """O-MTH-9."""
+    """Whole bytes, whole kilobytes (halves up), megabytes with one decimal (O-MTH-9)."""
     kb, mb = 1024, 1024 * 1024
-    return F.when(n < kb, F.concat(n.cast("string"), F.lit(" B"))).when(n < mb, F.format_string("%.1f KB", n / kb)).otherwise(F.format_string("%.1f MB", n / mb))
+    whole = F.floor(n / kb + F.lit(0.5)).cast("string")
+    return F.when(n < kb, F.concat(n.cast("string"), F.lit(" B"))).when(n < mb, F.concat(whole, F.lit(" KB"))).otherwise(F.format_string("%.1f MB", n / mb))
 
 
 def base36(n: Column) -> Column:
@@ -109,3 +110,13 @@ def ago(seconds: Column) -> Column:
     d = F.round(h / 24)
     s = lambda n, unit: F.concat(n.cast("long").cast("string"), F.lit(unit))
     return F.when(m < 1, F.lit("just now")).when(m < 60, s(m, "m ago")).when(h < 24, s(h, "h ago")).otherwise(s(d, "d ago"))
+
+
+def since_days(ts: Column, now: Column, days: int) -> Column:
+    """Whether an instant lies in the last ``days`` days before ``now`` (O-DAT-7)."""
+    return ts >= before(now, days * 86400)
+
+
+def before(ts: Column, seconds: int) -> Column:
+    """An instant less a duration (O-DAT-8)."""
+    return ts - F.make_dt_interval(secs=F.lit(seconds))

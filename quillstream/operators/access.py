@@ -66,3 +66,23 @@ def rejected(assigned: DataFrame, catalogue: DataFrame, key: str) -> DataFrame:
 def can_revoke(actor: Column, target: Column) -> Column:
     """O-FLT-13."""
     return F.lower(actor) != F.lower(target)
+
+
+def listed(roles: DataFrame) -> DataFrame:
+    """Built-in roles first, then by name (O-SRT-5)."""
+    return roles.orderBy(F.desc("built_in"), "name")
+
+
+def shown(tickets: DataFrame, status: str = "all", sensitive: bool = False) -> DataFrame:
+    """The filters of the ticket lists (O-FLT-11): ``open`` is all that is not resolved, null included; sensitive is priority critical."""
+    if status == "open":
+        tickets = tickets.where(~F.col("status").eqNullSafe("resolved"))
+    elif status != "all":
+        tickets = tickets.where(F.col("status") == status)
+    return tickets.where(F.col("priority") == "critical") if sensitive else tickets
+
+
+def grants_console(role_names: Column, roles: DataFrame) -> Column:
+    """Whether any of the names is a role with the console permission; ``roles`` is a literal table of at most some dozens (O-JOIN-20)."""
+    names = [r.name for r in roles.where(F.array_contains("permissions", "console")).select("name").limit(1000).collect()]
+    return F.arrays_overlap(role_names, F.array(*[F.lit(n) for n in names]).cast("array<string>"))

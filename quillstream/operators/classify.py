@@ -33,8 +33,8 @@ def intent_scores(questions: DataFrame, models: DataFrame, key: str = "item_id")
     """``key, intent, score``: weight of an intent's terms that a question has. Intents without a shared term score 0; ``models`` is a literal table (O-CLS-1, O-JOIN-15)."""
     asked = questions.select(key, F.explode(F.array_distinct(text.terms(F.col("text")))).alias("term"))
     totals = models.groupBy("intent").agg(F.sum("w").alias("total"))
-    hits = asked.join(F.broadcast(models), "term").groupBy(key, "intent").agg(F.sum("w").alias("got"))
-    every = asked.select(key).distinct().join(F.broadcast(totals))
+    hits = asked.join(models, "term").groupBy(key, "intent").agg(F.sum("w").alias("got"))
+    every = asked.select(key).distinct().crossJoin(totals)  # every question meets every intent
     return every.join(hits, [key, "intent"], "left").select(key, "intent", F.round(F.coalesce("got", F.lit(0.0)) / F.col("total"), 9).alias("score"))
 
 

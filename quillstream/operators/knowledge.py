@@ -1,7 +1,7 @@
 """A knowledge base on a folder of Parquet tables: ingest, list, remove, re-index and ask.
 
-The embedder and the answer model are callables that the caller supplies (batches of texts in, vectors or texts out);
-without them the base works on words alone and answers with passages. Answering: O-RUL-9, O-PRJ-7, O-SNK-14.
+The embedder is a callable that the caller supplies (a batch of texts in, vectors out); without it the base works on
+words alone. Answers are passages. Answering: O-RUL-9, O-RUL-10, O-PRJ-7, O-SNK-14.
 """
 
 from __future__ import annotations
@@ -14,6 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import text
 from ..sources import readers
 from . import answers, chunking, search
 
@@ -55,18 +56,24 @@ class KnowledgeBase:
         files = readers.ingest(self.spark, path)
         new = files.where("error is null").select(F.xxhash64("filename", "kind").alias("doc_id"), "title", "kind", "filename", "bytes", "text")
         self._write("docs", self.docs().join(new.select("doc_id"), "doc_id", "left_anti").unionByName(new))
-        self.reindex()
+        self.reindex(new.select("doc_id"))
         return files.select("filename", "kind", "bytes", "error")
 
     def remove(self, doc_ids: DataFrame) -> None:
+        """Take documents out, and their passages with them; no other document is chunked again."""
         self._write("docs", self.docs().join(doc_ids.select("doc_id"), "doc_id", "left_anti"))
-        self.reindex()
-
-    def reindex(self) -> None:
-        """Chunk all documents; vectors of passages that are known are kept, the others are made in batches."""
-        made = chunking.chunk(self.docs()).join(self.docs().select("doc_id", "title"), "doc_id")
-        known = self.chunks().where("embedding is not null").select("id", "body", "embedding")
+        self._write("chunks", self.chunks().join(doc_ids.select("doc_id"), "doc_id", "left_anti").select(*self.chunks().columns))
+
+    def reindex(self, doc_ids: DataFrame | None = None) -> None:
+        """Chunk the given documents, or all; vectors of passages that are known are kept, the others are made in batches."""
+        docs, old = self.docs(), self.chunks()
+        rest = old.limit(0)
+        if doc_ids is not None:
+            docs, rest = docs.join(doc_ids.distinct(), "doc_id", "left_semi"), old.join(doc_ids.distinct(), "doc_id", "left_anti").select(*old.columns)
+        made = chunking.chunk(docs).join(docs.select("doc_id", "title"), "doc_id")
+        known = old.where("embedding is not null").select("id", "body", "embedding")
         rows = made.join(known, ["id", "body"], "left").select("id", "doc_id", "idx", "headings", "body", "title", "embedding")
+        rows = rows.unionByName(rest)
         if self.embed:
             rows = rows.where("embedding is not null").unionByName(rows.where("embedding is null").mapInPandas(self._embedder(), rows.schema))
         self._write("chunks", rows)
@@ -90,11 +97,60 @@ class KnowledgeBase:
     def status(self) -> DataFrame:
         return self.chunks().agg(F.count("*").alias("chunks"), F.countDistinct("doc_id").alias("docs"), F.count("embedding").alias("embedded"), (F.count("*") - F.count("embedding")).alias("pending"))
 
+    def _asked_vectors(self, questions: DataFrame) -> DataFrame:
+        """``question, q``; questions that the embedder fails on have none, and are answered by words alone."""
+        embed = self.embed
+
+        def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for frame in frames:
+                for i in range(0, len(frame), BATCH):
+                    part = frame.iloc[i : i + BATCH]
+                    try:
+                        vectors: list = embed(part["text"].tolist())
+                    except Exception:
+                        continue
+                    if len(vectors) == len(part):
+                        yield pd.DataFrame({"question": part["item_id"], "q": vectors})
+
+        return questions.select("item_id", F.coalesce("text", F.lit("")).alias("text")).mapInPandas(run, "question long, q array<float>")
+
+    def search(self, questions: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """Ranked hits (question, id, doc_id, score, rank) and ``question, top, coverage, confidence`` for questions (item_id, text).
+
+        Words are stems; where there is an embedder, passages with vectors are scored by both. A document fills three quarters of the hits at most.
+        """
+        passages = self._passages()
+        words = passages.select("id", "text")
+        lexical = search.bm25(questions, words, key="id", split=text.tokenize)
+        if self.embed:
+            vectors = passages.where("embedding is not null").select("id", "embedding")
+            near = search.dense(self._asked_vectors(questions), vectors, key="id")
+            scored = search.blended(lexical, near, vectors.select("id"), key="id")
+        else:
+            scored = lexical.withColumnRenamed("lexical", "score")
+        hits = search.diversified(scored.join(passages.select("id", "doc_id"), "id"), "doc_id", key="id")
+        return hits, search.confidence(hits, questions, words, key="id", split=text.tokenize)
+
+    def _passages(self) -> DataFrame:
+        return self.chunks().select(F.xxhash64("id").alias("id"), "doc_id", F.concat_ws("\n", "title", F.array_join("headings", "\n"), "body").alias("text"), "title", "headings", "body", "embedding")
+
     def ask(self, questions: DataFrame) -> DataFrame:
-        """``question, confidence, mode, answer`` for a batch of questions (item_id, text)."""
-        passages = self.chunks().select(F.col("id").alias("doc_id"), F.concat_ws("\n", "title", F.array_join("headings", "\n"), "body").alias("text"), "title", "headings", "body")
-        hits = search.ranked(search.bm25(questions, passages.select("doc_id", "text")).withColumnRenamed("lexical", "score"))
-        sure = search.confidence(hits, questions, passages.select("doc_id", "text"))
-        best = hits.where("rank = 1").join(passages.select("doc_id", "title", "headings", "body"), "doc_id").select("question", answers.label(F.col("title"), F.col("headings")).alias("label"), "body")
-        met = sure.join(best, "question", "left").withColumn("mode", answers.mode(F.col("confidence"), F.lit(False), F.lit(False)))
+        """``question, confidence, mode, answer`` for a batch of questions (item_id, text, and if known previous).
+
+        A question that misses, or a bare follow-up of two words at most that is not sure, is asked again together with the one before
+        it; the second result is taken where it is a hit and the surer one (O-RUL-10).
+        """
+        hits, sure = self.search(questions)
+        best = lambda hits: hits.where("rank = 1").select("question", "id")
+        met = sure.select("question", "confidence").join(best(hits), "question", "left")
+        if "previous" in questions.columns:
+            wider = questions.where(F.trim(F.coalesce("previous", F.lit(""))) != "").select("item_id", F.concat_ws(" ", "previous", "text").alias("text"))
+            more, surer = self.search(wider)
+            second = surer.select("question", F.col("confidence").alias("_c")).join(best(more).withColumnRenamed("id", "_id"), "question", "left")
+            bare = questions.select(F.col("item_id").alias("question"), (F.size(text.tokenize(F.col("text"))) <= 2).alias("_bare"))
+            met = met.join(second, "question", "left").join(bare, "question", "left")
+            taken = F.coalesce(answers.retried(F.col("confidence"), F.col("_c"), F.col("_bare")), F.lit(False))
+            met = met.select("question", F.when(taken, F.col("_c")).otherwise(F.col("confidence")).alias("confidence"), F.when(taken, F.col("_id")).otherwise(F.col("id")).alias("id"))
+        shown = self._passages().select("id", answers.label(F.col("title"), F.col("headings")).alias("label"), "body")
+        met = met.join(shown, "id", "left").withColumn("mode", answers.mode(F.col("confidence"), F.lit(False), F.lit(False)))
         return met.select("question", "confidence", "mode", F.when(F.col("mode") == "extractive", answers.extractive(F.col("confidence"), F.col("label"), F.col("body"))).alias("answer"))

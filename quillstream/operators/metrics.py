@@ -65,3 +65,19 @@ def trailing_count(events: DataFrame, keys: list[str], ts: str, seconds: int = 3
 def first_spelling(rows: DataFrame, name: str, order: str) -> DataFrame:
     """Case-insensitive distinct that keeps the first spelling (O-AGG-20)."""
     return rows.groupBy(F.lower(name).alias("_k")).agg(F.min_by(name, order).alias(name)).drop("_k")
+
+
+def messages_between(threads: DataFrame, start: Column, end: Column, role: str = "user") -> DataFrame:
+    """Messages of a role in the half-open window, from threads with an array of them (O-FLT-4, O-ARR-1).
+
+    A thread's ``updated_at`` is never before its last message, so older threads go before their arrays are exploded;
+    that no optimiser can infer.
+    """
+    fresh = threads.where(F.col("updated_at") >= start)
+    said = fresh.select("thread_id", F.explode("messages").alias("m")).select("thread_id", "m.*")
+    return said.where((F.col("role") == role) & (F.col("at") >= start) & (F.col("at") < end))
+
+
+def alerts(denials: DataFrame, who: str, at: str, threshold: int = 3) -> DataFrame:
+    """Denials that are at least the ``threshold``-th of their subject within an hour (O-STM-4, O-AGG-18)."""
+    return trailing_count(denials.where(F.col(who).isNotNull()), [who], at).where(F.col("recent") >= threshold)

@@ -9,7 +9,10 @@ that share a term with it, and no pair is formed otherwise.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -42,20 +45,24 @@ def term_stats(posted: DataFrame, docs: DataFrame) -> DataFrame:
     return counts.join(F.broadcast(n)).select("term", "df", idf(F.col("df"), F.col("n")).alias("idf"))
 
 
-def question_terms(questions: DataFrame, key: str = "item_id", body: str = "text") -> DataFrame:
+def question_terms(questions: DataFrame, key: str = "item_id", body: str = "text", split: Callable[[Column], Column] = text.terms) -> DataFrame:
     """Distinct terms of each question."""
-    return questions.select(F.col(key).alias("question"), F.explode(F.array_distinct(text.terms(F.col(body)))).alias("term"))
+    return questions.select(F.col(key).alias("question"), F.explode(F.array_distinct(split(F.col(body)))).alias("term"))
 
 
-def bm25(questions: DataFrame, docs: DataFrame, key: str = "doc_id", question_key: str = "item_id") -> DataFrame:
-    """``question, key, lexical``: saturated BM25 of every passage that shares a term with a question (O-AGG-11, O-JOIN-6)."""
-    posted = postings(docs, key)
-    asked = question_terms(questions, question_key)
-    # Only postings of asked terms leave the tokenising stage; lengths and document frequencies come from all postings.
-    lengths = posted.groupBy(key).agg(F.sum("tf").alias("len"))
-    stats = lengths.agg(F.avg("len").alias("avg_some"), F.sum("len").alias("total")).join(docs.agg(F.count("*").alias("n")))
+def bm25(questions: DataFrame, docs: DataFrame, key: str = "doc_id", question_key: str = "item_id", split: Callable[[Column], Column] = text.terms) -> DataFrame:
+    """``question, key, lexical``: saturated BM25 of every passage that shares a term with a question (O-AGG-11, O-JOIN-6).
+
+    ``split`` makes terms of a text: plain words, or stems by ``text.tokenize``.
+    """
+    asked = question_terms(questions, question_key, split=split)
+    # Lengths stand in the row that the terms come from, and only asked terms leave the tokenising stage.
+    worded = docs.select(key, split(F.col("text")).alias("terms"))
+    stats = worded.agg(F.count("*").alias("n"), F.sum(F.size("terms")).alias("total"))  # one row
+    spread = worded.select(key, F.size("terms").alias("len"), F.explode("terms").alias("term"))
+    posted = spread.join(asked.select("term").distinct(), "term", "left_semi").groupBy(key, "term").agg(F.count("*").alias("tf"), F.first("len").alias("len"))
     frequency = posted.groupBy("term").agg(F.count("*").alias("df"))
-    met = asked.join(posted, "term").join(frequency, "term", "left").join(lengths, key).join(F.broadcast(stats))
+    met = asked.join(posted, "term").join(frequency, "term").join(F.broadcast(stats))
     norm = 1 - B + B * (F.col("len") / F.greatest(F.lit(1.0), F.col("total") / F.col("n")))
     weight = F.coalesce(idf(F.col("df"), F.col("n")), F.lit(UNSEEN_IDF))
     raw = F.sum(weight * (F.col("tf") * (K1 + 1)) / (F.col("tf") + K1 * norm))
@@ -77,10 +84,43 @@ def diversified(scored: DataFrame, group: str, k: int = TOP_K, by: str = "questi
     return marked.withColumn("late", (F.col("place") > most).cast("int")).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row per batch: the ids and the vectors at unit length, as bytes."""
+    for batch in batches:
+        rows = [(i, v) for i, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) if i is not None and v and any(v)]
+        if rows:
+            matrix = np.array([v for _, v in rows], np.float64)
+            matrix /= np.sqrt((matrix * matrix).sum(axis=1, keepdims=True))
+            ids = np.array([i for i, _ in rows], np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array([ids.tobytes()], pa.binary()), pa.array([matrix.tobytes()], pa.binary())], names=["ids", "matrix"])
+
+
+def _nearest(floor: float, limit: int):
+    """(question, key, cosine) of the nearest vectors of each pair of blocks."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for v_ids, v, q_ids, q in zip(*[batch.column(c).to_pylist() for c in ("ids", "matrix", "q_ids", "q_matrix")]):
+                keys, asked = np.frombuffer(v_ids, np.int64), np.frombuffer(q_ids, np.int64)
+                cosine = np.frombuffer(q, np.float64).reshape(len(asked), -1) @ np.frombuffer(v, np.float64).reshape(len(keys), -1).T
+                for i, row in zip(asked.tolist(), cosine):
+                    near = np.flatnonzero(row >= floor)
+                    near = near[np.lexsort((keys[near], -np.round(row[near], 9)))[:limit]]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(near), i)), pa.array(keys[near]), pa.array(row[near])], names=["question", "key", "cosine"])
+
+    return run
+
+
 def dense(questions: DataFrame, vectors: DataFrame, floor: float = DENSE_FLOOR, limit: int = DENSE_LIMIT, key: str = "vec_id") -> DataFrame:
-    """``question, key, cosine``: for a small stated set of questions (question, q), its nearest vectors (O-FLT-9)."""
-    met = vectors.join(F.broadcast(questions))  # a stated question set against all vectors, in blocks
-    close = met.select("question", key, values.cosine(F.col("q"), F.col("embedding")).alias("cosine")).where(F.col("cosine") >= floor)
+    """``question, key, cosine``: for a stated set of questions (question, q), its nearest vectors (O-FLT-9).
+
+    Norms are worked out once per vector. Blocks of questions meet blocks of vectors, one matrix product each, and what leaves a
+    pair of blocks is ``limit`` rows per question at most. Rows without a vector, or with one of zeros only, are near nothing.
+    """
+    pack = "ids binary, matrix binary"
+    ours = questions.select(F.col("question").cast("long"), "q").mapInArrow(_packed, pack).select(F.col("ids").alias("q_ids"), F.col("matrix").alias("q_matrix"))
+    met = vectors.select(F.col(key).cast("long"), "embedding").mapInArrow(_packed, pack).crossJoin(ours)  # of blocks
+    close = met.mapInArrow(_nearest(floor, limit), "question long, key long, cosine double").withColumnRenamed("key", key)
     order = Window.partitionBy("question").orderBy(F.desc(F.round("cosine", 9)), key)
     return close.withColumn("place", F.row_number().over(order)).where(F.col("place") <= limit).drop("place")
 
@@ -100,11 +140,12 @@ def penalised(scored: DataFrame, owners: DataFrame, active: Column, key: str = "
     return met.withColumn("score", F.when(F.col("owner").isNotNull() & (F.col("owner") != active), F.col("score") * FOREIGN_PLAN).otherwise(F.col("score")))
 
 
-def confidence(hits: DataFrame, questions: DataFrame, docs: DataFrame, key: str = "doc_id", question_key: str = "item_id") -> DataFrame:
+def confidence(hits: DataFrame, questions: DataFrame, docs: DataFrame, key: str = "doc_id", question_key: str = "item_id", split: Callable[[Column], Column] = text.terms) -> DataFrame:
     """``question, top, coverage, confidence`` from the ranked hits (O-AGG-12, O-MTH-4)."""
-    asked = question_terms(questions, question_key)
+    asked = question_terms(questions, question_key, split=split)
     first = hits.where("rank <= 3").select("question", key)
-    held = docs.select(key, F.explode(F.array_distinct(text.terms(F.col("text")))).alias("term"))
+    seen = docs.join(first.select(key).distinct(), key, "left_semi")  # before the texts are split
+    held = seen.select(key, F.explode(F.array_distinct(split(F.col("text")))).alias("term"))
     covered = asked.join(first, "question").join(held, [key, "term"], "left_semi").groupBy("question").agg(F.countDistinct("term").alias("covered"))
     wanted = asked.groupBy("question").agg(F.count("*").alias("wanted"))
     top = hits.where("rank = 1").select("question", F.col("score").alias("top"))

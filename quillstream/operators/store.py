@@ -6,11 +6,13 @@ Operators: O-SNK-1 to O-SNK-14, O-WIN-5, O-SET-2. A rewritten table goes out thr
 
 from __future__ import annotations
 
-from functools import reduce
+import logging
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import text
+
 
 def upsert(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
     """O-SNK-1."""
@@ -30,9 +32,14 @@ def without(rows: DataFrame, gone: DataFrame, key: str) -> DataFrame:
 
 
 def newest(rows: DataFrame, keys: list[str], order: list[str], exempt: Column) -> DataFrame:
-    """The newest row of each key, and all that are exempt (O-SNK-4, O-WIN-5)."""
-    turn = F.row_number().over(Window.partitionBy(*keys).orderBy(*[F.desc(c) for c in order]))
-    return rows.withColumn("_turn", turn).where((F.col("_turn") == 1) | exempt).drop("_turn")
+    """The newest row of each key, and all that are exempt (O-SNK-4, O-WIN-5).
+
+    An aggregate that combines on the map side finds the newest, so that a key with a third of all rows is no window of its own.
+    """
+    others = [c for c in rows.columns if c not in keys]
+    kept = F.coalesce(exempt, F.lit(False))
+    best = rows.withColumn("_exempt", kept).groupBy(*keys).agg(F.max_by(F.struct(*others, "_exempt"), F.struct(*order)).alias("_r")).select(*keys, "_r.*")
+    return best.where("not _exempt").select(*rows.columns).unionByName(rows.where(kept))
 
 
 def last_write(rows: DataFrame, key: str, order: list[str]) -> DataFrame:
@@ -66,5 +73,24 @@ def with_comment(tickets: DataFrame, comments: DataFrame) -> DataFrame:
     return met.withColumn("comments", F.when(F.col("_c").isNull(), F.col("comments")).otherwise(F.array_append(F.coalesce("comments", F.array().cast(tickets.schema["comments"].dataType)), F.col("_c")))).drop("_c")
 
 
-def all_of(conditions: list[Column]) -> Column:
-    return reduce(lambda a, b: a & b, conditions)
+def audit_event(actor: Column, action: Column, target: Column, detail: Column) -> Column:
+    """O-SNK-8: the detail is cut to 400 characters, the cut marked."""
+    return F.struct(actor.alias("actor"), action.alias("action"), target.alias("target"), text.clip(detail, 400).alias("detail"))
+
+
+def access_event(subject: Column, code: Column, outcome: Column, intent: Column, fields: Column, question: Column, thread: Column) -> Column:
+    """O-SNK-9: no fields are an empty list, the question is cut to 300 characters, the cut marked."""
+    return F.struct(
+        subject.alias("subject"), code.alias("employee_code"), outcome.alias("outcome"), intent.alias("intent"),
+        F.coalesce(fields, F.array().cast("array<string>")).alias("fields"), text.clip(question, 300).alias("question"), thread.alias("thread_id"),
+    )
+
+
+def append(events: DataFrame, folder: str) -> bool:
+    """Append events to a table; a failure is logged and reported, and does not reach the caller's own work (O-SNK-8, O-SNK-9)."""
+    try:
+        events.write.mode("append").parquet(folder)
+        return True
+    except Exception:
+        logging.getLogger(__name__).exception("events were not written to %s", folder)
+        return False

@@ -1,6 +1,6 @@
-"""Sheet and employee ETL: joins to the last detail row, reconciliation, registers, duplicate identities.
+"""Sheet and employee ETL: joins to the last detail row, reconciliation, registers, duplicate identities, facts of a person.
 
-Operators: O-JOIN-1 to O-JOIN-5, O-JOIN-13, O-JOIN-17 to O-JOIN-19, O-AGG-15, O-AGG-16, O-AGG-24, O-WIN-12, O-PRJ-2, O-PRJ-5.
+Operators: O-JOIN-1 to O-JOIN-5, O-JOIN-13, O-JOIN-17 to O-JOIN-19, O-AGG-15, O-AGG-16, O-AGG-24, O-WIN-2, O-WIN-12, O-PRJ-2, O-PRJ-5.
 """
 
 from __future__ import annotations
@@ -71,3 +71,34 @@ def first_choice(wanted: DataFrame, candidates: DataFrame, priority: Column, key
     """Of all candidates of a key the one with the least priority number (O-JOIN-12, O-JOIN-18)."""
     met = wanted.join(candidates, key).withColumn("_p", priority).where(F.col("_p").isNotNull())
     return met.withColumn("_r", F.row_number().over(Window.partitionBy(key, *[c for c in wanted.columns if c != key]).orderBy("_p"))).where("_r = 1").drop("_r", "_p")
+
+
+def latest_appraisal(reviews: DataFrame, who: str) -> DataFrame:
+    """The rated review of the last cycle, by text; of equal cycles the later row (O-WIN-2)."""
+    rated = reviews.where(F.trim(F.coalesce("rating", F.lit(""))) != "")
+    best = F.max_by(F.struct("cycle", "rating"), F.struct(F.coalesce("cycle", F.lit("")), "ord")).alias("r")
+    return rated.groupBy(who).agg(best).select(who, "r.cycle", "r.rating")
+
+
+def input_of(components: DataFrame, inputs: DataFrame, key: str) -> DataFrame:
+    """``key, component, value``: the input that answers a component (O-JOIN-12): its name, else its slab key, else ``*``, else the
+    first input (by ``ord``, then the least value) whose name contains the component's or is contained in it; null where none does."""
+    name = F.lower("component")
+    label = F.lower(F.trim("input"))
+    rule = F.when(label == name, 0).when(label == F.col("slab"), 1).when(label == "*", 2).when(F.contains(name, label) | F.contains(label, name), 3)
+    met = components.join(inputs, key).withColumn("p", rule).where("p is not null")
+    best = met.groupBy(key, "component").agg(F.min_by("value", F.struct("p", "ord", "value")).alias("value"))
+    return components.select(key, "component").join(best, [key, "component"], "left")
+
+
+def with_published(wanted: DataFrame, stored: DataFrame, published: DataFrame, key: str) -> DataFrame:
+    """The stored plan of a key, else the published one (O-JOIN-19): a plan that is absent or cannot be read (null) falls back whole."""
+    own, base = stored.select(key, F.col("plan").alias("_own")), published.select(key, F.col("plan").alias("_base"))
+    met = wanted.join(own, key, "left").join(base, key, "left")
+    return met.select(*wanted.columns, F.coalesce("_own", "_base").alias("plan"), F.col("_own").isNull().alias("is_default"))
+
+
+def facts(fields: Column, sections: dict[str, list[tuple[str, Column]]]) -> Column:
+    """A person's facts as text lines, only of the requested sections and only where there is something to say (O-PRJ-2, O-PRJ-6)."""
+    lines = [F.when(F.array_contains(fields, section) & value.isNotNull() & (F.trim(value.cast("string")) != ""), F.concat(F.lit(f"{label}: "), value.cast("string"))) for section, rows in sections.items() for label, value in rows]
+    return F.array_join(F.array_compact(F.array(*lines)), "\n")

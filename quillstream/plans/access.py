@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import access, metrics
+from ..operators import access, metrics, store
 from ..session import load
 from .registry import query
 
@@ -39,6 +39,33 @@ def tickets_visible(spark: SparkSession, d: str) -> DataFrame:
     return access.visible(tickets, "CUSTOMER#000000007", {access.QUEUE}).select("o_orderkey", "raised_by", "confidential")
 
 
+@query("select name, built_in from (values ('ops', false), ('admin', true), ('agent', true), ('audit', false)) r(name, built_in) order by built_in desc, name")
+def acl_roles_listed(spark: SparkSession, d: str) -> DataFrame:
+    return access.listed(spark.createDataFrame([("ops", False), ("admin", True), ("agent", True), ("audit", False)], "name string, built_in boolean"))
+
+
+@query("select o_orderkey, status, priority from (select o_orderkey, case o_orderstatus when 'F' then 'resolved' when 'O' then 'open' end as status, case when o_orderpriority = '1-URGENT' then 'critical' else 'normal' end as priority from orders) where status is distinct from 'resolved' and priority = 'critical'")
+def tickets_shown(spark: SparkSession, d: str) -> DataFrame:
+    """O-FLT-11."""
+    status = F.when(F.col("o_orderstatus") == "F", "resolved").when(F.col("o_orderstatus") == "O", "open")
+    tickets = load(spark, d, "orders").select("o_orderkey", status.alias("status"), F.when(F.col("o_orderpriority") == "1-URGENT", "critical").otherwise("normal").alias("priority"))
+    return access.shown(tickets, "open", sensitive=True)
+
+
+@query("select conv_id, turn, 'user' as subject, 0 as n_fields, case when length(text) > 300 then left(text, 300) || '…' else text end as question from conversations where role = 'user'")
+def audit_access_events(spark: SparkSession, d: str) -> DataFrame:
+    """O-SNK-9."""
+    none = F.lit(None).cast("string")
+    event = store.access_event(F.col("role"), none, F.lit("allowed"), none, F.lit(None).cast("array<string>"), F.col("text"), none).alias("e")
+    return load(spark, d, "conversations").where("role = 'user'").select("conv_id", "turn", event).select("conv_id", "turn", "e.subject", F.size("e.fields").alias("n_fields"), "e.question")
+
+
+@query("select user_id, event_id, recent from (select user_id, event_id, count(*) over (partition by user_id order by epoch_us(ts) range between 3599999999 preceding and current row) as recent from events where event_type = 'error') where recent >= 3")
+def audit_denial_alerts(spark: SparkSession, d: str) -> DataFrame:
+    """O-STM-4 on stored denials: an alert per event, on the outcome that counts."""
+    return metrics.alerts(load(spark, d, "events").where("event_type = 'error'"), "user_id", "ts").select("user_id", "event_id", "recent")
+
+
 @query("select event_id, user_id from events where event_type = 'purchase' order by ts desc, event_id desc limit 200")
 def audit_recent_by_action(spark: SparkSession, d: str) -> DataFrame:
     return access.recent(load(spark, d, "events"), "ts", "event_id", None, event_type="purchase").select("event_id", "user_id")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import text
 from ..operators import answers, classify
 from ..session import load
+from . import in_sql
 from .registry import query
 
 
@@ -49,7 +50,7 @@ def cls_keyword_flags(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    """with toks as (select item_id, unnest(list_distinct(list_filter(string_split_regex(lower(text), '[^a-z0-9]+'), lambda x: length(x) > 1))) as term from benchmark where item_id < 40),
+    """with toks as (select item_id, unnest(list_distinct(list_filter(string_split_regex(lower(text), '[^a-z0-9]+'), lambda x: length(x) > 1))) as term from benchmark),
  models(intent, term, w) as (values ('leave', 'the', 0.5), ('leave', 'tion', 2.0), ('leave', 'er', 1.5), ('pay', 'th', 2.0), ('pay', 'on', 1.0), ('pay', 'ing', 2.5), ('grade', 'de', 1.0), ('grade', 'la', 1.5), ('grade', 'que', 2.0))
  select item_id, intent, round(sum(case when t.term is not null then w else 0 end) / sum(w), 6) as score from (select distinct item_id from toks) i cross join models m left join toks t using (item_id, term) group by item_id, intent"""
 )
@@ -58,7 +59,7 @@ def cls_intent_score(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    """with toks as (select item_id, unnest(list_distinct(list_filter(string_split_regex(lower(text), '[^a-z0-9]+'), lambda x: length(x) > 1))) as term from benchmark where item_id < 40),
+    """with toks as (select item_id, unnest(list_distinct(list_filter(string_split_regex(lower(text), '[^a-z0-9]+'), lambda x: length(x) > 1))) as term from benchmark),
  models(intent, term, w) as (values ('leave', 'the', 0.5), ('leave', 'tion', 2.0), ('leave', 'er', 1.5), ('pay', 'th', 2.0), ('pay', 'on', 1.0), ('pay', 'ing', 2.5), ('grade', 'de', 1.0), ('grade', 'la', 1.5), ('grade', 'que', 2.0)),
  scored as (select item_id, intent, round(sum(case when t.term is not null then w else 0 end) / sum(w), 9) as score from (select distinct item_id from toks) i cross join models m left join toks t using (item_id, term) group by item_id, intent)
  select item_id, intent, round(score, 6) as score, round(score - second, 6) as margin, coalesce(score - second < 0.1, false) as ambiguous, case when score < 0.3 then 'escalate' when score >= 0.6 then 'answer' else 'clarify' end as decision
@@ -69,7 +70,7 @@ def cls_margin_ambiguity(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _questions(spark: SparkSession, d: str) -> DataFrame:
-    return load(spark, d, "benchmark").where("item_id < 40").select("item_id", "text")
+    return load(spark, d, "benchmark").select("item_id", "text")
 
 
 def _models(spark: SparkSession) -> DataFrame:
@@ -87,7 +88,7 @@ def conv_titles(spark: SparkSession, d: str) -> DataFrame:
     return rows.groupBy("conv_id").agg(F.count("*").alias("turns"), F.max(F.length("text")).cast("long").alias("longest"), title.alias("title"))
 
 
-@query()
+@query(f"""select conv_id, turn, normal, {in_sql.tokens("normal")} as tokens from (select conv_id, turn, {in_sql.normalized("text")} as normal from conversations where role = 'user')""")
 def conv_normalized(spark: SparkSession, d: str) -> DataFrame:
     """O-STR-1 to O-STR-3 on user turns."""
     rows = load(spark, d, "conversations").where("role = 'user'")

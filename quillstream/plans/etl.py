@@ -85,3 +85,53 @@ def etl_stored_or_sent(spark: SparkSession, d: str) -> DataFrame:
     stored = load(spark, d, "lineitem").where("l_returnflag = 'R'").select(F.col("l_orderkey").alias("o_orderkey"), F.lit("stored").alias("h")).distinct()
     met = load(spark, d, "orders").select("o_orderkey", "o_orderpriority").join(stored, "o_orderkey", "left")
     return met.select("o_orderkey", F.coalesce("o_orderpriority", F.lit("")).alias("priority"), F.coalesce("h", F.lit("sent")).alias("history"))
+
+
+@query(
+    """select o_custkey, cycle, rating from (select *, row_number() over (partition by o_custkey order by cycle desc, o_orderkey desc) as r from
+ (select o_custkey, o_orderkey, 'FY ' || extract(year from o_orderdate) as cycle, case when o_orderpriority = '5-LOW' then ' ' else o_orderpriority end as rating from orders) where trim(rating) <> '') where r = 1"""
+)
+def etl_latest_appraisal(spark: SparkSession, d: str) -> DataFrame:
+    """O-WIN-2."""
+    rating = F.when(F.col("o_orderpriority") == "5-LOW", " ").otherwise(F.col("o_orderpriority"))
+    reviews = load(spark, d, "orders").select("o_custkey", F.concat(F.lit("FY "), F.year("o_orderdate").cast("string")).alias("cycle"), rating.alias("rating"), F.col("o_orderkey").alias("ord"))
+    return tables.latest_appraisal(reviews, "o_custkey")
+
+
+_INPUTS = {1: "bookings ", 2: "steps", 3: "*", 4: "margin", 5: "gross margin uplift", 6: "other"}
+
+
+@query(
+    """with c(component, slab) as (values ('Bookings', 'grow'), ('Gross Margin', 'steps'), ('NPS', 'nps')),
+ i as (select l_orderkey as id, l_linenumber as ord, l_quantity::double as value, case l_linenumber when 1 then 'bookings' when 2 then 'steps' when 3 then '*' when 4 then 'margin' when 5 then 'gross margin uplift' when 6 then 'other' end as label from lineitem),
+ m as (select id, ord, value, component, case when label = lower(component) then 0 when label = slab then 1 when label = '*' then 2 when contains(lower(component), label) or contains(label, lower(component)) then 3 end as p from i cross join c),
+ best as (select *, row_number() over (partition by id, component order by p, ord, value) as r from m where p is not null)
+ select o_orderkey as id, c.component, value from orders cross join c left join best b on b.id = o_orderkey and b.component = c.component and r = 1"""
+)
+def etl_component_inputs(spark: SparkSession, d: str) -> DataFrame:
+    """O-JOIN-12."""
+    names = F.create_map(*[x for n, label in _INPUTS.items() for x in (F.lit(n), F.lit(label))])
+    inputs = load(spark, d, "lineitem").select(F.col("l_orderkey").alias("id"), F.col("l_linenumber").alias("ord"), F.col("l_quantity").cast("double").alias("value"), F.try_element_at(names, F.col("l_linenumber").cast("int")).alias("input"))
+    known = F.explode(F.array(*[F.struct(F.lit(c).alias("component"), F.lit(s).alias("slab")) for c, s in (("Bookings", "grow"), ("Gross Margin", "steps"), ("NPS", "nps"))]))
+    components = load(spark, d, "orders").select(F.col("o_orderkey").alias("id"), known.alias("c")).select("id", "c.*")
+    return tables.input_of(components, inputs, "id")
+
+
+@query("""select c_custkey, case when c_mktsegment = 'BUILDING' then 'own plan' else 'standard ' || lower(c_mktsegment) end as plan, c_mktsegment <> 'BUILDING' as is_default from customer where c_mktsegment is not null""")
+def etl_plan_or_published(spark: SparkSession, d: str) -> DataFrame:
+    """O-JOIN-19: one plan is stored, one stored plan cannot be read, the others are published ones."""
+    wanted = load(spark, d, "customer").where("c_mktsegment is not null").select("c_custkey", "c_mktsegment")
+    stored = spark.createDataFrame([("BUILDING", "own plan"), ("MACHINERY", None)], "c_mktsegment string, plan string")
+    published = wanted.select("c_mktsegment").distinct().withColumn("plan", F.concat(F.lit("standard "), F.lower("c_mktsegment")))
+    return tables.with_published(wanted, stored, published, "c_mktsegment").select("c_custkey", "plan", "is_default")
+
+
+@query(
+    """select c_custkey, concat_ws(chr(10), case when c_custkey % 3 <> 1 and trim(c_name) <> '' then 'Name: ' || c_name end, case when c_custkey % 3 <> 1 and trim(c_mktsegment) <> '' then 'Segment: ' || c_mktsegment end,
+ case when c_custkey % 3 <> 0 and c_acctbal is not null then 'Balance: ' || c_acctbal::decimal(18,2) end) as facts from customer"""
+)
+def etl_facts(spark: SparkSession, d: str) -> DataFrame:
+    """O-PRJ-2."""
+    fields = F.when(F.col("c_custkey") % 3 == 0, F.array(F.lit("employment"))).when(F.col("c_custkey") % 3 == 1, F.array(F.lit("compensation"))).otherwise(F.array(F.lit("employment"), F.lit("compensation")))
+    sections = {"employment": [("Name", F.col("c_name")), ("Segment", F.col("c_mktsegment"))], "compensation": [("Balance", F.col("c_acctbal").cast("decimal(18,2)"))]}
+    return load(spark, d, "customer").select("c_custkey", tables.facts(fields, sections).alias("facts"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import values
 from ..operators import classify, metrics
 from ..session import load
 from .registry import query
@@ -115,3 +116,20 @@ def extra_sessions(spark: SparkSession, d: str) -> DataFrame:
     """Spark-native extra: gaps of half an hour end a session."""
     s = _events(spark, d).groupBy("user_id", F.session_window("ts", "30 minutes").alias("w")).agg(F.count("*").alias("n"))
     return s.select("user_id", F.date_format("w.start", "yyyy-MM-dd HH:mm:ss").alias("started"), "n")
+
+
+@query(
+    f"""with t as (select user_id as thread_id, max(ts) as updated_at from events group by user_id)
+ select user_id as thread_id, count(*) as messages from events join t on t.thread_id = user_id where updated_at >= timestamp '{CUT}' and event_type = 'click' and ts >= timestamp '{CUT}' and ts < timestamp '{END}' group by user_id"""
+)
+def metrics_thread_messages(spark: SparkSession, d: str) -> DataFrame:
+    """O-FLT-4: threads are a user's events of a day here, so no array grows without bound."""
+    threads = _events(spark, d).groupBy(F.col("user_id").alias("thread_id"), F.to_date("ts").alias("day")).agg(F.max("ts").alias("updated_at"), F.collect_list(F.struct(F.col("event_type").alias("role"), F.col("ts").alias("at"))).alias("messages"))
+    found = metrics.messages_between(threads, F.lit(CUT).cast("timestamp"), F.lit(END).cast("timestamp"), "click")
+    return found.groupBy("thread_id").agg(F.count("*").alias("messages"))
+
+
+@query("select count(*) as recent from orders where o_orderdate >= date '1998-08-02' - interval 90 day")
+def metrics_last_days(spark: SparkSession, d: str) -> DataFrame:
+    """O-DAT-7, O-DAT-8."""
+    return load(spark, d, "orders").where(values.since_days(F.col("o_orderdate").cast("timestamp"), F.lit("1998-08-02").cast("timestamp"), 90)).agg(F.count("*").alias("recent"))

@@ -38,7 +38,7 @@ def pay_grade_weight(spark: SparkSession, d: str) -> DataFrame:
  w as (select *, case when level <= 4 then 0 when level <= 6 then 20 when level <= 9 then 30 else 40 end as cw, case when level <= 4 then 100 when level <= 6 then 80 when level <= 9 then 70 else 60 end as iw,
  case rating when 5 then 130 when 4 then 115 when 3 then 100 when 2 then 0 when 1 then 0 end as rp from p),
  r as (select *, case when excluded then 'excluded' when target is null or target <= 0 then 'no target' when rp is null then 'no rating' end as reason from w)
- select c_custkey, reason, case when reason is null then round(cw * target * 0.85 / 100 + iw * rp * target / 10000, 2)::double end as payout from r"""
+ select c_custkey, reason, case when reason is null then ((target::bigint * (cw * 85 + iw * rp) + 50) // 100) / 100.0 end as payout from r"""
 )
 def pay_variable_payout(spark: SparkSession, d: str) -> DataFrame:
     people = load(spark, d, "customer").select(
@@ -56,7 +56,7 @@ _SLABS = [("grow", "MULTIPLIES", None, "50", "0"), ("grow", "MULTIPLIES", "50",
 @query(
     """with people as (select o_orderkey as id, case when o_orderkey % 2 = 0 then 'air' else 'ship' end as role, round(o_totalprice::decimal(18,4), 0) as target from orders),
  comp(role, component, ord, weight, slab) as (values ('air', 'bookings', 1, 60, 'grow'), ('air', 'margin', 2, 40, 'steps'), ('ship', 'bookings', 1, 100, 'steps')),
- res as (select l_orderkey as id, case l_linenumber when 1 then 'bookings' else 'margin' end as component, (l_quantity * 3)::decimal(18,4) as achieved from lineitem where l_linenumber <= 2),
+ res as (select l_orderkey as id, case when l_linenumber % 2 = 1 then 'bookings' else 'margin' end as component, (l_quantity * 3)::decimal(18,4) as achieved from lineitem),
  met as (select p.id, ord, component, round(target * weight / 100, 2) as share, achieved, slab from people p join comp c using (role) left join res r using (id, component)),
  paid as (select id, ord, component, case when achieved is null then null when slab = 'grow' then round(share * (case when achieved <= 50 then 0 when achieved <= 100 then 100 else 150 end) * achieved / 10000, 2) else round(share * (case when achieved <= 20 then 0 when achieved <= 60 then 80 else 120 end) / 100, 2) end as pay from met)
  select id, round(sum(coalesce(pay, 0)), 2)::double as payout, coalesce(string_agg(component, ',' order by ord) filter (pay is null), '') as missing from paid group by id"""
@@ -66,5 +66,5 @@ def pay_component_payout(spark: SparkSession, d: str) -> DataFrame:
     components = spark.createDataFrame(_COMPONENTS, "role string, component string, ord int, weight_pct string, slab string").withColumn("weight_pct", F.col("weight_pct").cast("decimal(9,4)"))
     slabs = spark.createDataFrame(_SLABS, "slab string, kind string, lo string, hi string, factor_pct string")
     slabs = slabs.withColumns({c: F.col(c).cast("decimal(18,4)") for c in ("lo", "hi", "factor_pct")})
-    results = load(spark, d, "lineitem").where("l_linenumber <= 2").select(F.col("l_orderkey").alias("id"), F.when(F.col("l_linenumber") == 1, "bookings").otherwise("margin").alias("component"), (F.col("l_quantity") * 3).cast("decimal(18,4)").alias("achieved"))
+    results = load(spark, d, "lineitem").select(F.col("l_orderkey").alias("id"), F.when(F.col("l_linenumber") % 2 == 1, "bookings").otherwise("margin").alias("component"), (F.col("l_quantity") * 3).cast("decimal(18,4)").alias("achieved"))
     return pay.component_payout(people, components, slabs, results).select("id", F.col("payout").cast("double").alias("payout"), "missing")

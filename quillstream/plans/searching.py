@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import text, values
 from ..operators import search, store
 from ..session import load
+from . import in_sql
 from .registry import query
 
 QUESTION = "Ingly thor hent onth the with tion er"
@@ -26,7 +27,7 @@ def _scored(asked: str) -> str:
 
 
 _ONE = f"select 0 as question, '{QUESTION}' as text"
-_ITEMS = "select item_id as question, text from benchmark where item_id < 20"
+_ITEMS = "select item_id as question, text from benchmark"
 
 
 def one_question(spark: SparkSession) -> DataFrame:
@@ -34,8 +35,8 @@ def one_question(spark: SparkSession) -> DataFrame:
 
 
 def questions(spark: SparkSession, d: str) -> DataFrame:
-    """A stated batch: the first twenty items."""
-    return load(spark, d, "benchmark").where("item_id < 20").select("item_id", "text")
+    """A stated batch: all items of the benchmark."""
+    return load(spark, d, "benchmark").select("item_id", "text")
 
 
 @query("""select doc_id, term, count(*) as tf from (select doc_id, unnest(string_split_regex(lower(text), '[^a-z0-9]+')) as term from documents) where length(term) > 1 group by doc_id, term""")
@@ -63,11 +64,12 @@ def kb_multi_query_topk(spark: SparkSession, d: str) -> DataFrame:
 
 _COS = "list_dot_product(q.embedding::double[], e.embedding::double[]) / (sqrt(list_dot_product(q.embedding::double[], q.embedding::double[])) * sqrt(list_dot_product(e.embedding::double[], e.embedding::double[])))"
 _NEAR = f"""select question, vec_id, cosine from (select *, row_number() over (partition by question order by round(cosine, 9) desc, vec_id) as place from
- (select q.vec_id as question, e.vec_id as vec_id, {_COS} as cosine from embeddings q, embeddings e where q.vec_id < 5) where cosine >= 0.32) where place <= 200"""
+ (select q.vec_id as question, e.vec_id as vec_id, {_COS} as cosine from embeddings q, embeddings e where q.vec_id % 20 = 0) where cosine >= 0.32) where place <= 200"""
 
 
 def _asked_vectors(spark: SparkSession, d: str) -> DataFrame:
-    return load(spark, d, "embeddings").where("vec_id < 5").select(F.col("vec_id").alias("question"), F.col("embedding").alias("q"))
+    """A stated set: every twentieth vector."""
+    return load(spark, d, "embeddings").where("vec_id % 20 = 0").select(F.col("vec_id").alias("question"), F.col("embedding").alias("q"))
 
 
 @query(f"select question, vec_id, round(cosine, 6) as cosine from ({_NEAR})")
@@ -81,7 +83,7 @@ def kb_dense_rescaled(spark: SparkSession, d: str) -> DataFrame:
     return near.select("question", "vec_id", F.round(values.rescaled(F.col("cosine")), 6).alias("score"))
 
 
-_HYBRID = f"""{_scored("select doc_id as question, text from documents where doc_id < 5")}, near as ({_NEAR}),
+_HYBRID = f"""{_scored(_ITEMS)}, near as ({_NEAR}),
  blend as (select coalesce(s.question, r.question) as question, coalesce(s.doc_id, r.vec_id) as doc_id, coalesce(lexical, 0) as lex, coalesce(cosine, 0) as cosine from scored s full join near r on s.question = r.question and s.doc_id = r.vec_id),
  hybrid as (select question, doc_id, round(case when doc_id in (select vec_id from embeddings) then 0.62 * (case when cosine <= 0.32 then 0 else least(1.0, (cosine - 0.32) / 0.5) end) + 0.38 * lex else lex end, 9) as score from blend)"""
 
@@ -89,7 +91,7 @@ _HYBRID = f"""{_scored("select doc_id as question, text from documents where doc
 @query(_HYBRID + " select question, doc_id, round(score, 6) as score, rank from (select *, row_number() over (partition by question order by score desc, doc_id) as rank from hybrid where score > 0.02) where rank <= 14")
 def kb_hybrid_topk(spark: SparkSession, d: str) -> DataFrame:
     docs, vectors = load(spark, d, "documents"), load(spark, d, "embeddings")
-    lexical = search.bm25(docs.where("doc_id < 5"), docs, question_key="doc_id")
+    lexical = search.bm25(questions(spark, d), docs)
     near = search.dense(_asked_vectors(spark, d), vectors).withColumnRenamed("vec_id", "doc_id")
     hits = search.ranked(search.blended(lexical, near, vectors.select(F.col("vec_id").alias("doc_id"))))
     return hits.select("question", "doc_id", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
@@ -112,7 +114,7 @@ def kb_diversified_topk(spark: SparkSession, d: str) -> DataFrame:
     + """, hits as (select * from (select *, row_number() over (partition by question order by lexical desc, doc_id) as rank from scored where lexical > 0.02) where rank <= 14),
  wants as (select question, count(*) as wanted from asked group by question), covers as (select a.question, count(distinct a.term) as covered from asked a join hits h on a.question = h.question and h.rank <= 3 join posted p on p.doc_id = h.doc_id and p.term = a.term group by a.question)
  select i.item_id as question, round(h.lexical, 6) as top, round(coalesce(covered, 0) / wanted, 6) as coverage, round(case when h.lexical is null then 0 when wanted is null then least(1.0, h.lexical) else least(1.0, 0.7 * h.lexical + 0.3 * coalesce(covered, 0) / wanted) end, 6) as confidence
- from (select * from benchmark where item_id < 20) i left join hits h on h.question = i.item_id and h.rank = 1 left join wants w on w.question = i.item_id left join covers c on c.question = i.item_id"""
+ from benchmark i left join hits h on h.question = i.item_id and h.rank = 1 left join wants w on w.question = i.item_id left join covers c on c.question = i.item_id"""
 )
 def kb_coverage_confidence(spark: SparkSession, d: str) -> DataFrame:
     docs, asked = load(spark, d, "documents"), questions(spark, d)
@@ -175,7 +177,7 @@ def kb_chunks(spark: SparkSession, d: str) -> DataFrame:
     return chunking.chunk(load(spark, d, "documents").select("doc_id", "text"))
 
 
-@query()
+@query(f"""select term, {in_sql.stem("term")} as stem from (select distinct unnest(list_filter(string_split_regex(lower(text), '[^a-z0-9]+'), lambda w: length(w) > 1)) as term from documents)""")
 def kb_stem_vocabulary(spark: SparkSession, d: str) -> DataFrame:
     """Stems of the distinct vocabulary, each worked out once."""
     words = load(spark, d, "documents").select(F.explode(text.terms(F.col("text"))).alias("term")).distinct()
@@ -189,6 +191,8 @@ def kb_stem_vocabulary(spark: SparkSession, d: str) -> DataFrame:
 def kb_context_budget(spark: SparkSession, d: str) -> DataFrame:
     from ..operators import answers
 
-    docs = load(spark, d, "documents").select("source", "doc_id", "text")
-    placed = docs.withColumn("rank", F.row_number().over(Window.partitionBy("source").orderBy("doc_id")))
+    docs = load(spark, d, "documents")
+    # A passage costs 12 characters at least, so only so many ranks can matter: they are found without the texts.
+    placed = docs.select("source", "doc_id").withColumn("rank", F.row_number().over(Window.partitionBy("source").orderBy("doc_id")))
+    placed = placed.where(F.col("rank") <= answers.CONTEXT_CHARS // 12 + 1).join(docs.select("doc_id", "text"), "doc_id")
     return answers.within_budget(placed, "source", "text", F.length("source")).select("source", "doc_id", "body")

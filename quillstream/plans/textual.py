@@ -84,7 +84,7 @@ def text_tenure_months(spark: SparkSession, d: str) -> DataFrame:
     return load(spark, d, "orders").select("o_orderkey", months.cast("long").alias("months"))
 
 
-@query("select doc_id, case when n_chars < 1024 then n_chars || ' B' else printf('%.1f KB', n_chars / 1024.0) end as shown, case when length(source) > 4 then left(source, 4) || '…' else source end as short from documents")
+@query("select doc_id, case when n_chars < 1024 then n_chars || ' B' else case when n_chars < 1048576 then floor(n_chars / 1024.0 + 0.5)::bigint || ' KB' else printf('%.1f MB', n_chars / 1048576.0) end end as shown, case when length(source) > 4 then left(source, 4) || '…' else source end as short from documents")
 def text_shown_sizes(spark: SparkSession, d: str) -> DataFrame:
     """O-MTH-9, O-STR-13."""
     return load(spark, d, "documents").select("doc_id", values.byte_size(F.col("n_chars")).alias("shown"), text.clip(F.col("source"), 4).alias("short"))

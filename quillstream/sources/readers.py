@@ -8,6 +8,7 @@ Binary PDF and XLSX parsing need libraries that are not here (O-SRC-10, O-SRC-13
 
 from __future__ import annotations
 
+import csv
 import io
 import re
 import zipfile
@@ -22,13 +23,18 @@ from ..functions import text
 
 MOST_BYTES = 15 * 1024 * 1024
 _W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
+# Labels that mark a sheet of questions and answers.
 QUESTION_HEADERS, ANSWER_HEADERS = ("question", "questions", "q", "query", "faq"), ("answer", "answers", "a", "response", "reply")
 
 
-def kind_of(name: Column) -> Column:
-    """O-SRC-1."""
+def kind_of(name: Column, mime: Column | None = None) -> Column:
+    """By extension, and where that says nothing by MIME type (O-SRC-1)."""
     ext = F.lower(F.regexp_extract(name, r"\.([A-Za-z0-9]+)$", 1))
-    return F.when(ext.isin("txt", "text"), "txt").when(ext.isin("md", "markdown"), "md").when(ext.isin("csv", "tsv"), "csv").when(ext.isin("docx", "pdf"), ext)
+    told = F.when(ext.isin("txt", "text"), "txt").when(ext.isin("md", "markdown"), "md").when(ext.isin("csv", "tsv"), "csv").when(ext.isin("docx", "pdf"), ext)
+    if mime is None:
+        return told
+    told = told.when(F.contains(mime, F.lit("wordprocessingml")), "docx").when(mime == "application/pdf", "pdf")
+    return told.when(mime == "text/csv", "csv").when(mime == "text/markdown", "md").when(F.startswith(mime, F.lit("text/")), "txt")
 
 
 def looks_right(content: Column, kind: Column) -> Column:
@@ -67,8 +73,44 @@ def _from_docx(content: pd.Series) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=["text", "error"])
 
 
+def csv_markdown(content: str) -> tuple[str, str | None]:
+    """A sheet as Markdown, and a note on blank rows: blocks of questions and answers where its labels name both, else numbered
+    records. A file of less than a label row and one more is an error (O-SRC-4 to O-SRC-8)."""
+    rows = list(csv.reader(io.StringIO(content, newline=""), delimiter=delimiter(content)))
+    filled = [[c.strip() for c in row] for row in rows if any(c.strip() for c in row)]
+    if len(filled) < 2:
+        raise ValueError("a sheet needs labels and a row")
+    blank = len(rows) - len(filled)
+    note = f"{blank} blank row{'s' * (blank > 1)} skipped" if blank else None
+    labels, body = [re.sub(r"\s+", " ", c) for c in filled[0]], filled[1:]
+    low = [c.lower() for c in labels]
+    q, a = (next((i for i, c in enumerate(low) if c in names), None) for names in (QUESTION_HEADERS, ANSWER_HEADERS))
+    named = lambda row: [(i, label, value) for i, (label, value) in enumerate(zip(labels, row)) if label and value]
+    if q is None or a is None:
+        return "\n".join(f"- Row {n} — " + " · ".join(f"**{label}:** {value}" for _, label, value in named(row)) for n, row in enumerate(body, 1)), note
+    blocks = []
+    for row in body:
+        if max(q, a) < len(row) and row[q] and row[a]:
+            more = " · ".join(f"_{label}: {value}_" for i, label, value in named(row) if i not in (q, a))
+            blocks.append(f"## {row[q]}\n\n{row[a]}" + (f"\n\n{more}" if more else ""))
+    if not blocks:
+        raise ValueError("no row has a question and an answer")
+    return "\n\n".join(blocks), note
+
+
+@F.pandas_udf(T.StructType([T.StructField("text", T.StringType()), T.StructField("note", T.StringType()), T.StructField("error", T.StringType())]))
+def _from_csv(content: pd.Series) -> pd.DataFrame:
+    rows = []
+    for data in content:
+        try:
+            rows.append((*csv_markdown(data), None))
+        except (ValueError, csv.Error) as e:
+            rows.append((None, None, str(e)))
+    return pd.DataFrame(rows, columns=["text", "note", "error"])
+
+
 def ingest(spark: SparkSession, path: str, most: int = MOST_BYTES) -> DataFrame:
-    """``filename, kind, bytes, title, text, error`` of every file (O-SRC-20)."""
+    """``filename, kind, bytes, title, text, error, note`` of every file (O-SRC-20)."""
     files = spark.read.format("binaryFile").load(path)
     name = F.element_at(F.split("path", "/"), -1)
     rows = files.select(name.alias("filename"), F.col("length").alias("bytes"), "content").withColumn("kind", kind_of(F.col("filename")))
@@ -79,9 +121,12 @@ def ingest(spark: SparkSession, path: str, most: int = MOST_BYTES) -> DataFrame:
     checked = rows.withColumn("error", error)
     word = checked.where("error is null and kind = 'docx'").withColumn("_d", _from_docx("content")).withColumns({"text": F.col("_d.text"), "error": F.col("_d.error")}).drop("_d")
     plain = checked.where("error is not null or kind <> 'docx'").withColumn("text", F.when(F.col("error").isNull(), text.decode_text(F.col("content"))))
-    both = plain.unionByName(word).withColumn("text", text.tidy_space(F.col("text")))
+    plain = plain.withColumn("note", F.lit(None).cast("string"))
+    sheets = plain.where("error is null and kind = 'csv'").withColumn("_d", _from_csv("text")).withColumns({c: F.col(f"_d.{c}") for c in ("text", "note", "error")}).drop("_d")
+    plain = plain.where("error is not null or kind <> 'csv'").unionByName(sheets)
+    both = plain.unionByName(word, allowMissingColumns=True).withColumn("text", text.tidy_space(F.col("text")))
     none = F.col("error").isNull() & (F.coalesce(F.trim("text"), F.lit("")) == "")
-    return both.select("filename", "kind", "bytes", text.title_of(F.col("filename")).alias("title"), "text", F.when(none, "no text found").otherwise(F.col("error")).alias("error"))
+    return both.select("filename", "kind", "bytes", text.title_of(F.col("filename")).alias("title"), "text", F.when(none, "no text found").otherwise(F.col("error")).alias("error"), "note")
 
 
 def delimiter(sample: str) -> str:

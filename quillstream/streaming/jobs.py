@@ -6,6 +6,7 @@ runs one over all that is there and hands back what it wrote, which batch querie
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -66,10 +67,26 @@ def conversation_state(turns: DataFrame) -> DataFrame:
     return turns.groupBy("conv_id").applyInPandasWithState(step, "conv_id long, asked long, last_question string", "asked long, last_turn long, last string", "update", GroupStateTimeout.NoTimeout)
 
 
+def _folder(spark: SparkSession) -> str:
+    """A new folder in ``spark.checkpoint.dir``. Where the session names none: a temporary one in local mode, else one in the warehouse."""
+    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not shared:
+        alone = spark.sparkContext.master.split("[")[0] == "local"
+        shared = tempfile.mkdtemp(prefix="quillstream-") if alone else spark.conf.get("spark.sql.warehouse.dir")
+    return f"{shared}/stream-{uuid.uuid4().hex}"
+
+
 def drain(stream: DataFrame, mode: str) -> DataFrame:
-    """Run a stream over all there is and return what it wrote."""
-    spark = stream.sparkSession
-    name = f"s{uuid.uuid4().hex}"
-    run = stream.writeStream.outputMode(mode).format("memory").queryName(name).trigger(availableNow=True).start()
+    """Run a stream over all there is and return what it wrote: a table of Parquet files, not rows in the driver.
+
+    In complete mode each batch replaces the table, in the other modes it adds to it; a batch that is run again after a
+    failure writes its own folder anew.
+    """
+    spark, folder = stream.sparkSession, _folder(stream.sparkSession)
+
+    def write(rows: DataFrame, batch: int) -> None:
+        rows.write.mode("overwrite").parquet(f"{folder}/table" if mode == "complete" else f"{folder}/table/batch={batch}")
+
+    run = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{folder}/checkpoint").foreachBatch(write).trigger(availableNow=True).start()
     run.awaitTermination()
-    return spark.table(name)
+    return spark.read.schema(stream.schema).parquet(f"{folder}/table")

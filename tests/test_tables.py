@@ -2,6 +2,7 @@ import zipfile
 
 from pyspark.sql import functions as F
 
+from quillstream.functions import values
 from quillstream.operators import access, metrics, search, store, tables
 from quillstream.operators.knowledge import KnowledgeBase
 from quillstream.sources import readers
@@ -84,12 +85,15 @@ def test_files(spark, tmp_path):
     assert {k: got[k].error for k in ("empty.txt", "x.exe", "bad.docx")} == {"empty.txt": "no text found", "x.exe": "unsupported type", "bad.docx": "content does not match its type"}
     assert got["broken.docx"].error.startswith("cannot be read")
 
-    base = KnowledgeBase(spark, str(tmp_path / "kb"), embed=lambda texts: [[float(len(t)), 1.0] for t in texts])
+    base = KnowledgeBase(spark, str(tmp_path / "kb"), embed=lambda texts: [[float(t.lower().count("leave")), float(t.lower().count("exit"))] for t in texts])
     assert base.ingest(str(folder)).where("error is null").count() == 2
     assert tuple(base.status().first())[1:] == (2, 2, 0)
     asked = spark.createDataFrame([(1, "how many days of earned leave"), (2, "zebra quantum")], "item_id int, text string")
     a = {r.question: r for r in base.ask(asked).collect()}
     assert a[1].mode in ("extractive", "none") and a[2].mode == "none" and a[1].confidence > a[2].confidence
+    again = spark.createDataFrame([(1, "and days?", "how many days of earned leave"), (2, "zebra", None)], "item_id int, text string, previous string")
+    b = {r.question: r for r in base.ask(again).collect()}
+    assert b[1].mode == "extractive" and b[1].confidence > base.ask(again.drop("previous")).where("question = 1").first().confidence and b[2].mode == "none"
     base.remove(base.docs().where("filename = 'exit.docx'"))
     assert base.docs().count() == 1
 
@@ -104,6 +108,29 @@ def test_sheets(spark, tmp_path):
     assert readers.records(sheet.limit(1)).first().body.startswith("- **Question")
 
 
+def test_csv_files(spark, tmp_path):
+    (tmp_path / "faq.csv").write_text('Question;Answer;Owner\n"How; then?";"He said ""so""."; HR\n;;\nWhy?;;X\n')
+    (tmp_path / "list.csv").write_text("Name,Days\nEarned,12\nSick\n")
+    (tmp_path / "one.csv").write_text("Name,Days\n")
+    got = {r.filename: r for r in readers.ingest(spark, str(tmp_path)).collect()}
+    assert got["faq.csv"].text == '## How; then?\n\nHe said "so".\n\n_Owner: HR_' and got["faq.csv"].note == "1 blank row skipped"
+    assert got["list.csv"].text == "- Row 1 — **Name:** Earned · **Days:** 12\n- Row 2 — **Name:** Sick"
+    assert got["one.csv"].text is None and got["one.csv"].error == "a sheet needs labels and a row"
+    kinds = spark.createDataFrame([("a.MD", None), ("b", "text/csv"), ("c", "text/x"), ("d", "image/png")], "n string, m string")
+    assert [r[0] for r in kinds.select(readers.kind_of(kinds.n, kinds.m)).collect()] == ["md", "csv", "txt", None]
+
+
+def test_small_rules(spark, tmp_path):
+    events = spark.range(2).select(store.access_event(F.lit("me"), F.lit(None).cast("string"), F.lit("denied"), F.lit("pay"), F.lit(None).cast("array<string>"), F.repeat(F.lit("q"), 301), F.lit(None).cast("string")).alias("e"))
+    assert store.append(events, str(tmp_path / "log")) and store.append(events, str(tmp_path / "log")) and not store.append(events, "nowhere://log")
+    kept = spark.read.parquet(str(tmp_path / "log")).select("e.*").collect()
+    assert len(kept) == 4 and kept[0].fields == [] and kept[0].question == "q" * 300 + "…"
+    reviews = spark.createDataFrame([(1, "FY 2022-23", "3", 1), (1, "FY 2023-24", " ", 2), (1, "FY 2022-23", "4", 3), (2, None, "5", 4)], "who int, cycle string, rating string, ord int")
+    assert {(r.who, r.rating) for r in tables.latest_appraisal(reviews, "who").collect()} == {(1, "4"), (2, "5")}
+    sizes = spark.createDataFrame([(1023,), (1024,), (1535,), (1536,), (1 << 20,)], "n long")
+    assert [r[0] for r in sizes.select(values.byte_size(F.col("n"))).collect()] == ["1023 B", "1 KB", "1 KB", "2 KB", "1.0 MB"]
+
+
 def test_hold_back(spark):
     pieces = [(1, 0, "x" * 50), (1, 1, "y" * 50), (1, 2, "z"), (2, 0, "short"), (3, 0, "NO_"), (3, 1, "ANSWER")]
     got = jobs.held_back(spark.createDataFrame(pieces, "answer_id int, seq int, piece string")).orderBy("answer_id", "seq").collect()
