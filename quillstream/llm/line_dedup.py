@@ -117,19 +117,19 @@ def _may_match(name: list[str], a: str, b: str) -> Column:
 def _sets(pairs: DataFrame, rows: DataFrame, name: list[str]) -> DataFrame:
     """``name, t``: the words of all lines in the pairs (a, b), as hashes.
 
-    A bitmap of fixed size keeps the texts of all other rows, but for a few, from being split and shuffled.
+    A bitmap of fixed size, which never misses a row or a line in question, keeps nearly all other texts from being split and
+    nearly all other lines from being shuffled.
     """
     ends = durable(pairs.select(F.explode(F.array("a", "b")).alias("name")).distinct().select("name.*"), "pair-ends")
-    place = F.xxhash64(*[c for c in name if c != "line_no"])
-    slots = 1 << 18
-    words = ends.select(place.bitwiseAND((slots << 6) - 1).alias("h")).distinct().groupBy(F.shiftright("h", 6).cast("int").alias("w"))
-    words = words.agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("h").bitwiseAND(63).cast("int"))).alias("v"))
+    row, line, slots = F.xxhash64(*[c for c in name if c != "line_no"]), F.xxhash64(*name), 1 << 18
+    slot = lambda h: F.shiftright(h, 6).bitwiseAND(slots - 1).cast("int")
+    bit = lambda h: F.call_function("shiftleft", F.lit(1).cast("long"), h.bitwiseAND(63).cast("int"))
+    words = ends.select(F.explode(F.array(row, line)).alias("h")).groupBy(slot(F.col("h")).alias("w")).agg(F.bit_or(bit(F.col("h"))).alias("v"))
     every = rows.sparkSession.range(slots).select(F.col("id").cast("int").alias("w")).join(words, "w", "left")
     whole = every.groupBy().agg(F.array_sort(F.collect_list(F.struct("w", F.coalesce("v", F.lit(0).cast("long")).alias("v")))).alias("a"))
     bitmap = durable(whole.select(F.transform("a", lambda x: x["v"]).alias("bitmap")), "pair-rows").scalar()
-    word = F.get(bitmap, F.shiftright(place.bitwiseAND((slots << 6) - 1), 6).cast("int"))
-    some = rows.where(F.call_function("shiftright", word, place.bitwiseAND(63).cast("int")).bitwiseAND(1) == 1)
-    lines = _lines(some).join(ends, name, "left_semi").dropDuplicates(name)
+    listed = lambda h: F.get(bitmap, slot(h)).bitwiseAND(bit(h)) != 0
+    lines = _lines(rows.where(listed(row))).where(listed(line)).join(ends, name, "left_semi").dropDuplicates(name)
     out = durable(lines.select(F.struct(*name).alias("name"), _hashes(F.col("line")).alias("t")), "pair-lines")
     release(ends)
     return out
