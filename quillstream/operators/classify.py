@@ -13,7 +13,7 @@ from ..functions import text
 # Fixed values.
 ESCALATE, ANSWER, MARGIN, OFFER = 0.30, 0.60, 0.10, 0.12
 PREFIX_WEIGHT, EDIT_WEIGHT, BIGRAM_STEP, BIGRAM_MOST, KEYWORD_STEP, KEYWORD_MOST = 0.65, 0.55, 0.09, 0.18, 0.04, 0.08
-EXACT, CONTAINED = 0.25, 0.12
+EXACT, CONTAINED, UNSEEN, ALONE = 0.25, 0.12, 0.35, 0.72
 # End of fixed values.
 
 
@@ -38,12 +38,58 @@ def intent_scores(questions: DataFrame, models: DataFrame, key: str = "item_id")
     return every.join(hits, [key, "intent"], "left").select(key, "intent", F.round(F.coalesce("got", F.lit(0.0)) / F.col("total"), 9).alias("score"))
 
 
-def full_score(matched: Column, partial: Column, total: Column, shared_bigrams: Column, exact: Column, contained: Column, keywords: Column) -> Column:
-    """The whole intent score from its parts (O-CLS-1)."""
-    base = F.when(total > 0, (matched + partial) / total).otherwise(0.0)
-    extra = F.least(F.lit(BIGRAM_MOST), BIGRAM_STEP * shared_bigrams) + F.least(F.lit(KEYWORD_MOST), KEYWORD_STEP * keywords)
-    whole = F.when(exact, EXACT).when(contained, CONTAINED).otherwise(0.0)
-    return F.least(F.lit(1.0), base + extra + whole)
+def likeness(asked: DataFrame, known: DataFrame) -> DataFrame:
+    """``t, term, part``: what a question's term is worth to a term of the models that it only resembles (O-CLS-1).
+
+    Both of four letters or more; one begins with the other, or they are one edit or swap apart. A prefix has its first four letters, and
+    one edit leaves the first or the last letter as it is, so both come from equi-joins, and few pairs reach the edit distance.
+    """
+    t = asked.select("t").distinct().where(F.length("t") >= 4)
+    w = known.select("term").distinct().where(F.length("term") >= 4)
+    begun = t.withColumn("k", F.left("t", F.lit(4))).join(w.withColumn("k", F.left("term", F.lit(4))), "k").where("t <> term and (startswith(t, term) or startswith(term, t))")
+    ends = lambda df, c: df.withColumn("k", F.explode(F.array(F.concat(F.lit("f"), F.left(c, F.lit(1))), F.concat(F.lit("l"), F.right(c, F.lit(1))))))
+    sized = t.withColumn("n", F.explode(F.sequence(F.length("t") - 1, F.length("t") + 1)))
+    close = ends(sized, "t").join(ends(w.withColumn("n", F.length("term")), "term"), ["k", "n"]).where((F.col("t") != F.col("term")) & F.levenshtein("t", "term", 2).between(0, 2)).select("t", "term").distinct()
+    close = close.where(text.osa_distance("t", "term") <= 1)
+    both = begun.select("t", "term", F.lit(PREFIX_WEIGHT).alias("part")).unionByName(close.select("t", "term", F.lit(EDIT_WEIGHT).alias("part")))
+    return both.groupBy("t", "term").agg(F.max("part").alias("part"))
+
+
+def intent_model_scores(questions: DataFrame, utterances: DataFrame, keywords: DataFrame, key: str = "item_id") -> DataFrame:
+    """``key, intent, score`` of every question with a term against every intent (O-CLS-1, O-AGG-26, O-JOIN-15).
+
+    ``utterances``: intent, ord, text; ``keywords``: intent, text. Terms are stems; those that no intent has weigh ``UNSEEN``.
+    """
+    asked = questions.select(key, text.tokenize(F.col("text")).alias("tokens")).where(F.size("tokens") > 0).select(key, "tokens", F.array_join("tokens", " ").alias("joined"), F.array_distinct("tokens").alias("own"))
+    said = utterances.select("intent", "ord", text.tokenize(F.col("text")).alias("tokens")).select("*", F.array_join("tokens", " ").alias("line"))
+    model = said.select("intent", F.explode("tokens").alias("term")).distinct()
+    n = utterances.select("intent").distinct().count()  # of intents
+    idf = lambda df: F.log((n + 1) / (df + 0.5)) + 0.25
+    df = model.groupBy("term").agg(F.count("*").alias("df"))
+    words = asked.select(key, F.explode("own").alias("t")).join(df.withColumnRenamed("term", "t"), "t", "left")
+    words = words.withColumn("w", idf(F.coalesce("df", F.lit(0))) * F.when(F.col("df").isNull(), UNSEEN).otherwise(1.0))
+    totals = words.groupBy(key).agg(F.sum("w").alias("total"))
+    exact = words.join(model.withColumnRenamed("term", "t"), "t").select(key, "intent", "t", "w", F.lit(1.0).alias("part"))
+    like = words.join(likeness(words, model), "t").join(model, "term").select(key, "intent", "t", "w", "part")
+    best = exact.unionByName(like).groupBy(key, "intent", "t").agg((F.max("w") * F.max("part")).alias("m"))
+    matched = best.groupBy(key, "intent").agg(F.sum("m").alias("matched"))
+
+    pairs = said.select("intent", F.explode(text.bigrams(F.col("tokens"))).alias("b")).distinct()
+    shared = asked.select(key, F.explode(text.bigrams(F.col("tokens"))).alias("b")).join(pairs, "b").groupBy(key, "intent").agg(F.count("*").alias("bigrams"))
+    # Every question meets every utterance of the models, a literal table; the first that equals or contains decides.
+    whole = asked.crossJoin(said.where("line <> ''").select("intent", "ord", "line")).where(F.contains("line", F.col("joined")) | F.contains("joined", F.col("line")))
+    whole = whole.groupBy(key, "intent").agg(F.min_by(F.when(F.col("line") == F.col("joined"), EXACT).otherwise(CONTAINED), "ord").alias("whole"))
+    keys = keywords.select("intent", F.explode(text.tokenize(F.col("text"))).alias("t")).distinct()
+    hits = asked.select(key, F.explode("own").alias("t")).join(keys, "t").groupBy(key, "intent").agg(F.count("*").alias("keys"))
+    alone = asked.where("size(own) = 1").select(key, F.col("own")[0].alias("term")).join(model, "term").join(df, "term").where(idf(F.col("df")) > 1.4).select(key, "intent", F.lit(ALONE).alias("alone"))
+
+    every = asked.select(key).crossJoin(utterances.select("intent").distinct()).join(totals, key)
+    for part in (matched, shared, whole, hits, alone):
+        every = every.join(part, [key, "intent"], "left")
+    none = lambda c: F.coalesce(c, F.lit(0))
+    base = none("matched") / F.col("total") + F.least(F.lit(BIGRAM_MOST), BIGRAM_STEP * none("bigrams")) + none("whole")
+    score = F.greatest(base, none("alone")) + F.least(F.lit(KEYWORD_MOST), KEYWORD_STEP * none("keys"))
+    return every.select(key, "intent", F.round(F.least(F.lit(1.0), score), 9).alias("score"))
 
 
 def decided(scored: DataFrame, key: str = "item_id") -> DataFrame:

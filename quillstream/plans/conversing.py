@@ -93,3 +93,31 @@ def conv_normalized(spark: SparkSession, d: str) -> DataFrame:
     """O-STR-1 to O-STR-3 on user turns."""
     rows = load(spark, d, "conversations").where("role = 'user'")
     return rows.select("conv_id", "turn", text.normalize(F.col("text")).alias("normal"), F.array_join(text.tokenize(F.col("text")), " ").alias("tokens"))
+
+
+_SAID = f"""select intent, ord, opening, {in_sql.tokens("normal")} as line from (select 'i' || conv_id % 5 as intent, conv_id * 1000 + turn as ord, turn = 0 as opening, {in_sql.normalized("text")} as normal from conversations where role = 'user')"""
+
+
+@query(
+    f"""with q as (select item_id, joined, string_split(joined, ' ') as toks from (select item_id, {in_sql.tokens("normal")} as joined from (select item_id, {in_sql.normalized("text")} as normal from benchmark)) where joined <> ''),
+ u as ({_SAID}), model as (select distinct intent, unnest(string_split(line, ' ')) as term from u where line <> ''), n as (select count(distinct intent) as n from u), df as (select term, count(*) as df from model group by term),
+ words as (select item_id, t, (ln((n + 1) / (coalesce(df, 0) + 0.5)) + 0.25) * case when df is null then 0.35 else 1 end as w from (select distinct item_id, unnest(toks) as t from q) cross join n left join df on df.term = t),
+ resembling as (select t, term, case when starts_with(t, term) or starts_with(term, t) then 0.65 else 0.55 end as part from (select distinct t from words where length(t) >= 4) join (select distinct term from model where length(term) >= 4)
+  on t <> term and (starts_with(t, term) or starts_with(term, t) or (abs(length(t) - length(term)) <= 1 and damerau_levenshtein(t, term) <= 1))),
+ parts as (select item_id, intent, t, w, 1.0 as part from words join model on term = t union all select item_id, intent, t, w, part from words join resembling using (t) join model using (term)),
+ matched as (select item_id, intent, sum(m) as matched from (select item_id, intent, t, max(w) * max(part) as m from parts group by item_id, intent, t) group by item_id, intent),
+ two as (select distinct intent, unnest(list_transform(range(1, len(l)), lambda i: l[i] || ' ' || l[i + 1])) as b from (select intent, string_split(line, ' ') as l from u)),
+ shared as (select item_id, intent, count(*) as bigrams from (select item_id, unnest(list_transform(range(1, len(toks)), lambda i: toks[i] || ' ' || toks[i + 1])) as b from q) join two using (b) group by item_id, intent),
+ whole as (select item_id, intent, arg_min(case when line = joined then 0.25 else 0.12 end, ord) as whole from q join u on line <> '' and (contains(line, joined) or contains(joined, line)) group by item_id, intent),
+ keyed as (select distinct intent, unnest(string_split(line, ' ')) as t from u where opening and line <> ''), hits as (select item_id, intent, count(*) as keys from words join keyed using (t) group by item_id, intent),
+ alone as (select item_id, intent, 0.72 as alone from q join model on len(list_distinct(toks)) = 1 and term = toks[1] join df using (term) cross join n where ln((n + 1) / (df + 0.5)) + 0.25 > 1.4),
+ totals as (select item_id, sum(w) as total from words group by item_id)
+ select item_id, intent, round(least(1.0, greatest(coalesce(matched, 0) / total + least(0.18, 0.09 * coalesce(bigrams, 0)) + coalesce(whole, 0), coalesce(alone, 0)) + least(0.08, 0.04 * coalesce(keys, 0))), 6) as score
+ from totals cross join (select distinct intent from u) left join matched using (item_id, intent) left join shared using (item_id, intent) left join whole using (item_id, intent) left join hits using (item_id, intent) left join alone using (item_id, intent)"""
+)
+def cls_intent_engine(spark: SparkSession, d: str) -> DataFrame:
+    """O-CLS-1, O-AGG-26: all benchmark items against intents made of the user turns."""
+    turns = load(spark, d, "conversations").where("role = 'user'")
+    said = turns.select(F.concat(F.lit("i"), (F.col("conv_id") % 5).cast("string")).alias("intent"), (F.col("conv_id") * 1000 + F.col("turn")).alias("ord"), "turn", "text")
+    scored = classify.intent_model_scores(load(spark, d, "benchmark").select("item_id", "text"), said.drop("turn"), said.where("turn = 0").select("intent", "text"))
+    return scored.select("item_id", "intent", F.round("score", 6).alias("score"))

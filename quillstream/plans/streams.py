@@ -37,7 +37,7 @@ def stream_upsert_state(spark: SparkSession, d: str) -> DataFrame:
 )
 def stream_token_holdback(spark: SparkSession, d: str) -> DataFrame:
     pieces = load(spark, d, "conversations").select(F.col("conv_id").alias("answer_id"), F.col("turn").alias("seq"), F.col("text").alias("piece"))
-    return jobs.held_back(pieces).select("answer_id", "seq", F.length("shown").cast("long").alias("shown_chars"))
+    return jobs.held_back(pieces).select("answer_id", "seq", "shown_chars")
 
 
 @query("select conv_id, count(*) filter (role = 'user') as asked, coalesce(arg_max(text, turn) filter (role = 'user'), '') as last_question from conversations group by conv_id")

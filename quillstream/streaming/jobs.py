@@ -15,6 +15,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..operators import answers
+
 HOLD_BACK, SENTINEL = 90, "NO_ANSWER"
 
 
@@ -41,13 +43,21 @@ def latest_state(events: DataFrame) -> DataFrame:
 
 
 def held_back(pieces: DataFrame, key: str = "answer_id", order: str = "seq", piece: str = "piece") -> DataFrame:
-    """A stored token stream replayed: what is shown after each piece (O-STM-1, O-WIN-10)."""
-    w = Window.partitionBy(key).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    whole = Window.partitionBy(key)
-    run = pieces.withColumns({"so_far": F.concat_ws("", F.collect_list(piece).over(w)), "last": F.max(order).over(whole) == F.col(order)})
-    refused = F.max(F.contains(F.left("so_far", F.lit(HOLD_BACK)), F.lit(SENTINEL)).cast("int")).over(whole) == 1
-    shown = F.when(F.col("refused"), F.lit("")).when((F.length("so_far") >= HOLD_BACK) | F.col("last"), F.col("so_far")).otherwise("")
-    return run.withColumn("refused", refused).withColumn("shown", shown).drop("so_far")
+    """A stored token stream replayed: what each piece ``released`` and how many characters are shown after it (O-STM-1, O-WIN-10).
+
+    Nothing is shown until ``HOLD_BACK`` characters are there or the answer ends. If they hold the sentinel or a phrase of refusal,
+    nothing ever is. Only the held characters of an answer are joined; later pieces pass through by themselves.
+    """
+    run = F.sum(F.length(piece)).over(Window.partitionBy(key).orderBy(order).rowsBetween(Window.unboundedPreceding, 0))
+    placed = pieces.withColumn("_run", run)
+    held = placed.where(F.col("_run") - F.length(piece) < HOLD_BACK).groupBy(key).agg(F.array_sort(F.collect_list(F.struct(order, piece))).alias("_h"))
+    opening = F.array_join(F.transform("_h", lambda x: x[piece]), "")
+    held = held.select(key, opening.alias("_opening"), F.element_at("_h", -1)[order].alias("_release"))
+    first = F.left("_opening", F.lit(HOLD_BACK))
+    met = placed.join(held, key).withColumn("refused", F.contains(first, F.lit(SENTINEL)) | answers.refusal(first))
+    released = F.when(F.col("refused"), "").when(F.col(order) == F.col("_release"), F.col("_opening")).when(F.col(order) > F.col("_release"), F.col(piece)).otherwise("")
+    chars = F.when(~F.col("refused") & (F.col(order) >= F.col("_release")), F.col("_run")).otherwise(0)
+    return met.withColumns({"released": released, "shown_chars": chars.cast("long")}).drop("_run", "_opening", "_release")
 
 
 def conversation_state(turns: DataFrame) -> DataFrame:

@@ -132,6 +132,7 @@ def test_small_rules(spark, tmp_path):
 
 
 def test_hold_back(spark):
-    pieces = [(1, 0, "x" * 50), (1, 1, "y" * 50), (1, 2, "z"), (2, 0, "short"), (3, 0, "NO_"), (3, 1, "ANSWER")]
+    pieces = [(1, 0, "x" * 50), (1, 1, "y" * 50), (1, 2, "z"), (2, 0, "short"), (3, 0, "NO_"), (3, 1, "ANSWER"), (4, 0, "I could not find"), (4, 1, " that, " + "z" * 100)]
     got = jobs.held_back(spark.createDataFrame(pieces, "answer_id int, seq int, piece string")).orderBy("answer_id", "seq").collect()
-    assert [len(r.shown) for r in got] == [0, 100, 101, 5, 0, 0]
+    assert [r.shown_chars for r in got] == [0, 100, 101, 5, 0, 0, 0, 0]
+    assert [r.released for r in got] == ["", "x" * 50 + "y" * 50, "z", "short", "", "", "", ""]
