@@ -54,12 +54,12 @@ _SLABS = [("grow", "MULTIPLIES", None, "50", "0"), ("grow", "MULTIPLIES", "50",
 
 
 @query(
-    """with people as (select o_orderkey as id, case when o_orderkey % 2 = 0 then 'air' else 'ship' end as role, round(o_totalprice::decimal(18,4), 0) as target from orders),
+    """with people as (select o_orderkey as id, case when o_orderkey % 2 = 0 then 'air' else 'ship' end as role, round(o_totalprice::decimal(18,4), 0)::bigint as target from orders),
  comp(role, component, ord, weight, slab) as (values ('air', 'bookings', 1, 60, 'grow'), ('air', 'margin', 2, 40, 'steps'), ('ship', 'bookings', 1, 100, 'steps')),
- res as (select l_orderkey as id, case when l_linenumber % 2 = 1 then 'bookings' else 'margin' end as component, (l_quantity * 3)::decimal(18,4) as achieved from lineitem),
- met as (select p.id, ord, component, round(target * weight / 100, 2) as share, achieved, slab from people p join comp c using (role) left join res r using (id, component)),
- paid as (select id, ord, component, case when achieved is null then null when slab = 'grow' then round(share * (case when achieved <= 50 then 0 when achieved <= 100 then 100 else 150 end) * achieved / 10000, 2) else round(share * (case when achieved <= 20 then 0 when achieved <= 60 then 80 else 120 end) / 100, 2) end as pay from met)
- select id, round(sum(coalesce(pay, 0)), 2)::double as payout, coalesce(string_agg(component, ',' order by ord) filter (pay is null), '') as missing from paid group by id"""
+ res as (select l_orderkey as id, case when l_linenumber % 2 = 1 then 'bookings' else 'margin' end as component, (l_quantity * 3)::bigint as achieved from lineitem),
+ met as (select p.id, ord, component, target * weight as cents, achieved, slab from people p join comp c using (role) left join res r using (id, component)),
+ paid as (select id, ord, component, case when achieved is null then null when slab = 'grow' then (cents * (case when achieved <= 50 then 0 when achieved <= 100 then 100 else 150 end) * achieved + 5000) // 10000 else (cents * (case when achieved <= 20 then 0 when achieved <= 60 then 80 else 120 end) + 50) // 100 end as pay from met)
+ select id, sum(coalesce(pay, 0)) / 100.0 as payout, coalesce(string_agg(component, ',' order by ord) filter (pay is null), '') as missing from paid group by id"""
 )
 def pay_component_payout(spark: SparkSession, d: str) -> DataFrame:
     people = load(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.when(F.col("o_orderkey") % 2 == 0, "air").otherwise("ship").alias("role"), F.round(F.col("o_totalprice").cast(pay.MONEY), 0).alias("target"))

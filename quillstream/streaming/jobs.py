@@ -99,4 +99,4 @@ def drain(stream: DataFrame, mode: str) -> DataFrame:
 
     run = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{folder}/checkpoint").foreachBatch(write).trigger(availableNow=True).start()
     run.awaitTermination()
-    return spark.read.schema(stream.schema).parquet(f"{folder}/table")
+    return spark.read.schema(stream.schema).parquet(f"{folder}/table").select(*stream.columns)
