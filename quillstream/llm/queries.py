@@ -6,9 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import centroids, warc
+from .centroids import op12_delta_lloyd
 from .contamination import op5_contained_items
 from .html_text import op10_main_text
 from .line_dedup import op2_repeated_lines
+from .manifest import op13_merkle_manifest
 from .near_dup import op7_near_duplicates
 from .packing import op3_best_fit_packing
 from .passages import op1_repeated_passages
@@ -16,6 +19,7 @@ from .private_data import op4_private_spans
 from .quality_model import op8_quality_classifier
 from .quality_rules import op6_quality_rules
 from .sharding import op9_minimax_shards
+from .warc import op11_warc_records
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_repeated_passages": op1_repeated_passages,
@@ -28,6 +32,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality_classifier": op8_quality_classifier,
     "op9_minimax_shards": op9_minimax_shards,
     "op10_main_text": op10_main_text,
+    "op11_warc_records": op11_warc_records,
+    "op12_delta_lloyd": op12_delta_lloyd,
+    "op13_merkle_manifest": op13_merkle_manifest,
 }
 
 #: Words of a text in SQL: runs of ASCII letters, digits and longer characters.
@@ -40,4 +47,6 @@ ORACLE: dict[str, str] = {
  sizes as (select item_id, count(*) as n_item from items group by item_id)
  select doc_id, item_id, count(*) as n_shared, any_value(n_item) as n_item, count(*) / any_value(n_item) as containment
  from ds join items using (s) join sizes using (item_id) group by doc_id, item_id having count(*) >= 0.8 * any_value(n_item)""",
+    "op11_warc_records": warc.SQL,
+    "op12_delta_lloyd": centroids.sql(),
 }
