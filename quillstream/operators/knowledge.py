@@ -15,8 +15,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text
+from ..session import kept
 from ..sources import readers
 from . import answers, chunking, search
+from .lexical_index import LexicalIndex
 
 BATCH = 32
 _DOCS = "doc_id long, title string, kind string, filename string, bytes long, text string"
@@ -62,6 +64,8 @@ class KnowledgeBase:
     def remove(self, doc_ids: DataFrame) -> None:
         """Take documents out, and their passages with them; no other document is chunked again."""
         self._write("docs", self.docs().join(doc_ids.select("doc_id"), "doc_id", "left_anti"))
+        gone = self.chunks().join(doc_ids.select("doc_id"), "doc_id", "left_semi").select(F.xxhash64("id").alias("id"))
+        self.index().remove(gone, "id")
         self._write("chunks", self.chunks().join(doc_ids.select("doc_id"), "doc_id", "left_anti").select(*self.chunks().columns))
 
     def reindex(self, doc_ids: DataFrame | None = None) -> None:
@@ -77,6 +81,15 @@ class KnowledgeBase:
         if self.embed:
             rows = rows.where("embedding is not null").unionByName(rows.where("embedding is null").mapInPandas(self._embedder(), rows.schema))
         self._write("chunks", rows)
+        ours = self._passages()
+        if doc_ids is not None:
+            old, ours = old.join(doc_ids.distinct(), "doc_id", "left_semi"), ours.join(doc_ids.distinct(), "doc_id", "left_semi")
+        self.index().remove(old.select(F.xxhash64("id").alias("id")).join(ours.select("id"), "id", "left_anti"), "id")
+        self.index().add(ours, "id")
+
+    def index(self) -> LexicalIndex:
+        """Stems of all passages; an upload adds a segment of its own."""
+        return LexicalIndex(self.spark, f"{self.folder}/index", text.tokenize)
 
     def _embedder(self) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
         embed = self.embed
@@ -120,16 +133,16 @@ class KnowledgeBase:
         Words are stems; where there is an embedder, passages with vectors are scored by both. A document fills three quarters of the hits at most.
         """
         passages = self._passages()
-        words = passages.select("id", "text")
-        lexical = search.bm25(questions, words, key="id", split=text.tokenize)
+        index = self.index()
+        lexical = index.scores(questions, as_key="id")
         if self.embed:
             vectors = passages.where("embedding is not null").select("id", "embedding")
             near = search.dense(self._asked_vectors(questions), vectors, key="id")
             scored = search.blended(lexical, near, vectors.select("id"), key="id")
         else:
             scored = lexical.withColumnRenamed("lexical", "score")
-        hits = search.diversified(scored.join(passages.select("id", "doc_id"), "id"), "doc_id", key="id")
-        return hits, search.confidence(hits, questions, words, key="id", split=text.tokenize)
+        hits = kept(search.diversified(scored.join(passages.select("id", "doc_id"), "id"), "doc_id", key="id"), "hits")
+        return hits, search.confidence(hits, questions, index.held(hits.where("rank <= 3"), "id"), key="id", split=text.tokenize)
 
     def _passages(self) -> DataFrame:
         return self.chunks().select(F.xxhash64("id").alias("id"), "doc_id", F.concat_ws("\n", "title", F.array_join("headings", "\n"), "body").alias("text"), "title", "headings", "body", "embedding")

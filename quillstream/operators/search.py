@@ -140,12 +140,16 @@ def penalised(scored: DataFrame, owners: DataFrame, active: Column, key: str = "
     return met.withColumn("score", F.when(F.col("owner").isNotNull() & (F.col("owner") != active), F.col("score") * FOREIGN_PLAN).otherwise(F.col("score")))
 
 
-def confidence(hits: DataFrame, questions: DataFrame, docs: DataFrame, key: str = "doc_id", question_key: str = "item_id", split: Callable[[Column], Column] = text.terms) -> DataFrame:
-    """``question, top, coverage, confidence`` from the ranked hits (O-AGG-12, O-MTH-4)."""
+def terms_held(hits: DataFrame, docs: DataFrame, key: str = "doc_id", split: Callable[[Column], Column] = text.terms) -> DataFrame:
+    """``key, term`` of the passages among the first three of a question, from their texts."""
+    seen = docs.join(hits.where("rank <= 3").select(key).distinct(), key, "left_semi")  # before the texts are split
+    return seen.select(key, F.explode(F.array_distinct(split(F.col("text")))).alias("term"))
+
+
+def confidence(hits: DataFrame, questions: DataFrame, held: DataFrame, key: str = "doc_id", question_key: str = "item_id", split: Callable[[Column], Column] = text.terms) -> DataFrame:
+    """``question, top, coverage, confidence`` from the ranked hits and the terms (key, term) of their passages (O-AGG-12, O-MTH-4)."""
     asked = question_terms(questions, question_key, split=split)
     first = hits.where("rank <= 3").select("question", key)
-    seen = docs.join(first.select(key).distinct(), key, "left_semi")  # before the texts are split
-    held = seen.select(key, F.explode(F.array_distinct(split(F.col("text")))).alias("term"))
     covered = asked.join(first, "question").join(held, [key, "term"], "left_semi").groupBy("question").agg(F.countDistinct("term").alias("covered"))
     wanted = asked.groupBy("question").agg(F.count("*").alias("wanted"))
     top = hits.where("rank = 1").select("question", F.col("score").alias("top"))

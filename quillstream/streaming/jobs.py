@@ -6,7 +6,6 @@ runs one over all that is there and hands back what it wrote, which batch querie
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -16,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators import answers
+from ..session import shared_dir
 
 HOLD_BACK, SENTINEL = 90, "NO_ANSWER"
 
@@ -78,12 +78,8 @@ def conversation_state(turns: DataFrame) -> DataFrame:
 
 
 def _folder(spark: SparkSession) -> str:
-    """A new folder in ``spark.checkpoint.dir``. Where the session names none: a temporary one in local mode, else one in the warehouse."""
-    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not shared:
-        alone = spark.sparkContext.master.split("[")[0] == "local"
-        shared = tempfile.mkdtemp(prefix="quillstream-") if alone else spark.conf.get("spark.sql.warehouse.dir")
-    return f"{shared}/stream-{uuid.uuid4().hex}"
+    """A new folder that all executors share."""
+    return f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
 
 
 def drain(stream: DataFrame, mode: str) -> DataFrame:
