@@ -52,9 +52,13 @@ def retried(first: Column, second: Column, bare: Column) -> Column:
     return wants & (second >= MISS) & (second > first)
 
 
+#: Phrases of an answer that says it has none.
+REFUSALS = r"\b(i (do not|don't) have|could not find|couldn't find|no information|not (covered|mentioned|available) in)\b"
+
+
 def refusal(answer: Column) -> Column:
     """O-RUL-11."""
-    pattern = r"(?i)\b(i (do not|don't) have|could not find|couldn't find|no information|not (covered|mentioned|available) in)\b"
+    pattern = "(?i)" + REFUSALS
     return F.contains(answer, F.lit("NO_ANSWER")) | ((F.length(answer) <= 320) & answer.rlike(pattern)) | F.left(answer, F.lit(160)).rlike(pattern)
 
 

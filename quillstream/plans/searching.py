@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import text, values
 from ..operators import search, store
 from ..operators.lexical_index import RANGE, LexicalIndex
+from ..operators.vector_index import VectorIndex
 from ..session import kept, load, shared_dir
 from . import in_sql
 from .registry import query
@@ -104,6 +105,13 @@ def kb_dense_rescaled(spark: SparkSession, d: str) -> DataFrame:
     return near.select("question", "vec_id", F.round(values.rescaled(F.col("cosine")), 6).alias("score"))
 
 
+@query()
+def kb_vector_index_topk(spark: SparkSession, d: str) -> DataFrame:
+    """Every twentieth vector against all, by the index; ``tests/test_vector_index.py`` measures its recall against ``kb_dense_cosine_topk``'s blocks."""
+    index = VectorIndex.build(load(spark, d, "embeddings"))
+    return index.topk(_asked_vectors(spark, d)).select("question", "vec_id", F.round("cosine", 6).alias("cosine"), F.col("rank").cast("long").alias("rank"))
+
+
 _HYBRID = f"""{_scored(_ITEMS)}, near as ({_NEAR}),
  blend as (select coalesce(s.question, r.question) as question, coalesce(s.doc_id, r.vec_id) as doc_id, coalesce(lexical, 0) as lex, coalesce(cosine, 0) as cosine from scored s full join near r on s.question = r.question and s.doc_id = r.vec_id),
  hybrid as (select question, doc_id, round(case when doc_id in (select vec_id from embeddings) then 0.62 * (case when cosine <= 0.32 then 0 else least(1.0, (cosine - 0.32) / 0.5) end) + 0.38 * lex else lex end, 9) as score from blend)"""

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager, nullcontext
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -82,17 +83,30 @@ def _folder(spark: SparkSession) -> str:
     return f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
 
 
-def drain(stream: DataFrame, mode: str) -> DataFrame:
+@contextmanager
+def data_batches_only(spark: SparkSession) -> Iterator[None]:
+    """Queries started within take no batch without data. One whose timers run by the clock would else never find that it has read all there is."""
+    name = "spark.sql.streaming.noDataMicroBatches.enabled"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "false")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
+def drain(stream: DataFrame, mode: str, timed: bool = False) -> DataFrame:
     """Run a stream over all there is and return what it wrote: a table of Parquet files, not rows in the driver.
 
     In complete mode each batch replaces the table, in the other modes it adds to it; a batch that is run again after a
-    failure writes its own folder anew.
+    failure writes its own folder anew. ``timed``: the stream has timers by the clock.
     """
     spark, folder = stream.sparkSession, _folder(stream.sparkSession)
 
     def write(rows: DataFrame, batch: int) -> None:
         rows.write.mode("overwrite").parquet(f"{folder}/table" if mode == "complete" else f"{folder}/table/batch={batch}")
 
-    run = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{folder}/checkpoint").foreachBatch(write).trigger(availableNow=True).start()
+    with data_batches_only(spark) if timed else nullcontext():
+        run = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{folder}/checkpoint").foreachBatch(write).trigger(availableNow=True).start()
     run.awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{folder}/table").select(*stream.columns)
