@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text
-from ..operators import answers, classify
+from ..operators import answers, classify, privacy
 from ..session import load
 from . import in_sql
 from .registry import query
@@ -121,3 +121,34 @@ def cls_intent_engine(spark: SparkSession, d: str) -> DataFrame:
     said = turns.select(F.concat(F.lit("i"), (F.col("conv_id") % 5).cast("string")).alias("intent"), (F.col("conv_id") * 1000 + F.col("turn")).alias("ord"), "turn", "text")
     scored = classify.intent_model_scores(load(spark, d, "benchmark").select("item_id", "text"), said.drop("turn"), said.where("turn = 0").select("intent", "text"))
     return scored.select("item_id", "intent", F.round("score", 6).alias("score"))
+
+
+@query()
+def cls_personal_fields(spark: SparkSession, d: str) -> DataFrame:
+    """O-CLS-4 over all user turns, fields carried over; ``tests/test_privacy.py`` holds it against a plain loop."""
+    return privacy.with_fields(load(spark, d, "conversations")).select("conv_id", "turn", F.array_join("fields", ",").alias("fields"))
+
+
+_NAMES = "select distinct trim(regexp_replace(array_to_string(string_split(text, ' ')[1:2], ' ').lower(), '[^a-z0-9à-öø-ÿ]+', ' ', 'g')) as name from benchmark"
+_GRAMS = """with plain as (select doc_id, string_split(trim(regexp_replace(lower(text), '[^a-z0-9à-öø-ÿ]+', ' ', 'g')), ' ') as w from documents),
+ grams as (select doc_id, unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) as name from plain)"""
+
+
+def _directory(spark: SparkSession, d: str) -> DataFrame:
+    """The first two words of each benchmark item as a directory of names."""
+    return load(spark, d, "benchmark").select(F.array_join(F.slice(F.split("text", " "), 1, 2), " ").alias("name"))
+
+
+@query(f"{_GRAMS} select distinct doc_id, name from grams where name in ({_NAMES}) and name <> ''")
+def cls_people_named(spark: SparkSession, d: str) -> DataFrame:
+    """O-CLS-6: every name of a directory in every document."""
+    return privacy.people_named(load(spark, d, "documents"), _directory(spark, d))
+
+
+@query()
+def cls_decline_reasons(spark: SparkSession, d: str) -> DataFrame:
+    """O-CLS-6 over all turns, with the names of the directory."""
+    turns = load(spark, d, "conversations").withColumn("id", F.xxhash64("conv_id", "turn"))
+    named = privacy.people_named(turns, _directory(spark, d), key="id").select("id", F.lit(True).alias("named")).distinct()
+    reasons = privacy.decline_reasons(F.col("text"), F.col("named"))
+    return turns.join(named, "id", "left").select("conv_id", "turn", F.array_join(reasons, ",").alias("reasons"))
