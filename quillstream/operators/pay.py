@@ -1,6 +1,6 @@
 """Banded payouts in exact decimals.
 
-Operators: O-JOIN-9 to O-JOIN-12, O-MTH-5, O-RUL-1 to O-RUL-6, O-AGG-21, O-AGG-25. Band, weight and slab tables are
+Operators: O-JOIN-9 to O-JOIN-12, O-MTH-5, O-RUL-1 to O-RUL-4, O-AGG-21, O-AGG-25. Band, weight and slab tables are
 literals of a plan; their sizes do not depend on the data, so they are broadcast.
 """
 

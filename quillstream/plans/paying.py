@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import pay
+from ..operators import function_plans, pay
 from ..session import load
 from .registry import query
 
@@ -68,3 +70,49 @@ def pay_component_payout(spark: SparkSession, d: str) -> DataFrame:
     slabs = slabs.withColumns({c: F.col(c).cast("decimal(18,4)") for c in ("lo", "hi", "factor_pct")})
     results = load(spark, d, "lineitem").select(F.col("l_orderkey").alias("id"), F.when(F.col("l_linenumber") % 2 == 1, "bookings").otherwise("margin").alias("component"), (F.col("l_quantity") * 3).cast("decimal(18,4)").alias("achieved"))
     return pay.component_payout(people, components, slabs, results).select("id", F.col("payout").cast("double").alias("payout"), "missing")
+
+
+def _plan_values() -> tuple[str, str, list[str]]:
+    """The fixed plan lines as SQL values, and the roles, read by hand for the SQL side."""
+    edge, comps, roles = lambda x: "null" if x is None else x, [], []
+    bands = []
+    for line in function_plans.SLAB_LINES.splitlines():
+        plan, slab, kind, body = [x.strip() for x in line.split("|")]
+        for i, item in enumerate(body.split(";")):
+            label, factor = item.rsplit(":", 1)
+            numbers = re.findall(r"-?[0-9.]+", label.replace("–", " to "))
+            low, high = (numbers[0], numbers[1]) if len(numbers) == 2 else (None, None) if not numbers else (None, numbers[0]) if re.match(r"\s*(<|≤|below)", label) else (numbers[0], None)
+            bands.append(f"('{plan}/{slab}', '{kind}', {edge(low if i else None)}, {edge(high)}, {factor})")
+    for line in function_plans.ROLE_LINES.splitlines():
+        plan, role, body = [x.strip() for x in line.split("|")]
+        roles.append(role)
+        for i, item in enumerate(body.split(";")):
+            name, rest = item.split("=")
+            weight, slab = rest.split(":")
+            comps.append(f"('{role}', '{name.strip().lower()}', {i}, {weight}, '{plan}/{slab.strip()}')")
+    return ", ".join(bands), ", ".join(comps), roles
+
+
+_BANDS, _PARTS, _ROLES = _plan_values()
+_LISTED = "[" + ", ".join(f"'{r}'" for r in _ROLES) + "]"
+
+
+@query(
+    f"""with slabs(slab, kind, lo, hi, factor) as (values {_BANDS}), comp(role, component, ord, weight, slab) as (values {_PARTS}),
+ people as (select c_custkey as id, {_LISTED}[c_custkey % {len(_ROLES)} + 1] as role, (c_custkey % 997 + 1)::bigint * 1000 as target from customer),
+ got as (select o_custkey as id, o_orderkey % 4 as ord, (sum(o_orderkey % 200) // count(*))::bigint as a from orders where o_orderkey % 5 > 0 group by 1, 2),
+ met as (select p.id, c.ord, c.component, target * weight as cents, a, slab, case when slab like '%grr%' or slab like '%nrr%' or slab like '%margin' then a % 9 - 4 else a end as v from people p join comp c using (role) left join got using (id, ord)),
+ paid as (select m.id, m.ord, m.component, case when v is null then null when kind = 'MULTIPLIES' then cents * factor::bigint * v / 10000.0 else cents * factor::bigint / 100.0 end as pay from met m left join slabs s on s.slab = m.slab and (lo is null or v > lo) and (hi is null or v <= hi))
+ select id, round(sum(round(coalesce(pay, 0)) / 100.0), 2) as payout, coalesce(string_agg(component, ',' order by ord) filter (pay is null), '') as missing from paid group by id"""
+)
+def pay_function_plans(spark: SparkSession, d: str) -> DataFrame:
+    """O-RUL-4 to O-RUL-6 by the published plans: customers as staff, averages over their orders as results."""
+    slab_table = function_plans.intervals(function_plans.lines(spark, function_plans.SLAB_LINES))
+    parts = function_plans.components(function_plans.lines(spark, function_plans.ROLE_LINES))
+    role = F.element_at(F.array(*[F.lit(r) for r in _ROLES]), (F.col("c_custkey") % len(_ROLES) + 1).cast("int"))
+    people = load(spark, d, "customer").select(F.col("c_custkey").alias("id"), role.alias("role"), ((F.col("c_custkey") % 997 + 1) * 1000).cast(pay.MONEY).alias("target"))
+    got = load(spark, d, "orders").where("o_orderkey % 5 > 0").groupBy(F.col("o_custkey").alias("id"), (F.col("o_orderkey") % 4).cast("int").alias("ord")).agg(F.floor(F.sum(F.col("o_orderkey") % 200) / F.count("*")).alias("a"))
+    asked = people.join(F.broadcast(parts.select("role", "ord", "component", "slab")), "role").join(got, ["id", "ord"])
+    points = F.col("slab").rlike("grr|nrr|margin$")
+    results = asked.select("id", "component", F.when(points, F.col("a") % 9 - 4).otherwise(F.col("a")).cast(pay.MONEY).alias("achieved"))
+    return function_plans.payouts(people, results, slab_table, parts).select("id", F.col("payout").cast("double").alias("payout"), "missing")
