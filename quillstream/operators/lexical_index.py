@@ -148,17 +148,26 @@ class LexicalIndex:
         df = F.col("df") - F.coalesce("lost", F.lit(0))
         n_col, total_col = F.lit(float(max(n, 1))), F.lit(float(total))
         weights = asked.join(counted, "term").join(lost, "term", "left").where(df > 0).select("question", "term", search.idf(df.cast("double"), n_col).alias("weight"))
+        weights = kept(weights, "weights")  # read by every join below; Spark knows its size
         return weights, blocks, gone.select("key", F.col("owner").alias("segment")).distinct(), n_col, total_col
 
-    def _scored(self, met: DataFrame, gone: DataFrame, n: Column, total: Column) -> DataFrame:
-        """``question, key, raw`` of joined (question, weight, segment, entries)."""
-        spread = met.select("question", "weight", "segment", F.explode("entries").alias("e")).select("question", "segment", F.col("e.key").alias("key"), (F.col("weight") * part(F.col("e.tf"), F.col("e.len"), n, total)).alias("x"))
-        return spread.join(gone, ["key", "segment"], "left_anti").groupBy("question", "key").agg(F.sum("x").alias("raw"))
+    def _scored(self, weights: DataFrame, blocks: DataFrame, gone: DataFrame, n: Column, total: Column, ranges: DataFrame | None = None) -> DataFrame:
+        """``question, key, raw``; with ``ranges`` (question, segment, range) of these alone.
+
+        The blocks of a range are brought together once, before questions multiply them: the sums of a question's passages are then
+        made where the blocks are, and only scores leave the task.
+        """
+        met = blocks.repartition("segment", "range").join(weights, "term")
+        if ranges is not None:
+            met = met.join(ranges, ["question", "segment", "range"], "left_semi")
+        spread = met.select("question", "segment", "range", "weight", F.explode("entries").alias("e"))
+        x = F.col("weight") * part(F.col("e.tf"), F.col("e.len"), n, total)
+        sums = spread.groupBy("question", "segment", "range", F.col("e.key").alias("key")).agg(F.sum(x).alias("raw"))
+        return sums.join(gone, ["key", "segment"], "left_anti").select("question", "key", "raw")
 
     def scores(self, questions: DataFrame, key: str = "item_id", body: str = "text", as_key: str = "doc_id") -> DataFrame:
         """``question, key, lexical`` of every passage that shares a term with a question, as ``search.bm25`` gives them."""
-        weights, blocks, gone, n, total = self._asked(questions, key, body)
-        raw = self._scored(weights.join(blocks, "term"), gone, n, total)
+        raw = self._scored(*self._asked(questions, key, body))
         return raw.select("question", F.col("key").alias(as_key), saturated(F.col("raw")).alias("lexical"))
 
     def bounded(self, weights: DataFrame, blocks: DataFrame, n: Column, total: Column) -> DataFrame:
@@ -170,12 +179,11 @@ class LexicalIndex:
     def pruned(self, questions: DataFrame, k: int = search.TOP_K, key: str = "item_id", body: str = "text") -> tuple[DataFrame, DataFrame, DataFrame]:
         """``question, key, raw`` of a set that holds each question's top k; the ranges (question, segment, range) it comes from, and all with their bounds."""
         weights, blocks, gone, n, total = self._asked(questions, key, body)
-        weights = kept(weights, "weights")
         most = kept(self.bounded(weights, blocks, n, total), "bounds")
 
         def score(ranges: DataFrame) -> DataFrame:
             near = blocks.join(ranges.select("segment", "range").distinct(), ["segment", "range"], "left_semi")
-            return self._scored(weights.join(near, "term").join(ranges, ["question", "segment", "range"], "left_semi"), gone, n, total)
+            return self._scored(weights, near, gone, n, total, ranges)
 
         best = F.row_number().over(Window.partitionBy("question").orderBy(F.desc("most"), "segment", "range"))
         first = kept(most.withColumn("place", best).where(F.col("place") <= FIRST).select("question", "segment", "range"), "first-ranges")
