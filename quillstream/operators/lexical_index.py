@@ -18,9 +18,12 @@ from the block counts less what is gone, lengths from the commits: nothing is co
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -51,6 +54,29 @@ def saturated(raw: Column) -> Column:
     return F.round(raw / (raw + search.SATURATION), 9)
 
 
+def posted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(term, range, n, max_tf, min_len, entries) of passages (range, key, len, bag)."""
+    for batch in batches:
+        ranges, keys, lengths = (batch.column(i).to_numpy() for i in range(3))
+        bags = batch.column(3)
+        doc = np.repeat(np.arange(batch.num_rows), pa.compute.list_value_length(bags).to_numpy(zero_copy_only=False).astype(np.int64))
+        if not len(doc):
+            continue
+        held = bags.flatten()
+        terms = held.field("term").dictionary_encode()
+        codes, tf = terms.indices.to_numpy(), held.field("tf").to_numpy()
+        order = np.lexsort((doc, ranges[doc], codes))
+        codes, tf, doc = codes[order], tf[order], doc[order]
+        starts = np.flatnonzero(np.r_[True, (codes[1:] != codes[:-1]) | (ranges[doc][1:] != ranges[doc][:-1])])
+        ends = np.r_[starts[1:], len(doc)]
+        entries = pa.StructArray.from_arrays([pa.array(keys[doc], pa.int64()), pa.array(tf, pa.int32()), pa.array(lengths[doc], pa.int32())], ["key", "tf", "len"])
+        columns = [
+            terms.dictionary.take(pa.array(codes[starts])), pa.array(ranges[doc][starts], pa.int64()), pa.array(ends - starts, pa.int32()), pa.array(np.maximum.reduceat(tf, starts), pa.int32()),
+            pa.array(np.minimum.reduceat(lengths[doc], starts), pa.int32()), pa.ListArray.from_arrays(pa.array(np.r_[starts, len(doc)], pa.int32()), entries),
+        ]
+        yield pa.RecordBatch.from_arrays(columns, names=["term", "range", "n", "max_tf", "min_len", "entries"])
+
+
 @dataclass
 class LexicalIndex:
     spark: SparkSession
@@ -126,10 +152,12 @@ class LexicalIndex:
         commit.coalesce(1).write.mode("append").parquet(f"{self.folder}/commits")
 
     def _post(self, docs: DataFrame, segment: str) -> None:
-        spread = docs.select("range", "key", "len", F.explode("bag").alias("b")).select("range", F.col("b.term").alias("term"), F.struct("key", F.col("b.tf").alias("tf"), "len").alias("e"))
-        blocks = spread.groupBy("term", "range").agg(F.count("*").cast("int").alias("n"), F.max("e.tf").alias("max_tf"), F.min("e.len").alias("min_len"), F.collect_list("e").alias("entries"))
-        blocks = blocks.withColumn("folder", folder_of(F.col("term"))).repartitionByRange("folder", "term", "range").sortWithinPartitions("folder", "term", "range")
-        blocks.write.partitionBy("folder").parquet(f"{self.folder}/postings/segment={segment}")
+        """Write the blocks of passages that lie in the order of their ranges: each task makes those of its own, nothing is shuffled.
+
+        Where a range begins in one batch and ends in the next, a term has two blocks for it; their counts and bounds add up.
+        """
+        blocks = docs.select("range", "key", "len", "bag").mapInArrow(posted, _POSTINGS.removesuffix(", segment string, folder int"))
+        blocks.withColumn("folder", folder_of(F.col("term"))).sortWithinPartitions("folder", "term", "range").write.partitionBy("folder").parquet(f"{self.folder}/postings/segment={segment}")
 
     # ---- questions ----
 

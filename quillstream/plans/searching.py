@@ -45,7 +45,7 @@ def index_of(spark: SparkSession, d: str) -> LexicalIndex:
     """The index over ``documents``, made once for the files as they are and read by every later query."""
     files = spark.read.format("binaryFile").load(f"{d}/documents.parquet").select("path", "length", "modificationTime")
     tag = files.agg(F.bit_xor(F.xxhash64("path", "length", "modificationTime"))).first()[0]
-    index = LexicalIndex(spark, f"{shared_dir(spark)}/lexical-{RANGE}-{tag & (2**64 - 1):016x}")
+    index = LexicalIndex(spark, f"{shared_dir(spark)}/lexical-b{RANGE}-{tag & (2**64 - 1):016x}")
     if index.version() == 0:
         index.add(load(spark, d, "documents"))
     return index
