@@ -2,12 +2,14 @@
 
 A page is read into a tree. Every paragraph gives points for its length and commas to its ancestors, the whole to
 its parent, half to the next, less further up; a container's points are discounted by the share of its text that
-lies in links. The best container is kept with those of its siblings that score near it or are paragraphs of plain
-text. Navigation, headers, footers, sidebars, notices, adverts, forms, scripts, styles and reader comments, known
+lies in links. The best container is kept with those of its siblings that are of its kind, score near it or are text, headings,
+lists or tables, each of plain text. Navigation, headers, footers, sidebars, notices, adverts, forms, scripts, styles and reader comments, known
 by element or by the words in class, id and role, are left out before and inside.
 
 Names are judged as wholes: ``comment-list`` and ``site-header`` name parts outside the article, ``share-price`` and
 ``no-sidebar`` do not, and nothing that holds the title and most of the plain text of a page is left out by its name.
+A form that holds most of the plain text is the frame of its page and stays. What its own ``hidden`` or ``style`` says is not
+shown is left out; the words of other attributes and ``aria-hidden`` decide nothing.
 Lists of links stay inside the article; where no element marks the article, a list of links before its first or
 after its last block is a menu, unless a heading stands right before it.
 
@@ -32,8 +34,8 @@ from .common import table
 
 _MARK = re.compile(r"<(?:(!--)|[!?]|(/?)([a-zA-Z][^\s/>]*)|/)")
 _STOP = re.compile("[>\"']")
-_NAMES = re.compile(r"""(?:^|\s)(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
-_HIDDEN = re.compile(r"""(?:^|\s)hidden(?:\s|=|$)|display\s*:\s*none|aria-hidden\s*=\s*["']?true""", re.I)
+_ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
+_UNSEEN = re.compile(r"display\s*:\s*none", re.I)
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript template iframe xmp noembed noframes svg".split())
 DROPPED = frozenset("nav footer aside form button select dialog menu object canvas audio video label fieldset".split()) | RAW
@@ -43,6 +45,9 @@ CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td
 BORDERS = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table", "tbody", "thead", "tfoot"}, "td": {"tr", "table"}, "th": {"tr", "table"}, "option": {"select"}}
 _BUT_P = BLOCKS - {"p"}
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: What may stand beside the best container as a part of the article.
+BESIDE = HEADINGS | frozenset("p blockquote pre ul ol dl table figure".split())
+FIELDS, LETTERS_A_FIELD = frozenset("input select textarea".split()), 200
 #: Words in class, id and role that tell what is not the article.
 OUTSIDE = frozenset(
     "ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs byline-share comment comments commentlist consent cookie cookies disqus footer gdpr header masthead menu modal nav navbar navigation "
@@ -68,24 +73,39 @@ def _names_outside(names: list[str]) -> bool:
 
 
 class Element:
-    __slots__ = ("tag", "parent", "inside", "words", "named", "points", "letters", "linked", "titled")
+    __slots__ = ("tag", "parent", "inside", "words", "named", "wraps", "points", "letters", "linked", "titled", "asks")
 
     def __init__(self, tag: str, parent: Element | None, names: list[str]):
         self.tag, self.parent = tag, parent
         self.words = frozenset(w for x in names for w in _PART.findall(x))
         self.named = bool(names) and tag not in ("html", "body", "article", "main") and _names_outside(names)
         self.inside: list = []
-        self.points, self.letters, self.linked, self.titled = 0.0, 0, 0, tag in ("h1", "article", "main")
+        self.wraps = False  # a form round the whole page
+        self.points, self.letters, self.linked, self.titled, self.asks = 0.0, 0, 0, tag in ("h1", "article", "main"), 0
 
     def outside(self) -> bool:
         """Whether this is a part that no article has."""
-        if self.tag in DROPPED or self.named:
+        if self.tag in DROPPED and not self.wraps or self.named:
             return True
         if self.tag == "header":
             return not any(isinstance(x, Element) and x.tag in HEADINGS for x in self.inside) or "page" in self.words or "site" in self.words
         return False
 
 
+def _attributes(tag: str, marks: str) -> tuple[list[str], bool]:
+    """Names in class, id and role; whether the element is not shown, by its own attributes and not by words in their values."""
+    names, unseen = [], False
+    for name, a, b, c in _ATTRIBUTE.findall(marks):
+        name = name.lower()
+        if name in ("class", "id", "role"):
+            names += (a or b or c).lower().split()
+        elif name == "hidden" or name == "style" and _UNSEEN.search(a or b or c):
+            unseen |= tag not in VOID
+        elif name == "type" and tag == "input":
+            unseen |= (a or b or c).lower() == "hidden"
+    return names, unseen
+
+
 def read(page: str) -> list[Element]:
     """The tree of a page, its root first and parents before their children, without comments and the insides of scripts and the like."""
     top = here = Element("html", None, [])
@@ -153,8 +173,8 @@ def read(page: str) -> list[Element]:
         if tag in CLOSES:
             close_first(CLOSES[tag], BORDERS[tag])
         marks = page[m.end() : end].removesuffix(">")
-        names = " ".join(a or b or c for a, b, c in _NAMES.findall(marks)).lower().split() if "=" in marks else []
-        new = Element("template" if _HIDDEN.search(marks) and tag not in VOID else tag, here, names)
+        names, unseen = _attributes(tag, marks) if marks else ([], False)
+        new = Element("template" if unseen else tag, here, names)
         here.inside.append(new)
         every.append(new)
         if tag in RAW:
@@ -223,9 +243,10 @@ def blocks(root: Element) -> Iterator[tuple[Element, str, int]]:
 
 
 def _weigh(every: list[Element], found: list[tuple[Element, str, int]]) -> None:
-    """Letters, letters in links and titles of all elements, those of their descendants included."""
+    """Letters, letters in links, titles and fields to fill in of all elements, those of their descendants included."""
     for e in every:
         e.letters = e.linked = 0
+        e.asks = int(e.tag in FIELDS)
     for holder, text, linked in found:
         holder.letters += len(text)
         holder.linked += linked
@@ -233,26 +254,33 @@ def _weigh(every: list[Element], found: list[tuple[Element, str, int]]) -> None:
         if e.parent is not None:
             e.parent.letters += e.letters
             e.parent.linked += e.linked
+            e.parent.asks += e.asks
             e.parent.titled |= e.titled
 
 
-def _keeps_names(every: list[Element]) -> bool:
-    """Take back names that would leave out the title and most of the plain text. Whether any name is left."""
+def _settle(every: list[Element]) -> None:
+    """Take back names that would leave out the title and most of the plain text, and forms that wrap the page: those that hold
+    most of the plain text, with the title or at least ``LETTERS_A_FIELD`` letters to each field."""
     named = [e for e in every if e.named]
-    if named:
+    forms = [e for e in every if e.tag == "form"]
+    if named or forms:
         for e in named:
             e.named = False
+        for e in forms:
+            e.wraps = True
         _weigh(every, list(blocks(every[0])))
         most = 0.5 * (every[0].letters - every[0].linked)
         for e in named:
             e.named = not (e.titled and e.letters - e.linked > most)
-    return any(e.named for e in named)
+        for e in forms:
+            plain = e.letters - e.linked
+            e.wraps = plain > most and (e.titled or plain > LETTERS_A_FIELD * e.asks)
 
 
 def main_text(page: str) -> str:
     """Blocks of the article, joined by two line ends."""
     every = read(page)
-    _keeps_names(every)
+    _settle(every)
     found = list(blocks(every[0]))
     _weigh(every, found)
     scored: dict[int, Element] = {}
@@ -278,8 +306,7 @@ def main_text(page: str) -> str:
     if best.parent is not None and best.tag not in ("article", "main"):
         for x in best.parent.inside:
             if isinstance(x, Element) and x.letters and not x.outside() and x.linked < 0.25 * x.letters:
-                holds_p = x.tag == best.tag and any(isinstance(y, Element) and y.tag == "p" for y in x.inside)
-                if holds_p or x.tag in ("p", "blockquote", "pre", *HEADINGS) or id(x) in scored and worth(x) >= 0.2 * worth(best):
+                if x.tag == best.tag or x.tag in BESIDE or id(x) in scored and worth(x) >= 0.2 * worth(best):
                     keep.add(id(x))
     # Parents come before their children, so one walk tells for each element whether it is kept and marked as the article.
     kept: dict[int, tuple[bool, bool]] = {}

@@ -67,7 +67,31 @@ def test_op10_odd_markup(page, want):
     assert html_text.main_text(page) == want
 
 
-@pytest.mark.parametrize("page", ['<a b="' * 170_000, "<div>" * 100_000 + "x" + "</b>" * 100_000, "<div><p>aa, bb</p>" * 55_000, "<a " + 'b= " ' * 200_000, "<" * 10**6, "<p>" + "word, " * 170_000, "&#" + "1" * 10**6 + ";", "<a class=" + "'\"" * 400_000])
+PARTS = "<p>One two three, four.</p><p>Five six seven.</p>"
+READ = "One two three, four.\n\nFive six seven."
+
+
+@pytest.mark.parametrize(
+    ("page", "want"),
+    [
+        (f'<article>{PARTS}<p title="the hidden truth">Eight.</p><p class="lead hidden md">Nine.</p><p data-x="display: none">Ten.</p></article>', READ + "\n\nEight.\n\nNine.\n\nTen."),
+        (f'<article>{PARTS}<p aria-hidden="true">Eight.</p></article>', READ + "\n\nEight."),
+        (f'<article>{PARTS}<p hidden>No.</p><div HIDDEN="">No.</div><p style="color: red; display : none">No.</p></article>', READ),
+        (f'<body><form action="/"><input type="hidden" name="s"><nav><a href="a">Home</a></nav><div>{PARTS}</div><footer>End</footer></form></body>', READ),
+        (f'<body><form><h1>Title</h1><div>{PARTS}<form><label>Name</label><input></form></div></form></body>', "Title\n\n" + READ),
+        (f"<body><article>{PARTS}</article><form><p>Write to us about what you have read here, please, all of you, at any time</p><input><textarea>x</textarea></form></body>", READ),
+        ("<body><form><p>Your name</p><input><p>Your word</p><input></form></body>", ""),
+        (f"<body><section>{PARTS * 2}</section><section><h2>Sub</h2><ul><li>Aa</li><li>Bb</li></ul></section></body>", f"{READ}\n\n{READ}\n\nSub\n\nAa\n\nBb"),
+        (f"<body><div>{PARTS * 4}</div><div>The close.</div></body>", "\n\n".join([READ] * 4) + "\n\nThe close."),
+        (f'<body><div class="x1"><a href="a">Home</a> <a href="b">News</a></div><div>{PARTS}</div><div class="x2"><a href="c">About</a> us</div></body>', READ),
+        (f"<body><div>{PARTS * 2}</div><table><tr><td>Aa</td><td>Bb</td></tr></table><ul><li>Cc</li></ul></body>", f"{READ}\n\n{READ}\n\nAa\n\nBb\n\nCc"),
+    ],
+)
+def test_op10_nothing_else_is_dropped(page, want):
+    assert html_text.main_text(page) == want
+
+
+@pytest.mark.parametrize("page", ["<a " + "b" * 10**6, "<a " + "b " * 400_000 + "=", "<form>" * 100_000 + "x", '<a b="' * 170_000, "<div>" * 100_000 + "x" + "</b>" * 100_000, "<div><p>aa, bb</p>" * 55_000, "<a " + 'b= " ' * 200_000, "<" * 10**6, "<p>" + "word, " * 170_000, "&#" + "1" * 10**6 + ";", "<a class=" + "'\"" * 400_000])
 def test_op10_long_pages(page):
     """A page of a megabyte takes a time that grows with its length."""
     began = time.process_time()
