@@ -3,7 +3,10 @@
 Seeds are winnowed runs of ``SEED`` words: of every ``WINDOW`` neighbouring runs at least one is a seed, the same
 one wherever the words recur. Seeds of one document only are found by their hashes alone and leave no task with their
 places. All occurrences of a seed are tied to its first occurrence (least doc_id and
-place) alone, so a passage in thousands of documents makes one anchor per occurrence. The anchors that two
+place) alone, so a passage in thousands of documents makes one anchor per occurrence. As a short seed may have its first
+occurrence in an unrelated text, runs of ``RUN`` words are seeds as well, winnowed so that ``LEAST`` equal words hold one at
+least: the document that it is tied to holds all of the run, whatever earlier documents hold of its words. Runs lie at most
+``RUN_WINDOW`` words apart, so a long exact passage is covered run by run, by one document or several. The anchors that two
 documents share are chained: matches in the same order in both, worth ``SEED`` words each, less a cost for the
 gaps in both documents; a Fenwick tree over the places in the first document finds the best predecessor. Chains
 are then aligned: gaps between anchors word by word, ends by extension over single edits. A chain that
@@ -19,7 +22,7 @@ doc_id come after all others; of equal places the first counts; an empty table g
 
 from __future__ import annotations
 
-from bisect import bisect_right
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from difflib import SequenceMatcher
 
@@ -33,42 +36,52 @@ from .wordhash import U64, Words, bitmap_of, mix, pieces, signed
 
 SEED, WINDOW = 5, 4
 GAP_COST, LEAST_CHAIN, LEAST, IDENTITY = 0.1, 16, 50, 0.7
+RUN, RUN_WINDOW = 40, LEAST - 40 + 1
 MARGIN, LONGEST_GAP = 48, 200
 MEMBERS_PER_SALT = 256
 MOST_BITS = 27
 
 
-def winnow(hashes: np.ndarray, doc: np.ndarray, texts: int) -> np.ndarray:
-    """Places of the minima of all windows of ``WINDOW`` neighbours of one text; windows at its end are shorter."""
+def winnow(hashes: np.ndarray, doc: np.ndarray, texts: int, window: int) -> np.ndarray:
+    """Places of the minima of all windows of ``window`` neighbours of one text; windows at its end are shorter."""
     if not len(hashes):
         return np.zeros(0, np.int64)
-    place = np.arange(len(hashes)) + doc * (WINDOW - 1)  # room between texts
-    padded = np.full(len(hashes) + texts * (WINDOW - 1) + WINDOW, np.iinfo(np.uint64).max, dtype=U64)
+    place = np.arange(len(hashes)) + doc * (window - 1)  # room between texts
+    padded = np.full(len(hashes) + texts * (window - 1) + window, np.iinfo(np.uint64).max, dtype=U64)
     padded[place] = hashes
-    low = padded
-    reach = 1
-    while reach < WINDOW:
-        low = np.minimum(low[:-reach], low[reach:])
-        reach *= 2
-    real = np.zeros(len(low), bool)
+    real = np.zeros(len(padded), bool)
     real[place] = True
-    high = np.concatenate([np.zeros(WINDOW - 1, U64), np.where(real, low, U64(0))])
-    reach = 1
-    while reach < WINDOW:
-        high = np.maximum(high[:-reach], high[reach:])
-        reach *= 2
+    low = np.where(real, _over(padded, window, np.minimum), U64(0))  # the least of each place and those behind it
+    high = _over(low[::-1], window, np.maximum)[::-1]  # the greatest of these of each place and those before it
     return np.flatnonzero(high[place] == hashes)
 
 
+def _over(values: np.ndarray, window: int, pick: np.ufunc) -> np.ndarray:
+    """``pick`` over each place and the ``window - 1`` next ones; the ends have fewer."""
+    out, reach = values.copy(), 1
+    while reach < window:
+        step = min(reach, window - reach)
+        out[:-step] = pick(out[:-step], out[step:])
+        reach += step
+    return out
+
+
+def _chosen(words: Words, texts: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of the seeds and runs of a piece, their texts, and the places of the ``SEED`` words that anchor them."""
+    found = []
+    for length, window in ((SEED, WINDOW), (RUN, RUN_WINDOW)):
+        hashes, at = words.shingles(length)
+        doc = words.doc[at]
+        chosen = winnow(hashes, doc, texts, window)
+        found.append((hashes[chosen], doc[chosen], at[chosen] - words.first[doc[chosen]] + (length - SEED) // 2))
+    return tuple(np.concatenate(x) for x in zip(*found))
+
+
 def _seed_hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(seed): each seed of a document once."""
     for batch in batches:
         for part, data, offsets in pieces(batch):
-            words = Words(data, offsets)
-            hashes, at = words.shingles(SEED)
-            doc = words.doc[at]
-            chosen = winnow(hashes, doc, part.num_rows)
-            hashes, doc = hashes[chosen], doc[chosen]
+            hashes, doc, _ = _chosen(Words(data, offsets), part.num_rows)
             order = np.lexsort((hashes, doc))
             hashes, doc = hashes[order], doc[order]
             fresh = np.concatenate([[True], (hashes[1:] != hashes[:-1]) | (doc[1:] != doc[:-1])]) if len(doc) else np.zeros(0, bool)
@@ -81,47 +94,62 @@ def _seeds(repeated):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, data, offsets in pieces(batch):
-                words = Words(data, offsets)
-                hashes, at = words.shingles(SEED)
-                doc = words.doc[at]
-                chosen = winnow(hashes, doc, part.num_rows)
-                chosen = chosen[repeated.value.has(hashes[chosen])]
-                ids = part.column(0).take(pa.array(doc[chosen]))
-                yield pa.RecordBatch.from_arrays([pa.array(signed(hashes[chosen])), ids, pa.array((at[chosen] - words.first[doc[chosen]]).astype(np.int32))], names=["seed", "doc_id", "place"])
+                hashes, doc, place = _chosen(Words(data, offsets), part.num_rows)
+                known = repeated.value.has(hashes)
+                ids = part.column(0).take(pa.array(doc[known]))
+                yield pa.RecordBatch.from_arrays([pa.array(signed(hashes[known])), ids, pa.array(place[known].astype(np.int32))], names=["seed", "doc_id", "place"])
 
     return run
 
 
 def chain(x: list[int], y: list[int]) -> list[list[int]]:
-    """Disjoint chains of anchors (x[i], y[i]), best first: indices in the order of both coordinates."""
+    """Disjoint chains of anchors (x[i], y[i]), best first: indices in the order of both coordinates.
+
+    An anchor adds ``SEED`` to the chain before it, or less where the two overlap. A tree over y holds the anchors that end
+    before the present one in x and is asked for those that end before it in y; the few that overlap it are tried one by one.
+    """
+    if len(x) == 1:
+        return [[0]]
     order = sorted(range(len(x)), key=lambda i: (x[i], y[i]))
-    rank = {v: r for r, v in enumerate(sorted(set(y)), 1)}
-    tree: list[tuple[float, int]] = [(float("-inf"), -1)] * (len(rank) + 1)  # best score + cost of its place, by prefix of y
+    ys = sorted(set(y))
+    none = (float("-inf"), -1)
+    tree: list[tuple[float, int]] = [none] * (len(ys) + 1)  # best score + cost of its place, by prefix of y
+    rows: dict[int, tuple[float, int]] = {}  # the same by y alone
     score, before = [0.0] * len(x), [-1] * len(x)
-    waiting: list[int] = []
-
-    def enter(i: int) -> None:
-        r, entry = rank[y[i]], (score[i] + GAP_COST * (x[i] + y[i]), i)
-        while r < len(tree):
-            if entry > tree[r]:
-                tree[r] = entry
-            r += r & -r
-
-    for i in order:
-        while waiting and x[waiting[0]] < x[i]:  # equal places in x cannot follow each other
-            enter(waiting.pop(0))
-        r, best = rank[y[i]] - 1, (float("-inf"), -1)
+    entered = 0
+
+    for at, i in enumerate(order):
+        here, there = x[i], y[i]
+        while entered < at and x[order[entered]] <= here - SEED:
+            j = order[entered]
+            entered += 1
+            entry = (score[j] + GAP_COST * (x[j] + y[j]), j)
+            if entry > rows.get(y[j], none):
+                rows[y[j]] = entry
+                r = bisect_left(ys, y[j]) + 1
+                while r < len(tree):
+                    if entry > tree[r]:
+                        tree[r] = entry
+                    r += r & -r
+        r, best = bisect_right(ys, there - SEED), none
         while r > 0:
             if tree[r] > best:
                 best = tree[r]
             r -= r & -r
-        gain = best[0] - GAP_COST * (x[i] + y[i])
-        if best[1] >= 0 and gain > 0:
-            j = best[1]
-            score[i], before[i] = gain + min(SEED, x[i] - x[j], y[i] - y[j]), j
-        else:
-            score[i] = float(SEED)
-        waiting.append(i)
+        cost = GAP_COST * (here + there)
+        score[i] = float(SEED)
+        if best[0] > cost:
+            score[i], before[i] = best[0] - cost + SEED, best[1]
+        for near in range(1, SEED):  # ends before in x, overlaps in y
+            held = rows.get(there - near)
+            if held and held[0] > cost and held[0] - cost + near > score[i]:
+                score[i], before[i] = held[0] - cost + near, held[1]
+        for j in order[entered:at]:  # overlaps in x
+            if x[j] < here and y[j] < there:
+                base = score[j] - GAP_COST * (here - x[j] + there - y[j])
+                total = base + min(here - x[j], there - y[j], SEED)
+                if base > 0 and total > score[i]:
+                    score[i], before[i] = total, j
     used, out = [False] * len(x), []
     for i in sorted(range(len(x)), key=lambda i: -score[i]):
         path = []
@@ -156,6 +184,7 @@ def _chains(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     rows = []
     flush = lambda: pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=names)
     for (doc, src), (x, y) in _groups(batches, 2):
+        x, y = zip(*sorted(set(zip(x, y))))  # a run and a seed may stand at one place
         rows += [(doc, src, [x[i] for i in path], [y[i] for i in path]) for path in chain(x, y)]  # single anchors too: alignment may extend them
         if len(rows) >= 2000:
             yield flush()
@@ -284,7 +313,8 @@ _aligned.kinds = {"doc": pa.int64(), "src": pa.int64(), "start": pa.int32(), "en
 
 
 def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Stretches of one document, sorted by start, joined where they overlap or touch."""
+    """Stretches of one document, sorted by start, the longest first, joined where they overlap or touch. A stretch inside one of an
+    earlier document names no source of its own. ``farthest``: how far earlier documents reach, ends and documents both ascending."""
     kinds = [pa.int64(), pa.int32(), pa.int32(), pa.float64(), pa.list_(pa.int64())]
     rows = []
 
@@ -296,13 +326,21 @@ def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for (doc,), (start, end, src, same) in _groups(batches, 1):
         now = None
         for s, e, d, n in zip(start, end, src, same):
-            if now and s <= now[1] + 1:
-                new = max(0, e - max(s, now[1]))
-                now = (now[0], max(now[1], e), now[2] + n * new / max(1, e - s), now[3] | {d})
-            else:
+            if now is None or s > now[1] + 1:
                 if now:
                     close(doc, *now)
-                now = (s, e, n, {d})
+                now, farthest = (s, e, n, {d}), [(d, e)]
+                continue
+            new = max(0, e - max(s, now[1]))
+            now = (now[0], max(now[1], e), now[2] + n * new / max(1, e - s), now[3])
+            i = bisect_left(farthest, (d,))
+            if i == 0 or farthest[i - 1][1] < e:
+                now[3].add(d)
+                j = i
+                while j < len(farthest) and farthest[j][1] <= e:
+                    j += 1
+                if j > i or i == len(farthest) or farthest[i][0] != d:
+                    farthest[i:j] = [(d, e)]
         close(doc, *now)
         if len(rows) >= 5000:
             yield flush()
@@ -352,7 +390,7 @@ def _passages(docs: DataFrame, text: str, doc_id: str) -> DataFrame:
     bare = chains.withColumns({"cut": F.lit(None).cast("binary"), "first": F.lit(None).cast("int")})
     half = durable(lead(bare, "doc").mapInArrow(_cut("xs", _with_words), "doc long, src long, xs array<int>, ys array<int>, cut binary, first int"), "cut-chains")
     aligned = lead(half, "src").mapInArrow(_cut("ys", _aligned), "doc long, src long, start int, end int, src_start int, src_end int, same int")
-    stretches = aligned.select("doc", "start", "end", "src", "same").repartition("doc").sortWithinPartitions("doc", "start", "end", "src")
+    stretches = aligned.select("doc", "start", "end", "src", "same").repartition("doc").sortWithinPartitions("doc", "start", F.desc("end"), "src")
     found = stretches.mapInArrow(_joined, "doc_id long, start_word int, end_word int, identity double, source_ids array<long>")
     if names is None:
         return found.withColumn("text_hash", F.lit(None).cast("long"))

@@ -13,6 +13,7 @@ PIECE_BYTES = 500_000
 _ODD = U64(0x9E3779B97F4A7C15)
 _BASE = 0x100000001B3 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
+_STEP = 0xD6E8FEB86659FD93
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -74,9 +75,11 @@ class Words:
         count = len(self.hashes) - n + 1
         if count <= 0:
             return np.zeros(0, U64), np.zeros(0, np.int64)
-        total = np.zeros(count, dtype=U64)
-        for j in range(n):
-            total = total * U64(0xD6E8FEB86659FD93) + self.hashes[j : j + count]
+        total, power, length = self.hashes, _STEP, 1  # runs of twice as many words from two of them, and of one more where ``n`` has the bit
+        for bit in bin(n)[3:]:
+            total, power, length = total[:-length] * U64(power) + total[length:], power * power & (2**64 - 1), 2 * length
+            if bit == "1":
+                total, power, length = total[:-1] * U64(_STEP) + self.hashes[length:], power * _STEP & (2**64 - 1), length + 1
         at = np.flatnonzero(self.doc[:count] == self.doc[n - 1 :])
         return mix(total[at]), at
 

@@ -186,6 +186,8 @@ def test_op1_chains():
             best[i] = max([float(passages.SEED), *gains])
         longest = passages.chain(x, y)[0]
         assert all(x[a] < x[b] and y[a] < y[b] for a, b in zip(longest, longest[1:]))
+        worth = passages.SEED + sum(min(passages.SEED, x[b] - x[a], y[b] - y[a]) - passages.GAP_COST * (x[b] - x[a] + y[b] - y[a]) for a, b in zip(longest, longest[1:]))
+        assert worth == pytest.approx(max(best.values()))
 
 
 def test_op3_packs_all(spark, docs, corpus, none):
