@@ -5,7 +5,9 @@ rules reject some documents; the others are held against fences that come from m
 sketches of each (lang, source) group. A fence lies beyond a high (or low) quantile by ``TAIL`` times the distance
 of that quantile from the median, so it follows the spread of the group. Symbols and word lengths are measured at the
 first or last tenth, which junk of less than a tenth of a group does not move; repeats, which most groups have
-a few of, at the last hundredth. Rates count what goes beyond ``FREE`` occurrences, so that no single event rejects a short text. Small
+a few of, at the last hundredth. Where most of a group agree, the distance is at least ``LEAST_SPREAD`` of the middle for word lengths, and for rates
+one occurrence in a long text (0.9 quantile) of the group, so no fence closes upon the middle. From there a fence follows the tail: while the next of the
+quantiles ``TAILS`` lies within it, the fence is measured from that one, so a tail without a gap belongs to its group and junk beyond a gap does not. Rates count what goes beyond ``FREE`` occurrences, so that no single event rejects a short text. Small
 groups borrow: the fence of a group of n documents is its own by n / (n + ``BORROW``), and for the rest that of
 its language, which borrows from the corpus in the same way; all come from the same sketches, merged.
 
@@ -22,6 +24,7 @@ from .common import ascii_words, durable, let, table
 
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
 SKETCH_K, TAIL, BORROW = 1024, 3.0, 200
+LEAST_SPREAD, TAILS = 0.05, (0.925, 0.95, 0.975, 0.99)
 #: Feature: its count, what it is counted per, the occurrences that are free, and the quantiles of its low and high fence.
 FEATURES = {
     "word_length": ("word_chars", "n_words", 0, (0.1, 0.9)),
@@ -29,6 +32,7 @@ FEATURES = {
     "dup_line_ratio": ("n_dup_lines", "n_lines", 2, (None, 0.99)),
     "repeat_ratio": ("n_repeat_words", "n_words", 6, (None, 0.99)),
 }
+SKETCHED = [*FEATURES, "n_words", "n_lines"]
 
 
 def _repeated(words: Column) -> Column:
@@ -74,18 +78,30 @@ def _rates(df: DataFrame) -> DataFrame:
 
 
 def _fence(sketches: str, feature: str, q: float) -> Column:
-    at, middle = (F.kll_sketch_get_quantile_double(F.col(f"{sketches}.{feature}"), F.lit(x)) for x in (q, 0.5))
-    return at + TAIL * (at - middle)
+    """``TAIL`` spreads beyond the quantile ``q`` of a feature, or beyond the farthest quantile that its tail reaches without a gap."""
+    at = lambda name, x: F.kll_sketch_get_quantile_double(F.col(f"{sketches}.{name}"), F.lit(x))
+    middle, low = at(feature, 0.5), q < 0.5
+    least = LEAST_SPREAD * middle if feature == "word_length" else 1 / at(FEATURES[feature][1], 0.9)
+    edge = lambda x: x + (-TAIL if low else TAIL) * F.greatest(F.abs(x - middle), least)
+    within = lambda x, limit: x >= limit if low else x <= limit
+    tail = [at(feature, 1 - x if low else x) for x in TAILS if x > max(q, 1 - q)]
+    start = F.struct(at(feature, q).alias("x"), F.lit(True).alias("on"))  # on: no gap so far
+
+    def follow(e: Column, x: Column) -> Column:
+        on = e["on"] & within(x, edge(e["x"]))
+        return F.struct(F.when(on, x).otherwise(e["x"]).alias("x"), on.alias("on"))
+
+    return let(F.aggregate(F.array(*tail), start, follow)["x"], edge) if tail else edge(at(feature, q))
 
 
 def fences(rated: DataFrame) -> DataFrame:
     """``lang, source`` and a low and a high fence for each feature. ``rated`` holds the documents that passed the base rules."""
-    sketched = durable(rated.groupBy("lang", "source").agg(F.count("*").alias("n"), *[F.kll_sketch_agg_double(c, SKETCH_K).alias(c) for c in FEATURES]), "rule-sketches")
+    sketched = durable(rated.groupBy("lang", "source").agg(F.count("*").alias("n"), *[F.kll_sketch_agg_double(F.col(c).cast("double"), SKETCH_K).alias(c) for c in SKETCHED]), "rule-sketches")
 
     def merged(*keys: str) -> DataFrame:
-        return sketched.groupBy(*keys).agg(F.sum("n").alias("n"), *[F.kll_merge_agg_double(c, SKETCH_K).alias(c) for c in FEATURES])
+        return sketched.groupBy(*keys).agg(F.sum("n").alias("n"), *[F.kll_merge_agg_double(c, SKETCH_K).alias(c) for c in SKETCHED])
 
-    level = lambda df, tag: df.select(*[c for c in ("lang", "source") if c in df.columns], F.struct("n", *FEATURES).alias(tag))
+    level = lambda df, tag: df.select(*[c for c in ("lang", "source") if c in df.columns], F.struct("n", *SKETCHED).alias(tag))
     joined = (
         level(sketched, "own")
         .join(level(merged("lang"), "of_lang").withColumnRenamed("lang", "l"), F.col("lang").eqNullSafe(F.col("l")), "left")

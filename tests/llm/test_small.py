@@ -309,6 +309,16 @@ def test_op6_adapts(spark):
     assert not kept[5000] and kept[5001] and sum(kept.values()) == len(rows) - 1
 
 
+def test_op6_fences_stay_open(spark):
+    """A few symbols in long texts of a clean group reject nobody, nor do words a little longer where most texts are copies; junk beyond a gap is rejected."""
+    rng = random.Random(26)
+    rows = [(i, prose(rng, 2000) + " # # # #" * (i < 20) + " # $" * 200 * (i >= 390), "en", "clean") for i in range(400)]
+    copy = prose(rng, 100)
+    rows += [(1000 + i, copy if i % 20 else prose(rng, 100), "en", "copies") for i in range(300)]
+    kept = {r.doc_id: r.kept for r in quality_rules.judge(frame(spark, rows)).collect()}
+    assert {i for i, k in kept.items() if not k} == set(range(390, 400))
+
+
 def test_op6_against_plain_quantiles(spark):
     """Every verdict follows from quantiles of plain sorted lists; groups of one, a few and some hundred documents, a null lang."""
     rng = random.Random(16)
@@ -320,9 +330,22 @@ def test_op6_against_plain_quantiles(spark):
     got = {r.doc_id: r for r in quality_rules.judge(frame(spark, rows)).collect()}
     rates = {c: {i: getattr(got[i], c) for i in got if not got[i].base_failed} for c in quality_rules.FEATURES}
 
-    def fence(values, q):
-        at, middle = (sorted(values)[max(0, math.ceil(x * len(values) - 1e-9) - 1)] for x in (q, 0.5))
-        return at + quality_rules.TAIL * (at - middle)
+    lengths = {i: (r.n_words, (rows[i][1] or "").count("\n") + 1) for i, r in got.items()}
+
+    def quantile(values, q):
+        return sorted(values)[max(0, math.ceil(q * len(values) - 1e-9) - 1)]
+
+    def fence(c, members, q):
+        values = [rates[c][i] for i in members]
+        middle, at = quantile(values, 0.5), quantile(values, q)
+        least = 0.05 * middle if c == "word_length" else 1 / quantile([lengths[i][c == "dup_line_ratio"] for i in members], 0.9)
+        for t in (0.925, 0.95, 0.975, 0.99):
+            if t > max(q, 1 - q):
+                further = quantile(values, t if q > 0.5 else 1 - t)
+                if abs(further - at) > quality_rules.TAIL * max(abs(at - middle), least):
+                    break
+                at = further
+        return at + (1 if q > 0.5 else -1) * quality_rules.TAIL * max(abs(at - middle), least)
 
     rejected = 0
     for i, _, lang, source in rows:
@@ -330,12 +353,12 @@ def test_op6_against_plain_quantiles(spark):
         for c, (_, _, _, sides) in quality_rules.FEATURES.items():
             if not good:
                 break
-            own = [v for j, v in rates[c].items() if rows[j][2:4] == (lang, source)]
-            wide = [v for j, v in rates[c].items() if rows[j][2] == lang]
+            own = [j for j in rates[c] if rows[j][2:4] == (lang, source)]
+            wide = [j for j in rates[c] if rows[j][2] == lang]
             for side, q in zip(("low", "high"), sides):
                 if q is not None:
                     p, w = len(own) / (len(own) + quality_rules.BORROW), len(wide) / (len(wide) + quality_rules.BORROW)
-                    edge = p * fence(own, q) + (1 - p) * (w * fence(wide, q) + (1 - w) * fence(list(rates[c].values()), q))
+                    edge = p * fence(c, own, q) + (1 - p) * (w * fence(c, wide, q) + (1 - w) * fence(c, list(rates[c]), q))
                     good = good and (rates[c][i] >= edge - 1e-12 if side == "low" else rates[c][i] <= edge + 1e-12)
         assert got[i].kept == good, i
         rejected += not good and not got[i].base_failed
