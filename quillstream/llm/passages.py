@@ -6,7 +6,8 @@ places. All occurrences of a seed are tied to its first occurrence (least doc_id
 place) alone, so a passage in thousands of documents makes one anchor per occurrence. As a short seed may have its first
 occurrence in an unrelated text, runs of ``RUN`` words are seeds as well, winnowed so that ``LEAST`` equal words hold one at
 least: the document that it is tied to holds all of the run, whatever earlier documents hold of its words. Runs lie at most
-``RUN_WINDOW`` words apart, so a long exact passage is covered run by run, by one document or several. The anchors that two
+``RUN_WINDOW`` words apart, so a long exact passage is covered run by run, by one document or several; the short seeds of a
+document that lie inside its tied runs are left out. The anchors that two
 documents share are chained: matches in the same order in both, worth ``SEED`` words each, less a cost for the
 gaps in both documents; a Fenwick tree over the places in the first document finds the best predecessor. Chains
 are then aligned: gaps between anchors word by word, ends by extension over single edits. A chain that
@@ -37,6 +38,7 @@ from .wordhash import U64, Words, bitmap_of, mix, pieces, signed
 SEED, WINDOW = 5, 4
 GAP_COST, LEAST_CHAIN, LEAST, IDENTITY = 0.1, 16, 50, 0.7
 RUN, RUN_WINDOW = 40, LEAST - 40 + 1
+AHEAD = (RUN - SEED) // 2  # words of a run before its anchor
 MARGIN, LONGEST_GAP = 48, 200
 MEMBERS_PER_SALT = 256
 MOST_BITS = 27
@@ -66,14 +68,14 @@ def _over(values: np.ndarray, window: int, pick: np.ufunc) -> np.ndarray:
     return out
 
 
-def _chosen(words: Words, texts: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hashes of the seeds and runs of a piece, their texts, and the places of the ``SEED`` words that anchor them."""
+def _chosen(words: Words, texts: int) -> tuple[np.ndarray, ...]:
+    """Hashes of the seeds and runs of a piece, their texts, the places of the ``SEED`` words that anchor them, and which are runs."""
     found = []
     for length, window in ((SEED, WINDOW), (RUN, RUN_WINDOW)):
         hashes, at = words.shingles(length)
         doc = words.doc[at]
         chosen = winnow(hashes, doc, texts, window)
-        found.append((hashes[chosen], doc[chosen], at[chosen] - words.first[doc[chosen]] + (length - SEED) // 2))
+        found.append((hashes[chosen], doc[chosen], at[chosen] - words.first[doc[chosen]] + (length - SEED) // 2, np.full(len(chosen), length == RUN)))
     return tuple(np.concatenate(x) for x in zip(*found))
 
 
@@ -81,7 +83,7 @@ def _seed_hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(seed): each seed of a document once."""
     for batch in batches:
         for part, data, offsets in pieces(batch):
-            hashes, doc, _ = _chosen(Words(data, offsets), part.num_rows)
+            hashes, doc, _, _ = _chosen(Words(data, offsets), part.num_rows)
             order = np.lexsort((hashes, doc))
             hashes, doc = hashes[order], doc[order]
             fresh = np.concatenate([[True], (hashes[1:] != hashes[:-1]) | (doc[1:] != doc[:-1])]) if len(doc) else np.zeros(0, bool)
@@ -89,15 +91,15 @@ def _seed_hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _seeds(repeated):
-    """(seed, doc_id, place) of the seeds in a bitmap."""
+    """(seed, doc_id, place, run) of the seeds in a bitmap."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, data, offsets in pieces(batch):
-                hashes, doc, place = _chosen(Words(data, offsets), part.num_rows)
+                hashes, doc, place, run_of = _chosen(Words(data, offsets), part.num_rows)
                 known = repeated.value.has(hashes)
                 ids = part.column(0).take(pa.array(doc[known]))
-                yield pa.RecordBatch.from_arrays([pa.array(signed(hashes[known])), ids, pa.array(place[known].astype(np.int32))], names=["seed", "doc_id", "place"])
+                yield pa.RecordBatch.from_arrays([pa.array(signed(hashes[known])), ids, pa.array(place[known].astype(np.int32)), pa.array(run_of[known])], names=["seed", "doc_id", "place", "run"])
 
     return run
 
@@ -183,9 +185,17 @@ def _chains(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     kinds = [pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int32())]
     rows = []
     flush = lambda: pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=names)
-    for (doc, src), (x, y) in _groups(batches, 2):
-        x, y = zip(*sorted(set(zip(x, y))))  # a run and a seed may stand at one place
-        rows += [(doc, src, [x[i] for i in path], [y[i] for i in path]) for path in chain(x, y)]  # single anchors too: alignment may extend them
+    for (doc,), (x, src, y, run) in _groups(batches, 1):
+        starts = np.array([a - AHEAD for a, r in zip(x, run) if r], np.int64)
+        at = np.searchsorted(starts, x, "right") - 1 if len(starts) else None
+        held: dict[int, tuple[list, list]] = {}
+        for i, (a, s, b, r) in enumerate(zip(x, src, y, run)):
+            if r or at is None or at[i] < 0 or starts[at[i]] + RUN < a + SEED:  # a seed inside a run adds nothing to it
+                xs, ys = held.setdefault(s, ([], []))
+                xs.append(a)
+                ys.append(b)
+        for s, (xs, ys) in held.items():
+            rows += [(doc, s, [xs[i] for i in path], [ys[i] for i in path]) for path in chain(xs, ys)]  # single anchors too: alignment may extend them
         if len(rows) >= 2000:
             yield flush()
             rows.clear()
@@ -363,15 +373,15 @@ def _passages(docs: DataFrame, text: str, doc_id: str) -> DataFrame:
     repeated = durable(slim.mapInArrow(_seed_hashes, "seed long").groupBy("seed").count().where("count > 1").select("seed"), "repeated-seeds")
     bits = min(MOST_BITS, max(16, (8 * repeated.count()).bit_length()))  # beyond the most the bitmap only lets more seeds through
     listed = spark.sparkContext.broadcast(bitmap_of(repeated, "seed", bits))
-    seeds = durable(slim.mapInArrow(_seeds(listed), "seed long, doc_id long, place int"), "seeds")
+    seeds = durable(slim.mapInArrow(_seeds(listed), "seed long, doc_id long, place int, run boolean"), "seeds")
     release(repeated)
     # The first place of each seed, on its own table: the join below can then split a seed that many documents hold.
     homes = durable(
         seeds.groupBy("seed").agg(F.min(F.struct("doc_id", "place")).alias("home"), F.max("doc_id").alias("last")).where("home.doc_id < last")
         .select("seed", F.col("home.doc_id").alias("src"), F.col("home.place").alias("y")), "seed-homes"
     )
-    anchors = seeds.join(homes, "seed").where("doc_id <> src").select(F.col("doc_id").alias("doc"), "src", F.col("place").alias("x"), "y")
-    chains = durable(anchors.repartition("doc", "src").sortWithinPartitions("doc", "src", "x").mapInArrow(_chains, "doc long, src long, xs array<int>, ys array<int>"), "chains")
+    anchors = seeds.join(homes, "seed").where("doc_id <> src").select(F.col("doc_id").alias("doc"), F.col("place").alias("x"), "src", "y", "run")
+    chains = durable(anchors.repartition("doc").sortWithinPartitions("doc", "x", "src", "y").mapInArrow(_chains, "doc long, src long, xs array<int>, ys array<int>"), "chains")
     release(seeds, homes)
 
     ids = chains.select(F.explode(F.array("doc", "src")).alias("id")).distinct().mapInArrow(_mixed, "h long")
