@@ -70,6 +70,11 @@ def normalize(text: Column) -> Column:
     known = _map(CONTRACTIONS)
     words = F.transform(F.split(straight, r"\s+"), lambda w: F.coalesce(F.try_element_at(known, w), w))
     plain = collapse(F.regexp_replace(F.array_join(words, " "), "[^a-z0-9]+", " "))
+    return phrased(plain)
+
+
+def phrased(plain: Column) -> Column:
+    """The phrase list in order."""
     return collapse(reduce(lambda t, p: F.regexp_replace(t, *p), PHRASES, plain))
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text
-from ..operators import answers, classify, privacy
+from ..operators import answers, classify, privacy, understanding
 from ..session import load
 from . import in_sql
 from .registry import query
@@ -36,46 +36,62 @@ def conv_previous_question(spark: SparkSession, d: str) -> DataFrame:
     return answers.previous_question(load(spark, d, "conversations")).select("conv_id", "turn", "previous")
 
 
-@query(
-    """select conv_id, turn, regexp_matches(lower(text), '\\b(the|los|les|die)\\b') as has_article, regexp_matches(text, '[0-9]') as has_digit, regexp_matches(text, '\\?\\s*$') as asks,
- concat_ws(',', case when regexp_matches(lower(text), 'tion') then 'leave' end, case when regexp_matches(lower(text), 'ing') then 'pay' end, case when regexp_matches(lower(text), 'ent') then 'grade' end) as fields from conversations"""
-)
-def cls_keyword_flags(spark: SparkSession, d: str) -> DataFrame:
-    """O-CLS-4, O-CLS-6: flags and the fields that they select."""
-    low = F.lower("text")
-    return load(spark, d, "conversations").select(
-        "conv_id", "turn", low.rlike(r"\b(the|los|les|die)\b").alias("has_article"), F.col("text").rlike("[0-9]").alias("has_digit"), F.col("text").rlike(r"\?\s*$").alias("asks"),
-        classify.fields_of(low, {"leave": "tion", "pay": "ing", "grade": "ent"}).alias("fields"),
-    )
+_FIELD_FLAGS = ", ".join(f"case when regexp_matches(lower(text), {in_sql.quoted(p)}) then '{n}' end" for n, p in privacy.FIELD_WORDS.items())
+_SAYINGS = [
+    "what is the leave policy", "my manager is threatening me", "tell me about posh policy", "someone is cheating in office", "i want to report harassment", "i want to know about harassment", "what does the policy say about fraud",
+    "my manger keeps shouting at me", "how much unpaid leave can i take", "i was denied leave because of my religion", "what is the religious holiday policy", "he touched me", "i have a grievence", "when is salary credited",
+]
+_ASKED = [
+    "if my variable pay is 2 lakh and i get 95% what is it", "what if i am rated {t}", "and at L{t}?", "who is my L2 manager", "target of {c},000 at grade {t}", "my rating was outstanding", "bonus rs. 75k", "does it meet the policy", "at 210 percent", "incentive 1,20,000.50 at band: 12",
+]
 
 
-@query(
-    """with toks as (select item_id, unnest(list_distinct(list_filter(string_split_regex(lower(text), '[^a-z0-9]+'), lambda x: length(x) > 1))) as term from benchmark),
- models(intent, term, w) as (values ('leave', 'the', 0.5), ('leave', 'tion', 2.0), ('leave', 'er', 1.5), ('pay', 'th', 2.0), ('pay', 'on', 1.0), ('pay', 'ing', 2.5), ('grade', 'de', 1.0), ('grade', 'la', 1.5), ('grade', 'que', 2.0))
- select item_id, intent, round(sum(case when t.term is not null then w else 0 end) / sum(w), 6) as score from (select distinct item_id from toks) i cross join models m left join toks t using (item_id, term) group by item_id, intent"""
-)
-def cls_intent_score(spark: SparkSession, d: str) -> DataFrame:
-    return classify.intent_scores(_questions(spark, d), _models(spark)).select("item_id", "intent", F.round("score", 6).alias("score"))
+def _pick(items: list[str]) -> str:
+    return "[" + ", ".join(in_sql.quoted(s) for s in items) + f"][(conv_id * 7 + turn * 3) % {len(items)} + 1]"
+
+
+def _messages(spark: SparkSession, d: str, items: list[str]) -> DataFrame:
+    """All user turns, each opened by one of the sayings with its own numbers in place."""
+    opening = F.element_at(F.array(*[F.lit(s) for s in items]), ((F.col("conv_id") * 7 + F.col("turn") * 3) % len(items) + 1).cast("int"))
+    opening = F.replace(F.replace(opening, F.lit("{t}"), (F.col("turn") % 12).cast("string")), F.lit("{c}"), (F.col("conv_id") % 90).cast("string"))
+    words = F.array_join(F.slice(F.split("text", " "), 1, 6), " ")
+    short = F.when(F.col("turn") % 3 == 0, F.col("text")).otherwise(words)  # typed questions and pasted prose
+    return load(spark, d, "conversations").where("role = 'user'").select("conv_id", "turn", "role", F.concat_ws(" ", opening, short).alias("text"))
+
+
+def _messages_sql(items: list[str]) -> str:
+    opening = f"replace(replace({_pick(items)}, '{{t}}', (turn % 12)::varchar), '{{c}}', (conv_id % 90)::varchar)"
+    return f"select conv_id, turn, concat_ws(' ', {opening}, case when turn % 3 = 0 then text else array_to_string(string_split(text, ' ')[1:6], ' ') end) as text from conversations where role = 'user'"
 
 
 @query(
-    """with toks as (select item_id, unnest(list_distinct(list_filter(string_split_regex(lower(text), '[^a-z0-9]+'), lambda x: length(x) > 1))) as term from benchmark),
- models(intent, term, w) as (values ('leave', 'the', 0.5), ('leave', 'tion', 2.0), ('leave', 'er', 1.5), ('pay', 'th', 2.0), ('pay', 'on', 1.0), ('pay', 'ing', 2.5), ('grade', 'de', 1.0), ('grade', 'la', 1.5), ('grade', 'que', 2.0)),
- scored as (select item_id, intent, round(sum(case when t.term is not null then w else 0 end) / sum(w), 9) as score from (select distinct item_id from toks) i cross join models m left join toks t using (item_id, term) group by item_id, intent)
- select item_id, intent, round(score, 6) as score, round(score - second, 6) as margin, coalesce(score - second < 0.1, false) as ambiguous, case when score < 0.3 then 'escalate' when score >= 0.6 then 'answer' else 'clarify' end as decision
- from (select *, lead(score) over (partition by item_id order by score desc, intent) as second, row_number() over (partition by item_id order by score desc, intent) as r from scored) where r = 1"""
+    f"""select conv_id, turn, regexp_matches(lower(text), '\\b(the|los|les|die)\\b') as has_article, regexp_matches(text, '[0-9]') as has_digit, regexp_matches(text, '\\?\\s*$') as asks, concat_ws(',', {_FIELD_FLAGS}) as fields
+ from ({_messages_sql(_ASKED)})"""
 )
-def cls_margin_ambiguity(spark: SparkSession, d: str) -> DataFrame:
-    return classify.decided(classify.intent_scores(_questions(spark, d), _models(spark))).select("item_id", "intent", F.round("score", 6).alias("score"), F.round("margin", 6).alias("margin"), "ambiguous", "decision")
+def cls_keyword_flags(spark: SparkSession, d: str) -> DataFrame:
+    """O-CLS-4: flags, and the personal fields whose words a message holds."""
+    low = F.lower("text")
+    return _messages(spark, d, _ASKED).select(
+        "conv_id", "turn", low.rlike(r"\b(the|los|les|die)\b").alias("has_article"), F.col("text").rlike("[0-9]").alias("has_digit"), F.col("text").rlike(r"\?\s*$").alias("asks"),
+        classify.fields_of(low, privacy.FIELD_WORDS).alias("fields"),
+    )
 
 
 def _questions(spark: SparkSession, d: str) -> DataFrame:
     return load(spark, d, "benchmark").select("item_id", "text")
 
 
-def _models(spark: SparkSession) -> DataFrame:
-    rows = [("leave", "the", 0.5), ("leave", "tion", 2.0), ("leave", "er", 1.5), ("pay", "th", 2.0), ("pay", "on", 1.0), ("pay", "ing", 2.5), ("grade", "de", 1.0), ("grade", "la", 1.5), ("grade", "que", 2.0)]
-    return spark.createDataFrame(rows, "intent string, term string, w double")
+_TERM_MODEL = """said as (select distinct 'i' || conv_id % 5 as intent, unnest(list_filter(string_split_regex(lower(text), '[^a-z0-9]+'), lambda x: length(x) > 1)) as term from conversations where role = 'user'),
+ models as (select intent, term, ln(6 / (count(*) over (partition by term) + 0.5)) + 0.25 as w from said),
+ toks as (select item_id, unnest(list_distinct(list_filter(string_split_regex(lower(text), '[^a-z0-9]+'), lambda x: length(x) > 1))) as term from benchmark)"""
+
+
+@query(f"with {_TERM_MODEL} select item_id, intent, round(sum(case when t.term is not null then w else 0 end) / sum(w), 6) as score from (select distinct item_id from toks) i cross join models m left join toks t using (item_id, term) group by item_id, intent")
+def cls_intent_score(spark: SparkSession, d: str) -> DataFrame:
+    """The weight of an intent's terms that an item holds, intents and weights from all user turns."""
+    said = load(spark, d, "conversations").where("role = 'user'").select(F.concat(F.lit("i"), (F.col("conv_id") % 5).cast("string")).alias("intent"), F.explode(text.terms(F.col("text"))).alias("term")).distinct()
+    weights = said.groupBy("term").agg((F.log(6 / (F.count("*") + 0.5)) + 0.25).alias("w"))
+    return classify.intent_scores(_questions(spark, d), said.join(weights, "term").select("intent", "term", "w")).select("item_id", "intent", F.round("score", 6).alias("score"))
 
 
 @query(
@@ -98,8 +114,7 @@ def conv_normalized(spark: SparkSession, d: str) -> DataFrame:
 _SAID = f"""select intent, ord, opening, {in_sql.tokens("normal")} as line from (select 'i' || conv_id % 5 as intent, conv_id * 1000 + turn as ord, turn = 0 as opening, {in_sql.normalized("text")} as normal from conversations where role = 'user')"""
 
 
-@query(
-    f"""with q as (select item_id, joined, string_split(joined, ' ') as toks from (select item_id, {in_sql.tokens("normal")} as joined from (select item_id, {in_sql.normalized("text")} as normal from benchmark)) where joined <> ''),
+_ENGINE = f"""q as (select item_id, joined, string_split(joined, ' ') as toks from (select item_id, {in_sql.tokens("normal")} as joined from (select item_id, {in_sql.normalized("text")} as normal from benchmark)) where joined <> ''),
  u as ({_SAID}), model as (select distinct intent, unnest(string_split(line, ' ')) as term from u where line <> ''), n as (select count(distinct intent) as n from u), df as (select term, count(*) as df from model group by term),
  words as (select item_id, t, (ln((n + 1) / (coalesce(df, 0) + 0.5)) + 0.25) * case when df is null then 0.35 else 1 end as w from (select distinct item_id, unnest(toks) as t from q) cross join n left join df on df.term = t),
  resembling as (select t, term, case when starts_with(t, term) or starts_with(term, t) then 0.65 else 0.55 end as part from (select distinct t from words where length(t) >= 4) join (select distinct term from model where length(term) >= 4)
@@ -111,16 +126,105 @@ _SAID = f"""select intent, ord, opening, {in_sql.tokens("normal")} as line from
  whole as (select item_id, intent, arg_min(case when line = joined then 0.25 else 0.12 end, ord) as whole from q join u on line <> '' and (contains(line, joined) or contains(joined, line)) group by item_id, intent),
  keyed as (select distinct intent, unnest(string_split(line, ' ')) as t from u where opening and line <> ''), hits as (select item_id, intent, count(*) as keys from words join keyed using (t) group by item_id, intent),
  alone as (select item_id, intent, 0.72 as alone from q join model on len(list_distinct(toks)) = 1 and term = toks[1] join df using (term) cross join n where ln((n + 1) / (df + 0.5)) + 0.25 > 1.4),
- totals as (select item_id, sum(w) as total from words group by item_id)
- select item_id, intent, round(least(1.0, greatest(coalesce(matched, 0) / total + least(0.18, 0.09 * coalesce(bigrams, 0)) + coalesce(whole, 0), coalesce(alone, 0)) + least(0.08, 0.04 * coalesce(keys, 0))), 6) as score
- from totals cross join (select distinct intent from u) left join matched using (item_id, intent) left join shared using (item_id, intent) left join whole using (item_id, intent) left join hits using (item_id, intent) left join alone using (item_id, intent)"""
-)
-def cls_intent_engine(spark: SparkSession, d: str) -> DataFrame:
-    """O-CLS-1, O-AGG-26: all benchmark items against intents made of the user turns."""
+ totals as (select item_id, sum(w) as total from words group by item_id),
+ engine as (select item_id, intent, round(least(1.0, greatest(coalesce(matched, 0) / total + least(0.18, 0.09 * coalesce(bigrams, 0)) + coalesce(whole, 0), coalesce(alone, 0)) + least(0.08, 0.04 * coalesce(keys, 0))), 6) as score
+ from totals cross join (select distinct intent from u) left join matched using (item_id, intent) left join shared using (item_id, intent) left join whole using (item_id, intent) left join hits using (item_id, intent) left join alone using (item_id, intent))"""
+
+
+def _engine(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """The scores of all benchmark items, and the turns that make the intents."""
     turns = load(spark, d, "conversations").where("role = 'user'")
     said = turns.select(F.concat(F.lit("i"), (F.col("conv_id") % 5).cast("string")).alias("intent"), (F.col("conv_id") * 1000 + F.col("turn")).alias("ord"), "turn", "text")
     scored = classify.intent_model_scores(load(spark, d, "benchmark").select("item_id", "text"), said.drop("turn"), said.where("turn = 0").select("intent", "text"))
-    return scored.select("item_id", "intent", F.round("score", 6).alias("score"))
+    return scored.select("item_id", "intent", F.round("score", 6).alias("score")), said
+
+
+@query(f"with {_ENGINE} select item_id, intent, score from engine")
+def cls_intent_engine(spark: SparkSession, d: str) -> DataFrame:
+    """O-CLS-1, O-AGG-26: all benchmark items against intents made of the user turns."""
+    return _engine(spark, d)[0]
+
+
+@query(
+    f"""with {_ENGINE} select item_id, intent, score, round(score - second, 6) as margin, coalesce(round(score - second, 6) < 0.1, false) as ambiguous, case when score < 0.3 then 'escalate' when score >= 0.6 then 'answer' else 'clarify' end as decision
+ from (select *, lead(score) over (partition by item_id order by score desc, intent) as second, row_number() over (partition by item_id order by score desc, intent) as r from engine) where r = 1"""
+)
+def cls_margin_ambiguity(spark: SparkSession, d: str) -> DataFrame:
+    """O-WIN-9."""
+    best = classify.decided(_engine(spark, d)[0])
+    margin = F.round("margin", 6)
+    return best.select("item_id", "intent", "score", margin.alias("margin"), F.coalesce(margin < classify.MARGIN, F.lit(False)).alias("ambiguous"), "decision")
+
+
+_DOMAIN = "manager harassment grievance complaint religion colleague supervisor fraud unfair discrimination policy leave salary report posh".split()
+_MENDED = f"""m as (select conv_id, turn, {in_sql.normalized("text")} as raw from ({_messages_sql(_SAYINGS)})), v as (select unnest({_DOMAIN}) as word),
+ w as (select conv_id, turn, pos, token from (select conv_id, turn, string_split(raw, ' ') as ws, unnest(string_split(raw, ' ')) as token, generate_subscripts(string_split(raw, ' '), 1) as pos from m) where len(ws) <= 40 and token <> ''),
+ odd as (select distinct token from w where length(token) >= 3 and not regexp_matches(token, '[0-9]') and token not in (select word from v) and token not in ({", ".join(in_sql.quoted(x) for x in text.STOP_WORDS)})),
+ near as (select token, word, damerau_levenshtein(token, word) as dist from odd join v on abs(length(token) - length(word)) <= 2 and (left(token, 1) = left(word, 1) or substr(token, 2, 1) = substr(word, 2, 1))),
+ fix as (select token, word from (select *, row_number() over (partition by token order by dist, (left(token, 1) = left(word, 1)) desc, word) as r from near where dist <= case when length(token) <= 5 then 1 else 2 end and not (dist >= 2 and length(token) <> length(word))) where r = 1),
+ joined as (select conv_id, turn, {in_sql.phrased("string_agg(coalesce(word, token), ' ' order by pos)")} as mended from w left join fix using (token) group by conv_id, turn having bool_or(word is not null)),
+ two as (select conv_id, turn, raw, coalesce(mended, raw) as fixed from m left join joined using (conv_id, turn))"""
+
+
+def _either(pattern: str) -> str:
+    return f"(regexp_matches(fixed, {in_sql.quoted(pattern)}) or regexp_matches(raw, {in_sql.quoted(pattern)}))"
+
+
+def _own(column: str) -> str:
+    return f"regexp_matches(regexp_replace({column}, {in_sql.quoted(understanding.ASKING)}, '~', 'g'), {in_sql.quoted(understanding.OWN_ACCOUNT)})"
+
+
+_U = understanding
+_KIND = f"""case when {_either(_U.HARASSING_ACT)} or ({_either(_U.PROTECTED)} and {_either(_U.MISTREATED)}) or ({_either(_U.HARASSMENT_TOPIC)} and ({_own("raw")} or {_own("fixed")})) then 'sensitive_harassment'
+ when {_either(_U.GRIEVANCE)} or ({_either(_U.AUTHORITY)} and (regexp_matches(raw, {in_sql.quoted(_U.MISTREATED)}) or regexp_matches(raw, {in_sql.quoted(_U.ABUSE)}))) then 'sensitive_grievance'
+ when {_either(_U.MISCONDUCT)} and ({_either(_U.THIRD_PARTY)} or {_either(_U.REPORTING)}) then 'sensitive_misconduct' when {_either(_U.HARASSMENT_TOPIC)} then 'soft' end"""
+
+
+@query(f"with {_MENDED}, k as (select conv_id, turn, raw <> fixed as mended, {_KIND} as kind from two) select conv_id, turn, mended, case when kind = 'soft' then 'sensitive_harassment' else kind end as intent, kind <> 'soft' as hard from k")
+def cls_sensitive(spark: SparkSession, d: str) -> DataFrame:
+    """O-CLS-3 over all user turns, spelling mended by a vocabulary of the domain."""
+    turns = _messages(spark, d, _SAYINGS).withColumn("key", F.struct("conv_id", "turn"))
+    vocabulary = spark.createDataFrame([(w, 1) for w in _DOMAIN], "word string, df int")
+    both = understanding.corrected(turns, vocabulary, "key").withColumn("kind", understanding.sensitive_kind(F.col("corrected"), F.col("raw")))
+    return both.select("key.*", (F.col("raw") != F.col("corrected")).alias("mended"), "kind.intent", "kind.hard")
+
+
+_FIRST = lambda c, p: f"try_cast(regexp_extract({c}, {in_sql.quoted(p)}, 1) || regexp_extract({c}, {in_sql.quoted(p)}, 2) as int)"
+_X = lambda p, i: f"regexp_extract(text, {in_sql.quoted(p)}, {i})"
+
+
+@query(
+    f"""with m as ({_messages_sql(_ASKED)}), x as (select conv_id, turn, {_FIRST("text", _U.RATING_NUMBER)} as digit, case when regexp_matches(text, {in_sql.quoted(_U.RATING_CONTEXT)}) then case lower({_X(_U.RATING_LABEL, 1)}) when 'outstanding' then 5 when 'exceeds' then 4 when 'meets' then 3 when 'below' then 2 when 'poor' then 1 end end as named,
+ try_cast({_X(_U.ACHIEVEMENT, 1)} as decimal(18,4)) as share, {_FIRST(f"regexp_replace(text, {in_sql.quoted(_U.GRADE_MANAGER)}, '~', 'g')", _U.GRADE)} as lvl,
+ try_cast(replace({_X(_U.VARIABLE_TARGET, 1)}, ',', '') as decimal(18,4)) * case left(lower({_X(_U.VARIABLE_TARGET, 2)}), 1) when 'l' then 100000 when 'c' then 10000000 when 'k' then 1000 else 1 end as amount from m),
+ y as (select conv_id, turn, coalesce(digit, named) as rating, case when share <= 200 then share end as achievement, case when lvl <= 99 then lvl end as level, case when amount >= 1000 then amount end as target from x)
+ select conv_id, turn, last_value(rating ignore nulls) over w as rating, last_value(achievement ignore nulls) over w::double as achievement, last_value(level ignore nulls) over w as level, last_value(target ignore nulls) over w::double as target
+ from y window w as (partition by conv_id order by turn rows between unbounded preceding and current row)"""
+)
+def cls_stated_values(spark: SparkSession, d: str) -> DataFrame:
+    """O-CLS-5 over all user turns, each figure carried over until a later turn states another."""
+    found = understanding.stated_in_turns(_messages(spark, d, _ASKED))
+    return found.select("conv_id", "turn", "rating", F.col("achievement").cast("double").alias("achievement"), "level", F.col("target").cast("double").alias("target"))
+
+
+@query(
+    f"""with {_ENGINE}, first as (select 'i' || conv_id % 5 as intent, arg_min(text, conv_id * 1000 + turn) as label from conversations where role = 'user' group by 1),
+ v as (select item_id, intent, list_filter(string_split_regex(lower(label), '[^a-z]+'), lambda x: length(x) > 3) as ws, row_number() over (partition by item_id order by score desc, intent) as place from engine join first using (intent) where score > 0.12),
+ dup as (select a.item_id, a.place as p, b.place as q from v a join v b on a.item_id = b.item_id and a.place < b.place and len(a.ws) > 0 and len(b.ws) > 0 and len(list_filter(b.ws, lambda x: list_contains(a.ws, x))) >= 0.6 * least(len(a.ws), len(b.ws))),
+ second as (select item_id, min(place) as place from v where place > 1 and not exists (select 1 from dup where dup.item_id = v.item_id and p = 1 and q = v.place) group by item_id),
+ third as (select v.item_id, min(v.place) as place from v join second s on s.item_id = v.item_id and v.place > s.place where not exists (select 1 from dup where dup.item_id = v.item_id and p in (1, s.place) and q = v.place) group by v.item_id),
+ opts as (select item_id, count(*) as n, string_agg(intent, ',' order by place) as options from v where place = 1 or (item_id, place) in (select item_id, place from second) or (item_id, place) in (select item_id, place from third) group by item_id),
+ top as (select item_id, max(score) as score, arg_min(intent, place) as intent from (select *, row_number() over (partition by item_id order by score desc, intent) as place from engine) where place = 1 group by item_id),
+ d as (select b.item_id, t.score, t.intent, options, case when t.score is null or t.score < 0.3 then 'escalate' when t.score >= 0.6 or b.item_id % 3 = 0 then 'answer' when n >= 2 then 'clarify' else 'escalate' end as decision from benchmark b left join top t using (item_id) left join opts using (item_id))
+ select item_id, decision, coalesce(score, 0) as confidence, case when decision <> 'escalate' then intent end as intent, case when decision = 'escalate' then 'hr_ops' else 'none' end as route, case when decision = 'clarify' then options end as options from d"""
+)
+def cls_decision(spark: SparkSession, d: str) -> DataFrame:
+    """O-CLS-2: all benchmark items, every third one clarified before; the first turn of an intent is its label."""
+    scored, said = _engine(spark, d)
+    labels = said.groupBy("intent").agg(F.min_by("text", "ord").alias("label"))
+    low = text.normalize(F.col("text"))
+    asked = _questions(spark, d).select("item_id", understanding.sensitive_kind(low, low).alias("kind"), (F.col("item_id") % 3 == 0).alias("clarified"))
+    return understanding.decide(asked, scored, labels).withColumn("options", F.array_join("options", ","))
 
 
 @query()

@@ -7,12 +7,12 @@ from ..functions import text
 _SPACE = "'\\s+'"
 
 
-def _quoted(s: str) -> str:
+def quoted(s: str) -> str:
     return "'" + s.replace("'", "''") + "'"
 
 
 def _chosen(value: str, pairs: dict[str, str], other: str) -> str:
-    return f"case {value} " + " ".join(f"when {_quoted(k)} then {_quoted(v)}" for k, v in pairs.items()) + f" else {other} end"
+    return f"case {value} " + " ".join(f"when {quoted(k)} then {quoted(v)}" for k, v in pairs.items()) + f" else {other} end"
 
 
 def _collapsed(c: str) -> str:
@@ -21,12 +21,16 @@ def _collapsed(c: str) -> str:
 
 def normalized(c: str) -> str:
     """O-STR-1."""
-    quotes, plain = _quoted("‘’“”"), _quoted("''\"\"")
+    quotes, plain = quoted("‘’“”"), quoted("''\"\"")
     straight = f"translate(lower(trim(coalesce({c}, ''))), {quotes}, {plain})"
     words = f"array_to_string(list_transform(string_split_regex({straight}, {_SPACE}), lambda w: {_chosen('w', text.CONTRACTIONS, 'w')}), ' ')"
     out = _collapsed(f"regexp_replace({words}, '[^a-z0-9]+', ' ', 'g')")
+    return phrased(out)
+
+
+def phrased(out: str) -> str:
     for pattern, instead in text.PHRASES:
-        out = f"regexp_replace({out}, {_quoted(pattern)}, {_quoted(instead)}, 'g')"
+        out = f"regexp_replace({out}, {quoted(pattern)}, {quoted(instead)}, 'g')"
     return _collapsed(out)
 
 
@@ -43,5 +47,5 @@ def stem(w: str) -> str:
 
 def tokens(normal: str) -> str:
     """O-STR-3, joined by blanks."""
-    stops = ", ".join(_quoted(w) for w in text.STOP_WORDS)
+    stops = ", ".join(quoted(w) for w in text.STOP_WORDS)
     return f"array_to_string(list_transform(list_filter(string_split({normal}, ' '), lambda w: length(w) > 1 and w not in ({stops})), lambda w: {stem('w')}), ' ')"
