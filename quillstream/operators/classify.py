@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text
+from ..session import kept
 
 # Fixed values.
 ESCALATE, ANSWER, MARGIN, OFFER = 0.30, 0.60, 0.10, 0.12
@@ -60,20 +61,21 @@ def intent_model_scores(questions: DataFrame, utterances: DataFrame, keywords: D
 
     ``utterances``: intent, ord, text; ``keywords``: intent, text. Terms are stems; those that no intent has weigh ``UNSEEN``.
     """
-    asked = questions.select(key, text.tokenize(F.col("text")).alias("tokens")).where(F.size("tokens") > 0).select(key, "tokens", F.array_join("tokens", " ").alias("joined"), F.array_distinct("tokens").alias("own"))
-    said = utterances.select("intent", "ord", text.tokenize(F.col("text")).alias("tokens")).select("*", F.array_join("tokens", " ").alias("line"))
-    model = said.select("intent", F.explode("tokens").alias("term")).distinct()
-    n = utterances.select("intent").distinct().count()  # of intents
-    idf = lambda df: F.log((n + 1) / (df + 0.5)) + 0.25
+    asked = kept(questions.select(key, text.tokenize(F.col("text")).alias("tokens")).where(F.size("tokens") > 0), "asked").select(key, "tokens", F.array_join("tokens", " ").alias("joined"), F.array_distinct("tokens").alias("own"))
+    said = kept(utterances.select("intent", "ord", text.tokenize(F.col("text")).alias("tokens")), "said").select("*", F.array_join("tokens", " ").alias("line"))
+    model = kept(said.select("intent", F.explode("tokens").alias("term")).distinct(), "model")
+    n = said.agg(F.countDistinct("intent").alias("n"))  # of intents, one row
+    idf = lambda df: F.log((F.col("n") + 1) / (df + 0.5)) + 0.25
     df = model.groupBy("term").agg(F.count("*").alias("df"))
     words = asked.select(key, F.explode("own").alias("t")).join(df.withColumnRenamed("term", "t"), "t", "left")
-    words = words.withColumn("w", idf(F.coalesce("df", F.lit(0))) * F.when(F.col("df").isNull(), UNSEEN).otherwise(1.0))
+    words = kept(words.crossJoin(F.broadcast(n)).select(key, "t", "df", (idf(F.coalesce("df", F.lit(0))) * F.when(F.col("df").isNull(), UNSEEN).otherwise(1.0)).alias("w")), "words")
     totals = words.groupBy(key).agg(F.sum("w").alias("total"))
     exact = words.join(model.withColumnRenamed("term", "t"), "t").select(key, "intent", "t", "w", F.lit(1.0).alias("part"))
     like = words.join(likeness(words, model), "t").join(model, "term").select(key, "intent", "t", "w", "part")
     best = exact.unionByName(like).groupBy(key, "intent", "t").agg((F.max("w") * F.max("part")).alias("m"))
     matched = best.groupBy(key, "intent").agg(F.sum("m").alias("matched"))
 
+    # What each question meets is written once: the words of questions and models are read by six joins.
     pairs = said.select("intent", F.explode(text.bigrams(F.col("tokens"))).alias("b")).distinct()
     shared = asked.select(key, F.explode(text.bigrams(F.col("tokens"))).alias("b")).join(pairs, "b").groupBy(key, "intent").agg(F.count("*").alias("bigrams"))
     # Every question meets every utterance of the models, a literal table; the first that equals or contains decides.
@@ -81,9 +83,9 @@ def intent_model_scores(questions: DataFrame, utterances: DataFrame, keywords: D
     whole = whole.groupBy(key, "intent").agg(F.min_by(F.when(F.col("line") == F.col("joined"), EXACT).otherwise(CONTAINED), "ord").alias("whole"))
     keys = keywords.select("intent", F.explode(text.tokenize(F.col("text"))).alias("t")).distinct()
     hits = asked.select(key, F.explode("own").alias("t")).join(keys, "t").groupBy(key, "intent").agg(F.count("*").alias("keys"))
-    alone = asked.where("size(own) = 1").select(key, F.col("own")[0].alias("term")).join(model, "term").join(df, "term").where(idf(F.col("df")) > 1.4).select(key, "intent", F.lit(ALONE).alias("alone"))
+    alone = asked.where("size(own) = 1").select(key, F.col("own")[0].alias("term")).join(model, "term").join(df, "term").crossJoin(F.broadcast(n)).where(idf(F.col("df")) > 1.4).select(key, "intent", F.lit(ALONE).alias("alone"))
 
-    every = asked.select(key).crossJoin(utterances.select("intent").distinct()).join(totals, key)
+    every = asked.select(key).crossJoin(said.select("intent").distinct()).join(totals, key)
     for part in (matched, shared, whole, hits, alone):
         every = every.join(part, [key, "intent"], "left")
     none = lambda c: F.coalesce(c, F.lit(0))

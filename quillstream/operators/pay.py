@@ -1,6 +1,6 @@
 """Banded payouts in exact decimals.
 
-Operators: O-JOIN-9 to O-JOIN-12, O-MTH-5, O-RUL-1 to O-RUL-4, O-AGG-21, O-AGG-25. Band, weight and slab tables are
+Operators: O-JOIN-9 to O-JOIN-12, O-MTH-5, O-RUL-1 to O-RUL-4, O-AGG-21, O-AGG-25, O-PRJ-6. Band, weight and slab tables are
 literals of a plan; their sizes do not depend on the data, so they are broadcast.
 """
 
@@ -93,3 +93,49 @@ def component_payout(people: DataFrame, components: DataFrame, slabs: DataFrame,
 def weights_off(components: DataFrame) -> DataFrame:
     """Roles whose weights do not add up to a hundred (O-AGG-21)."""
     return components.groupBy("role").agg(F.sum("weight_pct").alias("total")).where("total <> 100")
+
+
+def _money(c: Column) -> Column:
+    return F.format_number(c, 2)
+
+
+def _plain(c: Column) -> Column:
+    """A number without the zeros behind its last digit."""
+    digits = c.cast("decimal(38,10)").cast("string")
+    return F.regexp_replace(F.regexp_replace(digits, r"(\.[0-9]*?)0+$", "$1"), r"\.$", "")
+
+
+def working(people: DataFrame, revenue: Column, retention: Column, unit: str = "INR") -> DataFrame:
+    """``people`` with ``working``: how a payout came about, line by line (O-PRJ-6); null where none was worked out.
+
+    Lines that do not apply are left out: the company's result where there is none, its share where the level gives it no weight or where
+    the result is not declared yet, and then the total is called partial.
+    """
+    paid = variable_payout(people, revenue, retention)
+    stated = lambda c: F.col(f"stated_{c}").isNotNull() if f"stated_{c}" in people.columns else F.lit(False)
+    used = lambda c: F.coalesce(F.col(f"stated_{c}"), F.col(c)) if f"stated_{c}" in people.columns else F.col(c)
+    target, rating, level = used("target").cast(MONEY), used("rating").cast("string"), level_of(used("grade"))
+    mine, ours = weight(level, 3), weight(level, 2)
+    share = F.try_element_at(F.create_map(*[F.lit(x) for kv in RATING_PAYOUT.items() for x in kv]), rating)
+    declared = revenue.isNotNull() & retention.isNotNull()
+    company = F.coalesce("company", F.lit(0).cast(WIDE))
+    percent, said = lambda c: F.concat(_plain(c), F.lit("%")), F.concat
+    funds = [_plain(band_funding(revenue, REVENUE_BANDS)), _plain(band_funding(retention, RETENTION_BANDS))]
+    lines = [
+        said(F.lit("grade: "), used("grade"), F.when(stated("grade"), " (supposed)").otherwise("")),
+        said(F.lit(f"target: {unit} "), _money(target), F.when(stated("target"), " (supposed)").otherwise("")),
+        said(F.lit("weights: company "), percent(ours), F.lit(", individual "), percent(mine)),
+        F.when(declared, said(F.lit("company result: revenue "), _plain(revenue), F.lit(" pays "), funds[0], F.lit("x, retention "), percent(retention), F.lit(" pays "), funds[1], F.lit("x"))),
+        said(F.lit("rating: "), rating, F.lit(", up to "), percent(share), F.lit(" of the individual share")),
+        F.when(ours == 0, F.lit("company share = 0% at this grade")).when(~declared, F.lit("company share = not declared yet")).otherwise(
+            said(F.lit("company share = "), percent(ours), F.lit(f" x ({_share(SPLIT[0])} x "), funds[0], F.lit(f" + {_share(SPLIT[1])} x "), funds[1], F.lit(") x "), _money(target), F.lit(" = "), _money(company))
+        ),
+        said(F.lit("individual share = "), percent(mine), F.lit(" x "), percent(share), F.lit(" x "), _money(target), F.lit(" = "), _money(F.col("individual"))),
+        said(F.lit("total = "), _money(company), F.lit(" + "), _money(F.col("individual")), F.lit(" = "), _money(F.col("payout")), F.when(F.col("partial"), " (individual share only)").otherwise("")),
+        said(F.lit(f"a twelfth, not paid monthly: {unit} "), _money(F.round(F.col("payout") / 12, 2))),
+    ]
+    return paid.withColumn("working", F.when(F.col("reason").isNull(), F.concat_ws("\n", *lines)))
+
+
+def _share(part: str) -> str:
+    return f"{float(part) * 100:g}%"

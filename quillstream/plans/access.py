@@ -9,25 +9,26 @@ from ..operators import access, metrics, store
 from ..session import load
 from .registry import query
 
-_USERS = [("ann@x.io", ["reader", "agent"]), ("bob@x.io", ["admin", "ghost"]), ("cy@x.io", []), ("di@x.io", ["agent", "admin"])]
-_ROLES = [("reader", ["docs.read"]), ("agent", ["tickets.queue", "docs.read"]), ("admin", ["console", "iam", "tickets.queue", "tickets.sensitive"])]
-_IAM = """users(email, role) as (values ('ann@x.io', 'reader'), ('ann@x.io', 'agent'), ('bob@x.io', 'admin'), ('bob@x.io', 'ghost'), ('di@x.io', 'agent'), ('di@x.io', 'admin')),
- roles(role, p) as (values ('reader', 'docs.read'), ('agent', 'tickets.queue'), ('agent', 'docs.read'), ('admin', 'console'), ('admin', 'iam'), ('admin', 'tickets.queue'), ('admin', 'tickets.sensitive'))"""
+_ROLES = [("view", ["docs.read"]), ("click", ["tickets.queue", "docs.read"]), ("error", ["console", "tickets.sensitive"]), ("signup", ["iam", "tickets.queue", "console"])]
+_ROLE_ROWS = ", ".join(f"('{role}', '{p}')" for role, held in _ROLES for p in held)
+_IAM = f"""users(email, role) as (select distinct 'user' || user_id, event_type from events where ts < timestamp '2024-02-01' or event_type <> 'signup'), roles(role, p) as (values {_ROLE_ROWS})"""
 
 
-def _iam(spark: SparkSession) -> tuple[DataFrame, DataFrame]:
-    return spark.createDataFrame(_USERS, "email string, roles array<string>"), spark.createDataFrame(_ROLES, "name string, permissions array<string>")
+def _iam(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """The users of ``events``; the types of their events are their roles, of which one ("purchase") is not defined."""
+    held = load(spark, d, "events").where("ts < timestamp '2024-02-01' or event_type <> 'signup'").groupBy("user_id").agg(F.collect_set("event_type").alias("roles"))
+    return held.select(F.concat(F.lit("user"), F.col("user_id").cast("string")).alias("email"), "roles"), spark.createDataFrame(_ROLES, "name string, permissions array<string>")
 
 
 @query(f"with {_IAM} select email, string_agg(p, ',' order by p) as permissions, bool_or(p = 'console') and bool_or(p = 'iam') as iam_admin from (select distinct email, p from users join roles using (role)) group by email")
 def acl_permission_union(spark: SparkSession, d: str) -> DataFrame:
-    held = access.permissions(*_iam(spark))
+    held = access.permissions(*_iam(spark, d))
     return held.select("email", F.array_join("permissions", ",").alias("permissions"), access.is_admin(F.col("permissions"), "iam").alias("iam_admin"))
 
 
 @query(f"with {_IAM} select email, role as name from users where role in (select role from roles)")
 def acl_role_semi_join(spark: SparkSession, d: str) -> DataFrame:
-    return access.existing_roles(*_iam(spark))
+    return access.existing_roles(*_iam(spark, d))
 
 
 @query(
@@ -39,9 +40,10 @@ def tickets_visible(spark: SparkSession, d: str) -> DataFrame:
     return access.visible(tickets, "CUSTOMER#000000007", {access.QUEUE}).select("o_orderkey", "raised_by", "confidential")
 
 
-@query("select name, built_in from (values ('ops', false), ('admin', true), ('agent', true), ('audit', false)) r(name, built_in) order by built_in desc, name")
+@query("select c_name as name, c_mktsegment = 'BUILDING' as built_in from customer order by built_in desc, name")
 def acl_roles_listed(spark: SparkSession, d: str) -> DataFrame:
-    return access.listed(spark.createDataFrame([("ops", False), ("admin", True), ("agent", True), ("audit", False)], "name string, built_in boolean"))
+    """O-SRT-5 over customers in the place of roles; those of one segment come first."""
+    return access.listed(load(spark, d, "customer").select(F.col("c_name").alias("name"), (F.col("c_mktsegment") == "BUILDING").alias("built_in")))
 
 
 @query("select o_orderkey, status, priority from (select o_orderkey, case o_orderstatus when 'F' then 'resolved' when 'O' then 'open' end as status, case when o_orderpriority = '1-URGENT' then 'critical' else 'normal' end as priority from orders) where status is distinct from 'resolved' and priority = 'critical'")

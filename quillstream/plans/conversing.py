@@ -222,8 +222,8 @@ def cls_decision(spark: SparkSession, d: str) -> DataFrame:
     """O-CLS-2: all benchmark items, every third one clarified before; the first turn of an intent is its label."""
     scored, said = _engine(spark, d)
     labels = said.groupBy("intent").agg(F.min_by("text", "ord").alias("label"))
-    low = text.normalize(F.col("text"))
-    asked = _questions(spark, d).select("item_id", understanding.sensitive_kind(low, low).alias("kind"), (F.col("item_id") % 3 == 0).alias("clarified"))
+    plain = _questions(spark, d).select("item_id", text.normalize(F.col("text")).alias("raw"))  # a column of its own, read by many patterns
+    asked = plain.select("item_id", understanding.sensitive_kind(F.col("raw"), F.col("raw")).alias("kind"), (F.col("item_id") % 3 == 0).alias("clarified"))
     return understanding.decide(asked, scored, labels).withColumn("options", F.array_join("options", ","))
 
 

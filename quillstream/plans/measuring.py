@@ -123,9 +123,8 @@ def extra_sessions(spark: SparkSession, d: str) -> DataFrame:
  select user_id as thread_id, count(*) as messages from events join t on t.thread_id = user_id where updated_at >= timestamp '{CUT}' and event_type = 'click' and ts >= timestamp '{CUT}' and ts < timestamp '{END}' group by user_id"""
 )
 def metrics_thread_messages(spark: SparkSession, d: str) -> DataFrame:
-    """O-FLT-4: threads are a user's events of a day here, so no array grows without bound."""
-    threads = _events(spark, d).groupBy(F.col("user_id").alias("thread_id"), F.to_date("ts").alias("day")).agg(F.max("ts").alias("updated_at"), F.collect_list(F.struct(F.col("event_type").alias("role"), F.col("ts").alias("at"))).alias("messages"))
-    found = metrics.messages_between(threads, F.lit(CUT).cast("timestamp"), F.lit(END).cast("timestamp"), "click")
+    """O-FLT-4: threads whose newest event lies in the window, from rows; ``metrics.messages_between`` reads stored arrays."""
+    found = metrics.rows_between(_events(spark, d).select(F.col("user_id").alias("thread_id"), F.col("event_type").alias("role"), F.col("ts").alias("at")), F.lit(CUT).cast("timestamp"), F.lit(END).cast("timestamp"), "click")
     return found.groupBy("thread_id").agg(F.count("*").alias("messages"))
 
 

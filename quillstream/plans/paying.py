@@ -35,22 +35,45 @@ def pay_grade_weight(spark: SparkSession, d: str) -> DataFrame:
     return load(spark, d, "part").select("p_partkey", pay.weight(size, 2).alias("company"), pay.weight(size, 3).alias("individual"))
 
 
-@query(
-    """with p as (select c_custkey, c_custkey % 13 as level, case when c_acctbal > 0 then round(c_acctbal::decimal(18,4), 0) end as target, c_custkey % 6 as rating, c_mktsegment = 'BUILDING' as excluded from customer),
+def _staff(spark: SparkSession, d: str) -> DataFrame:
+    """Customers as staff."""
+    return load(spark, d, "customer").select(
+        "c_custkey", F.concat(F.lit("X"), (F.col("c_custkey") % 13).cast("string")).alias("grade"), F.when(F.col("c_acctbal") > 0, F.round(F.col("c_acctbal").cast(pay.MONEY), 0)).alias("target"),
+        (F.col("c_custkey") % 6).cast("string").alias("rating"), F.when(F.col("c_mktsegment") == "BUILDING", "Sales").otherwise("Other").alias("vertical"),
+    )
+
+
+_STAFF = """p as (select c_custkey, c_custkey % 13 as level, case when c_acctbal > 0 then round(c_acctbal::decimal(18,4), 0) end as target, c_custkey % 6 as rating, c_mktsegment = 'BUILDING' as excluded from customer),
  w as (select *, case when level <= 4 then 0 when level <= 6 then 20 when level <= 9 then 30 else 40 end as cw, case when level <= 4 then 100 when level <= 6 then 80 when level <= 9 then 70 else 60 end as iw,
  case rating when 5 then 130 when 4 then 115 when 3 then 100 when 2 then 0 when 1 then 0 end as rp from p),
- r as (select *, case when excluded then 'excluded' when target is null or target <= 0 then 'no target' when rp is null then 'no rating' end as reason from w)
+ r as (select *, case when excluded then 'excluded' when target is null or target <= 0 then 'no target' when rp is null then 'no rating' end as reason from w)"""
+
+
+@query(
+    f"""with {_STAFF}
  select c_custkey, reason, case when reason is null then ((target::bigint * (cw * 85 + iw * rp) + 50) // 100) / 100.0 end as payout from r"""
 )
 def pay_variable_payout(spark: SparkSession, d: str) -> DataFrame:
-    people = load(spark, d, "customer").select(
-        "c_custkey", F.concat(F.lit("X"), (F.col("c_custkey") % 13).cast("string")).alias("grade"), F.when(F.col("c_acctbal") > 0, F.round(F.col("c_acctbal").cast(pay.MONEY), 0)).alias("target"),
-        (F.col("c_custkey") % 6).cast("string").alias("rating"), F.when(F.col("c_mktsegment") == "BUILDING", "Sales").otherwise("Other").alias("vertical"),
-    )
+    people = _staff(spark, d)
     paid = pay.variable_payout(people, F.lit("415").cast(pay.MONEY), F.lit("86.2").cast(pay.MONEY))
     return paid.select("c_custkey", "reason", F.col("payout").cast("double").alias("payout"))
 
 
+_CENTS = lambda c: f"format('{{:,}}.{{:02d}}', (({c}) // 100)::bigint, (({c}) % 100)::bigint)"
+
+
+@query(
+    f"""with {_STAFF}, m as (select *, target::bigint * 100 as t, target::bigint * cw * 85 as c, target::bigint * iw * rp as i from r),
+ k as (select *, (c + 50) // 100 as cc, (i + 50) // 100 as ic, (c + i + 50) // 100 as pc from m)
+ select c_custkey, case when reason is null then concat_ws(chr(10), 'grade: X' || level, 'target: INR ' || {_CENTS("t")}, 'weights: company ' || cw || '%, individual ' || iw || '%', 'company result: revenue 415 pays 1x, retention 86.2% pays 0.7x',
+ 'rating: ' || rating || ', up to ' || rp || '% of the individual share', case when cw = 0 then 'company share = 0% at this grade' else 'company share = ' || cw || '% x (50% x 1 + 50% x 0.7) x ' || {_CENTS("t")} || ' = ' || {_CENTS("cc")} end,
+ 'individual share = ' || iw || '% x ' || rp || '% x ' || {_CENTS("t")} || ' = ' || {_CENTS("ic")}, 'total = ' || {_CENTS("cc")} || ' + ' || {_CENTS("ic")} || ' = ' || {_CENTS("pc")}, 'a twelfth, not paid monthly: INR ' || {_CENTS("(pc + 6) // 12")}) end as working from k"""
+)
+def pay_working(spark: SparkSession, d: str) -> DataFrame:
+    """O-PRJ-6: how each payout came about, as text."""
+    return pay.working(_staff(spark, d), F.lit("415").cast(pay.MONEY), F.lit("86.2").cast(pay.MONEY)).select("c_custkey", "working")
+
+
 _COMPONENTS = [("air", "bookings", 1, "60", "grow"), ("air", "margin", 2, "40", "steps"), ("ship", "bookings", 1, "100", "steps")]
 _SLABS = [("grow", "MULTIPLIES", None, "50", "0"), ("grow", "MULTIPLIES", "50", "100", "100"), ("grow", "MULTIPLIES", "100", None, "150"), ("steps", "BANDED", None, "20", "0"), ("steps", "BANDED", "20", "60", "80"), ("steps", "BANDED", "60", None, "120")]
 

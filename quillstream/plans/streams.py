@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text
-from ..operators import classify
+from ..operators import understanding
 from ..session import load
 from ..streaming import jobs, stateful, upserts
 from .registry import query
@@ -71,12 +71,14 @@ def stream_dialogue(spark: SparkSession, d: str) -> DataFrame:
 
 def signals(turns: DataFrame) -> DataFrame:
     """Turns with what the words of a message say: misconduct, a record asked for, and a question long enough to search by."""
+    turns = turns.select("conv_id", "turn", "role", "text", text.normalize(F.col("text")).alias("raw"))
+    turns = turns.withColumn("kind", understanding.sensitive_kind(F.col("raw"), F.col("raw")))
     low, none = F.lower(F.coalesce("text", F.lit(""))), F.lit(None)
-    grave = classify.sensitive(low, low)
+    grave = F.coalesce("kind.hard", F.lit(False))
     words = F.size(text.tokenize(F.col("text")))
     kinds = {
-        "decision": F.when(grave, "sensitive").when(words < 3, "escalate").otherwise("answer"), "intent": F.when(grave, "misconduct").otherwise("policy"), "confidence": F.least(F.lit(1.0), words / 10),
-        "route": F.when(grave, "hr_head").otherwise("hr_ops"), "soft": ~grave & low.rlike(r"\b(harassment|posh|whistle.?blow\w*|grievance)\b"), "record": low.rlike(r"\bmy (leave|payslip|balance|attendance)\b"),
+        "decision": F.when(grave, "sensitive").when(words < 3, "escalate").otherwise("answer"), "intent": F.when(grave, F.col("kind.intent")).otherwise("policy"), "confidence": F.least(F.lit(1.0), words / 10),
+        "route": F.when(grave, understanding.route_of(F.col("kind.intent"))).otherwise("hr_ops"), "soft": F.coalesce(~F.col("kind.hard"), F.lit(False)), "record": low.rlike(r"\bmy (leave|payslip|balance|attendance)\b"),
         "covered": words >= 3, "options": none.cast("string"),
     }
     return turns.select("conv_id", "turn", "role", "text", *[c.alias(n) for n, c in kinds.items()])

@@ -10,17 +10,21 @@ from ..operators import classify
 from ..session import load
 from .registry import query
 
-_AMOUNTS = ["2.5 lakh", "1,20,000", "3 crore", "75k", "999", "1.2 million", "target of 80,000", "no number", "4 cr", "12 lacs"]
+_UNITS = ["lakh", "lacs", "crore", "cr", "k", "", "million", "apples"]
 
 
 @query(
-    """with t(s) as (values ('2.5 lakh'), ('1,20,000'), ('3 crore'), ('75k'), ('999'), ('1.2 million'), ('target of 80,000'), ('no number'), ('4 cr'), ('12 lacs')),
- p as (select s, try_cast(replace(regexp_extract(s, '([0-9][0-9,]*(?:\\.[0-9]+)?)', 1), ',', '') as double) as n, case when s like '%lakh%' or s like '%lacs%' then 100000 when s like '%cr%' then 10000000 when s like '%k' and s not like '%lakh' then 1000 when s like '%million%' then 1000000 else 1 end as f from t)
- select s as input, case when n * f >= 1000 then n * f end as amount from p"""
+    f"""with t as (select doc_id, concat_ws(' ', left(text, 40), 'about ' || format('{{:,}}', n_chars) || case when doc_id % 2 = 0 then '.5' else '' end, {_UNITS}[doc_id % {len(_UNITS)} + 1]) as s from documents),
+ p as (select doc_id, regexp_extract(s, '(?i)([0-9][0-9,]*(?:\\.[0-9]+)?)\\s*(lakhs?|lacs?|crores?|cr|k|million|m)?\\b', 1) as n, lower(regexp_extract(s, '(?i)([0-9][0-9,]*(?:\\.[0-9]+)?)\\s*(lakhs?|lacs?|crores?|cr|k|million|m)?\\b', 2)) as u from t),
+ v as (select doc_id, try_cast(replace(n, ',', '') as decimal(18,4)) * case when u like 'la%' then 100000 when u like 'cr%' then 10000000 when u = 'k' then 1000 when u like 'm%' then 1000000 else 1 end as amount from p)
+ select doc_id, case when amount >= 1000 then amount::double end as amount from v"""
 )
 def text_amount_parse(spark: SparkSession, d: str) -> DataFrame:
-    rows = spark.createDataFrame([(s,) for s in _AMOUNTS], "input string")
-    return rows.select("input", text.amount(F.col("input")).cast("double").alias("amount"))
+    """O-MTH-6: the first amount in the head of every document, its length and a unit put behind it."""
+    number = F.concat(F.lit("about "), F.format_number("n_chars", 0), F.when(F.col("doc_id") % 2 == 0, ".5").otherwise(""))
+    unit = F.element_at(F.array(*[F.lit(u) for u in _UNITS]), (F.col("doc_id") % len(_UNITS) + 1).cast("int"))
+    rows = load(spark, d, "documents").select("doc_id", F.concat_ws(" ", F.left("text", F.lit(40)), number, unit).alias("s"))
+    return rows.select("doc_id", text.amount(F.col("s")).cast("double").alias("amount"))
 
 
 @query(

@@ -48,3 +48,17 @@ def test_components(spark):
     r = pay.component_payout(people, components, slabs, results.where("component = 'a'")).first()
     assert (r.payout, r.missing) == (Decimal("48000.00"), "b")
     assert pay.weights_off(components).count() == 0
+
+
+def test_working(spark):
+    rows = [("X7", 100_000, "3", "Other", None), ("X4", 80_000, "5", "Other", None), ("X7", 100_000, "3", "Sales", None), ("X7", None, "4", "Other", 50_000)]
+    people = spark.createDataFrame(rows, "grade string, target long, rating string, vertical string, stated_target long")
+    money = lambda x: F.lit(x).cast(pay.MONEY)
+    full = [r.working for r in pay.working(people, money("408"), money("87.2")).collect()]
+    assert full[0].splitlines() == [
+        "grade: X7", "target: INR 100,000.00", "weights: company 30%, individual 70%", "company result: revenue 408 pays 0.7x, retention 87.2% pays 1.1x", "rating: 3, up to 100% of the individual share",
+        "company share = 30% x (50% x 0.7 + 50% x 1.1) x 100,000.00 = 27,000.00", "individual share = 70% x 100% x 100,000.00 = 70,000.00", "total = 27,000.00 + 70,000.00 = 97,000.00", "a twelfth, not paid monthly: INR 8,083.33",
+    ]
+    assert "company share = 0% at this grade" in full[1] and full[2] is None and "target: INR 50,000.00 (supposed)" in full[3]
+    partial = pay.working(people.limit(1), money(None), money(None)).first().working
+    assert "company share = not declared yet" in partial and "total = 0.00 + 70,000.00 = 70,000.00 (individual share only)" in partial and "company result" not in partial

@@ -15,8 +15,8 @@ KINDS = {
 
 def test_sensitive_examples(spark):
     rows = spark.createDataFrame([(q,) for q in KINDS] + [(None,)], "q string")
-    raw = text.normalize(F.col("q"))
-    got = {r.q: r.k and tuple(r.k) for r in rows.select("q", understanding.sensitive_kind(raw, raw).alias("k")).collect()}
+    rows = rows.select("q", text.normalize(F.col("q")).alias("raw"))
+    got = {r.q: r.k and tuple(r.k) for r in rows.select("q", understanding.sensitive_kind(F.col("raw"), F.col("raw")).alias("k")).collect()}
     assert got == KINDS | {None: None}
 
 
