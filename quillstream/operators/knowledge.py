@@ -1,7 +1,8 @@
 """A knowledge base on a folder of Parquet tables: ingest, list, remove, re-index and ask.
 
 The embedder is a callable that the caller supplies (a batch of texts in, vectors out); without it the base works on
-words alone. Answers are passages. Answering: O-RUL-9, O-RUL-10, O-PRJ-7, O-SNK-14.
+words alone. Answers are passages, or written by a callable that the caller supplies (a batch of prompts in, texts out).
+Answering: O-RUL-9 to O-RUL-11, O-PRJ-7, O-JOIN-8, O-SRC-17, O-SNK-14.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ from pyspark.sql import functions as F
 from ..functions import text
 from ..session import kept
 from ..sources import readers
-from . import answers, chunking, search
+from . import answers, chunking, privacy, search
 from .lexical_index import LexicalIndex
 
 BATCH = 32
@@ -29,6 +30,7 @@ class KnowledgeBase:
     spark: SparkSession
     folder: str
     embed: Callable[[list[str]], list[list[float]]] | None = None
+    generate: Callable[[list[str]], list[str | None]] | None = None
 
     def _table(self, name: str, schema: str) -> DataFrame:
         """The newest version of a table: versions are folders of their own, so a reader never sees a half-written one."""
@@ -127,10 +129,11 @@ class KnowledgeBase:
 
         return questions.select("item_id", F.coalesce("text", F.lit("")).alias("text")).mapInPandas(run, "question long, q array<float>")
 
-    def search(self, questions: DataFrame) -> tuple[DataFrame, DataFrame]:
+    def search(self, questions: DataFrame, owners: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
         """Ranked hits (question, id, doc_id, score, rank) and ``question, top, coverage, confidence`` for questions (item_id, text).
 
         Words are stems; where there is an embedder, passages with vectors are scored by both. A document fills three quarters of the hits at most.
+        ``owners`` (doc_id, owner) names the plan that a document belongs to: for a question with another ``active`` plan it counts less.
         """
         passages = self._passages()
         index = self.index()
@@ -141,29 +144,92 @@ class KnowledgeBase:
             scored = search.blended(lexical, near, vectors.select("id"), key="id")
         else:
             scored = lexical.withColumnRenamed("lexical", "score")
-        hits = kept(search.diversified(scored.join(passages.select("id", "doc_id"), "id"), "doc_id", key="id"), "hits")
+        scored = scored.join(passages.select("id", "doc_id"), "id")
+        if owners is not None and "active" in questions.columns:
+            scored = search.penalised(scored.join(questions.select(F.col("item_id").alias("question"), "active"), "question"), owners, F.col("active"))
+        hits = kept(search.diversified(scored.select("question", "id", "doc_id", "score"), "doc_id", key="id"), "hits")
         return hits, search.confidence(hits, questions, index.held(hits.where("rank <= 3"), "id"), key="id", split=text.tokenize)
 
     def _passages(self) -> DataFrame:
         return self.chunks().select(F.xxhash64("id").alias("id"), "doc_id", F.concat_ws("\n", "title", F.array_join("headings", "\n"), "body").alias("text"), "title", "headings", "body", "embedding")
 
-    def ask(self, questions: DataFrame) -> DataFrame:
-        """``question, confidence, mode, answer`` for a batch of questions (item_id, text, and if known previous).
+    def ask(self, questions: DataFrame, owners: DataFrame | None = None) -> DataFrame:
+        """``question, confidence, mode, answer`` for a batch of questions (item_id, text, and if known previous, active, record).
 
         A question that misses, or a bare follow-up of two words at most that is not sure, is asked again together with the one before
-        it; the second result is taken where it is a hit and the surer one (O-RUL-10).
+        it; the second result is taken where it is a hit and the surer one (O-RUL-10). Questions after other people's records are declined.
+        Where there is a ``generate``, the passages that fit the budget, and the asker's own ``record``, become its prompt: an answer that
+        says there is none counts as none, a failed call leaves the best passage. With a record, no missed search ends the question.
         """
-        hits, sure = self.search(questions)
-        best = lambda hits: hits.where("rank = 1").select("question", "id")
-        met = sure.select("question", "confidence").join(best(hits), "question", "left")
+        optional = lambda c: F.col(c) if c in questions.columns else F.lit(None).cast("string")
+        asked = questions.select("item_id", "text", *[optional(c).alias(c) for c in ("previous", "active", "record")])
+        hits, sure = self.search(asked, owners)
+        met = sure.select("question", "confidence")
         if "previous" in questions.columns:
-            wider = questions.where(F.trim(F.coalesce("previous", F.lit(""))) != "").select("item_id", F.concat_ws(" ", "previous", "text").alias("text"))
-            more, surer = self.search(wider)
-            second = surer.select("question", F.col("confidence").alias("_c")).join(best(more).withColumnRenamed("id", "_id"), "question", "left")
-            bare = questions.select(F.col("item_id").alias("question"), (F.size(text.tokenize(F.col("text"))) <= 2).alias("_bare"))
-            met = met.join(second, "question", "left").join(bare, "question", "left")
+            wider = asked.where(F.trim(F.coalesce("previous", F.lit(""))) != "").select("item_id", F.concat_ws(" ", "previous", "text").alias("text"), "active")
+            more, surer = self.search(wider, owners)
+            bare = asked.select(F.col("item_id").alias("question"), (F.size(text.tokenize(F.col("text"))) <= 2).alias("_bare"))
+            met = met.join(surer.select("question", F.col("confidence").alias("_c")), "question", "left").join(bare, "question", "left")
             taken = F.coalesce(answers.retried(F.col("confidence"), F.col("_c"), F.col("_bare")), F.lit(False))
-            met = met.select("question", F.when(taken, F.col("_c")).otherwise(F.col("confidence")).alias("confidence"), F.when(taken, F.col("_id")).otherwise(F.col("id")).alias("id"))
+            met = kept(met.select("question", F.when(taken, F.col("_c")).otherwise(F.col("confidence")).alias("confidence"), taken.alias("wider")), "sure")
+            hits = hits.join(met.where("not wider"), "question", "left_semi").unionByName(more.join(met.where("wider"), "question", "left_semi"))
         shown = self._passages().select("id", answers.label(F.col("title"), F.col("headings")).alias("label"), "body")
-        met = met.join(shown, "id", "left").withColumn("mode", answers.mode(F.col("confidence"), F.lit(False), F.lit(False)))
-        return met.select("question", "confidence", "mode", F.when(F.col("mode") == "extractive", answers.extractive(F.col("confidence"), F.col("label"), F.col("body"))).alias("answer"))
+        best = hits.where("rank = 1").select("question", "id").join(shown, "id").select("question", "label", "body")
+        own = F.trim(F.coalesce("record", F.lit(""))) != ""
+        declined = F.size(privacy.decline_reasons(F.col("text"))) > 0
+        said = asked.select(F.col("item_id").alias("question"), "text", "record", own.alias("own"), declined.alias("declined"))
+        met = said.join(met.select("question", "confidence"), "question").join(best, "question", "left")
+        met = met.withColumn("open", ~F.col("declined") & (F.col("own") | (F.col("confidence") >= answers.MISS)))
+        met = self._written(met, hits, shown) if self.generate else met.withColumn("written", F.lit(None).cast("string"))
+        refused = F.coalesce(answers.refusal(F.col("written")), F.lit(False))
+        mode = F.when(F.col("declined"), "declined").when(~F.col("open") | refused, "none").when(F.col("written").isNotNull(), "generated").when(F.col("body").isNotNull(), "extractive").otherwise("none")
+        met = met.withColumn("mode", mode)
+        answer = F.when(F.col("mode") == "generated", text.strip_citations(F.col("written"))).when(F.col("mode") == "extractive", answers.extractive(F.col("confidence"), F.col("label"), F.col("body")))
+        return met.select("question", "confidence", "mode", answer.alias("answer"))
+
+    def _written(self, met: DataFrame, hits: DataFrame, shown: DataFrame) -> DataFrame:
+        """``met`` with ``written``, what ``generate`` makes of each open question's prompt; null where it fails or gives nothing."""
+        generate = self.generate
+        ranked = hits.select("question", "id", "rank").join(shown, "id").join(met.where("open").select("question"), "question", "left_semi")
+        fit = answers.within_budget(ranked, "question", "body", F.length("label"))
+        # As many entries at most as a question has hits, within the budget of characters.
+        context = fit.groupBy("question").agg(F.array_sort(F.collect_list(F.struct("rank", F.concat_ws("\n", "label", "body").alias("p")))).alias("ps"))
+        prompts = met.where("open").select("question", "text", "record").join(context, "question", "left")
+        passages = F.array_join(F.transform("ps", lambda x: F.concat(F.lit("["), x["rank"].cast("string"), F.lit("] "), x["p"])), "\n\n")
+        prompts = prompts.select("question", F.concat_ws("\n\n", passages, F.when(F.trim("record") != "", F.concat(F.lit("Record:\n"), "record")), F.concat(F.lit("Question: "), "text")).alias("prompt"))
+
+        def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for frame in frames:
+                for i in range(0, len(frame), BATCH):
+                    part = frame.iloc[i : i + BATCH]
+                    try:
+                        texts: list = generate(part["prompt"].tolist())
+                    except Exception:  # the best passage takes its place
+                        continue
+                    if len(texts) == len(part):
+                        yield pd.DataFrame({"question": part["question"], "written": texts})
+
+        written = prompts.mapInPandas(run, f"question {prompts.schema['question'].dataType.simpleString()}, written string")
+        return met.join(written, "question", "left")
+
+    def import_snapshot(self, path: str) -> DataFrame:
+        """Take over a JSON snapshot of an earlier store, once: a base that holds passages stays as it is (O-SRC-17).
+
+        Passages without id or text and documents without id are left out, empty vectors count as none, and term counts are made anew from
+        the texts. A malformed file leaves the base empty. Returns ``docs, chunks, embedded``: what was taken.
+        """
+        none = self.spark.createDataFrame([(0, 0, 0)], "docs long, chunks long, embedded long")
+        if not self.chunks().isEmpty():
+            return none
+        docs, chunks = readers.snapshot(self.spark, path, readers.SNAPSHOT)
+        vector = F.when(F.size("embedding") > 0, F.col("embedding"))
+        chunks = chunks.where("id is not null and text is not null").select("id", F.xxhash64("docId").alias("doc_id"), F.col("index").alias("idx"), F.coalesce("headings", F.array().cast("array<string>")).alias("headings"), F.col("text").alias("body"), vector.alias("embedding"))
+        chunks = kept(chunks, "chunks")
+        if chunks.isEmpty():
+            return none
+        whole = chunks.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("idx", "id", "body"))), lambda x: x["body"]), "\n\n").alias("text"))
+        docs = docs.where("id is not null").select(F.xxhash64("id").alias("doc_id"), "title", "kind", "filename", "bytes").join(whole, "doc_id", "left")
+        self._write("docs", docs.select("doc_id", "title", "kind", "filename", "bytes", "text"))
+        self._write("chunks", chunks.join(self.docs().select("doc_id", "title"), "doc_id", "left").select("id", "doc_id", "idx", "headings", "body", "title", "embedding"))
+        self.index().add(self._passages(), "id")
+        return self.chunks().agg(F.count("*").alias("chunks"), F.count("embedding").alias("embedded")).crossJoin(self.docs().agg(F.count("*").alias("docs"))).select("docs", "chunks", "embedded")

@@ -135,9 +135,9 @@ def blended(lexical: DataFrame, near: DataFrame, embedded: DataFrame, key: str =
 
 
 def penalised(scored: DataFrame, owners: DataFrame, active: Column, key: str = "doc_id") -> DataFrame:
-    """Passages that another plan owns count less (O-JOIN-8)."""
-    met = scored.join(owners.select(key, "owner"), key, "left")
-    return met.withColumn("score", F.when(F.col("owner").isNotNull() & (F.col("owner") != active), F.col("score") * FOREIGN_PLAN).otherwise(F.col("score")))
+    """Passages that another plan owns count less (O-JOIN-8); of several owners of one the first by name counts. Without an active plan nothing changes."""
+    met = scored.join(owners.where(F.col("owner").isNotNull()).groupBy(key).agg(F.min("owner").alias("owner")), key, "left")
+    return met.withColumn("score", F.when(F.col("owner").isNotNull() & (F.col("owner") != active), F.round(F.col("score") * FOREIGN_PLAN, 9)).otherwise(F.col("score")))
 
 
 def terms_held(hits: DataFrame, docs: DataFrame, key: str = "doc_id", split: Callable[[Column], Column] = text.terms) -> DataFrame:

@@ -126,6 +126,22 @@ def kb_hybrid_topk(spark: SparkSession, d: str) -> DataFrame:
     return hits.select("question", "doc_id", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
 
 
+@query(
+    _HYBRID
+    + """, own as (select question, doc_id, round(case when doc_id % 4 < 3 and doc_id in (select doc_id from documents) and 'p' || doc_id % 4 <> 'p' || question % 3 then score * 0.4 else score end, 9) as score from hybrid)
+ select question, doc_id, round(score, 6) as score, rank from (select *, row_number() over (partition by question order by score desc, doc_id) as rank from own where score > 0.02) where rank <= 14"""
+)
+def kb_plan_topk(spark: SparkSession, d: str) -> DataFrame:
+    """O-JOIN-8: three documents in four belong to one of three plans, and count less for the questions of another."""
+    vectors, asked = load(spark, d, "embeddings"), questions(spark, d)
+    near = search.dense(_asked_vectors(spark, d), vectors).withColumnRenamed("vec_id", "doc_id")
+    scored = search.blended(index_of(spark, d).scores(asked), near, vectors.select(F.col("vec_id").alias("doc_id")))
+    owners = load(spark, d, "documents").where("doc_id % 4 < 3").select("doc_id", F.concat(F.lit("p"), (F.col("doc_id") % 4).cast("string")).alias("owner"))
+    weighed = search.penalised(scored, owners, F.concat(F.lit("p"), (F.col("question") % 3).cast("string")))
+    hits = search.ranked(weighed.select("question", "doc_id", F.round("score", 9).alias("score")))
+    return hits.select("question", "doc_id", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
+
+
 @query(
     _scored(_ITEMS)
     + """, placed as (select question, doc_id, source, lexical, row_number() over (partition by question, source order by lexical desc, doc_id) as place from scored join documents using (doc_id) where lexical > 0.02)

@@ -166,7 +166,11 @@ def records(rows: DataFrame) -> DataFrame:
     return rows.select(F.concat(F.lit("- "), F.concat_ws(" · ", *parts)).alias("body"))
 
 
-def snapshot(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """Documents and passages of a JSON snapshot {docs: [...], chunks: [...]} (O-SRC-17)."""
-    whole = spark.read.json(path, multiLine=True)
+#: What a snapshot may hold; fields that it lacks are null.
+SNAPSHOT = "docs array<struct<id:string,title:string,kind:string,filename:string,bytes:bigint>>, chunks array<struct<id:string,docId:string,index:int,headings:array<string>,text:string,embedding:array<float>>>"
+
+
+def snapshot(spark: SparkSession, path: str, schema: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """Documents and passages of a JSON snapshot {docs: [...], chunks: [...]} (O-SRC-17); with a schema, a malformed one has none."""
+    whole = spark.read.json(path, schema=schema, multiLine=True)
     return whole.select(F.explode("docs").alias("d")).select("d.*"), whole.select(F.explode("chunks").alias("c")).select("c.*")

@@ -98,6 +98,43 @@ def test_files(spark, tmp_path):
     assert base.docs().count() == 1
 
 
+def test_answers_written_declined_and_penalised(spark, tmp_path):
+    folder = tmp_path / "in"
+    folder.mkdir()
+    (folder / "india.md").write_text("# Leave in India\n\nYou get twelve days of earned leave in India each year.")
+    for i in range(10):
+        (folder / f"zz{i}.txt").write_text(f"Parking, canteen menus and shuttle buses of building {i}.")
+    (folder / "us.md").write_text("# Leave in America\n\nYou get twenty days of earned leave in America each year.")
+
+    def generate(prompts):
+        if any("broken" in p for p in prompts):
+            raise RuntimeError("no model")
+        return ["NO_ANSWER" if "notice" in p else "Six days [1]." if "Record:" in p else f"Passages: {p.count('[')} [2]" for p in prompts]
+
+    base = KnowledgeBase(spark, str(tmp_path / "kb"), generate=generate)
+    base.ingest(str(folder))
+    schema = "item_id int, text string, record string, active string"
+    ask = lambda *rows: {r.question: r for r in base.ask(spark.createDataFrame(rows, schema), owners).collect()}
+    owners = base.docs().select("doc_id", F.col("filename").substr(1, 2).alias("owner"))
+    got = ask((1, "how many days of earned leave", None, "us"), (2, "zebra", None, None), (3, "zebra", "Leave taken: 6", None), (4, "what is the average salary in my team", None, None), (5, "days of earned leave and notice", None, None))
+    assert {q: (r.mode, r.answer) for q, r in got.items()} == {1: ("generated", "Passages: 2"), 2: ("none", None), 3: ("generated", "Six days."), 4: ("declined", None), 5: ("none", None)}
+    assert (r := ask((6, "broken days of earned leave", None, "in"))[6]).mode == "extractive" and "India" in r.answer
+    assert "America" in ask((7, "broken days of earned leave", None, "us"))[7].answer  # the other plan's document counts less
+
+
+def test_snapshot_is_taken_once(spark, tmp_path):
+    (tmp_path / "bad.json").write_text('{"docs": [')
+    chunks = '{"id": "a#0", "docId": "a", "index": 0, "headings": ["Leave"], "text": "earned leave is twelve days", "tf": {"wrong": 9}}, {"id": "a#1", "docId": "a", "index": 1, "text": "sick leave is six days", "embedding": [1, 2]}, {"id": null, "text": "x"}, {"id": "a#2", "docId": "a", "index": 2, "text": null}'
+    (tmp_path / "good.json").write_text('{"docs": [{"id": "a", "title": "Leave", "kind": "md"}, {"title": "no id"}], "chunks": [' + chunks + "]}")
+    base = KnowledgeBase(spark, str(tmp_path / "kb"))
+    assert tuple(base.import_snapshot(str(tmp_path / "bad.json")).first()) == (0, 0, 0) and base.chunks().isEmpty()
+    assert tuple(base.import_snapshot(str(tmp_path / "good.json")).first()) == (1, 2, 1)
+    assert tuple(base.import_snapshot(str(tmp_path / "good.json")).first()) == (0, 0, 0) and base.chunks().count() == 2
+    asked = spark.createDataFrame([(1, "earned leave"), (2, "wrong")], "item_id int, text string")
+    hits = base.search(asked)[0].where("rank = 1").join(base._passages().select("id", "body"), "id").collect()
+    assert [(r.question, r.body) for r in hits] == [(1, "earned leave is twelve days")]
+
+
 def test_sheets(spark, tmp_path):
     (tmp_path / "faq.csv").write_text('Question , Answer,Owner\n"How, then?","He said ""so"".\nTwice",HR\n,,\nWhy?,,X\n')
     sheet = readers.sheet(spark, str(tmp_path / "faq.csv"))
