@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text
+from ..session import kept
 from . import classify
 
 # Fixed values.
@@ -72,7 +73,7 @@ def corrected(messages: DataFrame, vocabulary: DataFrame, key: str, most_words:
 
     Messages of more than ``most_words`` words are prose and stay as they are, so no group below holds more than that many rows. Null texts are empty.
     """
-    plain = messages.select(key, text.normalize(F.col("text")).alias("raw"))
+    plain = kept(messages.select(key, text.normalize(F.col("text")).alias("raw")), "plain")  # read three times below
     words = plain.select(key, F.split("raw", " ").alias("w")).where(F.size("w") <= most_words).select(key, F.posexplode("w").alias("pos", "token"))
     words = words.where(F.col("token") != "")
     fixed = classify.spelled(words.where(~F.col("token").isin(*text.STOP_WORDS)).select("token"), vocabulary).select("token", "word")
