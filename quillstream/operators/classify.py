@@ -20,7 +20,7 @@ EXACT, CONTAINED, UNSEEN, ALONE = 0.25, 0.12, 0.35, 0.72
 
 def fields_of(low: Column, patterns: dict[str, str]) -> Column:
     """Names of the patterns that the text matches, in order, joined (O-CLS-4)."""
-    return F.concat_ws(",", *[F.when(low.rlike(p), F.lit(name)) for name, p in patterns.items()])
+    return F.concat_ws(",", *[F.when(low.rlike(text.plain_edges(p)), F.lit(name)) for name, p in patterns.items()])
 
 
 def model_stats(utterances: DataFrame) -> DataFrame:

@@ -12,6 +12,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import plain_edges
+
 # The words that name a field of a personal record, in the order in which fields are listed.
 FIRST_PERSON = r"\b(my|mine|me|i|i'm|im|iam|i am|myself)\b"
 ELLIPTICAL = (
@@ -46,16 +48,16 @@ def _low(question: Column) -> Column:
 def vocabulary_fields(question: Column) -> Column:
     """The fields whose words a question holds, in fixed order."""
     low = _low(question)
-    held = {name: low.rlike(words) for name, words in FIELD_WORDS.items()}
-    held["employment"] |= low.rlike(IDENTITY) | low.rlike(ELLIPTICAL)
-    held["variable_pay"] |= low.rlike(COMPUTATION)
+    held = {name: low.rlike(plain_edges(words)) for name, words in FIELD_WORDS.items()}
+    held["employment"] |= low.rlike(plain_edges(IDENTITY)) | low.rlike(plain_edges(ELLIPTICAL))
+    held["variable_pay"] |= low.rlike(plain_edges(COMPUTATION))
     return F.array_compact(F.array(*[F.when(c, F.lit(name)) for name, c in held.items()]))
 
 
 def own_fields(question: Column) -> Column:
     """The same for questions about the asker: in the first person, elliptical, or about variable pay."""
     low, fields = _low(question), vocabulary_fields(question)
-    return F.when(low.rlike(FIRST_PERSON) | low.rlike(ELLIPTICAL) | F.array_contains(fields, "variable_pay"), fields).otherwise(F.array().cast("array<string>"))
+    return F.when(low.rlike(plain_edges(FIRST_PERSON)) | low.rlike(plain_edges(ELLIPTICAL)) | F.array_contains(fields, "variable_pay"), fields).otherwise(F.array().cast("array<string>"))
 
 
 def with_fields(turns: DataFrame, key: str = "conv_id", order: str = "turn", question: str = "text") -> DataFrame:
@@ -69,8 +71,8 @@ def with_fields(turns: DataFrame, key: str = "conv_id", order: str = "turn", que
     earlier = Window.partitionBy(key).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
     prior = F.last(F.when(F.size("_own") > 0, F.col("_own")), ignorenulls=True).over(earlier)
     low = _low(F.col(question))
-    supposes = low.rlike(STATED_OTHER)
-    follows = low.rlike(CONTINUATION) | low.rlike(COMPUTATION) | low.rlike(STATED_SHARE) | supposes
+    supposes = low.rlike(plain_edges(STATED_OTHER))
+    follows = low.rlike(plain_edges(CONTINUATION)) | low.rlike(plain_edges(COMPUTATION)) | low.rlike(plain_edges(STATED_SHARE)) | supposes
     inherits = follows & (supposes | (F.size("_any") == 0))
     return rows.withColumn("_prior", prior).withColumn("fields", F.when(inherits, F.array_union("_own", F.coalesce("_prior", none))).otherwise(F.col("_own"))).drop("_own", "_any", "_prior")
 

@@ -84,16 +84,17 @@ def corrected(messages: DataFrame, vocabulary: DataFrame, key: str, most_words:
 
 def stated(question: Column) -> dict[str, Column]:
     """Figures in a question (O-CLS-5): rating, achievement, grade level, target; null where there is none or it is out of range."""
-    first_group = lambda c, p: F.concat(F.regexp_extract(c, p, 1), F.regexp_extract(c, p, 2)).try_cast("int")  # noqa: E731  one of two alternatives
-    share = F.regexp_extract(question, ACHIEVEMENT, 1).try_cast("decimal(18,4)")
+    first_group = lambda c, p: F.concat(F.regexp_extract(c, text.plain_edges(p), 1), F.regexp_extract(c, text.plain_edges(p), 2)).try_cast("int")  # noqa: E731  one of two alternatives
+    share = F.regexp_extract(question, text.plain_edges(ACHIEVEMENT), 1).try_cast("decimal(18,4)")
     # A level right before "manager" names a post.
-    level = first_group(F.regexp_replace(question, GRADE_MANAGER, "~"), GRADE)
-    unit, number = F.lower(F.regexp_extract(question, VARIABLE_TARGET, 2)), F.regexp_replace(F.regexp_extract(question, VARIABLE_TARGET, 1), ",", "").try_cast("decimal(18,4)")
+    level = first_group(F.regexp_replace(question, text.plain_edges(GRADE_MANAGER), "~"), GRADE)
+    aim = text.plain_edges(VARIABLE_TARGET)
+    unit, number = F.lower(F.regexp_extract(question, aim, 2)), F.regexp_replace(F.regexp_extract(question, aim, 1), ",", "").try_cast("decimal(18,4)")
     factor = F.when(F.startswith(unit, F.lit("l")), 100000).when(F.startswith(unit, F.lit("cr")), 10000000).when(F.startswith(unit, F.lit("k")), 1000).otherwise(1)
     target = (number * factor).cast("decimal(18,4)")
     digit = first_group(question, RATING_NUMBER)
-    word = F.lower(F.regexp_extract(question, RATING_LABEL, 1))
-    named = F.when(question.rlike(RATING_CONTEXT), reduce(lambda c, kv: c.when(word == kv[0], kv[1]), RATING_WORDS.items(), F.when(F.lit(False), 0)))
+    word = F.lower(F.regexp_extract(question, text.plain_edges(RATING_LABEL), 1))
+    named = F.when(question.rlike(text.plain_edges(RATING_CONTEXT)), reduce(lambda c, kv: c.when(word == kv[0], kv[1]), RATING_WORDS.items(), F.when(F.lit(False), 0)))
     return {"rating": F.coalesce(digit, named), "achievement": F.when(share <= MOST_SHARE, share), "level": F.when(level <= MOST_LEVEL, level), "target": F.when(target >= LEAST_TARGET, target)}
 
 

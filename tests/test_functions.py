@@ -99,3 +99,18 @@ def test_classifier_rules(spark):
     assert kinds == ["greeting", "choice", "thanks", "escalation", "follow_up", "knowledge"]
     assert one(spark, classify.distinct_labels(F.array(*map(F.lit, ["sick leave", "sick leave rules", "pay slip", "tax", "late"])))) == ["sick leave", "pay slip", "tax"]
     assert one(spark, classify.migrated_roles(F.array(F.lit("old"), F.lit("x")), ["old"], {"x": ["y", "z"]})) == ["y", "z"]
+
+
+def test_word_edges_as_sql_reads_them(spark):
+    """Letters with accents end a word, as in DuckDB, whatever Java's version."""
+    import duckdb
+
+    from quillstream.operators import classify, privacy
+
+    said = ["épfé", "my pf", "pfx", "élos", "los élos", "in\nhand", "in-hand", "why?\u2028", "why?\n", "why?\x0b", "why? ", "ü leaveé", None]
+    flags = {"has": r"\b(the|los|les|die)\b", "asks": r"\?\s*$", "in": r"a[\s-]?b|in.?hand"} | privacy.FIELD_WORDS
+    rows = spark.createDataFrame(list(enumerate(said)), "i int, text string")
+    got = {r.i: r.f for r in rows.select("i", classify.fields_of(F.col("text"), flags).alias("f")).collect()}
+    for i, s in enumerate(said):
+        assert got[i] == ",".join(n for n, p in flags.items() if duckdb.execute("select regexp_matches(?::varchar, ?)", [s, p]).fetchone()[0])
+    assert "compensation" in got[0]
