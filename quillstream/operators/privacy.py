@@ -162,13 +162,16 @@ def _found_by_automaton(names: list[str]):
     return run
 
 
-def people_named(texts: DataFrame, directory: DataFrame, key: str = "doc_id", text: str = "text", name: str = "name", small: bool | None = None) -> DataFrame:
+def people_named(texts: DataFrame, directory: DataFrame, key: str = "doc_id", text: str = "text", name: str = "name", small: bool | None = None, most_words: int | None = None) -> DataFrame:
     """``key, name``: which names of the directory stand in a text as whole words, letter case and punctuation aside.
 
     The directory is measured: up to ``MOST_NAMES`` names of ``MOST_CHARS`` characters go to every task as one automaton, a larger one is joined
-    on the word grams of the lengths that names have. Null keys, texts and names name nobody.
+    on the word grams of the lengths that names have. Null keys, texts and names name nobody. With ``most_words``, only names of so
+    many words count, once punctuation has parted them.
     """
     names = directory.select(_plain(F.col(name)).alias("name")).where("name <> ''").distinct()
+    if most_words is not None:
+        names = names.where(F.size(F.split("name", " ")) <= most_words)
     if small is None:
         size = names.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.length("name")), F.lit(0)).alias("chars")).first()
         small = size.n <= MOST_NAMES and size.chars <= MOST_CHARS

@@ -75,3 +75,12 @@ def test_names_by_automaton_and_by_join(spark):
     for small in (True, False, None):
         assert {tuple(r) for r in privacy.people_named(texts, people, small=small).collect()} == want
     assert privacy.people_named(texts, people.limit(0)).count() == 0
+
+
+def test_names_of_so_many_words(spark):
+    """Punctuation parts "López-Ruiz" into two words, so that name has three."""
+    texts = spark.createDataFrame([(1, "Ana López-Ruiz met Ana López")], "doc_id long, text string")
+    people = spark.createDataFrame([("Ana López-Ruiz",), ("Ana López",), ("Ana",)], "name string")
+    for small in (True, False):
+        got = lambda most: {r.name for r in privacy.people_named(texts, people, small=small, most_words=most).collect()}  # noqa: B023, E731
+        assert (got(None), got(2), got(1)) == ({"ana lópez ruiz", "ana lópez", "ana"}, {"ana lópez", "ana"}, {"ana"})
