@@ -76,3 +76,31 @@ def test_index_is_made_once(spark, name):
     before = searching.index_of(spark, folder)
     catalogue.QUERIES[name](spark, folder).count()
     assert searching.index_of(spark, folder).folder == before.folder and before.version() == 1
+
+
+def test_scan_hands_on_few_rows_and_loses_no_rank(spark, tmp_path, monkeypatch):
+    """Copies tie, groups have firsts of their own, and what leaves the tasks does not grow with the number of passages."""
+    from pyspark.sql import Window
+
+    from quillstream.operators import lexical_index
+
+    docs = _docs(spark, range(600)).unionByName(_docs(spark, range(0, 120, 3)).withColumn("doc_id", F.col("doc_id") + 1000))
+    docs = docs.unionByName(spark.createDataFrame([(5000 + i, "carry slab") for i in range(50)], docs.schema))
+    asked, groups = _questions(spark), docs.where("doc_id % 3 < 2").select("doc_id", F.concat(F.lit("g"), (F.col("doc_id") % 3).cast("string")).alias("group"))
+    index = LexicalIndex(spark, str(tmp_path))
+    index.add(docs)
+    every = search.bm25(asked, docs).join(groups, "doc_id", "left")
+    place = F.row_number().over(Window.partitionBy("question", "group").orderBy(F.desc("lexical"), "doc_id"))
+    want = every.withColumn("p", place).where("p <= 4").select("question", "doc_id", "group", F.round("lexical", 8).alias("s"))
+    best = index.best(asked, 4, groups=groups, scales=[[(38, 100)], [(4, 10)]])
+    found = best.withColumn("p", place).where("p <= 4").select("question", "doc_id", "group", F.round("lexical", 8).alias("s"))
+    assert sorted(map(str, found.collect())) == sorted(map(str, want.collect()))
+    assert index.best(asked, 4).count() < every.count() / 2
+    pairs = docs.where("doc_id % 50 = 0").select("doc_id").crossJoin(asked.select(F.col("item_id").alias("question")))
+    some = lambda df: sorted((r.question, r.doc_id, round(r.lexical, 9)) for r in df.select("question", "doc_id", "lexical").collect())
+    assert some(index.scores_of(pairs, asked)) == some(every.where("doc_id % 50 = 0"))
+    ranks = _rows(search.ranked(search.bm25(asked, docs).withColumnRenamed("lexical", "score"), 5))
+    for few, most, cells in ((0, 0, 4_000_000), (10**9, 10**6, 64), (10**9, 10**6, 4_000_000)):  # blocks, a scan that settles often, a scan
+        for name, value in (("FEW", few), ("MOST_WEIGHTS", most), ("CELLS", cells)):
+            monkeypatch.setattr(lexical_index, name, value)
+        assert _rows(index.topk(asked, 5)) == ranks
