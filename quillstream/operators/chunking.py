@@ -9,7 +9,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -20,6 +20,8 @@ _SENTENCE = re.compile(r"[^.!?]+[.!?]+\s?|[^.!?]+$")
 _BOUNDARY = re.compile(r"[.!?]\s")
 _NUMBER = re.compile(r"\d[\d,.]*")
 # End of fixed values.
+HELD = 1_000_000  # characters of passages that a task holds
+_KINDS = {"doc_id": pa.int64(), "idx": pa.int32(), "headings": pa.list_(pa.string()), "body": pa.string()}
 
 
 def sections(text: str) -> Iterator[tuple[list[str], str]]:
@@ -91,24 +93,37 @@ def split(body: str) -> list[str]:
     return out
 
 
-def _rows(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for frame in frames:
-        rows = []
-        for doc_id, text in zip(frame["doc_id"], frame["text"]):
+def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Passages of a batch, handed on whenever ``HELD`` characters are together: what a task holds does not depend on how many texts a batch has."""
+    for batch in batches:
+        rows: list[tuple] = []
+        held = 0
+        for doc_id, text in zip(batch.column(0), batch.column(1)):
+            doc_id, text = doc_id.as_py(), text.as_py()
             i = 0
             for headings, body in sections(text or ""):
                 for piece in split(body):
                     if re.search("[A-Za-z0-9]{2}", " ".join([*headings, piece])):
                         rows.append((doc_id, i, headings, piece))
                         i += 1
+                        held += len(piece) + sum(map(len, headings))
+                        if held > HELD:
+                            yield _made(rows)
+                            rows, held = [], 0
             if not i and text and text.strip():
                 rows.append((doc_id, 0, [], text.strip()))
-        yield pd.DataFrame(rows, columns=["doc_id", "idx", "headings", "body"])
+                held += len(text)
+        if rows:
+            yield _made(rows)
+
+
+def _made(rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), _KINDS.values())], names=list(_KINDS))
 
 
 def chunk(docs: DataFrame) -> DataFrame:
     """``id, doc_id, idx, headings, body`` of every passage (O-TVF-3)."""
-    made = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(_rows, "doc_id long, idx int, headings array<string>, body string")
+    made = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_rows, "doc_id long, idx int, headings array<string>, body string")
     return made.select(F.concat_ws("#", F.col("doc_id").cast("string"), F.col("idx").cast("string")).alias("id"), "doc_id", "idx", "headings", "body")
 
 

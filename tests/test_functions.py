@@ -114,3 +114,17 @@ def test_word_edges_as_sql_reads_them(spark):
     for i, s in enumerate(said):
         assert got[i] == ",".join(n for n, p in flags.items() if duckdb.execute("select regexp_matches(?::varchar, ?)", [s, p]).fetchone()[0])
     assert "compensation" in got[0]
+
+
+def test_passages_leave_in_small_batches():
+    """Whatever a batch of texts holds, its passages go on by ``HELD`` characters, none lost and numbered as before."""
+    import pyarrow as pa
+
+    long = "\n\n".join(f"# Part {i}\n" + f"Sentence {i} has words. " * 60 for i in range(2_000))
+    texts = ["short text", None, "??", "", long, "last one"]
+    made = list(chunking._rows(iter([pa.RecordBatch.from_arrays([pa.array(range(6)), pa.array(texts)], names=["doc_id", "text"])])))
+    assert len(made) > 2 and max(sum(len(b) for b in m.column(3).to_pylist()) for m in made) < 1.1 * chunking.HELD
+    rows = [tuple(r.values()) for m in made for r in m.to_pylist()]
+    want = [(4, headings, piece) for headings, body in chunking.sections(long) for piece in chunking.split(body)]
+    assert [(d, h, p) for d, _, h, p in rows if d == 4] == want and [i for d, i, _, _ in rows if d == 4] == list(range(len(want)))
+    assert [r for r in rows if r[0] != 4] == [(0, 0, [], "short text"), (2, 0, [], "??"), (5, 0, [], "last one")]
