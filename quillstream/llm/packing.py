@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import os
 import re
+import struct
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -45,8 +46,9 @@ def default_tokenizer() -> str:
 class WordIds(dict):
     """Bytes of a word's ids. White space separates words for the tokenizer too, so ids of a text are those of its words in turn."""
 
-    #: Words for which lower case and Unicode normal form are plain; others take the tokenizer's whole way.
-    PLAIN = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,]*)")
+    #: Words for which lower case and Unicode normal form are plain, and a run of signs, which the tokenizer takes apart from letters;
+    #: others take its whole way.
+    PLAIN = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,!#$%&*|]*)")
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -62,16 +64,25 @@ class WordIds(dict):
     def _whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
+    def _modelled(self, symbols: str) -> bytes:
+        ids = [t.id for t in self.model.tokenize(symbols)]
+        return struct.pack(f"<{len(ids)}I", *ids)
+
     def __missing__(self, word: bytes) -> bytes:
         if len(self) >= CACHED_WORDS:
             self.old = dict(self)
             self.clear()
         if (ids := self.old.get(word)) is not None:
             pass
+        elif (core := word.rstrip(b".,")).isalpha():  # ASCII letters, which are their own symbols
+            if len(core) < len(word):
+                ids = self[core.lower()] + self[word[len(core) :]]
+            else:
+                ids = self._modelled(word.decode()) if word.islower() else self[word.lower()]
         elif m := self.PLAIN.fullmatch(text := word.decode()):
             core, tail = m[1].lower(), m[2]
             if core == text:
-                ids = np.array([t.id for t in self.model.tokenize(word.decode("latin1").translate(self.symbols))], "<u4").tobytes()
+                ids = self._modelled(word.decode("latin1").translate(self.symbols))
             else:
                 ids = self[core.encode()] + (self[tail.encode()] if tail else b"")
         else:

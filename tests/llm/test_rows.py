@@ -58,3 +58,15 @@ def test_op7_rows_of_one_doc_id(spark):
     assert kept.columns == docs.columns
     texts = sorted(r.text for r in kept.collect())
     assert texts == sorted([a, b, min((c, c + " end"), key=lambda t: spark.range(1).select(F.xxhash64(F.lit(t))).first()[0])])
+
+
+def test_words_with_signs_take_no_whole_way():
+    """Ids of a word are the tokenizer's, and letters with signs behind them are not encoded whole, which costs some four times as much."""
+    from quillstream.llm import packing
+
+    ids = packing.WordIds(packing.default_tokenizer())
+    words = "thing Thing THING thing. Thing,. thing&&& schzu,$$$ Élan été%%% wow!! a|b a|| it's don't! x1 555-0399 <|endoftext|> a<|endoftext|> ... ," .split()
+    want, whole, seen = {w: ids._whole(w) for w in words}, ids._whole, []
+    ids._whole = lambda text: seen.append(text) or whole(text)
+    assert {w: ids[w.encode()] for w in words} == want
+    assert not {"thing&&&", "schzu,$$$", "été%%%", "wow!!", "a||"} & set(seen)
