@@ -26,6 +26,7 @@ from __future__ import annotations
 from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from difflib import SequenceMatcher
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -41,6 +42,10 @@ RUN, RUN_WINDOW = 40, LEAST - 40 + 1
 AHEAD = (RUN - SEED) // 2  # words of a run before its anchor
 MARGIN, LONGEST_GAP = 48, 200
 MEMBERS_PER_SALT = 256
+#: Seeds are counted in 2**RANGE_BITS ranges of hashes, out of tasks that hold about HELD_SEEDS of them at once.
+RANGE_BITS, HELD_SEEDS = 12, 1 << 20
+#: Chains meet their sources in so many rounds, so that the cut words of one round alone are on the way.
+ROUNDS = 2
 MOST_BITS = 27
 
 
@@ -79,15 +84,37 @@ def _chosen(words: Words, texts: int) -> tuple[np.ndarray, ...]:
     return tuple(np.concatenate(x) for x in zip(*found))
 
 
-def _seed_hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(seed): each seed of a document once."""
+def _seed_ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(range, seeds): the seeds of each document once, ascending, by range of hashes. Of seeds that many documents of a task hold two are enough."""
+    held, n = [], 0
+
+    def flush() -> pa.RecordBatch:
+        hashes = np.sort(np.concatenate(held))
+        hashes = hashes[np.concatenate([np.ones(min(2, len(hashes)), bool), hashes[2:] != hashes[:-2]])]
+        ranges, first = np.unique((hashes >> U64(64 - RANGE_BITS)).astype(np.int32), return_index=True)
+        ends = [*first[1:], len(hashes)]
+        return pa.RecordBatch.from_arrays([pa.array(ranges), pa.array([hashes[i:j].tobytes() for i, j in zip(first, ends)], pa.binary())], names=["range", "seeds"])
+
     for batch in batches:
         for part, data, offsets in pieces(batch):
             hashes, doc, _, _ = _chosen(Words(data, offsets), part.num_rows)
             order = np.lexsort((hashes, doc))
             hashes, doc = hashes[order], doc[order]
-            fresh = np.concatenate([[True], (hashes[1:] != hashes[:-1]) | (doc[1:] != doc[:-1])]) if len(doc) else np.zeros(0, bool)
-            yield pa.RecordBatch.from_arrays([pa.array(signed(hashes[fresh]))], names=["seed"])
+            held.append(hashes[np.concatenate([[True], (hashes[1:] != hashes[:-1]) | (doc[1:] != doc[:-1])])] if len(doc) else hashes)
+            n += len(held[-1])
+            if n >= HELD_SEEDS:
+                yield flush()
+                held, n = [], 0
+    if n:
+        yield flush()
+
+
+def _seen_twice(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(seed): the seeds that stand twice or more in a range, whose rows stand together."""
+    for _, (seeds,) in _groups(batches, 1):
+        hashes = np.sort(np.frombuffer(b"".join(seeds), U64))
+        again = hashes[1:][hashes[1:] == hashes[:-1]]
+        yield pa.RecordBatch.from_arrays([pa.array(signed(np.unique(again)))], names=["seed"])
 
 
 def _seeds(repeated):
@@ -370,7 +397,8 @@ def _passages(docs: DataFrame, text: str, doc_id: str) -> DataFrame:
     rows, names = numbered(docs, text, doc_id)
     slim = rows.select(F.col("node").alias("doc_id"), F.lower("text").alias("text"))
     slim = slim if names is None else durable(slim.dropDuplicates(["doc_id"]), "texts")
-    repeated = durable(slim.mapInArrow(_seed_hashes, "seed long").groupBy("seed").count().where("count > 1").select("seed"), "repeated-seeds")
+    ranges = slim.mapInArrow(_seed_ranges, "range int, seeds binary").repartition("range").sortWithinPartitions("range")
+    repeated = durable(ranges.mapInArrow(_seen_twice, "seed long"), "repeated-seeds")
     bits = min(MOST_BITS, max(16, (8 * repeated.count()).bit_length()))  # beyond the most the bitmap only lets more seeds through
     listed = spark.sparkContext.broadcast(bitmap_of(repeated, "seed", bits))
     seeds = durable(slim.mapInArrow(_seeds(listed), "seed long, doc_id long, place int, run boolean"), "seeds")
@@ -389,7 +417,7 @@ def _passages(docs: DataFrame, text: str, doc_id: str) -> DataFrame:
     words = durable(slim.mapInArrow(_word_rows(wanted), "key long, words binary"), "words")
     blank = {"doc": "long", "src": "long", "xs": "array<int>", "ys": "array<int>", "cut": "binary", "first": "int"}
 
-    def lead(rows: DataFrame, by: str) -> DataFrame:
+    def lead(rows: DataFrame, by: str, words: DataFrame) -> DataFrame:
         """The words of document ``by``, then the chains that need them, in partitions that no single document fills."""
         salts = rows.groupBy(by).agg((F.floor(F.count("*") / MEMBERS_PER_SALT) + 1).alias("salts")).withColumnRenamed(by, "key")
         heads = words.join(salts, "key").select("key", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), "words", *[F.lit(None).cast(t).alias(c) for c, t in blank.items()])
@@ -398,8 +426,15 @@ def _passages(docs: DataFrame, text: str, doc_id: str) -> DataFrame:
         return heads.unionByName(tails).repartition("key", "salt").sortWithinPartitions("key", "salt", F.col("words").isNull())
 
     bare = chains.withColumns({"cut": F.lit(None).cast("binary"), "first": F.lit(None).cast("int")})
-    half = durable(lead(bare, "doc").mapInArrow(_cut("xs", _with_words), "doc long, src long, xs array<int>, ys array<int>, cut binary, first int"), "cut-chains")
-    aligned = lead(half, "src").mapInArrow(_cut("ys", _aligned), "doc long, src long, start int, end int, src_start int, src_end int, same int")
+    half = durable(lead(bare, "doc", words).mapInArrow(_cut("xs", _with_words), "doc long, src long, xs array<int>, ys array<int>, cut binary, first int"), "cut-chains")
+    release(chains)
+    aligned = []
+    for i in range(ROUNDS):
+        mine = lambda c: F.pmod(F.xxhash64(c), F.lit(ROUNDS)) == i  # noqa: B023, E731
+        met = lead(half.where(mine("src")), "src", words.where(mine("key"))).mapInArrow(_cut("ys", _aligned), "doc long, src long, start int, end int, src_start int, src_end int, same int")
+        aligned.append(durable(met.select("doc", "start", "end", "src", "same"), "stretches"))
+    release(half, words)
+    aligned = reduce(DataFrame.unionByName, aligned)
     stretches = aligned.select("doc", "start", "end", "src", "same").repartition("doc").sortWithinPartitions("doc", "start", F.desc("end"), "src")
     found = stretches.mapInArrow(_joined, "doc_id long, start_word int, end_word int, identity double, source_ids array<long>")
     if names is None:
