@@ -15,3 +15,13 @@ def test_op2_near_misses_do_not_meet(spark):
     entries = told.select(F.lit(1).alias("token"), *name, "n", F.col("n").alias("left"), "bits", F.lit(None).cast("array<smallint>").alias("more"))
     assert line_dedup._met(name, entries, entries).count() < 60 * 59 / 2 / 4  # all of them before the bitmaps
     assert line_dedup.repeated_lines(frame(spark, rows)).count() == 0
+
+
+def test_op2_hot_words_make_similar_pairs_alone(spark, monkeypatch):
+    """Long lines of a hot word that share their rarest words too: only similar ones leave the join."""
+    monkeypatch.setattr(line_dedup, "HOT", 8)
+    made, durable = [], line_dedup.durable
+    monkeypatch.setattr(line_dedup, "durable", lambda df, name: made.append((name, durable(df, name))) or made[-1][1])
+    rows = [(i, " ".join([f"common{k}" for k in range(60)] + [f"own{i}x{k}" for k in range(8)]), "en", "s") for i in range(40)]
+    assert line_dedup.repeated_lines(frame(spark, rows)).count() == 0
+    assert [df.count() for name, df in made if name == "rest"] == [0]
