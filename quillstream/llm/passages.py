@@ -41,6 +41,8 @@ GAP_COST, LEAST_CHAIN, LEAST, IDENTITY = 0.1, 16, 50, 0.7
 RUN, RUN_WINDOW = 40, LEAST - 40 + 1
 AHEAD = (RUN - SEED) // 2  # words of a run before its anchor
 MARGIN, LONGEST_GAP = 48, 200
+#: So few words from one anchor to the next on one diagonal cost less than an anchor is worth, so a chain never parts there.
+NEAR = 24
 MEMBERS_PER_SALT = 256
 #: Seeds are counted in 2**RANGE_BITS ranges of hashes, out of tasks that hold about HELD_SEEDS of them at once.
 RANGE_BITS, HELD_SEEDS = 12, 1 << 20
@@ -207,27 +209,60 @@ def _groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple]:
         yield key, held
 
 
+def _whole_documents(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
+    """The columns of several whole documents at a time; rows of a document, which the first column names, stand together."""
+    parts: list[list[np.ndarray]] = []
+    for batch in batches:
+        columns = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
+        if not len(columns[0]):
+            continue
+        if parts and columns[0][-1] != parts[0][0][0]:
+            columns, parts = [np.concatenate(c) for c in zip(*parts, columns)], []
+        if not parts:
+            first = int(np.flatnonzero(columns[0] != columns[0][-1])[-1]) + 1 if columns[0][0] != columns[0][-1] else 0
+            if first:
+                yield [c[:first] for c in columns]
+            columns = [c[first:].copy() for c in columns]
+        parts.append(columns)
+    if parts:
+        yield [np.concatenate(c) for c in zip(*parts)]
+
+
+def _lists(values: np.ndarray, first: np.ndarray) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), pa.array(values.astype(np.int32)))
+
+
 def _chains(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(doc, src, xs, ys) of anchors (doc, x, src, y, run) sorted by doc and x. Anchors of two documents that all lie as far apart in
+    both, each at most ``NEAR`` words behind the one before it, are one chain; others go through ``chain``."""
     names = ["doc", "src", "xs", "ys"]
     kinds = [pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int32())]
-    rows = []
-    flush = lambda: pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=names)
-    for (doc,), (x, src, y, run) in _groups(batches, 1):
-        starts = np.array([a - AHEAD for a, r in zip(x, run) if r], np.int64)
-        at = np.searchsorted(starts, x, "right") - 1 if len(starts) else None
-        held: dict[int, tuple[list, list]] = {}
-        for i, (a, s, b, r) in enumerate(zip(x, src, y, run)):
-            if r or at is None or at[i] < 0 or starts[at[i]] + RUN < a + SEED:  # a seed inside a run adds nothing to it
-                xs, ys = held.setdefault(s, ([], []))
-                xs.append(a)
-                ys.append(b)
-        for s, (xs, ys) in held.items():
-            rows += [(doc, s, [xs[i] for i in path], [ys[i] for i in path]) for path in chain(xs, ys)]  # single anchors too: alignment may extend them
-        if len(rows) >= 2000:
-            yield flush()
-            rows.clear()
-    if rows:
-        yield flush()
+    for doc, x, src, y, run in _whole_documents(batches):
+        x, y, run = x.astype(np.int64), y.astype(np.int64), run.astype(bool)
+        n = np.cumsum(np.concatenate([[0], doc[1:] != doc[:-1]]))  # documents by number
+        place = (n << 32) + x
+        starts = place[run] - AHEAD
+        at = np.searchsorted(starts, place, "right") - 1
+        keep = np.ones(len(x), bool)
+        if len(starts):  # a seed inside a run adds nothing to it
+            keep = run | (at < 0) | (starts[at] + RUN < place + SEED)
+        doc, x, src, y, n = doc[keep], x[keep], src[keep], y[keep], n[keep]
+        order = np.lexsort((src, n))
+        doc, x, src, y = doc[order], x[order], src[order], y[order]
+        new = np.concatenate([[True], (doc[1:] != doc[:-1]) | (src[1:] != src[:-1])])
+        first = np.flatnonzero(new)
+        ahead, apart = np.diff(x, prepend=0), np.diff(y - x, prepend=0)
+        plain = np.logical_and.reduceat(new | ((apart == 0) & (ahead > 0) & (ahead <= NEAR)), first)
+        size = np.diff(np.append(first, len(x)))
+        mine = np.repeat(plain, size)
+        ends = np.concatenate([[0], np.cumsum(size[plain])])
+        yield pa.RecordBatch.from_arrays([pa.array(doc[first[plain]]), pa.array(src[first[plain]]), _lists(x[mine], ends), _lists(y[mine], ends)], names=names)
+        rows = []
+        for i, k in zip(first[~plain].tolist(), size[~plain].tolist()):
+            d, s, xs, ys = int(doc[i]), int(src[i]), x[i : i + k].tolist(), y[i : i + k].tolist()
+            rows += [(d, s, [xs[i] for i in path], [ys[i] for i in path]) for path in chain(xs, ys)]  # single anchors too: alignment may extend them
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=names)
 
 
 def _word_rows(wanted):
@@ -249,30 +284,35 @@ def _mixed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _cut(places: str, result):
-    """Hand each chain the words of the document that leads its rows, from ``MARGIN`` before to ``MARGIN`` behind the chain."""
+    """Hand each chain the words of the document that leads its rows, from ``MARGIN`` before to ``MARGIN`` behind the chain; ``result`` takes
+    a batch of chains with the words and their first places."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, words = None, None
+        key, words = None, b""
         for batch in batches:
-            rows = []
-            for k, own, *rest in zip(batch.column("key").to_pylist(), batch.column("words"), *[batch.column(c).to_pylist() for c in ("doc", "src", "xs", "ys", "cut", "first")]):
-                if own.is_valid:
-                    key, words = k, np.frombuffer(own.as_buffer(), "<u4").copy()
-                elif key == k:
-                    at = rest[2] if places == "xs" else rest[3]
-                    first = max(0, at[0] - MARGIN)
-                    rows += result(rest, words[first : at[-1] + SEED + MARGIN], first)
-            kinds = result.kinds
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds.values())] if rows else [pa.array([], k) for k in kinds.values()], names=list(kinds))
+            keys, own, lists = batch.column("key").to_pylist(), batch.column("words"), batch.column(places)
+            leads = np.flatnonzero(own.is_valid().to_numpy(zero_copy_only=False)).tolist()
+            ends, values = lists.offsets.to_numpy(), lists.values.to_numpy(zero_copy_only=False)
+            at, cuts, firsts = [], [], []
+            for i, j in zip([-1, *leads], [*leads, batch.num_rows]):
+                if i >= 0:
+                    key, words = keys[i], own[i].as_py()
+                tails = [k for k in range(i + 1, j) if keys[k] == key]
+                if tails:
+                    first = np.maximum(values[ends[tails]] - MARGIN, 0).tolist()
+                    last = (values[ends[[k + 1 for k in tails]] - 1] + SEED + MARGIN).tolist()
+                    at += tails
+                    firsts += first
+                    cuts += [words[4 * a : 4 * b] for a, b in zip(first, last)]
+            if at:
+                yield result(batch.take(pa.array(at)), cuts, firsts)
 
     return run
 
 
-def _with_words(row: list, words: np.ndarray, first: int) -> list[tuple]:
-    return [(*row[:4], words.tobytes(), first)]
-
-
-_with_words.kinds = {"doc": pa.int64(), "src": pa.int64(), "xs": pa.list_(pa.int32()), "ys": pa.list_(pa.int32()), "cut": pa.binary(), "first": pa.int32()}
+def _with_words(chains: pa.RecordBatch, cuts: list[bytes], firsts: list[int]) -> pa.RecordBatch:
+    columns = [chains.column(c) for c in ("doc", "src", "xs", "ys")]
+    return pa.RecordBatch.from_arrays([*columns, pa.array(cuts, pa.binary()), pa.array(firsts, pa.int32())], names=["doc", "src", "xs", "ys", "cut", "first"])
 
 
 def extend(a: np.ndarray, b: np.ndarray) -> tuple[int, int, int]:
@@ -283,10 +323,9 @@ def extend(a: np.ndarray, b: np.ndarray) -> tuple[int, int, int]:
         if a[i] == b[j]:
             i, j, same = i + 1, j + 1, same + 1
             continue
-        for di, dj in ((1, 1), (0, 1), (1, 0), (2, 2), (1, 2), (2, 1)):
-            x, y = a[i + di : i + di + 3], b[j + dj : j + dj + 3]
-            if len(x) == 3 and x == y:
-                i, j = i + di, j + dj
+        for p, q in ((i + 1, j + 1), (i, j + 1), (i + 1, j), (i + 2, j + 2), (i + 1, j + 2), (i + 2, j + 1)):
+            if p + 2 < len(a) and q + 2 < len(b) and a[p] == b[q] and a[p + 1] == b[q + 1] and a[p + 2] == b[q + 2]:
+                i, j = p, q
                 break
         else:
             break
@@ -346,7 +385,12 @@ def _aligned(row: list, b: np.ndarray, first_b: int) -> list[tuple]:
     return out
 
 
-_aligned.kinds = {"doc": pa.int64(), "src": pa.int64(), "start": pa.int32(), "end": pa.int32(), "src_start": pa.int32(), "src_end": pa.int32(), "same": pa.int32()}
+def _stretches(chains: pa.RecordBatch, cuts: list[bytes], firsts: list[int]) -> pa.RecordBatch:
+    kinds = {"doc": pa.int64(), "src": pa.int64(), "start": pa.int32(), "end": pa.int32(), "src_start": pa.int32(), "src_end": pa.int32(), "same": pa.int32()}
+    rows = []
+    for row, b, first in zip(zip(*[chains.column(c).to_pylist() for c in ("doc", "src", "xs", "ys", "cut", "first")]), cuts, firsts):
+        rows += _aligned(row, np.frombuffer(b, "<u4"), first)
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds.values())] if rows else [pa.array([], k) for k in kinds.values()], names=list(kinds))
 
 
 def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -431,7 +475,7 @@ def _passages(docs: DataFrame, text: str, doc_id: str) -> DataFrame:
     aligned = []
     for i in range(ROUNDS):
         mine = lambda c: F.pmod(F.xxhash64(c), F.lit(ROUNDS)) == i  # noqa: B023, E731
-        met = lead(half.where(mine("src")), "src", words.where(mine("key"))).mapInArrow(_cut("ys", _aligned), "doc long, src long, start int, end int, src_start int, src_end int, same int")
+        met = lead(half.where(mine("src")), "src", words.where(mine("key"))).mapInArrow(_cut("ys", _stretches), "doc long, src long, start int, end int, src_start int, src_end int, same int")
         aligned.append(durable(met.select("doc", "start", "end", "src", "same"), "stretches"))
     release(half, words)
     aligned = reduce(DataFrame.unionByName, aligned)
