@@ -346,6 +346,12 @@ def _aligned(row: list, b: np.ndarray, first_b: int) -> list[tuple]:
         if end - start < LEAST_CHAIN or worth(SEED + less + more, end - start) < -1e-6:
             return []
         return [(doc, src, start, end, ys[0] - uj, ys[0] + SEED + dj, min(SEED + less + more, end - start))]
+    core, shift = x[-1] + SEED - x[0], y[0] - x[0]
+    if all(q - p == shift for p, q in zip(x, y)) and (a[x[0] : x[0] + core] == b[y[0] : y[0] + core]).all():  # no word differs: one stretch, if its ends allow
+        (ui, uj, less), (di, dj, more) = extend(a[: x[0]][::-1], b[: y[0]][::-1]), extend(a[x[-1] + SEED :], b[y[-1] + SEED :])
+        start, end = xs[0] - ui, xs[-1] + SEED + di
+        if worth(core + less + more, end - start) >= -1e-6:
+            return [(doc, src, start, end, ys[0] - uj, ys[-1] + SEED + dj, min(core + less + more, end - start))] if end - start >= LEAST_CHAIN else []
     same, at_x, at_y = 0, x[0], y[0]
     befores, behinds = [extend(a[: x[0]][::-1], b[: y[0]][::-1])], []  # what extends each anchor to the left and to the right
     before, sames, ends = [], [], []  # equal words up to the start and the end of each anchor, and where it ends

@@ -65,3 +65,17 @@ def test_op1_words_cut_over_batches():
         for r in out:
             first = max(0, r["xs"][0] - passages.MARGIN)
             assert r["first"] == first and r["cut"] == words[r["doc"]][first : r["xs"][-1] + passages.SEED + passages.MARGIN].tobytes()
+
+
+def test_op1_equal_words_are_one_stretch(monkeypatch):
+    """A chain without a differing word is extended at its two ends alone; a chain with one gives the same stretch with one equal word less."""
+    calls, extend = [], passages.extend
+    monkeypatch.setattr(passages, "extend", lambda a, b: calls.append(1) or extend(a, b))
+    a = np.arange(300, dtype="<u4")
+    b = np.concatenate([np.arange(900, 910), a[20:250], np.arange(800, 830)]).astype("<u4")
+    xs = [*range(30, 90, 3), *range(100, 240, 4)]
+    row = [5, 2, xs, [x - 10 for x in xs], a.tobytes(), 0]
+    assert passages._aligned(row, b, 0) == [(5, 2, 20, 250, 10, 240, 230)]
+    assert len(calls) == 2
+    b[85] = 777  # between the anchors at 87 and 100
+    assert passages._aligned(row, b, 0) == [(5, 2, 20, 250, 10, 240, 229)]
