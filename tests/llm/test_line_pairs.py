@@ -30,7 +30,7 @@ def test_op2_hot_words_make_similar_pairs_alone(spark, monkeypatch):
 
 
 def test_op2_long_lines_of_common_words_do_not_meet(spark, monkeypatch):
-    """Long lines that share their two rarest words, but too few of all: 64 bits are full for them, so all 435 pairs left the join."""
+    """Long lines that share their two rarest words, but too few of all: 64 bits are full for them, so 426 of 435 pairs left the join."""
     made, durable = [], line_dedup.durable
     monkeypatch.setattr(line_dedup, "durable", lambda df, name: made.append((name, durable(df, name))) or made[-1][1])
     monkeypatch.setattr(line_dedup, "release", lambda *tables: None)
