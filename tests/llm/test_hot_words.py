@@ -2,6 +2,7 @@
 
 import random
 
+import corpus_pipeline
 import pytest
 from pyspark.sql import functions as F
 from test_small import frame
@@ -32,6 +33,17 @@ def test_op2_hot_words_fetch_no_words_of_other_lines(spark, monkeypatch):
     assert dict(made)["hot-words"] > 20 and sum(n for name, n in made if name == "pair-lines") < 20
 
 
+def test_pipeline_stage_of_lines_fetches_no_words_of_other_lines(spark, monkeypatch):
+    """The same in stage 2 of the pipeline, which keeps all documents."""
+    monkeypatch.setattr(line_dedup, "HOT", 8)
+    made, draw, pool = watched(monkeypatch), random.Random(6), [f"pool{k}" for k in range(60)]
+    rows = [(i, " ".join(draw.sample(pool, 14)), "en", "s") for i in range(200)]
+    docs = frame(spark, [*rows, (900, rows[7][1] + "\nkept", "en", "s")])
+    cut = {r.doc_id: r.text for r in corpus_pipeline.dedup_lines(spark, docs, "").collect()}
+    assert cut == {r[0]: r[1] for r in rows} | {900: "kept"}
+    assert dict(made)["hot-words"] > 20 and sum(n for name, n in made if name == "pair-lines") < 20
+
+
 @pytest.mark.parametrize("hot, large, block", [(512, 1 << 16, 4096), (4, 1 << 16, 3), (2, 6, 3)])
 def test_op2_lines_as_by_force(spark, monkeypatch, hot, large, block):
     """All sizes and all kinds of hot words: a line goes if and only if an earlier one is similar, and the one kept is."""
